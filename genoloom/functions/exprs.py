@@ -14,6 +14,12 @@ def fix10(c: str | Column) -> Column:
     return F.floor(col(c) * F.lit(1e10) + F.lit(0.5)) / F.lit(1e10)
 
 
+def rnd(c: str | Column, digits: int) -> Column:
+    """Round half up by plain double arithmetic, so that any engine gives the same result."""
+    scale = float(10**digits)
+    return F.floor(col(c) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+
+
 def clean(c: str | Column) -> Column:
     """NaN never enters a table: it becomes NULL."""
     return F.when(~F.isnan(col(c)), col(c))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import fix10
+from ..functions.exprs import fix10, rnd
 from ..functions.ranks import grouped_rank, min_rank
 from ..schemas import GeneSpan
 from ..sources.stage import written
@@ -34,9 +34,9 @@ GROUP = ("dataset_id", "cell_type")
 
 # ---------------------------------------------------------------- per gene and cell type
 
-def type_sizes(meta: DataFrame) -> DataFrame:
+def type_sizes(meta: DataFrame, keys: tuple[str, ...] = GROUP) -> DataFrame:
     """Cells per (dataset, cell type), cells without any count included."""
-    return meta.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n_cells"))
+    return meta.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cells"))
 
 
 def gene_moments(expr: DataFrame) -> DataFrame:
@@ -59,21 +59,21 @@ def subset_and_filter(expr: DataFrame, cell_type: str, min_cell: int = MIN_CELL)
 
 # ---------------------------------------------------------------- all pairs
 
-def _tile_product(block: int):
+def _tile_product(block: int, names: tuple[str, ...]):
     """One chunk of cells, one pair of gene blocks: block product and per-gene sums."""
 
     def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        dataset, cell_type, ta, tb = key[:4]
+        ta, tb = key[len(names) : len(names) + 2]
         gene = rows["gene"].to_numpy()
         value = rows["value"].to_numpy()
         cells, cell = np.unique(rows["cell_id"].to_numpy(), return_inverse=True)
 
         def dense(tile):
             mask = gene // block == tile
-            names, pos = np.unique(gene[mask], return_inverse=True)
-            x = np.zeros((len(cells), len(names)))
+            columns, pos = np.unique(gene[mask], return_inverse=True)
+            x = np.zeros((len(cells), len(columns)))
             x[cell[mask], pos] = value[mask]
-            return names, x
+            return columns, x
 
         ga, xa = dense(ta)
         gb, xb = (ga, xa) if ta == tb else dense(tb)
@@ -83,16 +83,16 @@ def _tile_product(block: int):
             keep = i >= j
             i, j = i[keep], j[keep]
         sides = [(ga, xa)] if ta == tb else [(ga, xa), (gb, xb)]
-        names = np.concatenate([g for g, _ in sides])
+        both = np.concatenate([g for g, _ in sides])
         sums = [np.concatenate([f(x) for _, x in sides]) for f in (
             lambda x: (x > 0).sum(0).astype("float64"), lambda x: x.sum(0), lambda x: (x * x).sum(0))]
         return pd.DataFrame(
             {
-                "dataset_id": [dataset], "cell_type": [cell_type], "ta": [ta], "tb": [tb],
+                **{c: [v] for c, v in zip(names, key)}, "ta": [ta], "tb": [tb],
                 "pair_a": [(ga[i] - ta * block).astype("int32").tobytes()],
                 "pair_b": [(gb[j] - tb * block).astype("int32").tobytes()],
                 "pair_sum": [prod[i, j].tobytes()],
-                "genes": [names.astype("int64").tobytes()],
+                "genes": [both.astype("int64").tobytes()],
                 "nz": [sums[0].tobytes()], "sx": [sums[1].tobytes()], "sxx": [sums[2].tobytes()],
             }
         )
@@ -100,11 +100,11 @@ def _tile_product(block: int):
     return run
 
 
-def _tile_result(block: int, min_cell: int, raw: bool):
+def _tile_result(block: int, min_cell: int, raw: bool, names: tuple[str, ...]):
     """Add the partial tiles of all chunks, then emit the pairs of genes that are both defined."""
 
     def run(key: tuple[Any, ...], parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        dataset, cell_type, ta, tb = key
+        ta, tb = key[-2:]
         same = ta == tb
         total, n_cells = None, 0
         moments = np.zeros((3, block if same else 2 * block))
@@ -146,7 +146,7 @@ def _tile_result(block: int, min_cell: int, raw: bool):
                     r = np.where(i == j, 1.0, r)
             yield pd.DataFrame(
                 {
-                    "dataset_id": dataset, "cell_type": cell_type,
+                    **dict(zip(names, key)),
                     "gene_a": i + ta * block, "gene_b": j + tb * block, "r": r,
                 }
             )
@@ -162,16 +162,17 @@ def pair_correlation(
     gene_block: int = GENE_BLOCK,
     chunk_cells: int = CHUNK_CELLS,
     raw_products: bool = False,
+    keys: tuple[str, ...] = GROUP,
 ) -> DataFrame:
-    """Pearson of every defined pair ``gene_a >= gene_b`` per (dataset, cell type).
+    """Pearson of every defined pair ``gene_a >= gene_b`` per group, here (dataset, cell type).
 
     Undefined pairs (a gene below ``min_cell`` or without variance) have no row. Zeros count: the
     number of cells comes from ``meta``. r is fixed to 10 decimals, so that ranks are repeatable.
     """
     block = min(gene_block, genes.first + genes.n)
     n_tiles = (genes.first + genes.n - 1) // block + 1
-    sizes = type_sizes(meta)
-    chunks = sizes.select(*GROUP, F.ceil(F.col("n_cells") / chunk_cells).cast("int").alias("n_chunks"))
+    sizes = type_sizes(meta, keys)
+    chunks = sizes.select(*keys, F.ceil(F.col("n_cells") / chunk_cells).cast("int").alias("n_chunks"))
     own = F.floor(F.col("gene") / block).cast("int")
     tile = F.explode(
         F.transform(
@@ -181,22 +182,22 @@ def pair_correlation(
     )
     rows = (
         expr.filter(F.col("value") != 0)
-        .join(chunks, list(GROUP))
+        .join(chunks, list(keys))
         .select(
-            *GROUP,
+            *keys,
             tile.alias("t"),
             F.pmod(F.xxhash64("cell_id"), F.col("n_chunks")).cast("int").alias("chunk"),
             F.xxhash64("cell_id").alias("cell_id") if not _integral(expr, "cell_id") else F.col("cell_id").cast("long"),
             F.col("gene").cast("long").alias("gene"),
             F.col("value").cast("double").alias("value"),
         )
-        .select(*GROUP, "t.ta", "t.tb", "chunk", "cell_id", "gene", "value")
+        .select(*keys, "t.ta", "t.tb", "chunk", "cell_id", "gene", "value")
     )
-    group_fields = [expr.schema[c] for c in GROUP]
+    group_fields = [expr.schema[c] for c in keys]
     tile_fields = [T.StructField("ta", T.IntegerType()), T.StructField("tb", T.IntegerType())]
     blobs = [T.StructField(c, T.BinaryType()) for c in ("pair_a", "pair_b", "pair_sum", "genes", "nz", "sx", "sxx")]
-    partial = rows.groupBy(*GROUP, "ta", "tb", "chunk").applyInPandas(
-        _tile_product(block), T.StructType([*group_fields, *tile_fields, *blobs])
+    partial = rows.groupBy(*keys, "ta", "tb", "chunk").applyInPandas(
+        _tile_product(block, keys), T.StructType([*group_fields, *tile_fields, *blobs])
     )
     result = T.StructType(
         [
@@ -206,8 +207,8 @@ def pair_correlation(
             T.StructField("r", T.DoubleType()),
         ]
     )
-    tiles = partial.join(sizes, list(GROUP)).groupBy(*GROUP, "ta", "tb")
-    return tiles.applyInPandas(_tile_result(block, min_cell, raw_products), result)
+    tiles = partial.join(sizes, list(keys)).groupBy(*keys, "ta", "tb")
+    return tiles.applyInPandas(_tile_result(block, min_cell, raw_products, keys), result)
 
 
 def _integral(df: DataFrame, name: str) -> bool:
@@ -540,7 +541,7 @@ def celltype_correlation(
     vx, vy = n * F.col("sxx") - F.col("sx") * F.col("sx"), n * F.col("syy") - F.col("sy") * F.col("sy")
     r = (n * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.sqrt(vx) * F.sqrt(vy))
     ok = (F.col("nx") >= min_cell) & (F.col("ny") >= min_cell) & (vx > 0) & (vy > 0)
-    return m.join(type_sizes(meta), list(GROUP)).filter(ok).select(*GROUP, F.round(r, 5).alias("r"))
+    return m.join(type_sizes(meta), list(GROUP)).filter(ok).select(*GROUP, rnd(r, 5).alias("r"))
 
 
 def normalise_pair(species: str, gene1: str, gene2: str) -> tuple[str, str, str]:

@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exprs import rnd
 from ..operators import correlate, measure
 from ..schemas import GeneSpan, gene_span
 from ..sources.stage import materialize, stage_path
@@ -159,11 +160,11 @@ class Tables:
 
     @cached_property
     def gene_ref(self) -> DataFrame:
-        """(species, gene, symbol): G12 for human, g12 for mouse."""
+        """(species, gene, symbol): GN12 for human, Gn12 for mouse."""
         g = self.raw("part").select(F.col("p_size").alias("gene")).distinct()
         text = F.col("gene").cast("string")
-        return g.select(F.lit("Human").alias("species"), "gene", F.concat(F.lit("G"), text).alias("symbol")).unionByName(
-            g.select(F.lit("Mouse").alias("species"), "gene", F.concat(F.lit("g"), text).alias("symbol"))
+        return g.select(F.lit("Human").alias("species"), "gene", F.concat(F.lit("GN"), text).alias("symbol")).unionByName(
+            g.select(F.lit("Mouse").alias("species"), "gene", F.concat(F.lit("Gn"), text).alias("symbol"))
         )
 
     @cached_property
@@ -177,7 +178,7 @@ class Tables:
         """(gene_hg, gene_mm, symbol_hg, symbol_mm, id): genes that are no multiple of seven."""
         g = self.raw("part").select(F.col("p_size").alias("gene_hg")).distinct().filter("gene_hg % 7 <> 0")
         text = F.col("gene_hg").cast("string")
-        hg, mm = F.concat(F.lit("G"), text), F.concat(F.lit("g"), text)
+        hg, mm = F.concat(F.lit("GN"), text), F.concat(F.lit("Gn"), text)
         return g.select(
             "gene_hg",
             F.col("gene_hg").alias("gene_mm"),
@@ -212,7 +213,7 @@ class Tables:
         return (
             self.raw("part")
             .groupBy((F.lit(1) + F.col("p_partkey") % 50).cast("int").alias("tf"), F.col("p_size").alias("gene"))
-            .agg(F.round(F.avg("p_retailprice"), 2).alias("bind_score"))
+            .agg(rnd(F.avg("p_retailprice"), 2).alias("bind_score"))
         )
 
     # ---- fixture F
@@ -324,11 +325,11 @@ SELECT species, gene, partner, CAST(sum(CASE WHEN n_na < n_celltypes THEN 1 ELSE
 FROM full_b JOIN types_b USING (dataset_id) JOIN species USING (dataset_id) GROUP BY ALL""")
 cte("tfs", "SELECT DISTINCT p_size AS tf, CAST(p_size % 3 AS INTEGER) AS family FROM part WHERE p_size % 5 = 0")
 cte("ortho", """
-SELECT DISTINCT p_size AS gene_hg, p_size AS gene_mm, 'G' || p_size AS symbol_hg, 'g' || p_size AS symbol_mm,
-       'G' || p_size || '_g' || p_size AS id FROM part WHERE p_size % 7 <> 0""")
+SELECT DISTINCT p_size AS gene_hg, p_size AS gene_mm, 'GN' || p_size AS symbol_hg, 'Gn' || p_size AS symbol_mm,
+       'GN' || p_size || '_Gn' || p_size AS id FROM part WHERE p_size % 7 <> 0""")
 cte("gene_ref", """
-SELECT DISTINCT 'Human' AS species, p_size AS gene, 'G' || p_size AS symbol FROM part
-UNION ALL SELECT DISTINCT 'Mouse', p_size, 'g' || p_size FROM part""")
+SELECT DISTINCT 'Human' AS species, p_size AS gene, 'GN' || p_size AS symbol FROM part
+UNION ALL SELECT DISTINCT 'Mouse', p_size, 'Gn' || p_size FROM part""")
 cte("profile", """
 SELECT species, t.tf, f.dataset_id, f.gene, f.rsr AS score
 FROM full_b f JOIN tfs t ON f.partner = t.tf JOIN species s ON s.dataset_id = f.dataset_id

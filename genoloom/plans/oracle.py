@@ -17,6 +17,25 @@ def _needs(sql: str) -> list[str]:
     return [w for w in words if w in CTES]
 
 
+def _same_round(sql: str) -> str:
+    """Write every round(x, n) as floor arithmetic, which both engines compute alike."""
+    out, i = "", 0
+    while (at := sql.find("round(", i)) >= 0:
+        depth, comma, end = 0, None, at + 5
+        while True:
+            ch = sql[end]
+            depth += (ch == "(") - (ch == ")")
+            if ch == "," and depth == 1:
+                comma = end
+            if depth == 0:
+                break
+            end += 1
+        body, digits = _same_round(sql[at + 6 : comma]), int(sql[comma + 1 : end])
+        out += sql[i:at] + f"(floor(({body}) * 1e{digits} + 0.5) / 1e{digits})"
+        i = end + 1
+    return out + sql[i:]
+
+
 def statement(final: str) -> str:
     """The final select, with every CTE it reaches in front of it."""
     done: list[str] = []
@@ -30,6 +49,6 @@ def statement(final: str) -> str:
 
     visit(final, None)
     if not done:
-        return final.strip()
+        return _same_round(final.strip())
     body = ",\n".join(f"{n} AS MATERIALIZED (\n{CTES[n]}\n)" for n in done)
-    return f"WITH {body}\n{final.strip()}"
+    return _same_round(f"WITH {body}\n{final.strip()}")

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import fix10
+from ..functions.exprs import fix10, rnd
 from ..functions.stats import rank_sum_test
 from ..operators import correlate as c
 from ..operators import measure as m
@@ -11,7 +11,7 @@ from .catalog import query
 from .fixtures import MIN_CELL_B, f10
 from .oracle import cte
 
-r6 = lambda name, c=None: F.round(F.col(c or name), 6).alias(name)
+r6 = lambda name, c=None: rnd(F.col(c or name), 6).alias(name)
 
 # Two genes of fixture B that many cells hold
 G1, G2 = 12, 30
@@ -19,11 +19,11 @@ G1, G2 = 12, 30
 
 @query("c1_pearson", "SELECT dataset_id, cell_type, gene_a, gene_b, round(r, 6) AS r FROM pair_cor_a")
 def _(t):
-    return c.pair_correlation(t.expr_a, t.meta_a, t.genes_a).withColumn("r", F.round("r", 6))
+    return c.pair_correlation(t.expr_a, t.meta_a, t.genes_a).withColumn("r", rnd("r", 6))
 
 
 cte("pair_cor_f0", """
-SELECT cell_type, gene_a, gene_b, CASE WHEN gene_a = gene_b THEN 1.0::DOUBLE ELSE (n * sxy - sa * sb) / (sqrt(n * saa - sa * sa) * sqrt(n * sbb - sb * sb)) END AS r
+SELECT cell_type, gene_a, gene_b, CASE WHEN gene_a = gene_b THEN 1.0::DOUBLE ELSE floor((n * sxy - sa * sb) / (sqrt(n * saa - sa * sa) * sqrt(n * sbb - sb * sb)) * 1e10 + 0.5) / 1e10 END AS r
 FROM (SELECT a.cell_type, a.gene AS gene_a, b.gene AS gene_b, count(*)::DOUBLE AS n, sum(a.value) AS sa, sum(b.value) AS sb,
       sum(a.value * a.value) AS saa, sum(b.value * b.value) AS sbb, sum(a.value * b.value) AS sxy,
       count(*) FILTER (a.value > 0) AS na, count(*) FILTER (b.value > 0) AS nb
@@ -35,7 +35,7 @@ WHERE na >= 20 AND nb >= 20""")
 def _(t):
     # small blocks, so that several tiles and chunks take part
     out = c.pair_correlation(t.expr_f, t.meta_f, t.genes_f, gene_block=16, chunk_cells=64)
-    return out.select("cell_type", "gene_a", "gene_b", F.round("r", 6).alias("r"))
+    return out.select("cell_type", "gene_a", "gene_b", rnd("r", 6).alias("r"))
 
 
 cte("dense_rank_a", """
@@ -47,13 +47,13 @@ WINDOW w AS (PARTITION BY dataset_id, cell_type, gene ORDER BY value)""")
 
 
 @query("c3_spearman", """
-SELECT dataset_id, cell_type, gene_a, gene_b, round(CASE WHEN gene_a = gene_b THEN 1.0::DOUBLE ELSE (n * sxy - sa * sb) / (sqrt(n * saa - sa * sa) * sqrt(n * sbb - sb * sb)) END, 6) AS r
+SELECT dataset_id, cell_type, gene_a, gene_b, round(CASE WHEN gene_a = gene_b THEN 1.0::DOUBLE ELSE floor((n * sxy - sa * sb) / (sqrt(n * saa - sa * sa) * sqrt(n * sbb - sb * sb)) * 1e10 + 0.5) / 1e10 END, 6) AS r
 FROM (SELECT dataset_id, cell_type, a.gene AS gene_a, b.gene AS gene_b, count(*)::DOUBLE AS n, sum(a.rk) AS sa, sum(b.rk) AS sb,
       sum(a.rk * a.rk) AS saa, sum(b.rk * b.rk) AS sbb, sum(a.rk * b.rk) AS sxy
       FROM dense_rank_a a JOIN dense_rank_a b USING (dataset_id, cell_type, cell_id) WHERE a.gene >= b.gene GROUP BY ALL)
 WHERE n * saa - sa * sa > 0 AND n * sbb - sb * sb > 0""")
 def _(t):
-    return c.spearman_correlation(t.expr_a, t.meta_a, t.genes_a).withColumn("r", F.round("r", 6))
+    return c.spearman_correlation(t.expr_a, t.meta_a, t.genes_a).withColumn("r", rnd("r", 6))
 
 
 cte("mid_f", """
@@ -66,13 +66,13 @@ FROM expr_f e JOIN (SELECT cell_type, gene, quantile_cont(abs(value - med), 0.5)
 
 
 @query("c4_bicor", """
-SELECT cell_type, gene_a, gene_b, round(CASE WHEN gene_a = gene_b THEN 1.0::DOUBLE ELSE sxy / sqrt(saa * sbb) END, 6) AS r
+SELECT cell_type, gene_a, gene_b, round(CASE WHEN gene_a = gene_b THEN 1.0::DOUBLE ELSE floor(sxy / sqrt(saa * sbb) * 1e10 + 0.5) / 1e10 END, 6) AS r
 FROM (SELECT cell_type, a.gene AS gene_a, b.gene AS gene_b, sum(a.x * a.x) AS saa, sum(b.x * b.x) AS sbb, sum(a.x * b.x) AS sxy
       FROM mid_f a JOIN mid_f b USING (cell_type, cell_id) WHERE a.gene >= b.gene GROUP BY ALL)
 WHERE saa > 0 AND sbb > 0""")
 def _(t):
     out = c.bicor_correlation(t.expr_f, t.meta_f, t.genes_f)
-    return out.select("cell_type", "gene_a", "gene_b", F.round("r", 6).alias("r"))
+    return out.select("cell_type", "gene_a", "gene_b", rnd("r", 6).alias("r"))
 
 
 @query("c5_min_count", "SELECT dataset_id, cell_type, gene, nz FROM elig_a")
@@ -92,7 +92,7 @@ SELECT dataset_id, cell_type, gene_a, gene_b, round(CASE WHEN gene_a = gene_b TH
 FROM full_cor_b WHERE (dataset_id, cell_type) IN (SELECT dataset_id, cell_type FROM pair_cor_b)""")
 def _(t):
     pairs = t.pairs_b
-    return c.fill_triangle(pairs, t.genes_b).withColumn("r", F.round("r", 6))
+    return c.fill_triangle(pairs, t.genes_b).withColumn("r", rnd("r", 6))
 
 
 @query("c8_pair_spine", "SELECT DISTINCT n_regionkey AS dataset_id, a.gene AS gene_a, b.gene AS gene_b FROM nation, genes_a a, genes_a b WHERE a.gene >= b.gene")
@@ -102,12 +102,12 @@ def _(t):
 
 @query("c9_rsr", "SELECT dataset_id, gene_a, gene_b, round(rsr, 8) AS rsr, n_na FROM agg_a")
 def _(t):
-    return c.rank_sum_rank(t.expr_a, t.meta_a, t.genes_a).withColumn("rsr", F.round("rsr", 8))
+    return c.rank_sum_rank(t.expr_a, t.meta_a, t.genes_a).withColumn("rsr", rnd("rsr", 8))
 
 
 @query("c9_rsr_many_datasets", "SELECT dataset_id, gene_a, gene_b, round(rsr, 8) AS rsr, n_na FROM agg_b")
 def _(t):
-    return t.agg_b.withColumn("rsr", F.round("rsr", 8))
+    return t.agg_b.withColumn("rsr", rnd("rsr", 8))
 
 
 @query("c10_celltype_cor", f"""
@@ -127,7 +127,7 @@ SELECT dataset_id, cell_type, round(r, 5) AS r FROM pair_cor_b JOIN species USIN
 WHERE species = 'Mouse' AND gene_a = {G2} AND gene_b = {G1}""")
 def _(t):
     expr, meta = t.expr_b.join(t.species, "dataset_id"), t.meta_b.join(t.species, "dataset_id")
-    return c.pair_correlation_by_symbol(expr, meta, t.gene_ref, "mouse", f"G{G1}", f"g{G2}", MIN_CELL_B)
+    return c.pair_correlation_by_symbol(expr, meta, t.gene_ref, "mouse", f"GN{G1}", f"gn{G2}", MIN_CELL_B)
 
 
 @query("c13_pair_dataset_means", f"""
@@ -135,7 +135,7 @@ SELECT dataset_id, round(avg(round(r, 5)), 6) AS mean_r, count(*) AS n_types FRO
 WHERE gene_a = {G2} AND gene_b = {G1} GROUP BY ALL""")
 def _(t):
     means = c.dataset_means(c.celltype_correlation(t.expr_b, t.meta_b, G1, G2, MIN_CELL_B))
-    return means.withColumn("mean_r", F.round("mean_r", 6)).orderBy(F.col("mean_r").desc())
+    return means.withColumn("mean_r", rnd("mean_r", 6)).orderBy(F.col("mean_r").desc())
 
 
 @query("c14_pair_scatter", f"""
@@ -157,17 +157,17 @@ SELECT gene_a, gene_b, round(avg_rsr, 6) AS avg_rsr, side FROM (
 WHERE i <= 20""")
 def _(t):
     human = t.agg_b.join(t.species.filter("species = 'Human'"), "dataset_id", "left_semi")
-    return c.head_and_tail(c.mean_pair_score(human), 20).withColumn("avg_rsr", F.round("avg_rsr", 6))
+    return c.head_and_tail(c.mean_pair_score(human), 20).withColumn("avg_rsr", rnd("avg_rsr", 6))
 
 
 @query("c15_avg_coexpr", "SELECT gene_a, gene_b, round(avg_rsr, 6) AS avg_rsr FROM (SELECT gene_a, gene_b, avg(rsr) AS avg_rsr FROM agg_a WHERE gene_a <> gene_b GROUP BY ALL)")
 def _(t):
-    return c.mean_pair_score(t.agg_a).withColumn("avg_rsr", F.round("avg_rsr", 6))
+    return c.mean_pair_score(t.agg_a).withColumn("avg_rsr", rnd("avg_rsr", 6))
 
 
 @query("c16_matrix_to_long", 'SELECT dataset_id, gene AS "row", partner AS col, round(rsr, 8) AS rsr FROM full_b WHERE gene > partner')
 def _(t):
-    return c.long_to_pairs(c.mirrored(t.agg_b, "rsr"), True, "rsr").withColumn("rsr", F.round("rsr", 8))
+    return c.long_to_pairs(c.mirrored(t.agg_b, "rsr"), True, "rsr").withColumn("rsr", rnd("rsr", 8))
 
 
 # ---------------------------------------------------------------- measurement
@@ -264,7 +264,7 @@ FROM (SELECT {lead} n1, n2, u, abs((d - sign(d) * 0.5) / nullif(sigma, 0)) AS z2
 
 
 def rounded_test(df):
-    return df.withColumns({"u": F.round("u", 4), "p_two_sided": F.round("p_two_sided", 5), "p_greater": F.round("p_greater", 5)})
+    return df.withColumns({"u": rnd("u", 4), "p_two_sided": rnd("p_two_sided", 5), "p_greater": rnd("p_greater", 5)})
 
 
 @query("m9_rank_sum_tf", rank_sum_sql("gene_summary", "species", "n_msr", "is_tf"))
@@ -280,7 +280,7 @@ def six_sql(v: str) -> str:
 
 
 def round_six(df):
-    return df.withColumns({c: F.round(c, 6) for c in ("min", "q1", "median", "mean", "q3", "max")})
+    return df.withColumns({c: rnd(c, 6) for c in ("min", "q1", "median", "mean", "q3", "max")})
 
 
 @query("m10_species_summaries", f"""
@@ -293,13 +293,13 @@ def _(t):
 
 @query("m11_subset_to_measured", "SELECT f.partner AS tf, f.dataset_id, f.gene, round(f.rsr, 8) AS score FROM full_b f JOIN msr_b m ON m.dataset_id = f.dataset_id AND m.gene = f.partner AND measured")
 def _(t):
-    rows = c.mirrored(t.agg_b, "rsr").select(F.col("partner").alias("tf"), "dataset_id", "gene", F.round("rsr", 8).alias("score"))
+    rows = c.mirrored(t.agg_b, "rsr").select(F.col("partner").alias("tf"), "dataset_id", "gene", rnd("rsr", 8).alias("score"))
     return m.measured_subset(rows, t.msr_b).select("tf", "dataset_id", "gene", "score")
 
 
 @query("m12_gene_profiles", "SELECT species, tf, dataset_id, gene, round(score, 8) AS score FROM profile")
 def _(t):
-    return t.profile.withColumn("score", F.round("score", 8))
+    return t.profile.withColumn("score", rnd("score", 8))
 
 
 @query("m13_dataset_tally", "SELECT species, platform, count(*) AS n FROM info_b GROUP BY ALL")

@@ -17,6 +17,7 @@ def local_session(cpus: int = 8, app: str = "genoloom", checkpoint_dir: str | No
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("GENOLOOM_DRIVER_MEMORY", "8g"))
     )
     if checkpoint_dir:
