@@ -14,7 +14,7 @@ from ..functions.exprs import fix10
 from ..functions.ranks import avg_rank, min_rank, top_set
 from ..functions.sampling import hash_key, with_draws
 from ..functions.stats import six_numbers, spearman
-from ..schemas import GeneSpan, gene_span
+from ..schemas import GeneSpan
 from .correlate import pair_correlation
 from .recovery import auc_from_positions, positions
 
@@ -25,12 +25,16 @@ def packed_top(df: DataFrame, keys: list[str], col: str, k: int, descending: boo
     return top.groupBy(*keys, col).agg(F.collect_list("gene").alias("genes"))
 
 
+def top_and_bottom(df: DataFrame, keys: list[str], col: str, k: int) -> DataFrame:
+    """Per column the arrays t (top k), b (bottom k) and u (either)."""
+    top = packed_top(df, keys, col, k).withColumnRenamed("genes", "t")
+    bottom = packed_top(df, keys, col, k, False).withColumnRenamed("genes", "b")
+    return top.join(bottom, [*keys, col]).withColumn("u", F.array_union("t", "b"))
+
+
 def binarize(df: DataFrame, keys: list[str], col: str, k: int) -> DataFrame:
     """Genes in the top or the bottom k of their column."""
-    group = [*keys, col]
-    top = top_set(df, group, "score", "gene", k, True).select(*group, "gene")
-    bottom = top_set(df, group, "score", "gene", k, False).select(*group, "gene")
-    return top.unionByName(bottom).distinct()
+    return top_and_bottom(df, keys, col, k).select(*keys, col, F.explode("u").alias("gene"))
 
 
 def column_pairs(packed: DataFrame, keys: list[str], col: str) -> DataFrame:
@@ -50,24 +54,31 @@ def column_overlaps(df: DataFrame, keys: list[str], col: str, k: int, descending
 
 
 def column_jaccard(df: DataFrame, keys: list[str], col: str, k: int) -> DataFrame:
-    packed = binarize(df, keys, col, k).groupBy(*keys, col).agg(F.collect_list("gene").alias("genes"))
+    packed = top_and_bottom(df, keys, col, k).select(*keys, col, F.col("u").alias("genes"))
     i = overlap()
     j = F.try_divide(i.cast("double"), F.size("genes_a") + F.size("genes_b") - i)
     return column_pairs(packed, keys, col).select(*keys, "col_a", "col_b", j.alias("jaccard"))
 
 
-def column_correlations(df: DataFrame, keys: list[str], col: str, columns: GeneSpan | None = None) -> DataFrame:
-    """Spearman of every pair of columns; rows are genes, ranks are shared by all pairs."""
-    columns = columns or gene_span(df.select(F.col(col).alias("gene")).distinct())
+def column_correlations(df: DataFrame, keys: list[str], col: str) -> DataFrame:
+    """Spearman of every pair of columns; rows are genes, ranks are shared by all pairs.
+
+    The column ids (datasets) get ordinals for the blocked product and are mapped back.
+    """
+    listed = df.select(col).distinct()
+    index = listed.select(col, F.row_number().over(W.orderBy(col)).alias("gene"))
     group = [*keys, col]
-    ranked = df.select(
-        *keys, F.col("gene").alias("cell_id"), F.col(col).alias("gene"), avg_rank(group, "score").alias("value")
+    ranked = (
+        df.select(*keys, F.col("gene").alias("cell_id"), F.col(col), avg_rank(group, "score").alias("value"))
+        .join(index, col)
+        .select(*keys, "cell_id", "gene", "value")
     )
     rows = df.select(*keys, "gene").distinct()
-    r = pair_correlation(ranked, rows, columns, min_cell=0, keys=tuple(keys))
-    return r.filter("gene_a <> gene_b").select(
-        *keys, F.col("gene_b").alias("col_a"), F.col("gene_a").alias("col_b"), F.col("r").alias("scor")
-    )
+    r = pair_correlation(ranked, rows, GeneSpan(1, listed.count()), min_cell=0, keys=tuple(keys))
+    low = index.select(F.col("gene").alias("gene_b"), F.col(col).alias("col_a"))
+    high = index.select(F.col("gene").alias("gene_a"), F.col(col).alias("col_b"))
+    pairs = r.filter("gene_a <> gene_b").join(low, "gene_b").join(high, "gene_a")
+    return pairs.select(*keys, "col_a", "col_b", F.col("r").alias("scor"))
 
 
 def column_aucs(df: DataFrame, keys: list[str], col: str, k: int) -> DataFrame:
@@ -126,9 +137,7 @@ def shuffled_overlap(m1: DataFrame, m2: DataFrame, col: str, k: int, seed: int)
 def similarity(df: DataFrame, keys: list[str], col: str, k: int) -> DataFrame:
     """Spearman, top overlap, bottom overlap and Jaccard of every pair of columns."""
     on = [*keys, "col_a", "col_b"]
-    top = packed_top(df, keys, col, k).withColumnRenamed("genes", "t")
-    bottom = packed_top(df, keys, col, k, False).withColumnRenamed("genes", "b")
-    sets = top.join(bottom, [*keys, col]).select(*keys, F.col(col), F.struct("t", "b", F.array_union("t", "b").alias("u")).alias("genes"))
+    sets = top_and_bottom(df, keys, col, k).select(*keys, col, F.struct("t", "b", "u").alias("genes"))
     i = F.size(F.array_intersect("genes_a.u", "genes_b.u"))
     pairs = column_pairs(sets, keys, col).select(
         *on,

@@ -1,3 +1,3 @@
 """Named queries over the given tables."""
 from .catalog import all_checks, all_queries  # noqa: F401
-from . import q_core  # noqa: F401
+from . import q_core, q_profiles  # noqa: F401

@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import rnd
-from ..operators import correlate, measure
+from ..operators import correlate, measure, rankings, similarity
+from ..session import prepare
 from ..schemas import GeneSpan, gene_span
 from ..sources.stage import materialize, stage_path
 from .oracle import cte
 
 MIN_CELL_B = 15
+SEED = 7
+DRAWS = 20
 K = 10  # profiles of fixture B have 50 genes
 
 
@@ -26,7 +29,7 @@ class Tables:
     """Given tables and derived inputs of one data folder; heavy ones are stage tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = prepare(spark), sf_dir
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -197,6 +200,50 @@ class Tables:
 
         return self.stage("profile", build)
 
+    @cached_property
+    def tf_genes(self) -> DataFrame:
+        return self.tfs.select(F.col("tf").alias("gene"))
+
+    @cached_property
+    def full_b(self) -> DataFrame:
+        """(dataset_id, gene, partner, rsr): both directions of the aggregate."""
+        return correlate.mirrored(self.agg_b, "rsr")
+
+    @cached_property
+    def imputed(self) -> DataFrame:
+        return self.stage("imputed", lambda: rankings.impute_to_median(self.profile, self.msr_b))
+
+    @cached_property
+    def rank_tf(self) -> DataFrame:
+        return self.stage(
+            "rank_tf", lambda: rankings.consensus_ranks(self.profile, self.msr_b, self.comsr_b, K)
+        )
+
+    @cached_property
+    def rank_ortho(self) -> DataFrame:
+        return rankings.join_ortholog_ranks(self.rank_tf, self.ortho)
+
+    @cached_property
+    def sim_tf(self) -> DataFrame:
+        return self.stage("sim_tf", lambda: similarity.regulator_similarity(self.profile, K))
+
+    @cached_property
+    def null_sim(self) -> DataFrame:
+        def build():
+            null = similarity.null_profiles(self.full_b, self.msr_b, self.tf_genes, self.species, DRAWS, SEED)
+            return similarity.null_similarity(null, K)
+
+        return self.stage("null_sim", build)
+
+    @cached_property
+    def summ_tf(self) -> DataFrame:
+        n_exp = self.profile.groupBy("species", "tf").agg(F.count_distinct("dataset_id").alias("n_exp"))
+        return similarity.similarity_summary(self.sim_tf, ["species", "tf"], n_exp)
+
+    @cached_property
+    def summ_null(self) -> DataFrame:
+        return similarity.similarity_summary(self.null_sim, ["species", "iter"])
+
     @cached_property
     def curated(self) -> DataFrame:
         """Distinct (tf, target) ordinals, self pairs included."""

@@ -6,6 +6,17 @@ import os
 from pyspark.sql import SparkSession
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings that results depend on.
+
+    Spark 4.1 lets a union report the partitioning of its inputs; with adaptive execution the
+    inputs may be coalesced differently, and an aggregate above the union then misses rows of its
+    group. The old behaviour (a shuffle above the union) is always right.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def local_session(cpus: int = 8, app: str = "genoloom", checkpoint_dir: str | None = None) -> SparkSession:
     """A local session; on a cluster the caller brings its own."""
     builder = (
@@ -24,4 +35,4 @@ def local_session(cpus: int = 8, app: str = "genoloom", checkpoint_dir: str | No
         builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return prepare(spark)
