@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import rnd
-from ..operators import correlate, measure, rankings, similarity
+from ..operators import correlate, crossgroup, integrate, measure, rankings, recovery, saturation, similarity
 from ..session import prepare
 from ..schemas import GeneSpan, gene_span
 from ..sources.stage import materialize, stage_path
@@ -22,6 +22,9 @@ from .oracle import cte
 MIN_CELL_B = 15
 SEED = 7
 DRAWS = 20
+N_ITER = 10
+N_DRAWS = 25
+MIN_TARGETS = 3
 K = 10  # profiles of fixture B have 50 genes
 
 
@@ -244,6 +247,163 @@ class Tables:
     def summ_null(self) -> DataFrame:
         return similarity.similarity_summary(self.null_sim, ["species", "iter"])
 
+    @cached_property
+    def n_exp(self) -> DataFrame:
+        return self.profile.groupBy("species", "tf").agg(F.count_distinct("dataset_id").alias("n_exp"))
+
+    @cached_property
+    def step_summ(self) -> DataFrame:
+        def build():
+            return saturation.step_summary(saturation.step_overlaps(self.imputed, K, N_ITER, SEED))
+
+        return self.stage("step_summ", build)
+
+    @cached_property
+    def rank_ortho_s(self) -> DataFrame:
+        return self.stage("rank_ortho", lambda: self.rank_ortho)
+
+    @cached_property
+    def ortho_tfs(self) -> DataFrame:
+        return self.rank_ortho_s.select("tf_id").distinct()
+
+    def quantiles(self, reverse: bool) -> DataFrame:
+        overlaps = crossgroup.overlap_table(self.rank_ortho_s, K, reverse)
+        return crossgroup.overlap_quantiles(overlaps, self.ortho_tfs)
+
+    @cached_property
+    def quant_top(self) -> DataFrame:
+        return self.quantiles(False)
+
+    @cached_property
+    def wide_sim(self) -> DataFrame:
+        def build():
+            cor = crossgroup.side_correlation(self.rank_ortho_s)
+            return crossgroup.wide_similarity(cor, self.quant_top, self.quantiles(True))
+
+        return self.stage("wide_sim", build)
+
+    # ---- curated records, labels, binding
+    @cached_property
+    def records_1(self) -> DataFrame:
+        p = F.col("p_partkey")
+        test = (
+            F.when(p % 4 == 0, "ChIP-seq assay").when(p % 4 == 1, "Reporter assay (Luciferase)").when(p % 4 == 2, "siRNA perturbation")
+        )
+        return self.raw("part").filter("p_type = 'ECONOMY'").select(
+            p.alias("record_id"),
+            F.concat(F.lit("GN"), (p % 50 + 1).cast("string")).alias("tf"),
+            F.concat(F.lit("GN"), F.col("p_size").cast("string")).alias("target"),
+            F.when(p % 2 == 0, "human").otherwise("mouse").alias("species_name"),
+            test.alias("experiment"),
+            F.col("p_brand").alias("source_list"),
+        )
+
+    @cached_property
+    def records_2(self) -> DataFrame:
+        p = F.col("p_partkey")
+        return self.raw("part").filter("p_partkey % 3 <> 0").select(
+            p.alias("record_id"),
+            F.concat(F.lit("GN"), (p % 50 + 1).cast("string")).alias("tf"),
+            F.col("p_name").alias("cell_type"),
+            (p + 10_000_000).cast("string").alias("pubmed"),
+        )
+
+    @cached_property
+    def records_3(self) -> DataFrame:
+        p = F.col("p_partkey")
+        lead = F.when(p % 2 == 0, "GN").otherwise("Gn")
+        return self.raw("part").filter("p_type = 'SMALL'").select(
+            p.alias("record_id"),
+            F.concat(lead, (p % 47 + 1).cast("string")).alias("tf"),
+            F.concat(lead, F.col("p_size").cast("string")).alias("target"),
+            F.col("p_name").alias("cell_type"),
+        )
+
+    @cached_property
+    def tf_names(self) -> DataFrame:
+        return self.gene_ref.filter("gene % 5 <> 4").select(F.upper("symbol").alias("symbol")).distinct()
+
+    @cached_property
+    def curated_sym(self) -> DataFrame:
+        p = F.col("p_partkey")
+        lead = F.when(p % 2 == 0, "GN").otherwise("Gn")
+        return (
+            self.raw("part")
+            .filter("p_type = 'ECONOMY'")
+            .select(
+                F.concat(lead, (p % 50 + 1).cast("string")).alias("tf_symbol"),
+                F.concat(lead, F.col("p_size").cast("string")).alias("target_symbol"),
+            )
+            .distinct()
+        )
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        return self.stage("labels", lambda: recovery.curated_labels(self.curated_sym, self.gene_ref, self.ortho))
+
+    @cached_property
+    def universe(self) -> DataFrame:
+        present = self.rank_tf.select("species", "gene").distinct()
+        return recovery.eligible_universe(self.curated_sym, "target_symbol", present, self.gene_ref, self.ortho)
+
+    @cached_property
+    def doc_scores(self) -> DataFrame:
+        lab = self.raw("labels").select("doc_id", "quality")
+        return self.raw("documents").join(lab, "doc_id").select(
+            "lang", "doc_id", F.col("n_chars").cast("double").alias("score"), (F.col("quality") == 1).alias("label")
+        )
+
+    @cached_property
+    def bind_all(self) -> DataFrame:
+        """Binding by species: mouse lacks the regulators that are multiples of three."""
+        cols = ["species", "tf", "gene", "bind_score"]
+        hg = self.bind.withColumn("species", F.lit("Human")).select(*cols)
+        return hg.unionByName(self.bind.filter("tf % 3 <> 0").withColumn("species", F.lit("Mouse")).select(*cols))
+
+    @cached_property
+    def rank_all(self) -> DataFrame:
+        return self.stage("rank_all", lambda: integrate.join_binding(self.rank_tf, self.bind_all))
+
+    def scores(self, source: str) -> DataFrame:
+        """(species, tf, gene, score) of one evidence source, larger is better."""
+        value = {
+            "coexpr": F.col("avg_aggr_coexpr"),
+            "reverse": -F.col("avg_aggr_coexpr"),
+            "bind": F.col("bind_score"),
+            "integrated": -F.col("rank_integrated").cast("double"),
+        }[source]
+        table = self.rank_tf if source in ("coexpr", "reverse") else self.rank_all
+        return table.select("species", "tf", "gene", value.alias("score"))
+
+    def null_auc(self, source: str) -> DataFrame:
+        return self.stage(
+            f"null_{source}",
+            lambda: recovery.null_auc(self.scores(source), self.labels, self.universe, N_DRAWS, SEED),
+        )
+
+    def recovery(self, source: str) -> DataFrame:
+        def build():
+            return recovery.compare_to_null(recovery.observed_auc(self.scores(source), self.labels), self.null_auc(source))
+
+        return self.stage(f"recovery_{source}", build)
+
+    @cached_property
+    def wide_auc(self) -> DataFrame:
+        first, *others = [(s, self.recovery(s)) for s in ("coexpr", "bind", "integrated", "reverse")]
+        return recovery.join_sources(first, *others, min_targets=MIN_TARGETS)
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        return self.stage("evidence", lambda: integrate.ortholog_evidence(self.rank_all, self.ortho))
+
+    @cached_property
+    def eligibility(self) -> DataFrame:
+        return integrate.eligibility(self.rank_all, self.ortho)
+
+    @cached_property
+    def tiers(self) -> DataFrame:
+        return self.stage("tiers", lambda: integrate.tiers(self.rank_all, self.evidence, self.ortho, K))
+
     @cached_property
     def curated(self) -> DataFrame:
         """Distinct (tf, target) ordinals, self pairs included."""
