@@ -95,44 +95,46 @@ def top_set(
     return top.filter(F.col("_rn") <= F.greatest(F.col("_k"), F.lit(1))).drop("_rn", "_rk", "_last", "_n", "_k")
 
 
-def grouped_rank(
-    df: DataFrame,
-    keys: Keys,
-    value: str,
-    out: str,
-    descending: bool = True,
-    n_bins: int = 4096,
-    method: str = "min",
-) -> DataFrame:
-    """Exact rank in groups too large for one task.
+def value_positions(df: DataFrame, keys: Keys, value: str, descending: bool = True, n_bins: int = 4096) -> DataFrame:
+    """Distinct values of each group with ``n_before`` (rows that come earlier) and ``n_equal``.
 
     Equal values collapse to one counted row first (partial aggregation removes hot tie blocks),
-    the distinct values of a group are cut into ``n_bins`` value ranges, each range is ranked by
-    itself, and the number of rows in the better ranges is added. No group is ever in one task.
-    The rank comes back by an equi-join on the value, which adaptive skew handling may split.
+    the distinct values of a group are cut into ``n_bins`` value ranges, each range is counted by
+    itself, and the rows of the better ranges are added. No group is ever in one task.
     """
-    if method not in ("min", "avg"):
-        raise ValueError(method)
     keys = list(keys)
-    # value -0.0 and 0.0 are one value for ranking
-    df = df.withColumn(value, F.when(F.col(value) == 0, F.lit(0)).otherwise(F.col(value)).cast(df.schema[value].dataType))
-    dist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    dist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_equal"))
     span = dist.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     frac = F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
     if descending:
         frac = F.lit(1.0) - frac
     binned = dist.join(span, keys).withColumn("_bin", F.floor(frac * n_bins).cast("int")).drop("_lo", "_hi")
     order = F.col(value).desc() if descending else F.col(value).asc()
-    before_in_bin = F.sum("_c").over(W.partitionBy(*keys, "_bin").orderBy(order)) - F.col("_c")
-    bins = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_bc"))
+    before_in_bin = F.sum("n_equal").over(W.partitionBy(*keys, "_bin").orderBy(order)) - F.col("n_equal")
+    bins = binned.groupBy(*keys, "_bin").agg(F.sum("n_equal").alias("_bc"))
     bins = bins.select(
         *keys, "_bin", (F.sum("_bc").over(W.partitionBy(*keys).orderBy("_bin")) - F.col("_bc")).alias("_off")
     )
-    first = F.col("_off") + F.col("_in") + 1
-    rank = first.cast("long") if method == "min" else first + (F.col("_c") - 1) / F.lit(2.0)
-    ranks = (
+    return (
         binned.withColumn("_in", before_in_bin)
         .join(bins, [*keys, "_bin"])
-        .select(*keys, value, rank.alias(out))
+        .select(*keys, value, (F.col("_off") + F.col("_in")).alias("n_before"), "n_equal")
     )
+
+
+def grouped_rank(
+    df: DataFrame, keys: Keys, value: str, out: str, descending: bool = True, n_bins: int = 4096, method: str = "min"
+) -> DataFrame:
+    """Exact rank in groups too large for one task, by :func:`value_positions`.
+
+    The rank comes back by an equi-join on the value, which adaptive skew handling may split.
+    """
+    if method not in ("min", "avg"):
+        raise ValueError(method)
+    keys = list(keys)
+    # -0.0 and 0.0 are one value for ranking
+    df = df.withColumn(value, F.when(F.col(value) == 0, F.lit(0)).otherwise(F.col(value)).cast(df.schema[value].dataType))
+    first = F.col("n_before") + 1
+    rank = first.cast("long") if method == "min" else first + (F.col("n_equal") - 1) / F.lit(2.0)
+    ranks = value_positions(df, keys, value, descending, n_bins).select(*keys, value, rank.alias(out))
     return df.join(ranks, [*keys, value], "left")

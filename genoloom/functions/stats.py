@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .exprs import col, pearson_agg
-from .ranks import avg_rank
+from .ranks import avg_rank, value_positions
 
 # Coefficients of the Abramowitz and Stegun 7.1.26 approximation of erf.
 ERF_P = 0.3275911
@@ -29,6 +29,30 @@ def six_numbers(value: str | Column) -> list[Column]:
     ]
 
 
+def large_group_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """The six numbers where a group has more distinct values than one task should hold.
+
+    Same exact quantiles as :func:`six_numbers`, picked from the distributed value positions.
+    """
+    keys = list(keys)
+    pos = value_positions(df, keys, value, descending=False)
+    basic = df.groupBy(*keys).agg(
+        F.count(value).alias("_n"), F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max")
+    )
+    rows = pos.join(basic, keys)
+
+    def quantile(q: float) -> Column:
+        at = (F.col("_n") - 1) * F.lit(q)
+        start, stop = F.col("n_before"), F.col("n_before") + F.col("n_equal")
+        pick = lambda i: F.max(F.when((i >= start) & (i < stop), F.col(value)))
+        lo, hi = pick(F.floor(at)), pick(F.ceil(at))
+        return lo + (hi - lo) * F.max(at - F.floor(at))
+
+    return rows.groupBy(*keys, "min", "mean", "max").agg(
+        quantile(0.25).alias("q1"), quantile(0.5).alias("median"), quantile(0.75).alias("q3")
+    )
+
+
 def normal_upper_tail(z: str | Column) -> Column:
     """P(Z > z) by the erf approximation above (absolute error below 1.5e-7)."""
     z = col(z)

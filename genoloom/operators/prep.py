@@ -169,9 +169,12 @@ def drop_all_duplicated(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def keep_first(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
-    """The first row of each key in source order: an aggregate, so a hot key combines early."""
-    others = [c for c in df.columns if c not in keys]
-    first = df.groupBy(*keys).agg(F.min_by(F.struct(*others), F.col(ordinal)).alias("_r"))
+    """The first row of each key in source order: an aggregate, so a hot key combines early.
+
+    Rows with the same ordinal are told apart by their other columns, so a rerun picks the same.
+    """
+    others = [ordinal, *[c for c in df.columns if c not in (*keys, ordinal)]]
+    first = df.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_r"))
     return first.select(*keys, "_r.*").select(*df.columns)
 
 

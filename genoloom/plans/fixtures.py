@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import rnd
-from ..operators import correlate, crossgroup, integrate, measure, rankings, recovery, saturation, similarity
+from ..operators import correlate, crossgroup, enrich, integrate, measure, rankings, recovery, saturation, similarity
 from ..session import prepare
 from ..schemas import GeneSpan, gene_span
 from ..sources.stage import materialize, stage_path
@@ -25,6 +25,7 @@ DRAWS = 20
 N_ITER = 10
 N_DRAWS = 25
 MIN_TARGETS = 3
+N_SETS_ITER = 99
 K = 10  # profiles of fixture B have 50 genes
 
 
@@ -404,6 +405,18 @@ class Tables:
     def tiers(self) -> DataFrame:
         return self.stage("tiers", lambda: integrate.tiers(self.rank_all, self.evidence, self.ortho, K))
 
+    @cached_property
+    def enriched(self) -> DataFrame:
+        def build():
+            sets = self.raw("part").select(F.col("p_brand").alias("set_id"), F.col("p_size").alias("gene")).distinct()
+            return enrich.enrichment(self.rank_tf, sets, "rank_aggr_coexpr", N_SETS_ITER, SEED)
+
+        return self.stage("enriched", build)
+
+    def term_counts(self, cutoff: float) -> DataFrame:
+        tested = self.rank_tf.select("species", "tf").distinct()
+        return enrich.terms_per_tf(enrich.significant(self.enriched, cutoff), tested)
+
     @cached_property
     def curated(self) -> DataFrame:
         """Distinct (tf, target) ordinals, self pairs included."""
