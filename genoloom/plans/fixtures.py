@@ -26,6 +26,7 @@ N_ITER = 10
 N_DRAWS = 25
 MIN_TARGETS = 3
 N_SETS_ITER = 99
+TIER_K = 20
 K = 10  # profiles of fixture B have 50 genes
 
 
@@ -403,7 +404,7 @@ class Tables:
 
     @cached_property
     def tiers(self) -> DataFrame:
-        return self.stage("tiers", lambda: integrate.tiers(self.rank_all, self.evidence, self.ortho, K))
+        return self.stage("tiers", lambda: integrate.tiers(self.rank_all, self.evidence, self.ortho, TIER_K))
 
     @cached_property
     def enriched(self) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import prep as p
 from ..sources import readers as s
 from ..sources.stage import exists, materialize
 from .catalog import query
+from .dataset_build import build_counts, top_pairs
 from .oracle import cte
 
 
@@ -199,6 +200,33 @@ def _(t):
     return s.attach_clusters(cells, clusters)
 
 
+cte("built_cells", """
+SELECT c.dataset_id, c.cell_id, m.cell_type, c.gene_counts FROM count_info c JOIN (SELECT dataset_id, cell_id, substr(cell_type, 3) AS cell_type,
+ CASE WHEN dataset_id % 2 = 0 THEN '10x 3'' v2' ELSE 'Smart-seq2' END AS assay FROM meta_a WHERE cell_type <> '4-NOT SPECIFIED') m USING (dataset_id, cell_id)
+WHERE umi_counts >= 50 AND gene_counts >= 2 AND rna_novelty > CASE WHEN assay = 'Smart-seq2' THEN 0.2 ELSE 0.3 END AND (mt_ratio IS NULL OR mt_ratio < 0.2)""")
+cte("built_counts", """
+SELECT dataset_id, cell_type, cell_id, gene, value / sum(value) OVER (PARTITION BY dataset_id, cell_id) * 1e6 AS value
+FROM (SELECT e.dataset_id, b.cell_type, e.cell_id, e.gene, e.value FROM expr_a e JOIN built_cells b USING (dataset_id, cell_id) WHERE e.gene % 13 <> 0)""")
+
+
+@query("s14_dataset_build", "SELECT dataset_id, cell_type, cell_id, gene, round(value, 4) AS value FROM built_counts")
+def _(t):
+    key = F.col("s_suppkey").cast("int")
+    mt = t.raw("supplier").filter("s_suppkey % 10 = 0").select(key.alias("gene"))
+    coding = t.raw("supplier").filter("s_suppkey % 13 <> 0").select(key.alias("gene"), key.alias("gene_out"))
+    label = F.when(F.col("cell_type") == "4-NOT SPECIFIED", "unknown").otherwise(F.substring("cell_type", 3, 100))
+    meta = t.meta_a.withColumn("cell_type", label).withColumn("assay", F.when(F.col("dataset_id") % 2 == 0, "10x 3' v2").otherwise("Smart-seq2"))
+    counts, _cells = build_counts(
+        t.expr_a, meta, mt, coding, min_counts=50, min_genes=2, min_novelty=0.3, min_novelty_full_length=0.2, max_mt_ratio=0.2
+    )
+    return counts.withColumn("value", rnd("value", 4))
+
+
+@query("s14_top_pairs", "SELECT dataset_id, gene_a, gene_b, round(rsr, 8) AS rsr, n_na, place FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY rsr DESC, gene_a, gene_b) AS place FROM agg_a WHERE gene_a <> gene_b) WHERE place <= 20")
+def _(t):
+    return top_pairs(t.agg_a, 20).withColumn("rsr", rnd("rsr", 8))
+
+
 # ---------------------------------------------------------------- N
 
 @query("n1_rename", 'SELECT o_orderkey AS "ID", o_orderpriority AS "Cell_type", o_custkey FROM orders')

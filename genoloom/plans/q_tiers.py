@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import integrate as n
 from .catalog import query
-from .fixtures import K
+from .fixtures import TIER_K as K
 from .oracle import cte
 from .q_core import round_six, six_sql
 from .q_profiles import rd, top_sql
