@@ -12,7 +12,7 @@ from .q_profiles import rd, top_sql
 
 cte("bind_all", """
 SELECT 'Human' AS species, tf, gene, bind_score FROM bind
-UNION ALL SELECT 'Mouse', tf, gene, bind_score FROM bind WHERE tf % 3 <> 0""")
+UNION ALL SELECT 'Mouse', tf, gene, bind_score FROM (SELECT CAST(1 + (p_partkey * 7) % 50 AS INTEGER) AS tf, p_size AS gene, round(avg(p_retailprice), 2) AS bind_score FROM part GROUP BY ALL) WHERE tf % 3 <> 0""")
 
 
 def bind_rank_sql(part: str, score: str, item: str) -> str:
