@@ -62,7 +62,7 @@ def normal_upper_tail(z: str | Column) -> Column:
     for a in reversed(ERF_A[:4]):
         poly = poly * t + F.lit(a)
     tail = F.lit(0.5) * poly * t * F.exp(-x * x)
-    return F.when(z >= 0, tail).otherwise(F.lit(1.0) - tail)
+    return F.when(z >= 0, tail).when(z < 0, F.lit(1.0) - tail)
 
 
 def rank_sum_test(df: DataFrame, keys: Sequence[str], value: str, in_first: str) -> DataFrame:
@@ -93,7 +93,8 @@ def rank_sum_test(df: DataFrame, keys: Sequence[str], value: str, in_first: str)
     shift = F.signum(d) * 0.5
     z2 = F.try_divide(d - shift, sigma)
     z1 = F.try_divide(d - 0.5, sigma)
-    p2 = F.least(F.lit(1.0), 2 * normal_upper_tail(F.abs(z2)))
+    # least() skips NULL, but one tie block over all rows has no p-value
+    p2 = F.when(z2.isNotNull(), F.least(F.lit(1.0), 2 * normal_upper_tail(F.abs(z2))))
     return agg.select(
         *keys,
         n1.cast("long").alias("n_first"),

@@ -242,7 +242,7 @@ def _phi(z: str) -> str:
     tt = f"(1.0 / (1.0 + 0.3275911::DOUBLE * {x}))"
     poly = f"((((1.061405429::DOUBLE * {tt} - 1.453152027) * {tt} + 1.421413741) * {tt} - 0.284496736) * {tt} + 0.254829592)"
     tail = f"(0.5 * {poly} * {tt} * exp(-{x} * {x}))"
-    return f"CASE WHEN {z} >= 0 THEN {tail} ELSE 1.0 - {tail} END"
+    return f"CASE WHEN {z} >= 0 THEN {tail} WHEN {z} < 0 THEN 1.0 - {tail} END"
 
 
 def rank_sum_sql(source: str, keys: str, value: str, flag: str) -> str:
@@ -251,7 +251,7 @@ def rank_sum_sql(source: str, keys: str, value: str, flag: str) -> str:
     lead = f"{keys}," if keys else ""
     return f"""
 SELECT {lead} CAST(n1 AS BIGINT) AS n_first, CAST(n2 AS BIGINT) AS n_second, round(u, 4) AS u,
-       round(least(1.0::DOUBLE, 2 * ({_phi('z2')})), 5) AS p_two_sided, round({_phi('z1')}, 5) AS p_greater
+       round(CASE WHEN z2 IS NOT NULL THEN least(1.0::DOUBLE, 2 * ({_phi('z2')})) END, 5) AS p_two_sided, round({_phi('z1')}, 5) AS p_greater
 FROM (SELECT {lead} n1, n2, u, abs((d - sign(d) * 0.5) / nullif(sigma, 0)) AS z2, (d - 0.5) / nullif(sigma, 0) AS z1
   FROM (SELECT *, u - n1 * n2 / 2 AS d, sqrt(n1 * n2 / 12 * ((n + 1) - ties / nullif(n * (n - 1), 0))) AS sigma
     FROM (SELECT {lead} n1, n - n1 AS n2, n, ties, r1 - n1 * (n1 + 1) / 2 AS u
