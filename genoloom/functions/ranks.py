@@ -95,30 +95,50 @@ def top_set(
     return top.filter(F.col("_rn") <= F.greatest(F.col("_k"), F.lit(1))).drop("_rn", "_rk", "_last", "_n", "_k")
 
 
-def value_positions(df: DataFrame, keys: Keys, value: str, descending: bool = True, n_bins: int = 4096) -> DataFrame:
+def value_positions(
+    df: DataFrame,
+    keys: Keys,
+    value: str,
+    descending: bool = True,
+    n_bins: int = 4096,
+    sums: dict[str, Column] | None = None,
+) -> DataFrame:
     """Distinct values of each group with ``n_before`` (rows that come earlier) and ``n_equal``.
 
     Equal values collapse to one counted row first (partial aggregation removes hot tie blocks),
     the distinct values of a group are cut into ``n_bins`` value ranges, each range is counted by
     itself, and the rows of the better ranges are added. No group is ever in one task.
+
+    ``sums`` names further quantities to accumulate the same way, as <name>_before, <name>_equal;
+    a name ``n`` replaces the row count, which makes the rows weighted.
     """
     keys = list(keys)
-    dist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_equal"))
-    span = dist.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    sums = {"n": F.lit(1).cast("long"), **(sums or {})}
+    names = list(sums)
+    dist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[F.sum(c).alias(f"{n}_equal") for n, c in sums.items()])
+    # the filter is always true; it keeps the counts in this branch, so that the shuffle of ``dist``
+    # is the same plan in all branches and runs once
+    used = F.lit(False)
+    for n in names:
+        used = used | F.max(f"{n}_equal").isNotNull()
+    span = dist.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), used.alias("_used"))
+    span = span.filter("_used").drop("_used")
     frac = F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
     if descending:
         frac = F.lit(1.0) - frac
     binned = dist.join(span, keys).withColumn("_bin", F.floor(frac * n_bins).cast("int")).drop("_lo", "_hi")
     order = F.col(value).desc() if descending else F.col(value).asc()
-    before_in_bin = F.sum("n_equal").over(W.partitionBy(*keys, "_bin").orderBy(order)) - F.col("n_equal")
-    bins = binned.groupBy(*keys, "_bin").agg(F.sum("n_equal").alias("_bc"))
-    bins = bins.select(
-        *keys, "_bin", (F.sum("_bc").over(W.partitionBy(*keys).orderBy("_bin")) - F.col("_bc")).alias("_off")
-    )
+    inside = W.partitionBy(*keys, "_bin").orderBy(order)
+    bins = binned.groupBy(*keys, "_bin").agg(*[F.sum(f"{n}_equal").alias(n) for n in names])
+    earlier = W.partitionBy(*keys).orderBy("_bin")
+    bins = bins.select(*keys, "_bin", *[(F.sum(n).over(earlier) - F.col(n)).alias(f"_off_{n}") for n in names])
+    own = {f"_in_{n}": F.sum(f"{n}_equal").over(inside) - F.col(f"{n}_equal") for n in names}
     return (
-        binned.withColumn("_in", before_in_bin)
+        binned.withColumns(own)
         .join(bins, [*keys, "_bin"])
-        .select(*keys, value, (F.col("_off") + F.col("_in")).alias("n_before"), "n_equal")
+        .select(
+            *keys, value, *[c for n in names for c in ((F.col(f"_off_{n}") + F.col(f"_in_{n}")).alias(f"{n}_before"), F.col(f"{n}_equal"))]
+        )
     )
 
 

@@ -29,6 +29,15 @@ def six_numbers(value: str | Column) -> list[Column]:
     ]
 
 
+def _quantile_of_positions(q: float, value: str) -> Column:
+    """Aggregate over :func:`value_positions` rows that also carry the group's row number ``_n``."""
+    at = (F.col("_n") - 1) * F.lit(q)
+    start, stop = F.col("n_before"), F.col("n_before") + F.col("n_equal")
+    pick = lambda i: F.max(F.when((i >= start) & (i < stop), F.col(value)))
+    lo, hi = pick(F.floor(at)), pick(F.ceil(at))
+    return lo + (hi - lo) * F.max(at - F.floor(at))
+
+
 def large_group_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """The six numbers where a group has more distinct values than one task should hold.
 
@@ -39,18 +48,19 @@ def large_group_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataF
     basic = df.groupBy(*keys).agg(
         F.count(value).alias("_n"), F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max")
     )
-    rows = pos.join(basic, keys)
+    return pos.join(basic, keys).groupBy(*keys, "min", "mean", "max").agg(
+        *[_quantile_of_positions(q, value).alias(name) for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
+    )
 
-    def quantile(q: float) -> Column:
-        at = (F.col("_n") - 1) * F.lit(q)
-        start, stop = F.col("n_before"), F.col("n_before") + F.col("n_equal")
-        pick = lambda i: F.max(F.when((i >= start) & (i < stop), F.col(value)))
-        lo, hi = pick(F.floor(at)), pick(F.ceil(at))
-        return lo + (hi - lo) * F.max(at - F.floor(at))
 
-    return rows.groupBy(*keys, "min", "mean", "max").agg(
-        quantile(0.25).alias("q1"), quantile(0.5).alias("median"), quantile(0.75).alias("q3")
-    )
+def large_group_median(df: DataFrame, keys: Sequence[str], value: str, out: str, weight: str | None = None, n_bins: int = 64) -> DataFrame:
+    """Exact median of groups of any size; ``weight`` is a whole number of rows a row stands for."""
+    keys = list(keys)
+    rows = df.filter(F.col(value).isNotNull())
+    count = F.col(weight) if weight else F.lit(1).cast("long")
+    pos = value_positions(rows, keys, value, False, n_bins, {"n": count})
+    total = rows.groupBy(*keys).agg(F.sum(count).alias("_n"))
+    return pos.join(total, keys).groupBy(*keys).agg(_quantile_of_positions(0.5, value).alias(out))
 
 
 def normal_upper_tail(z: str | Column) -> Column:
@@ -68,22 +78,18 @@ def normal_upper_tail(z: str | Column) -> Column:
 def rank_sum_test(df: DataFrame, keys: Sequence[str], value: str, in_first: str) -> DataFrame:
     """Wilcoxon rank-sum of the rows where ``in_first`` is true against the others, per group.
 
-    Normal approximation with tie correction and continuity 0.5. Equal values are counted before
-    they are ranked, so the window holds distinct values only.
+    Normal approximation with tie correction and continuity 0.5. Mid-ranks come from the
+    distributed value positions, so a group may hold any number of rows.
     """
     keys = list(keys)
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col(in_first)).alias("c1"))
-    )
-    before = F.sum("c").over(W.partitionBy(*keys).orderBy(value)) - F.col("c")
-    ranked = counted.withColumn("mid", before + (F.col("c") + 1) / F.lit(2.0)).withColumn("c", F.col("c").cast("double"))
-    agg = ranked.groupBy(*keys).agg(
-        F.sum("c1").cast("double").alias("n1"),
-        F.sum("c").alias("n"),
-        F.sum(F.col("c1") * F.col("mid")).alias("r1"),
-        F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"),
+    first = F.when(F.col(in_first), 1).otherwise(0).cast("long")
+    pos = value_positions(df, keys, value, descending=False, sums={"first": first})
+    c = F.col("n_equal").cast("double")
+    agg = pos.groupBy(*keys).agg(
+        F.sum("first_equal").cast("double").alias("n1"),
+        F.sum(c).alias("n"),
+        F.sum(F.col("first_equal") * (F.col("n_before") + (c + 1) / F.lit(2.0))).alias("r1"),
+        F.sum(c * c * c - c).alias("ties"),
     )
     n1, n = F.col("n1"), F.col("n")
     n2 = n - n1

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import fix10, rnd
 from ..functions.ranks import grouped_rank, min_rank
+from ..functions.stats import large_group_median
 from ..schemas import GeneSpan
 from ..sources.stage import written
 
@@ -163,9 +164,13 @@ def pair_correlation(
     chunk_cells: int = CHUNK_CELLS,
     raw_products: bool = False,
     keys: tuple[str, ...] = GROUP,
+    against_last_block: bool = False,
 ) -> DataFrame:
     """Pearson of every defined pair ``gene_a >= gene_b`` per group, here (dataset, cell type).
 
+    ``against_last_block`` computes only the tiles whose ``gene_a`` lies in the last block: a few
+    query columns, placed there, against all columns.
+
     Undefined pairs (a gene below ``min_cell`` or without variance) have no row. Zeros count: the
     number of cells comes from ``meta``. r is fixed to 10 decimals, so that ranks are repeatable.
     """
@@ -174,11 +179,12 @@ def pair_correlation(
     sizes = type_sizes(meta, keys)
     chunks = sizes.select(*keys, F.ceil(F.col("n_cells") / chunk_cells).cast("int").alias("n_chunks"))
     own = F.floor(F.col("gene") / block).cast("int")
+    last = F.lit(n_tiles - 1)
+    partners = F.sequence(F.lit(0), last)
+    if against_last_block:
+        partners = F.when(own == last, partners).otherwise(F.array(last))
     tile = F.explode(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(n_tiles - 1)),
-            lambda t: F.struct(F.greatest(t, own).alias("ta"), F.least(t, own).alias("tb")),
-        )
+        F.transform(partners, lambda t: F.struct(F.greatest(t, own).alias("ta"), F.least(t, own).alias("tb")))
     )
     rows = (
         expr.filter(F.col("value") != 0)
@@ -265,15 +271,12 @@ def midweights(expr: DataFrame, meta: DataFrame, min_cell: int = MIN_CELL) -> Da
         .select(*keys, F.lit(0.0).alias("value"), (F.col("n_cells") - F.col("_nonzero")).alias("c"))
         .filter(F.col("c") > 0)
     )
-    dist = counts.unionByName(zero)
-    med = dist.groupBy(*keys).agg(
-        F.percentile("value", F.lit(0.5), F.col("c")).alias("_med"),
-        (F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("_mean"),
-    )
-    dev = dist.join(med, keys)
-    mad = dev.groupBy(*keys).agg(
-        F.percentile(F.abs(F.col("value") - F.col("_med")), F.lit(0.5), F.col("c")).alias("_mad")
-    )
+    # distinct values with counts: small against the cells, and read by five branches below
+    dist = written(counts.unionByName(zero), "values")
+    mean = dist.groupBy(*keys).agg((F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("_mean"))
+    dev = dist.join(large_group_median(dist, keys, "value", "_med", "c").join(mean, keys), keys)
+    dev = written(dev.withColumn("_dev", F.abs(F.col("value") - F.col("_med"))), "deviations")
+    mad = large_group_median(dev, keys, "_dev", "_mad", "c")
     x = F.col("value")
     u = F.try_divide(x - F.col("_med"), 9.0 * F.col("_mad"))
     w = F.when(F.abs(u) < 1, (1 - u * u) * (1 - u * u)).otherwise(0.0)

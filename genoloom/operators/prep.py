@@ -200,20 +200,40 @@ def union_batches(batch1: DataFrame, batch2: DataFrame) -> DataFrame:
     return b1.unionByName(b2.join(batch1.select("cell_id").distinct(), "cell_id", "left_anti"))
 
 
+def _zero_shifted_ranks(expr: DataFrame, cell: list[str], n_genes: int) -> DataFrame:
+    """Average rank among all genes of a cell minus that of its zero block: zeros stay zero."""
+    zeros = F.lit(float(n_genes)) - F.count(F.lit(1)).over(W.partitionBy(*cell))
+    shift = avg_rank(cell, "value") + zeros - (zeros + 1) / 2.0
+    return expr.filter(F.col("value") > 0).select(*cell, "gene", shift.alias("x"))
+
+
+def identical_cells(expr: DataFrame, barcode: str, n_genes: int) -> DataFrame:
+    """Barcodes with cells whose Spearman correlation is exactly 1, without forming pairs.
+
+    That is the case when two cells rank all genes alike, so cells are grouped by a fingerprint of
+    their ranks (two hashes and two sums over the expressed genes). Any number of cells may share
+    a barcode.
+    """
+    ranked = _zero_shifted_ranks(expr, [barcode, "cell_id"], n_genes)
+    marks = ranked.groupBy(barcode, "cell_id").agg(
+        F.bit_xor(F.xxhash64("gene", "x")).alias("h1"), F.bit_xor(F.xxhash64("x", "gene", F.lit(7))).alias("h2"),
+        F.count(F.lit(1)).alias("nz"), F.sum("x").alias("sx"),
+    )
+    same = marks.groupBy(barcode, "h1", "h2", "nz", "sx").agg(F.count(F.lit(1)).alias("n_cells"))
+    return same.filter("n_cells > 1").groupBy(barcode).agg(F.sum("n_cells").alias("n_cells"))
+
+
 def near_duplicates(expr: DataFrame, barcode: str, n_genes: int) -> DataFrame:
     """Spearman between cells that share a barcode, zeros included.
 
-    Ranks are shifted so that a zero has rank zero; only genes expressed in both cells of a pair
-    meet in the join, the rest follows from the sums of each cell.
+    The pairs are the result, so this is for barcodes shared by few cells (:func:`identical_cells`
+    answers the yes-or-no question for any number). Ranks are shifted so that a zero has rank zero;
+    only genes expressed in both cells of a pair meet in the join, the rest follows from the sums.
     """
     cell = [barcode, "cell_id"]
     shared = expr.select(*cell).distinct().groupBy(barcode).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     rows = expr.filter(F.col("value") > 0).join(shared.select(barcode), barcode, "left_semi")
-    nz = F.count(F.lit(1)).over(W.partitionBy(*cell))
-    zeros = F.lit(float(n_genes)) - nz
-    # average rank among all genes minus the average rank of the zero block
-    shift = avg_rank(cell, "value") + zeros - (zeros + 1) / 2.0
-    ranked = rows.select(*cell, "gene", shift.alias("x"))
+    ranked = _zero_shifted_ranks(rows, cell, n_genes)
     sums = ranked.groupBy(*cell).agg(F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"))
     a = ranked.select(barcode, "gene", F.col("cell_id").alias("cell_a"), F.col("x").alias("xa"))
     b = ranked.select(barcode, "gene", F.col("cell_id").alias("cell_b"), F.col("x").alias("xb"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import count_true, fix10
+from ..functions.stats import large_group_median
 from ..functions.ranks import grouped_rank, min_rank, random_rank, tie_adjusted_k
 
 TF = ("species", "tf")
@@ -32,11 +33,10 @@ def without_self(profile: DataFrame) -> DataFrame:
 def impute_to_median(profile: DataFrame, msr: DataFrame) -> DataFrame:
     """Genes a dataset does not measure take the median of the regulator's whole profile block.
 
-    Equal scores are counted before the median, which keeps the aggregate buffer small.
+    The block is datasets by genes, so its median is the distributed one.
     """
     own = without_self(profile)
-    counted = own.filter(F.col("score").isNotNull()).groupBy(*TF, "score").agg(F.count(F.lit(1)).alias("_c"))
-    med = counted.groupBy(*TF).agg(F.percentile("score", F.lit(0.5), F.col("_c")).alias("_med"))
+    med = large_group_median(own, TF, "score", "_med")
     return (
         own.join(msr, ["dataset_id", "gene"])
         .join(med, list(TF), "left")

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import fix10, rnd
-from ..functions.ranks import max_rank, min_rank
+from ..functions.ranks import max_rank, min_rank, value_positions
 from ..functions.sampling import shuffled_position, with_draws
 from ..functions.stats import six_numbers
 
@@ -39,33 +39,35 @@ def auc_from_positions(hits: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
-    """Both areas of a labelled score table.
+    """Both areas of a labelled score table; a group may hold any number of rows.
 
-    Tie blocks are counted before ranking, so a group is as large as its distinct scores.
+    Positions and positives seen so far come from the distributed value positions, after which
+    both areas are plain sums over the tie blocks that hold a positive.
     """
-    blocks = df.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(
-        F.count(F.lit(1)).alias("_c"), F.count_if(label).alias("_p")
+    positive = F.when(F.col(label), 1).otherwise(0).cast("long")
+    pos = value_positions(df, keys, score, sums={"p": positive})
+    n = df.filter(F.col(score).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    blocks = pos.filter("p_equal > 0").join(n, keys).select(
+        *keys, F.col("n_before").alias("s"), (F.col("n_before") + F.col("n_equal")).alias("e"), "n", F.col("p_equal").alias("_p"), F.col("p_before").alias("tp")
     )
-    w = W.partitionBy(*keys).orderBy(F.col(score).desc())
-    e = F.sum("_c").over(w)
-    out = blocks.select(*keys, (e - F.col("_c")).alias("s"), e.alias("e"), F.sum("_c").over(W.partitionBy(*keys)).alias("n"), "_p")
-    groups = df.select(*keys).distinct() if keys else None
-    areas = _auc_counted(out.filter("_p > 0"), keys)
-    return groups.join(areas, keys, "left") if groups is not None else areas
+    return df.select(*keys).distinct().join(_areas(blocks, keys), keys, "left")
 
 
 def _auc_counted(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """The areas of :func:`auc_from_positions`; a row is a tie block with its number of positives."""
+    """The areas of :func:`auc_from_positions`; a row is a tie block with its number of positives.
+
+    The window holds labelled rows of one column only.
+    """
     tp = F.sum("_p").over(W.partitionBy(*keys).orderBy("s")) - F.col("_p")
-    s, e, n, t = F.col("s"), F.col("e"), F.col("n"), F.col("_p").cast("double")
-    area = F.when(s > 0, 0.5 * t * ((F.col("tp") + t) / e + F.try_divide(F.col("tp"), s))).otherwise(0.0)
-    agg = (
-        blocks.withColumn("tp", tp)
-        .groupBy(*keys)
-        .agg(
-            F.sum(t).alias("p"), F.max("n").alias("n"), F.sum(area).alias("a"),
-            F.sum((n + 1 - (s + 1 + e) / 2.0) * t).alias("r"), F.max((s == 0) & (e == n)).alias("flat"),
-        )
+    return _areas(blocks.withColumn("tp", tp), keys)
+
+
+def _areas(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    s, e, n, t, tp = F.col("s"), F.col("e"), F.col("n"), F.col("_p").cast("double"), F.col("tp")
+    area = F.when(s > 0, 0.5 * t * ((tp + t) / e + F.try_divide(tp, s))).otherwise(0.0)
+    agg = blocks.groupBy(*keys).agg(
+        F.sum(t).alias("p"), F.max("n").alias("n"), F.sum(area).alias("a"),
+        F.sum((n + 1 - (s + 1 + e) / 2.0) * t).alias("r"), F.max((s == 0) & (e == n)).alias("flat"),
     )
     p, neg = F.col("p"), F.col("n") - F.col("p")
     both = (p > 0) & (neg > 0)
@@ -79,14 +81,12 @@ def _auc_counted(blocks: DataFrame, keys: list[str]) -> DataFrame:
 
 def curve(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """ROC and precision-recall points at every distinct cutoff, with the (0, 0) start."""
-    blocks = df.filter(F.col(score).isNotNull()).groupBy(*keys, F.col(score).cast("double").alias("cutoff")).agg(
-        F.count_if(label).alias("_p"), F.count_if(~F.col(label)).alias("_n")
-    )
-    run = W.partitionBy(*keys).orderBy(F.col("cutoff").desc())
-    total = W.partitionBy(*keys)
-    tp, fp = F.sum("_p").over(run), F.sum("_n").over(run)
-    points = blocks.select(
-        *keys, "cutoff", tp.alias("tp"), fp.alias("fp"), F.sum("_p").over(total).alias("p"), F.sum("_n").over(total).alias("n")
+    positive = F.when(F.col(label), 1).otherwise(0).cast("long")
+    rows = df.select(*keys, F.col(score).cast("double").alias("cutoff"), label).filter(F.col("cutoff").isNotNull())
+    total = rows.groupBy(*keys).agg(F.sum(positive).alias("p"), F.sum(1 - positive).alias("n"))
+    tp = F.col("p_before") + F.col("p_equal")
+    points = value_positions(rows, keys, "cutoff", sums={"p": positive}).join(total, keys).select(
+        *keys, "cutoff", tp.alias("tp"), (F.col("n_before") + F.col("n_equal") - tp).alias("fp"), "p", "n"
     )
     start = points.groupBy(*keys).agg(
         F.lit(None).cast("double").alias("cutoff"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), F.max("p").alias("p"), F.max("n").alias("n")

@@ -208,33 +208,36 @@ def match_rank(scores: DataFrame, gene: int, value: str, first: int) -> DataFram
     return agg.select("query", "subject", (F.col("_gt") + F.col("_eq") + zeros + 1).alias("rank"))
 
 
-def query_correlation(full: DataFrame, gene: int) -> DataFrame:
+def query_correlation(full: DataFrame, gene: int, genes: GeneSpan, gene_block: int = 1024) -> DataFrame:
     """Spearman of the gene's column in one dataset with every column of every other dataset.
 
-    All columns have all genes, so n and the rank variance sums are per-column numbers and the
-    join with the one query column per dataset feeds a map-side sum.
+    Per subject dataset this is one rectangular product: its columns against the query columns of
+    all datasets, which get the ordinals of the last block.
     """
-    ranked = full.select(
-        "dataset_id", "partner", "gene", avg_rank(["dataset_id", "partner"], "rsr").alias("rk")
+    ranked = full.select("dataset_id", "partner", "gene", avg_rank(["dataset_id", "partner"], "rsr").alias("value"))
+    listed = full.select("dataset_id").distinct()
+    block = min(gene_block, genes.first + genes.n)
+    base = -(-(genes.first + genes.n) // block) * block  # first ordinal of the query block
+    ids = listed.select("dataset_id", (F.row_number().over(W.orderBy("dataset_id")) - 1 + base).alias("_q"))
+    n_ids = listed.count()
+    if n_ids > block:
+        raise ValueError(f"{n_ids} query columns do not fit a block of {block}; raise gene_block")
+    query = ranked.filter(F.col("partner") == gene).join(ids, "dataset_id").select("_q", F.col("gene").alias("cell_id"), "value")
+    subject = listed.select(F.col("dataset_id").alias("subject"))
+    columns = ranked.select(F.col("dataset_id").alias("subject"), F.col("gene").alias("cell_id"), F.col("partner").alias("gene"), "value")
+    # every subject dataset sees all query columns: datasets x datasets x genes rows
+    queries = subject.withColumn("_j", F.lit(1)).join(query.withColumn("_j", F.lit(1)), "_j").select(
+        "subject", "cell_id", F.col("_q").alias("gene"), "value"
     )
-    q = ranked.filter(F.col("partner") == gene).select(F.col("dataset_id").alias("query"), "gene", F.col("rk").alias("x"))
-    s = ranked.select(F.col("dataset_id").alias("subject"), "partner", "gene", F.col("rk").alias("y"))
-    x, y = F.col("x"), F.col("y")
-    m = (
-        q.join(s, "gene")
-        .filter("query <> subject")
-        .groupBy("query", "subject", "partner")
-        .agg(
-            F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
-            F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"),
-        )
+    rows = full.select(F.col("dataset_id").alias("subject"), "gene").distinct()
+    r = pair_correlation(
+        columns.unionByName(queries), rows, GeneSpan(genes.first, base + block - genes.first), min_cell=0, gene_block=block,
+        keys=("subject",), against_last_block=True,
     )
-    vx = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
-    vy = F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
-    r = F.when(
-        (vx > 0) & (vy > 0), fix10((F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.sqrt(vx) * F.sqrt(vy)))
+    names = ids.select(F.col("_q").alias("gene_a"), F.col("dataset_id").alias("query"))
+    return r.filter(F.col("gene_b") < base).join(names, "gene_a").filter("query <> subject").select(
+        "query", "subject", F.col("gene_b").alias("partner"), F.col("r").alias("scor")
     )
-    return m.select("query", "subject", "partner", r.alias("scor"))
 
 
 def query_auprc(full: DataFrame, gene: int, k: int) -> DataFrame:

@@ -399,7 +399,7 @@ class Tables:
     @cached_property
     def wide_auc(self) -> DataFrame:
         first, *others = [(s, self.recovery(s)) for s in ("coexpr", "bind", "integrated", "reverse")]
-        return recovery.join_sources(first, *others, min_targets=MIN_TARGETS)
+        return self.stage("wide_auc", lambda: recovery.join_sources(first, *others, min_targets=MIN_TARGETS))
 
     @cached_property
     def evidence(self) -> DataFrame:

@@ -388,7 +388,7 @@ FROM (SELECT a.dataset_id AS query, b.dataset_id AS subject, b.partner, count(*)
 
 @query("k18_query_cor", "SELECT query, subject, partner, round(scor, 6) AS scor FROM q_cor WHERE query = 0")
 def _(t):
-    return rd(s.query_correlation(t.full_b, QG).filter("query = 0"), scor=6)
+    return rd(s.query_correlation(t.full_b, QG, t.genes_b).filter("query = 0"), scor=6)
 
 
 cte("q_auprc", auc_sql(f"(SELECT p.dataset_id AS query, l.dataset_id AS subject, l.partner, s, e, n FROM {pos_sql(f'(SELECT * FROM full_b WHERE partner = {QG})', 'dataset_id', 'rsr')} p JOIN top_cols l ON l.gene = p.gene AND l.dataset_id <> p.dataset_id)", "query, subject, partner"))
@@ -406,7 +406,7 @@ def _(t):
 
 @query("k21_query_cor_all", "SELECT query, subject, rank FROM (SELECT query, subject, partner, row_number() OVER (PARTITION BY query, subject ORDER BY scor DESC NULLS LAST, partner) AS rank FROM q_cor) WHERE partner = 10")
 def _(t):
-    return s.rank_of_match(s.query_correlation(t.full_b, QG), QG, "scor")
+    return s.rank_of_match(s.query_correlation(t.full_b, QG, t.genes_b), QG, "scor")
 
 
 # ---------------------------------------------------------------- Y

@@ -405,19 +405,29 @@ FROM (SELECT c.barcode, c.cell_id, g.gene, coalesce(d.value, 0) AS value FROM (S
  LEFT JOIN dup_cells d ON d.barcode = c.barcode AND d.cell_id = c.cell_id AND d.gene = g.gene) WINDOW w AS (PARTITION BY barcode, cell_id ORDER BY value)""")
 
 
-@query("n21_near_duplicates", """
-SELECT barcode, cell_a, cell_b, round((n * sxy - sa * sb) / nullif(sqrt(n * saa - sa * sa) * sqrt(n * sbb - sb * sb), 0), 5) AS r FROM (
- SELECT a.barcode, a.cell_id AS cell_a, b.cell_id AS cell_b, count(*)::DOUBLE AS n, sum(a.rk) AS sa, sum(b.rk) AS sb, sum(a.rk * a.rk) AS saa, sum(b.rk * b.rk) AS sbb, sum(a.rk * b.rk) AS sxy
- FROM dup_ranks a JOIN dup_ranks b ON a.barcode = b.barcode AND a.gene = b.gene AND a.cell_id < b.cell_id GROUP BY ALL)""")
-def _(t):
-    rows = (
+def barcoded(t):
+    return (
         t.raw("lineitem").select("l_orderkey", "l_partkey", "l_quantity")
         .join(t.raw("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t.raw("part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
         .groupBy(F.col("o_custkey").alias("barcode"), F.col("l_orderkey").alias("cell_id"), F.col("p_size").alias("gene"))
         .agg(F.sum("l_quantity").alias("value"))
     )
-    return p.near_duplicates(rows, "barcode", t.genes_b.n).select("barcode", "cell_a", "cell_b", rnd("r", 5).alias("r"))
+
+
+@query("n21_identical_cells", """
+SELECT barcode, CAST(sum(c) AS BIGINT) AS n_cells FROM (SELECT barcode, profile, count(*) AS c FROM (
+ SELECT barcode, cell_id, string_agg(gene || ':' || rk, ',' ORDER BY gene) AS profile FROM dup_ranks GROUP BY ALL) GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL""")
+def _(t):
+    return p.identical_cells(barcoded(t), "barcode", t.genes_b.n)
+
+
+@query("n21_near_duplicates", """
+SELECT barcode, cell_a, cell_b, round((n * sxy - sa * sb) / nullif(sqrt(n * saa - sa * sa) * sqrt(n * sbb - sb * sb), 0), 5) AS r FROM (
+ SELECT a.barcode, a.cell_id AS cell_a, b.cell_id AS cell_b, count(*)::DOUBLE AS n, sum(a.rk) AS sa, sum(b.rk) AS sb, sum(a.rk * a.rk) AS saa, sum(b.rk * b.rk) AS sbb, sum(a.rk * b.rk) AS sxy
+ FROM dup_ranks a JOIN dup_ranks b ON a.barcode = b.barcode AND a.gene = b.gene AND a.cell_id < b.cell_id GROUP BY ALL)""")
+def _(t):
+    return p.near_duplicates(barcoded(t), "barcode", t.genes_b.n).select("barcode", "cell_a", "cell_b", rnd("r", 5).alias("r"))
 
 
 @query("n22_strip_version", "SELECT p_partkey, 'ENSG' || p_partkey AS gene_id FROM part")
