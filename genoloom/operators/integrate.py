@@ -265,12 +265,11 @@ def divergent_candidates(evidence: DataFrame, k: int) -> DataFrame:
     """Top k in both data types of one species, bottom half in both of the other."""
     cut = ortholog_cutoffs(evidence, k)
     sizes = evidence.groupBy("tf_id").agg(F.count(F.lit(1)).alias("n"))
-    first = sizes.agg((F.min_by("n", "tf_id") / 2).alias("mid")).withColumn("_j", F.lit(1))
-    rows = cut.withColumn("_j", F.lit(1)).join(F.broadcast(first), "_j")
-    low = lambda tag: (F.col(f"rank_aggr_coexpr_{tag}") >= F.col("mid")) & (F.col(f"rank_bind_{tag}") >= F.col("mid"))
+    mid = (sizes.agg(F.min_by("n", "tf_id")).first()[0] or 0) / 2  # one number: half of the first table
+    low = lambda tag: (F.col(f"rank_aggr_coexpr_{tag}") >= mid) & (F.col(f"rank_bind_{tag}") >= mid)
     human = F.col("cut_coexpr_hg") & F.col("cut_bind_hg") & low("mm")
     mouse = F.col("cut_coexpr_mm") & F.col("cut_bind_mm") & low("hg")
-    out = rows.withColumn("side", F.when(human, "Human").when(mouse, "Mouse")).filter(F.col("side").isNotNull())
+    out = cut.withColumn("side", F.when(human, "Human").when(mouse, "Mouse")).filter(F.col("side").isNotNull())
     return out.select("tf_id", "id", "side", *RANKS4)
 
 

@@ -284,13 +284,15 @@ def ortholog_share(flags: DataFrame, flag: str, ortho: DataFrame) -> DataFrame:
     hit = flags.filter(flag)
     hg = hit.filter("species = 'Human'").select(F.col("tf").alias("gene_hg"))
     mm = hit.filter("species = 'Mouse'").select(F.col("tf").alias("gene_mm"))
-    both = ortho.join(hg, "gene_hg", "left_semi").join(mm, "gene_mm", "left_semi").select(F.lit(1).alias("one"), "id")
-    n_both = both.groupBy("one").agg(F.count("id").alias("n_both")).select("n_both")
-    per = flags.groupBy("species").agg(F.count_if(flag).alias("n_flag")).withColumn("one", F.lit(1))
-    n_both = n_both.withColumn("one", F.lit(1))
-    return per.join(n_both, "one", "left").select(
-        "species", "n_flag", F.coalesce("n_both", F.lit(0)).alias("n_both"),
-        F.try_divide(F.coalesce("n_both", F.lit(0)).cast("double"), F.col("n_flag")).alias("share"),
+    both = ortho.join(hg, "gene_hg", "left_semi").join(mm, "gene_mm", "left_semi")
+    zero = F.lit(0).cast("long")
+    # each shared ortholog counts once for either species
+    shared = both.select(F.explode(F.array(F.lit("Human"), F.lit("Mouse"))).alias("species")).groupBy("species").agg(
+        zero.alias("n_flag"), F.count(F.lit(1)).alias("n_both")
+    )
+    per = flags.groupBy("species").agg(F.count_if(flag).alias("n_flag")).withColumn("n_both", zero)
+    return per.unionByName(shared).groupBy("species").agg(F.sum("n_flag").alias("n_flag"), F.sum("n_both").alias("n_both")).select(
+        "species", "n_flag", "n_both", F.try_divide(F.col("n_both").cast("double"), F.col("n_flag")).alias("share")
     )
 
 

@@ -223,12 +223,11 @@ def query_correlation(full: DataFrame, gene: int, genes: GeneSpan, gene_block: i
     if n_ids > block:
         raise ValueError(f"{n_ids} query columns do not fit a block of {block}; raise gene_block")
     query = ranked.filter(F.col("partner") == gene).join(ids, "dataset_id").select("_q", F.col("gene").alias("cell_id"), "value")
-    subject = listed.select(F.col("dataset_id").alias("subject"))
     columns = ranked.select(F.col("dataset_id").alias("subject"), F.col("gene").alias("cell_id"), F.col("partner").alias("gene"), "value")
     # every subject dataset sees all query columns: datasets x datasets x genes rows
-    queries = subject.withColumn("_j", F.lit(1)).join(query.withColumn("_j", F.lit(1)), "_j").select(
-        "subject", "cell_id", F.col("_q").alias("gene"), "value"
-    )
+    spread = query.withColumn("_s", F.explode(F.sequence(F.lit(base), F.lit(base + n_ids - 1))))
+    subject = ids.select(F.col("_q").alias("_s"), F.col("dataset_id").alias("subject"))
+    queries = spread.join(subject, "_s").select("subject", "cell_id", F.col("_q").alias("gene"), "value")
     rows = full.select(F.col("dataset_id").alias("subject"), "gene").distinct()
     r = pair_correlation(
         columns.unionByName(queries), rows, GeneSpan(genes.first, base + block - genes.first), min_cell=0, gene_block=block,

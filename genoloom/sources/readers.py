@@ -65,9 +65,9 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_matrix_market(spark: SparkSession, path: str, features: str, barcodes: str, transposed: bool = False) -> DataFrame:
     """Triplet matrix with a feature list and a barcode list joined by position."""
     lines = numbered_lines(spark, path).filter(~F.col("line").startswith("%"))
-    size = lines.agg(F.min("line_no").alias("_size"))  # the first line that is no comment
+    size_line = lines.agg(F.min("line_no")).first()[0]  # one number: the first line that is no comment
     parts = F.split(F.col("line"), r"\s+")
-    entries = lines.join(F.broadcast(size), F.col("line_no") > F.col("_size")).select(
+    entries = lines.filter(F.col("line_no") > size_line).select(
         parts[0].cast("long").alias("i"), parts[1].cast("long").alias("j"), parts[2].cast("double").alias("value")
     )
     g, c = ("j", "i") if transposed else ("i", "j")
