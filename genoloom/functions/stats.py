@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .exprs import col, pearson_agg
-from .ranks import avg_rank, value_positions
+from .ranks import avg_rank, grouped_rank, value_positions
 
 # Coefficients of the Abramowitz and Stegun 7.1.26 approximation of erf.
 ERF_P = 0.3275911
@@ -111,12 +111,18 @@ def rank_sum_test(df: DataFrame, keys: Sequence[str], value: str, in_first: str)
     )
 
 
-def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Spearman per group over the rows where both values are present."""
+def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, large: bool = False) -> DataFrame:
+    """Spearman per group over the rows where both values are present.
+
+    A group is a profile (at most the gene list); ``large`` ranks groups of any size.
+    """
     keys = list(keys)
-    ranked = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        *keys, avg_rank(keys, x).alias("_rx"), avg_rank(keys, y).alias("_ry")
-    )
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    if large:
+        ranked = grouped_rank(rows, keys, x, "_rx", False, method="avg")
+        ranked = grouped_rank(ranked, keys, y, "_ry", False, method="avg")
+    else:
+        ranked = rows.select(*keys, avg_rank(keys, x).alias("_rx"), avg_rank(keys, y).alias("_ry"))
     return ranked.groupBy(*keys).agg(pearson_agg("_rx", "_ry").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 

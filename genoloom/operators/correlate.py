@@ -323,6 +323,9 @@ def bicor_correlation(
     )
 
 
+METHODS = {"pearson": pair_correlation, "spearman": spearman_correlation, "bicor": bicor_correlation}
+
+
 # ---------------------------------------------------------------- rank aggregation
 
 def pair_spine(groups: DataFrame, genes: GeneSpan) -> DataFrame:
@@ -398,15 +401,18 @@ def rank_sum_rank(
     genes: GeneSpan,
     min_cell: int = MIN_CELL,
     pairs: DataFrame | None = None,
+    method: str = "pearson",
 ) -> DataFrame:
     """Rank-sum-rank aggregate per dataset: all pairs, ``rsr`` in (0, 1] with 1 best, ``n_na``.
 
+    ``method`` is pearson, spearman or bicor; ``pairs`` takes a correlation table made before.
+
     Only defined pairs travel through the rank; a pair that is never defined in a dataset takes
     the dataset's constant sum of base ranks.
     """
     if pairs is None:
         # read four times below, so it is written once
-        pairs = written(pair_correlation(expr, meta, genes, min_cell), "pairs")
+        pairs = written(METHODS[method](expr, meta, genes, min_cell), "pairs")
     status = type_status(expr, meta, min_cell)
     ranked, base = joint_pair_ranks(pairs, status, genes)
     data = (
@@ -519,13 +525,17 @@ def pair_cells(expr: DataFrame, meta: DataFrame, gene1: int, gene2: int) -> Data
 
 
 def celltype_correlation(
-    expr: DataFrame, meta: DataFrame, gene1: int, gene2: int, min_cell: int = MIN_CELL
+    expr: DataFrame, meta: DataFrame, gene1: int, gene2: int, min_cell: int = MIN_CELL, method: str = "pearson"
 ) -> DataFrame:
     """Correlation of one pair per (dataset, cell type), undefined types dropped, 5 decimals.
 
     Only cells with a count of either gene are read into the aggregate; the other cells enter
     through the cell number alone.
     """
+    if method == "spearman":
+        both = expr.filter(F.col("gene").isin(gene1, gene2))
+        both = both.join(eligible_genes(both, min_cell).drop("nz"), [*GROUP, "gene"], "left_semi")
+        return celltype_correlation(rank_values(both, meta), meta, gene1, gene2, min_cell=0)
     v = F.col("value")
     cells = (
         expr.filter(F.col("gene").isin(gene1, gene2))

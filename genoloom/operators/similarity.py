@@ -111,7 +111,7 @@ def shuffled_columns(m1: DataFrame, m2: DataFrame, col: str, seed: int) -> DataF
 
     def side(name: str, part: int) -> DataFrame:
         w = W.orderBy(hash_key(seed, F.lit(part), col), col)
-        return common.select(F.col(col).alias(name), F.row_number().over(w).alias("pair"))
+        return common.select(F.col(col).alias(name), F.row_number().over(w).cast("long").alias("pair"))
 
     return side("col_1", 1).join(side("col_2", 2), "pair")
 

@@ -498,8 +498,8 @@ cte("genes_a", "SELECT DISTINCT CAST(s_suppkey AS INTEGER) AS gene FROM supplier
 cte("genes_b", "SELECT DISTINCT p_size AS gene FROM part")
 
 
-def correlation_ctes(tag: str, min_cell: int, genes: str) -> None:
-    """Pair correlations and the aggregate of one fixture, by plain self-joins."""
+def correlation_ctes(tag: str, min_cell: int) -> None:
+    """Pair correlations of one fixture, by plain self-joins."""
     cte(f"size_{tag}", f"SELECT dataset_id, cell_type, count(*) AS n FROM meta_{tag} GROUP BY ALL")
     cte(f"mom_{tag}", f"""
 SELECT dataset_id, cell_type, gene, count(*) FILTER (value > 0) AS nz, sum(value) AS sx, sum(value * value) AS sxx
@@ -518,10 +518,14 @@ FROM (SELECT a.dataset_id, a.cell_type, a.gene AS gene_a, b.gene AS gene_b, n::D
            AND p.gene_a = a.gene AND p.gene_b = b.gene
       WHERE a.gene >= b.gene)
 WHERE n * saa - sa * sa > 0 AND n * sbb - sb * sb > 0""")
+
+
+def aggregate_ctes(tag: str, base: str, genes: str) -> None:
+    """The aggregate of pair_cor_<tag>; sizes and eligible genes are those of ``base``."""
     cte(f"full_cor_{tag}", f"""
 SELECT dataset_id, cell_type, a.gene AS gene_a, b.gene AS gene_b, r,
-       EXISTS (SELECT 1 FROM elig_{tag} e WHERE e.dataset_id = s.dataset_id AND e.cell_type = s.cell_type) AS used
-FROM size_{tag} s CROSS JOIN {genes} a JOIN {genes} b ON a.gene >= b.gene
+       EXISTS (SELECT 1 FROM elig_{base} e WHERE e.dataset_id = s.dataset_id AND e.cell_type = s.cell_type) AS used
+FROM size_{base} s CROSS JOIN {genes} a JOIN {genes} b ON a.gene >= b.gene
 LEFT JOIN pair_cor_{tag} p USING (dataset_id, cell_type)
 """.replace("LEFT JOIN pair_cor_" + tag + " p USING (dataset_id, cell_type)",
             f"LEFT JOIN pair_cor_{tag} p ON p.dataset_id = s.dataset_id AND p.cell_type = s.cell_type AND p.gene_a = a.gene AND p.gene_b = b.gene")
@@ -539,8 +543,10 @@ FROM (SELECT dataset_id, gene_a, gene_b, coalesce(sum(pair_rank), 0) AS s,
       FROM ranked_cor_{tag} GROUP BY ALL)""")
 
 
-correlation_ctes("a", correlate.MIN_CELL, "genes_a")
-correlation_ctes("b", MIN_CELL_B, "genes_b")
+correlation_ctes("a", correlate.MIN_CELL)
+correlation_ctes("b", MIN_CELL_B)
+aggregate_ctes("a", "a", "genes_a")
+aggregate_ctes("b", "b", "genes_b")
 cte("full_b", """
 SELECT dataset_id, gene_a AS gene, gene_b AS partner, rsr, n_na FROM agg_b
 UNION ALL SELECT dataset_id, gene_b, gene_a, rsr, n_na FROM agg_b WHERE gene_a <> gene_b""")

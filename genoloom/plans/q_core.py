@@ -8,7 +8,7 @@ from ..functions.stats import rank_sum_test
 from ..operators import correlate as c
 from ..operators import measure as m
 from .catalog import query
-from .fixtures import MIN_CELL_B, f10
+from .fixtures import MIN_CELL_B, aggregate_ctes, f10
 from .oracle import cte
 
 r6 = lambda name, c=None: rnd(F.col(c or name), 6).alias(name)
@@ -110,6 +110,32 @@ def _(t):
     return t.agg_b.withColumn("rsr", rnd("rsr", 8))
 
 
+cte("dense_rank_b", """
+SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY dataset_id, cell_type, gene, value) - 1) / 2.0::DOUBLE AS rk
+FROM (SELECT m.dataset_id, m.cell_type, m.cell_id, g.gene, coalesce(e.value, 0) AS value
+      FROM meta_b m JOIN elig_b g USING (dataset_id, cell_type)
+      LEFT JOIN expr_b e ON e.dataset_id = m.dataset_id AND e.cell_type = m.cell_type AND e.cell_id = m.cell_id AND e.gene = g.gene)
+WINDOW w AS (PARTITION BY dataset_id, cell_type, gene ORDER BY value)""")
+cte("pair_cor_bs", """
+SELECT dataset_id, cell_type, gene_a, gene_b, CASE WHEN gene_a = gene_b THEN 1.0::DOUBLE ELSE floor((n * sxy - sa * sb) / (sqrt(n * saa - sa * sa) * sqrt(n * sbb - sb * sb)) * 1e10 + 0.5) / 1e10 END AS r
+FROM (SELECT dataset_id, cell_type, a.gene AS gene_a, b.gene AS gene_b, count(*)::DOUBLE AS n, sum(a.rk) AS sa, sum(b.rk) AS sb,
+      sum(a.rk * a.rk) AS saa, sum(b.rk * b.rk) AS sbb, sum(a.rk * b.rk) AS sxy
+      FROM dense_rank_b a JOIN dense_rank_b b USING (dataset_id, cell_type, cell_id) WHERE a.gene >= b.gene GROUP BY ALL)
+WHERE n * saa - sa * sa > 0 AND n * sbb - sb * sb > 0""")
+aggregate_ctes("bs", "b", "genes_b")
+
+
+@query("c9_rsr_spearman", "SELECT dataset_id, gene_a, gene_b, round(rsr, 8) AS rsr, n_na FROM agg_bs")
+def _(t):
+    out = c.rank_sum_rank(t.expr_b, t.meta_b, t.genes_b, MIN_CELL_B, method="spearman")
+    return out.withColumn("rsr", rnd("rsr", 8))
+
+
+@query("c10_celltype_spearman", f"SELECT dataset_id, cell_type, round(r, 5) AS r FROM pair_cor_bs WHERE gene_a = {G2} AND gene_b = {G1}")
+def _(t):
+    return c.celltype_correlation(t.expr_b, t.meta_b, G1, G2, MIN_CELL_B, "spearman")
+
+
 @query("c10_celltype_cor", f"""
 SELECT dataset_id, cell_type, round(r, 5) AS r FROM pair_cor_b WHERE dataset_id = 3 AND gene_a = {G2} AND gene_b = {G1}""")
 def _(t):

@@ -11,6 +11,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+SAME = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def connect(sf_dir):
     con = duckdb.connect()
     for name in TABLES:
@@ -48,7 +51,7 @@ def compare(spark, con, sf_dir, name, fn, sql):
             return len(got[1]), f"{n} rows differ: {got[0]} got {g} want {w}"
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     duck = dict(zip([d[0] for d in cur.description], [str(d[1]) for d in cur.description]))
-    odd = [(c, types[c], duck[c]) for c in types if "HUGEINT" in duck[c] or "DECIMAL" in duck[c] or "decimal" in types[c]]
+    odd = [(c, types[c], duck[c]) for c in types if SAME.get(types[c]) != duck[c]]
     return len(got[1]), f"types {odd}" if odd else None
 
 
