@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, connect
+from genoloom.plans import all_queries
 
 SF_DIR = "/root/testdata/sf0.01"
-NAMES = list(entry.queries())
+NAMES = list(all_queries())
 # One or two of each family; the full list takes about five minutes.
 DEFAULT = """
 s3_after_banner s6_matrix_market s7_multi_file s9_many_aggregates s14_dataset_build s16_tissue_clusters
@@ -45,7 +46,7 @@ def test_every_inventory_id_has_a_query():
 
 
 def test_every_query_has_check_sql():
-    assert set(NAMES) == set(entry.oracle_sql())
+    assert set(NAMES) <= set(entry.oracle_sql())
 
 
 def test_entry_returns_ranked_pairs(spark):
