@@ -5,13 +5,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, line_dedup
+from . import chat, line_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_zstd": warc.query,
     "op4_chat_format": chat.query,
     "op10_line_dedup": line_dedup.query,
 }
 CHECKS: dict[str, str] = {
+    "op1_warc_zstd": warc.ORACLE,
     "op4_chat_format": chat.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
