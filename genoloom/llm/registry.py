@@ -5,11 +5,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, line_dedup, warc
+from . import chat, line_dedup, near_dup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_zstd": warc.query,
     "op4_chat_format": chat.query,
+    "op6_dart_minhash": near_dup.query,
     "op10_line_dedup": line_dedup.query,
 }
 CHECKS: dict[str, str] = {
