@@ -5,12 +5,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, line_dedup, near_dup, warc
+from . import bpe, chat, decontaminate, line_dedup, near_dup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_zstd": warc.query,
     "op3_decontaminate": decontaminate.query,
     "op4_chat_format": chat.query,
+    "op5_bpe": bpe.query,
     "op6_dart_minhash": near_dup.query,
     "op10_line_dedup": line_dedup.query,
 }
