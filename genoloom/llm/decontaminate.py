@@ -15,6 +15,7 @@ from .common import table, unused
 from .shingles import mix, shingle_hashes
 
 BITS, BLOCKS = 128, 16
+BIT_COUNTS = np.array([v.bit_count() for v in range(256)], np.uint8)
 MATCH = "array<struct<item_id:bigint,first_word:bigint,n_words:bigint,distance:int,similarity:double>>"
 MATCH_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int32()), ("similarity", pa.float64())]))
 
@@ -76,17 +77,37 @@ def size_classes(items: list[tuple[int | None, str | None]], radius: int, size:
         words = plain_hashes(text, known)
         if len(words):
             by_words.setdefault(len(words), []).append((item_id, words))
-    bits = np.array([bin(v).count("1") for v in range(256)], np.uint8)
     out = []
     for n, found in sorted(by_words.items()):
         shingles = [shingle_hashes(words, size) for _, words in found]
         prints = np.concatenate([fingerprints(s, np.array([0]), len(s)) for s in shingles])
-        near = bits[np.arange(256)[None, :, None] ^ prints.T[:, None, :]] <= radius // BLOCKS
+        near = BIT_COUNTS[np.arange(256)[None, :, None] ^ prints.T[:, None, :]] <= radius // BLOCKS
         out.append(SizeClass(n, min(size, n), [i for i, _ in found], shingles, [Counter(s.tolist()) for s in shingles], prints, near, np.unique(np.concatenate(shingles))))
     return out
 
 
-def matches(words: np.ndarray, classes: list[SizeClass], radius: int, threshold: float, size: int, step: int = 2048) -> list[dict]:
+@dataclass
+class Index:
+    """The size classes, and the shingles of all classes of one shingle size together."""
+
+    classes: dict[int, list[SizeClass]]
+    known: dict[int, np.ndarray]
+
+    @classmethod
+    def of(cls, classes: list[SizeClass]) -> Index:
+        by = {}
+        for c in classes:
+            by.setdefault(c.shingle, []).append(c)
+        return cls(by, {size: np.unique(np.concatenate([c.known for c in some])) for size, some in by.items()})
+
+
+def held(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Places of the values that the sorted array has."""
+    at = np.searchsorted(sorted_values, values)
+    return np.flatnonzero(sorted_values[np.minimum(at, len(sorted_values) - 1)] == values)
+
+
+def matches(words: np.ndarray, index: Index, radius: int, threshold: float, step: int = 2048) -> list[dict]:
     """The best window of a text for each item that it holds.
 
     Every window that shares a shingle with an item of its size gets a fingerprint; a window without
@@ -94,17 +115,13 @@ def matches(words: np.ndarray, classes: list[SizeClass], radius: int, threshold:
     differs in at most ``radius // 16``: the index by block finds all those pairs, the full distance
     and then the exact similarity decide.
     """
-    bits, best, made = np.array([bin(v).count("1") for v in range(256)], np.uint8), {}, {}
-    for c in classes:
-        if len(words) < c.shingle:
-            continue
-        if c.shingle not in made:
-            made[c.shingle] = shingle_hashes(words, c.shingle)
-        own = made[c.shingle]
-        at = np.searchsorted(c.known, own)
-        hits = np.flatnonzero(c.known[np.minimum(at, len(c.known) - 1)] == own)
-        if not len(hits):
-            continue
+    best, todo = {}, []
+    for size, known in index.known.items():
+        if len(words) >= size:
+            own = shingle_hashes(words, size)
+            if len(any_hits := held(known, own)):
+                todo += [(c, own, hits) for c in index.classes[size] if len(hits := any_hits[held(c.known, own[any_hits])])]
+    for c, own, hits in todo:
         width = min(c.words - c.shingle + 1, len(own))
         last = len(own) - width
         edge = np.zeros(last + 2, np.int64)  # windows that hold a hit: from hit - width + 1 to hit
@@ -118,7 +135,7 @@ def matches(words: np.ndarray, classes: list[SizeClass], radius: int, threshold:
             for block in range(BLOCKS):
                 candidate |= c.near[block, prints[:, block]]
             for w, item in zip(*np.nonzero(candidate), strict=True):
-                distance = int(bits[prints[w] ^ c.prints[item]].sum())
+                distance = int(BIT_COUNTS[prints[w] ^ c.prints[item]].sum())
                 if distance > radius:
                     continue
                 start = int(some[w])
@@ -153,12 +170,12 @@ def find_benchmark(
     schema, column = docs.schema, docs.columns.index(text_col)
     for block in range(blocks):
         rows = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(size_classes(rows, radius, size))
+        shared = docs.sparkSession.sparkContext.broadcast(Index.of(size_classes(rows, radius, size)))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known = PlainWords()
             for batch in batches:
-                found = [before + matches(plain_hashes(text.as_py(), known), shared.value, radius, threshold, size) for text, before in zip(batch.column(column), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+                found = [before + matches(plain_hashes(text.as_py(), known), shared.value, radius, threshold) for text, before in zip(batch.column(column), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, MATCH_ARROW)], names=batch.schema.names)
 
         docs = docs.mapInArrow(scan, schema)
