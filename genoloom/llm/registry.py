@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, langid, line_dedup, near_dup, warc
+from . import bpe, chat, decontaminate, langid, line_dedup, near_dup, ppm, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_zstd": warc.query,
@@ -13,6 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": chat.query,
     "op5_bpe": bpe.query,
     "op6_dart_minhash": near_dup.query,
+    "op7_ppm_score": ppm.query,
     "op8_language_id": langid.query,
     "op10_line_dedup": line_dedup.query,
 }
