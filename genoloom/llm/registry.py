@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, langid, line_dedup, near_dup, ppm, warc
+from . import bpe, chat, decontaminate, langid, line_dedup, near_dup, ppm, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_zstd": warc.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_dart_minhash": near_dup.query,
     "op7_ppm_score": ppm.query,
     "op8_language_id": langid.query,
+    "op9_quality": quality.query,
     "op10_line_dedup": line_dedup.query,
 }
 CHECKS: dict[str, str] = {
