@@ -1,10 +1,59 @@
-"""The corpus pipeline."""
-STAGES = []
+"""From documents to token ids: quality, line dedup, near-duplicates, benchmark passages, byte-level BPE."""
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from genoloom.llm import bpe, decontaminate, line_dedup, near_dup, quality
+from genoloom.llm.common import table
+from genoloom.sources.stage import written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifiers take for good and not toxic; they learn from the labels of ``sf_dir``."""
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))).filter("keep").select(*docs.columns)
+
+
+def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share go, except in one document; the text and its length change."""
+    out = line_dedup.dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near_dup.keep_one(docs).select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the bytes they decode to."""
+    return bpe.token_report(docs, bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("line_dedup", shared_lines),
+    ("near_dup", one_of_each),
+    ("decontaminate", without_benchmark),
+    ("bpe", tokens),
+]
+#: A classifier and banded signatures are not expressible in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each one's rows are written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, f"pipeline-{name}")
     return docs

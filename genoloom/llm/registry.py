@@ -5,10 +5,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, langid, line_dedup, near_dup, ppm, quality, warc
+from . import bpe, chat, decontaminate, langid, line_dedup, media, near_dup, ppm, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_zstd": warc.query,
+    "op2_webp_media": media.query,
     "op3_decontaminate": decontaminate.query,
     "op4_chat_format": chat.query,
     "op5_bpe": bpe.query,
