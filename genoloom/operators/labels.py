@@ -48,27 +48,32 @@ def infer_species(records: DataFrame, gene_ref: DataFrame, source: str) -> DataF
     """Human if the regulator symbol is in the human gene list, else mouse."""
     human = gene_ref.filter("species = 'Human'").select(F.col("symbol").alias("tf_symbol"), F.lit("Human").alias("_s"))
     out = records.withColumnsRenamed(RENAMES).join(human, "tf_symbol", "left")
-    return out.withColumn("tf_species", F.coalesce("_s", F.lit("Mouse"))).drop("_s").withColumn("source", F.lit(source))
+    return out.withColumn("tf_species", F.coalesce("_s", F.lit("Mouse"))).drop("_s").withColumns({"source": F.lit(source), "databases": F.lit(source)})
 
 
-def append_and_exclude(first: DataFrame, second: DataFrame, only_tf: str, only_source: str, targets: list[str]) -> DataFrame:
-    """Union; one regulator is kept from one source only (its self pair stays), named targets go."""
+def append_and_exclude(first: DataFrame, second: DataFrame, only_tf: str, only_source: str, targets: list[str], source_col: str = "databases") -> DataFrame:
+    """Union of both tables, with two rules for one regulator.
+
+    Records of ``only_tf`` (as written) stay only if their source list contains ``only_source``; the
+    self pair stays in any case. Records of ``only_tf`` (any case) with one of the ``targets``
+    (upper case) go. Other regulators keep all their records. A missing source list contains nothing.
+    """
     rows = first.unionByName(second, allowMissingColumns=True)
     tf, target = F.upper("tf_symbol"), F.upper("target_symbol")
-    other = (tf == only_tf) & (F.col("source") != only_source) & (target != only_tf)
-    return rows.filter(~other & ~target.isin(targets))
-
-
-def experiment_class(curated: DataFrame) -> DataFrame:
-    """Class of the experiment by pattern; anything else, also a missing text, is the string NA."""
-    text = F.col("experiment_type")
-    return curated.withColumn(
-        "experiment_class",
-        F.when(text.rlike("(?i)chip"), "Binding")
-        .when(text.rlike("(?i)perturb|sirna|knock"), "Perturbation")
-        .when(text.rlike("(?i)reporter|luciferase"), "Reporter")
-        .otherwise("NA"),
-    )
+    own = tf == only_tf.upper()
+    elsewhere = (F.col("tf_symbol") == only_tf) & ~F.coalesce(F.contains(F.col(source_col), F.lit(only_source)), F.lit(False)) & ~(own & (target == only_tf.upper()))
+    return rows.filter(~F.coalesce(elsewhere, F.lit(False)) & ~F.coalesce(own & target.isin(targets), F.lit(False)))
+
+
+# Text (lower case) that an experiment's description contains, and its class; the first that fits holds.
+EXPERIMENT_CLASSES = (("perturbation", "Perturbation"), ("bindin", "Binding"), ("reporte", "Reporter"))
+
+
+def experiment_class(curated: DataFrame, classes: tuple[tuple[str, str], ...] = EXPERIMENT_CLASSES) -> DataFrame:
+    """Class of the experiment by the text it contains; anything else, also a missing text, is the string NA."""
+    text = F.lower("experiment_type")
+    first = F.coalesce(*[F.when(F.contains(text, F.lit(part)), F.lit(name)) for part, name in classes], F.lit("NA"))
+    return curated.withColumn("experiment_class", first)
 
 
 def targets_per_tf(curated: DataFrame, min_targets: int) -> DataFrame:

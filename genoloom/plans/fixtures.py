@@ -289,21 +289,22 @@ class Tables:
     def records_1(self) -> DataFrame:
         p = F.col("p_partkey")
         test = (
-            F.when(p % 4 == 0, "ChIP-seq assay").when(p % 4 == 1, "Reporter assay (Luciferase)").when(p % 4 == 2, "siRNA perturbation")
+            F.when(p % 5 == 0, "ChIP-seq").when(p % 5 == 1, "Reporter assay (Luciferase)").when(p % 5 == 2, "siRNA Perturbation, then binding")
+            .when(p % 5 == 3, "Chromatin binding assay")
         )
-        return self.raw("part").filter("p_type = 'ECONOMY'").select(
+        return self.raw("part").select(
             p.alias("record_id"),
             F.concat(F.lit("GN"), (p % 50 + 1).cast("string")).alias("tf"),
             F.concat(F.lit("GN"), F.col("p_size").cast("string")).alias("target"),
             F.when(p % 2 == 0, "human").otherwise("mouse").alias("species_name"),
             test.alias("experiment"),
-            F.col("p_brand").alias("source_list"),
+            F.when(p % 7 == 0, F.lit(None)).when(p % 7 == 1, "Survey;Other").otherwise(F.col("p_type")).alias("source_list"),
         )
 
     @cached_property
     def records_2(self) -> DataFrame:
         p = F.col("p_partkey")
-        return self.raw("part").filter("p_partkey % 3 <> 0").select(
+        return self.raw("part").select(
             p.alias("record_id"),
             F.concat(F.lit("GN"), (p % 50 + 1).cast("string")).alias("tf"),
             F.col("p_name").alias("cell_type"),
@@ -314,7 +315,7 @@ class Tables:
     def records_3(self) -> DataFrame:
         p = F.col("p_partkey")
         lead = F.when(p % 2 == 0, "GN").otherwise("Gn")
-        return self.raw("part").filter("p_type = 'SMALL'").select(
+        return self.raw("part").select(
             p.alias("record_id"),
             F.concat(lead, (p % 47 + 1).cast("string")).alias("tf"),
             F.concat(lead, F.col("p_size").cast("string")).alias("target"),
@@ -331,7 +332,6 @@ class Tables:
         lead = F.when(p % 2 == 0, "GN").otherwise("Gn")
         return (
             self.raw("part")
-            .filter("p_type = 'ECONOMY'")
             .select(
                 F.concat(lead, (p % 50 + 1).cast("string")).alias("tf_symbol"),
                 F.concat(lead, F.col("p_size").cast("string")).alias("target_symbol"),
@@ -430,7 +430,6 @@ class Tables:
         """Distinct (tf, target) ordinals, self pairs included."""
         return (
             self.raw("part")
-            .filter("p_type = 'ECONOMY'")
             .select((F.lit(1) + F.col("p_partkey") % 50).cast("int").alias("tf"), F.col("p_size").alias("target"))
             .distinct()
         )
@@ -568,7 +567,7 @@ cte("profile", """
 SELECT species, t.tf, f.dataset_id, f.gene, f.rsr AS score
 FROM full_b f JOIN tfs t ON f.partner = t.tf JOIN species s ON s.dataset_id = f.dataset_id
 JOIN msr_b m ON m.dataset_id = f.dataset_id AND m.gene = t.tf AND m.measured""")
-cte("curated", "SELECT DISTINCT CAST(1 + p_partkey % 50 AS INTEGER) AS tf, p_size AS target FROM part WHERE p_type = 'ECONOMY'")
+cte("curated", "SELECT DISTINCT CAST(1 + p_partkey % 50 AS INTEGER) AS tf, p_size AS target FROM part")
 cte("bind", """
 SELECT CAST(1 + p_partkey % 50 AS INTEGER) AS tf, p_size AS gene, round(avg(p_retailprice), 2) AS bind_score
 FROM part GROUP BY ALL""")

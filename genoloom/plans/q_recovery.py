@@ -17,15 +17,16 @@ from .q_profiles import auc_sql, pos_sql, rd
 
 # ---------------------------------------------------------------- L
 
-EXPERIMENT = "CASE p_partkey % 4 WHEN 0 THEN 'ChIP-seq assay' WHEN 1 THEN 'Reporter assay (Luciferase)' WHEN 2 THEN 'siRNA perturbation' END"
+EXPERIMENT = "CASE p_partkey % 5 WHEN 0 THEN 'ChIP-seq' WHEN 1 THEN 'Reporter assay (Luciferase)' WHEN 2 THEN 'siRNA Perturbation, then binding' WHEN 3 THEN 'Chromatin binding assay' END"
+SOURCES = "CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'Survey;Other' ELSE p_type END"
 cte("records_1", f"""
 SELECT p_partkey AS record_id, 'GN' || (1 + p_partkey % 50) AS tf, 'GN' || p_size AS target,
-  CASE WHEN p_partkey % 2 = 0 THEN 'human' ELSE 'mouse' END AS species_name, {EXPERIMENT} AS experiment, p_brand AS source_list
-FROM part WHERE p_type = 'ECONOMY'""")
-cte("records_2", "SELECT p_partkey AS record_id, 'GN' || (1 + p_partkey % 50) AS tf, p_name AS cell_type, CAST(10000000 + p_partkey AS VARCHAR) AS pubmed FROM part WHERE p_partkey % 3 <> 0")
+  CASE WHEN p_partkey % 2 = 0 THEN 'human' ELSE 'mouse' END AS species_name, {EXPERIMENT} AS experiment, {SOURCES} AS source_list
+FROM part""")
+cte("records_2", "SELECT p_partkey AS record_id, 'GN' || (1 + p_partkey % 50) AS tf, p_name AS cell_type, CAST(10000000 + p_partkey AS VARCHAR) AS pubmed FROM part")
 cte("records_3", """
 SELECT p_partkey AS record_id, CASE WHEN p_partkey % 2 = 0 THEN 'GN' ELSE 'Gn' END || (1 + p_partkey % 47) AS tf,
-  CASE WHEN p_partkey % 2 = 0 THEN 'GN' ELSE 'Gn' END || p_size AS target, p_name AS cell_type FROM part WHERE p_type = 'SMALL'""")
+  CASE WHEN p_partkey % 2 = 0 THEN 'GN' ELSE 'Gn' END || p_size AS target, p_name AS cell_type FROM part""")
 cte("built_1", "SELECT record_id, tf AS tf_symbol, target AS target_symbol, upper(species_name[1]) || lower(species_name[2:]) AS tf_species, experiment AS experiment_type, source_list AS databases, 'Resource' AS source FROM records_1")
 
 
@@ -55,7 +56,7 @@ def _(t):
 cte("cased_rec", """
 SELECT record_id, CASE WHEN tf_species = 'Mouse' THEN upper(tf_symbol[1]) || lower(tf_symbol[2:]) ELSE tf_symbol END AS tf_symbol,
  CASE WHEN tf_species = 'Mouse' THEN upper(target_symbol[1]) || lower(target_symbol[2:]) ELSE target_symbol END AS target_symbol,
- tf_species, experiment_type, source FROM known_rec""")
+ tf_species, experiment_type, source, databases FROM known_rec""")
 
 
 def cased(t):
@@ -70,7 +71,7 @@ def _(t):
 
 cte("inferred_rec", """
 SELECT record_id, tf AS tf_symbol, target AS target_symbol, CASE WHEN tf IN (SELECT symbol FROM gene_ref WHERE species = 'Human') THEN 'Human' ELSE 'Mouse' END AS tf_species,
- CAST(NULL AS VARCHAR) AS experiment_type, 'Survey' AS source FROM records_3""")
+ CAST(NULL AS VARCHAR) AS experiment_type, 'Survey' AS source, 'Survey' AS databases FROM records_3""")
 
 
 @query("l5_infer_species", "SELECT record_id, tf_symbol, target_symbol, tf_species FROM inferred_rec")
@@ -81,7 +82,8 @@ def _(t):
 EXCLUDED = ["GN1", "GN2", "GN3"]
 cte("all_rec", f"""
 SELECT * FROM (SELECT * FROM cased_rec UNION ALL SELECT * FROM inferred_rec)
-WHERE NOT (upper(tf_symbol) = 'GN6' AND source <> 'Survey' AND upper(target_symbol) <> 'GN6') AND upper(target_symbol) NOT IN {tuple(EXCLUDED)}""")
+WHERE NOT (tf_symbol = 'GN6' AND NOT coalesce(contains(databases, 'Survey'), false) AND upper(target_symbol) <> 'GN6')
+  AND NOT (upper(tf_symbol) = 'GN6' AND upper(target_symbol) IN {tuple(EXCLUDED)})""")
 
 
 def appended(t):
@@ -94,8 +96,8 @@ def _(t):
 
 
 @query("l7_experiment_class", """
-SELECT record_id, source, CASE WHEN regexp_matches(experiment_type, '(?i)chip') THEN 'Binding' WHEN regexp_matches(experiment_type, '(?i)perturb|sirna|knock') THEN 'Perturbation'
- WHEN regexp_matches(experiment_type, '(?i)reporter|luciferase') THEN 'Reporter' ELSE 'NA' END AS experiment_class FROM all_rec""")
+SELECT record_id, source, CASE WHEN regexp_matches(lower(experiment_type), '.*perturbation,*') THEN 'Perturbation' WHEN regexp_matches(lower(experiment_type), '.*binding*') THEN 'Binding'
+ WHEN regexp_matches(lower(experiment_type), '.*reporter*') THEN 'Reporter' ELSE 'NA' END AS experiment_class FROM all_rec""")
 def _(t):
     return lb.experiment_class(appended(t)).select("record_id", "source", "experiment_class")
 
@@ -121,7 +123,7 @@ def _(t):
 
 cte("curated_sym", """
 SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN 'GN' ELSE 'Gn' END || (1 + p_partkey % 50) AS tf_symbol,
-  CASE WHEN p_partkey % 2 = 0 THEN 'GN' ELSE 'Gn' END || p_size AS target_symbol FROM part WHERE p_type = 'ECONOMY'""")
+  CASE WHEN p_partkey % 2 = 0 THEN 'GN' ELSE 'Gn' END || p_size AS target_symbol FROM part""")
 cte("lab_names", """
 SELECT species, gene AS tf, upper(symbol) AS name FROM gene_ref
 UNION SELECT g.species, g.gene, upper(o.symbol_hg) FROM gene_ref g JOIN ortho o ON g.symbol IN (o.symbol_hg, o.symbol_mm)
