@@ -532,6 +532,10 @@ def celltype_correlation(
     Only cells with a count of either gene are read into the aggregate; the other cells enter
     through the cell number alone.
     """
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}, one of {sorted(METHODS)}")
+    if method == "bicor":
+        return _pair_bicor(expr, meta, gene1, gene2, min_cell)
     if method == "spearman":
         both = expr.filter(F.col("gene").isin(gene1, gene2))
         both = both.join(eligible_genes(both, min_cell).drop("nz"), [*GROUP, "gene"], "left_semi")
@@ -553,10 +557,23 @@ def celltype_correlation(
     n = F.col("n_cells").cast("double")
     vx, vy = n * F.col("sxx") - F.col("sx") * F.col("sx"), n * F.col("syy") - F.col("sy") * F.col("sy")
     r = (n * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.sqrt(vx) * F.sqrt(vy))
-    ok = (F.col("nx") >= min_cell) & (F.col("ny") >= min_cell) & (vx > 0) & (vy > 0)
+    least = 1e-13 * n  # the same bound as for all pairs: below it the variance is rounding
+    ok = (F.col("nx") >= min_cell) & (F.col("ny") >= min_cell) & (vx > least * F.col("sxx")) & (vy > least * F.col("syy"))
     return m.join(type_sizes(meta), list(GROUP)).filter(ok).select(*GROUP, rnd(r, 5).alias("r"))
 
 
+def _pair_bicor(expr: DataFrame, meta: DataFrame, gene1: int, gene2: int, min_cell: int) -> DataFrame:
+    """Biweight midcorrelation of one pair per (dataset, cell type); zero cells enter through their common term."""
+    terms = midweights(expr.filter(F.col("gene").isin(gene1, gene2)), meta, min_cell)
+    own, d = lambda g, c: F.when(F.col("gene") == g, c), F.col("x") - F.col("x0")
+    cells = terms.groupBy(*GROUP, "cell_id").agg(*[F.sum(own(g, d)).alias(n) for g, n in ((gene1, "a"), (gene2, "b"))])
+    sums = cells.groupBy(*GROUP).agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.sum(F.coalesce(F.col("a") * F.col("b"), F.lit(0.0))).alias("sab"))
+    zero = terms.groupBy(*GROUP).agg(*[F.max(own(g, F.col("x0"))).alias(n) for g, n in ((gene1, "a0"), (gene2, "b0"))])
+    r = F.col("sab") + F.col("b0") * F.col("sa") + F.col("a0") * F.col("sb") + F.col("n_cells") * F.col("a0") * F.col("b0")
+    both = sums.join(zero.filter("a0 IS NOT NULL AND b0 IS NOT NULL"), list(GROUP)).join(type_sizes(meta), list(GROUP))
+    return both.select(*GROUP, rnd(fix10(r), 5).alias("r"))
+
+
 def normalise_pair(species: str, gene1: str, gene2: str) -> tuple[str, str, str]:
     """Species to title case, symbols to the casing of that species."""
     name = species.strip().capitalize()

@@ -1,6 +1,8 @@
 """Cleaning and normalisation of sparse counts: QC, gene mapping, label rules, scaling."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,9 +30,11 @@ def mitochondrial(genes: DataFrame, mt: DataFrame) -> DataFrame:
     return by_symbol.unionByName(by_id).distinct()
 
 
-def count_info(expr: DataFrame, mt_genes: DataFrame | None = None) -> DataFrame:
+def count_info(expr: DataFrame, mt_genes: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
     """Per cell: total, expressed genes, novelty (log ratio) and mitochondrial share.
 
+    With ``cells``, every listed cell has a row; one without any count has totals of 0 and no ratios.
+
     All genes count, before any gene filter. The share is NULL when the dataset has no
     mitochondrial gene.
     """
@@ -44,6 +48,10 @@ def count_info(expr: DataFrame, mt_genes: DataFrame | None = None) -> DataFrame:
     )
     has_mt = out.groupBy("dataset_id").agg(F.max("_any").alias("_has"))
     log = lambda c: F.log10(F.when(F.col(c) > 0, F.col(c).cast("double")))
+    if cells is not None:
+        none = {"umi_counts": F.coalesce("umi_counts", F.lit(0.0)), "gene_counts": F.coalesce("gene_counts", F.lit(0).cast("long"))}
+        out = cells.select(*CELL).distinct().join(out, CELL, "left").withColumns(none)
+        has_mt = cells.select("dataset_id").distinct().join(has_mt, "dataset_id", "left")
     return out.join(has_mt, "dataset_id").select(
         *CELL, "umi_counts", "gene_counts", F.try_divide(log("gene_counts"), log("umi_counts")).alias("rna_novelty"),
         F.when(F.col("_has"), F.try_divide(F.col("_mt_sum"), F.col("umi_counts"))).alias("mt_ratio"),
@@ -118,16 +126,26 @@ def choose_layer(layers: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- labels and ids
 
-def apply_rules(df: DataFrame, column: str, rules: list[tuple[str, str, bool]]) -> DataFrame:
-    """Ordered (pattern, replacement, every match) rules; otherwise the first match only."""
+def _two_groups_on(text: str, mark: str) -> str:
+    """Group references (``$1`` of a replacement, ``\\1`` of a pattern) two higher; other escapes stay."""
+    found = r"\\.|\$([0-9])" if mark == "$" else r"\\([1-9])|\\."
+    return re.sub(found, lambda m: f"{mark}{int(m[1]) + 2}" if m[1] else m[0], text)
+
+
+def apply_rules(df: DataFrame, column: str, rules: list[tuple[str, str, bool]], trim: bool = False) -> DataFrame:
+    """Ordered (pattern, replacement, every match) rules; otherwise the first match only.
+
+    A replacement may refer to groups of its pattern ($1, $2). ``trim`` takes blanks off both ends at last.
+    """
     out = F.col(column)
     for pattern, replacement, every in rules:
         if every:
             out = F.regexp_replace(out, pattern, replacement)
         else:
-            # text up to the first match is kept lazily, so only that match is replaced
-            out = F.regexp_replace(out, f"(?s)^(.*?)(?:{pattern})", "$1" + replacement)
-    return df.withColumn(column, F.trim(out))
+            # the text before the first match and the match are groups of their own; those of the rule follow
+            whole = f"^((?s:.*?))({_two_groups_on(pattern, chr(92))})"
+            out = F.regexp_replace(out, whole, "$1" + _two_groups_on(replacement, "$"))
+    return df.withColumn(column, F.trim(out) if trim else out)
 
 
 def recode(df: DataFrame, column: str, names: dict[str, str]) -> DataFrame:

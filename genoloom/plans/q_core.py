@@ -136,6 +136,15 @@ def _(t):
     return c.celltype_correlation(t.expr_b, t.meta_b, G1, G2, MIN_CELL_B, "spearman")
 
 
+@query("c10_celltype_bicor", """
+SELECT cell_type, round(floor(sxy / sqrt(saa * sbb) * 1e10 + 0.5) / 1e10, 5) AS r
+FROM (SELECT cell_type, sum(a.x * a.x) AS saa, sum(b.x * b.x) AS sbb, sum(a.x * b.x) AS sxy
+      FROM mid_f a JOIN mid_f b USING (cell_type, cell_id) WHERE a.gene = 7 AND b.gene = 3 GROUP BY ALL)
+WHERE saa > 0 AND sbb > 0""")
+def _(t):
+    return c.celltype_correlation(t.expr_f, t.meta_f, 3, 7, method="bicor").select("cell_type", "r")
+
+
 @query("c10_celltype_cor", f"""
 SELECT dataset_id, cell_type, round(r, 5) AS r FROM pair_cor_b WHERE dataset_id = 3 AND gene_a = {G2} AND gene_b = {G1}""")
 def _(t):

@@ -240,14 +240,16 @@ SELECT dataset_id, cell_id, umi_counts, gene_counts, log10(gene_counts) / nullif
 FROM (SELECT dataset_id, cell_id, sum(value) AS umi_counts, count(*) FILTER (value > 0) AS gene_counts, sum(CASE WHEN gene % 10 = 0 THEN value ELSE 0 END) AS mt FROM expr_a GROUP BY ALL)""")
 
 
-def info(t):
+def info(t, cells=None):
     mt = t.raw("supplier").filter("s_suppkey % 10 = 0").select(F.col("s_suppkey").cast("int").alias("gene"))
-    return p.count_info(t.expr_a, mt)
+    return p.count_info(t.expr_a, mt, cells)
 
 
-@query("n2_count_info", "SELECT dataset_id, cell_id, umi_counts, gene_counts, round(rna_novelty, 6) AS rna_novelty, round(mt_ratio, 6) AS mt_ratio FROM count_info")
+@query("n2_count_info", """
+SELECT dataset_id, cell_id, coalesce(umi_counts, 0)::DOUBLE AS umi_counts, coalesce(gene_counts, 0) AS gene_counts, round(rna_novelty, 6) AS rna_novelty, round(mt_ratio, 6) AS mt_ratio
+FROM (SELECT DISTINCT dataset_id, cell_id FROM meta_a) LEFT JOIN count_info USING (dataset_id, cell_id)""")
 def _(t):
-    return info(t).withColumns({"rna_novelty": rnd("rna_novelty", 6), "mt_ratio": rnd("mt_ratio", 6)})
+    return info(t, t.meta_a).withColumns({"rna_novelty": rnd("rna_novelty", 6), "mt_ratio": rnd("mt_ratio", 6)})
 
 
 @query("n3_mitochondrial", "SELECT CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE CAST(s_suppkey AS VARCHAR) END AS gene FROM supplier WHERE s_suppkey % 10 IN (0, 5)")
@@ -331,10 +333,11 @@ def _(t):
 
 
 @query("n12_label_rules", r"""
-SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(p_brand, '#[0-9]+$', ''), 'a', 'A'), 'n', 'N', 'g')) AS brand FROM part""")
+SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p_brand, '#([0-9])([0-9]*)$', '-\2\1 '), 'a', 'A'), 'n', 'N', 'g'), '([A-Z])([a-z]+)', '\2\1')) AS brand FROM part""")
 def _(t):
     rows = t.raw("part").select("p_partkey", F.col("p_brand").alias("brand"))
-    return p.apply_rules(rows, "brand", [("#[0-9]+$", "", False), ("a", "A", False), ("n", "N", True)])
+    rules = [("#([0-9])([0-9]*)$", "-$2$1 ", False), ("a", "A", False), ("n", "N", True), ("([A-Z])([a-z]+)", "$2$1", False)]
+    return p.apply_rules(rows, "brand", rules, trim=True)
 
 
 @query("n13_recode", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'Neuron' WHEN '2-HIGH' THEN 'Astrocyte' ELSE o_orderpriority END AS cell_type FROM orders")
