@@ -5,6 +5,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -112,6 +113,56 @@ def _similar(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
     return both.filter(common >= threshold * (F.size("cells_u") + F.size("cells_v") - common)).select("u", "v")
 
 
+def _spanning(part: pd.DataFrame, threshold: float, step: int = 8192) -> list[tuple[int, int]]:
+    """Links between the components of some texts: enough to join all that similarity joins, at most one less than texts."""
+    roots, cells = part["root"].tolist(), part["cells"].tolist()
+    values, which, n = np.unique(np.concatenate(cells), return_inverse=True, return_counts=True)
+    sizes = np.array([len(c) for c in cells])
+    owner, shared = np.repeat(np.arange(len(cells)), sizes), n[which] > 1
+    owner, which = owner[shared], np.unique(which[shared], return_inverse=True)[1]
+    common = np.zeros((len(cells), len(cells)), np.float32)
+    for low in range(0, int(which.max()) + 1 if len(which) else 0, step):
+        some = (which >= low) & (which < low + step)
+        has = np.zeros((len(cells), step), np.float32)
+        has[owner[some], which[some] - low] = 1
+        common += has @ has.T
+    group = {r: r for r in roots}
+
+    def top(x):
+        while group[x] != x:
+            group[x] = x = group[group[x]]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(common >= threshold * (sizes[:, None] + sizes[None, :] - common), 1)), strict=True):
+        a, b = top(roots[i]), top(roots[j])
+        if a != b:
+            group[a] = b
+            out.append((i, j))
+    return out
+
+
+def _links_within(members: DataFrame, cells: DataFrame, threshold: float, block: int = 512) -> DataFrame:
+    """Links (u, v) between components whose texts meet in a bucket (band, value, node, root, n).
+
+    A bucket of n texts is cut into n / block blocks by a hash; each two blocks meet in a task of
+    their own, which compares all their texts exactly and returns spanning links only.
+    """
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
+    placed = members.withColumn("blocks", blocks).withColumn("own", own.cast("int")).join(cells.select(F.struct("k1", "k2").alias("node"), "cells"), "node")
+    placed = placed.select("band", "value", F.concat(F.hex("root.k1"), F.lit(":"), F.hex("root.k2")).alias("root"), F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), "cells", F.explode(pairs).alias("pair"))
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        k1, k2 = part["k1"].to_numpy(), part["k2"].to_numpy()
+        found = np.array(_spanning(part, threshold), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a1": k1[found[:, 0]], "a2": k2[found[:, 0]], "b1": k1[found[:, 1]], "b2": k2[found[:, 1]]})
+
+    links = placed.withColumns({"i": F.col("pair.i"), "j": F.col("pair.j")}).drop("pair").groupBy("band", "value", "i", "j").applyInPandas(compare, "a1 long, a2 long, b1 long, b2 long")
+    return links.select(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")).alias("u"), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")).alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 30, rows: int = 6, size: int = 5) -> DataFrame:
     """(id, mark, class_id, keep) per row of ``docs``: its class, and whether it is the row of its class that stays.
 
@@ -123,8 +174,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. Texts with the same words are one text from here on, by a 128-bit key of the words.
     2. In every bucket of a band all members are compared with the smallest; groups of thousands of
        near copies so cost a pair per member, not all pairs.
-    3. Members of one bucket that are still in different components are compared with each other, so
-       that no link between components is missed; links within a component change nothing.
+    3. Buckets whose members are still in different components are compared in full, in blocks inside
+       tasks that return spanning links only: no link between components is missed, links within a
+       component change nothing, and pairs never become rows.
 
     Cases: a text of fewer than ``size`` words is one shingle; texts without words (null included)
     are equal to each other and to nothing else. Repeated rows, and rows with a repeated id, are
@@ -153,12 +205,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(_similar(pairs, cells, threshold), "similar")
     parts = components(links)
     placed = members.join(parts, "node", "left").select("band", "value", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band", "value")
-    open_ = placed.join(mixed, ["band", "value"])
-    left, right = (open_.select("band", "value", F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for n in "uv")
-    across = left.join(right, ["band", "value"]).filter("root_u < root_v").select("u", "v").distinct()
-    tested = pairs.select("u", "v").union(pairs.select("v", "u"))
-    more = written(_similar(across.join(tested, ["u", "v"], "left_anti"), cells, threshold), "similar")
+    mixed = placed.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high").select("band", "value", "n")
+    more = written(_links_within(placed.join(mixed, ["band", "value"]), cells, threshold), "similar")
     if not more.isEmpty():
         parts = components(links.union(more))
 
