@@ -46,15 +46,19 @@ def enrichment(ranks: DataFrame, sets: DataFrame, rank: str, n_iter: int, seed:
         sizes.select("n_genes").distinct().withColumn("pos", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_genes")))), n_iter
     )
     order = order.withColumn("_at", shuffled_position(["n_genes", "iter"], "pos", seed, "n_genes", "iter"))
-    drawn = order.join(sizes, "n_genes").filter(F.col("_at") <= F.col("n_members"))
+    # a set of m genes takes the first m places: m rows per size and iteration, whatever the length
+    places = sizes.withColumn("_at", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_members").cast("long"))))
+    drawn = order.join(places, ["n_genes", "_at"])
     null = _average_precision(drawn.withColumnRenamed("n_members", "size"), ["n_genes", "size", "iter"]).select(
         "n_genes", F.col("size").alias("n_members"), F.col("avg_precision").alias("null_ap")
     )
-    # one sorted array of n_iter values per (length, size)
-    curve = null.groupBy("n_genes", "n_members").agg(F.array_sort(F.collect_list("null_ap")).alias("null_ap"))
-    at_least = F.size(F.filter("null_ap", lambda v: v >= F.col("avg_precision")))
-    p = (at_least + 1) / F.lit(float(n_iter + 1))
-    scored = observed.join(curve, ["n_genes", "n_members"]).select(*ST, SET, "n_members", "avg_precision", p.alias("p_value"))
+    # null values at least as large as each observed one: a running count over at most n_iter rows and the distinct observed values
+    same = ["n_genes", "n_members"]
+    rows = null.select(*same, F.col("null_ap").alias("avg_precision"), F.lit(1).alias("drawn")).unionByName(observed.select(*same, "avg_precision", F.lit(0).alias("drawn")).distinct())
+    down = W.partitionBy(*same).orderBy(F.col("avg_precision").desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
+    above = rows.withColumn("at_least", F.sum("drawn").over(down)).filter("drawn = 0").drop("drawn")
+    p = (F.col("at_least") + 1) / F.lit(float(n_iter + 1))
+    scored = observed.join(above, [*same, "avg_precision"]).select(*ST, SET, "n_members", "avg_precision", p.alias("p_value"))
     return adjust(scored, ST, "p_value", SET)
 
 

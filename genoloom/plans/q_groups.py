@@ -12,7 +12,7 @@ from .oracle import cte
 from .q_core import round_six, six_sql
 from .q_profiles import MIN_EXP, rd, spearman_sql, top_sql
 
-N_NULL = 50
+N_NULL = 1000
 
 # ---------------------------------------------------------------- U
 
