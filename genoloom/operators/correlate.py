@@ -28,8 +28,6 @@ GENE_BLOCK = 1024
 CHUNK_CELLS = 4096
 # A (dataset, cell type) has at most G(G+1)/2 pairs; up to this many one window task ranks them.
 WINDOW_PAIRS = 8_000_000
-# A broadcast list of (dataset, cell type) keys is refused beyond this many rows.
-MAX_GROUPS = 1_000_000
 GROUP = ("dataset_id", "cell_type")
 
 
@@ -332,12 +330,10 @@ def pair_spine(groups: DataFrame, genes: GeneSpan) -> DataFrame:
     """Every pair ``gene_a >= gene_b`` of every group.
 
     A row is a number, taken apart by arithmetic into group and pair, so the rows are spread evenly
-    over tasks. The group list (datasets, or datasets by cell type) is counted before it is
-    broadcast for the look-up.
+    over tasks. The group list (datasets, or datasets by cell type) is looked up by a join; Spark
+    broadcasts it where it is small.
     """
     n_groups = groups.count()
-    if n_groups > MAX_GROUPS:
-        raise ValueError(f"{n_groups} groups; the look-up list is limited to {MAX_GROUPS}")
     order = Window.orderBy(*groups.columns)
     listed = groups.withColumn("_g", F.row_number().over(order).cast("long") - 1)
     i = F.floor(F.col("id") / max(n_groups, 1)).cast("long")
@@ -354,7 +350,7 @@ def pair_spine(groups: DataFrame, genes: GeneSpan) -> DataFrame:
             (F.col("_i") - first + genes.first).cast("int").alias("gene_b"),
         )
     )
-    return pairs.join(F.broadcast(listed), "_g").select(*groups.columns, "gene_a", "gene_b")
+    return pairs.join(listed, "_g").select(*groups.columns, "gene_a", "gene_b")
 
 
 def type_status(expr: DataFrame, meta: DataFrame, min_cell: int = MIN_CELL) -> DataFrame:
@@ -490,20 +486,26 @@ def fill_triangle(pairs: DataFrame, genes: GeneSpan) -> DataFrame:
     )
 
 
-def mean_pair_score(agg: DataFrame, n_datasets: int | None = None) -> DataFrame:
-    """Mean aggregate of every unordered pair over datasets."""
+def mean_pair_score(agg: DataFrame, n_datasets: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean aggregate of every unordered pair over datasets, within the columns ``by``."""
     off = agg.filter(F.col("gene_a") != F.col("gene_b"))
     total = F.sum("rsr")
     mean = total / F.lit(float(n_datasets)) if n_datasets else F.avg("rsr")
-    return off.groupBy("gene_a", "gene_b").agg(mean.alias("avg_rsr"))
-
-
-def head_and_tail(means: DataFrame, n: int = 20) -> DataFrame:
-    """The n best and n worst pairs; each end is a top-n, never a full sort."""
-    value = fix10("avg_rsr")
-    head = means.orderBy(value.desc(), "gene_a", "gene_b").limit(n).withColumn("side", F.lit("top"))
-    tail = means.orderBy(value.asc(), "gene_a", "gene_b").limit(n).withColumn("side", F.lit("bottom"))
-    return head.unionByName(tail)
+    return off.groupBy(*by, "gene_a", "gene_b").agg(mean.alias("avg_rsr"))
+
+
+def head_and_tail(means: DataFrame, n: int = 20, by: tuple[str, ...] = ()) -> DataFrame:
+    """The n best and n worst pairs, within the columns ``by``; each end keeps n rows a task before it is shuffled."""
+    value, last = fix10("avg_rsr"), [F.col("gene_a"), F.col("gene_b")]
+    sides = []
+    for side, order in (("top", value.desc()), ("bottom", value.asc())):
+        if by:
+            place = F.row_number().over(Window.partitionBy(*by).orderBy(order, *last))
+            kept = means.withColumn("_i", place).filter(F.col("_i") <= n).drop("_i")
+        else:
+            kept = means.orderBy(order, *last).limit(n)
+        sides.append(kept.withColumn("side", F.lit(side)))
+    return sides[0].unionByName(sides[1])
 
 
 # ---------------------------------------------------------------- one pair of genes

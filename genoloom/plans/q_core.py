@@ -185,14 +185,14 @@ cte("avg_pairs", "SELECT species, gene_a, gene_b, avg(rsr) AS avg_rsr FROM agg_b
 
 
 @query("c15_avg_coexpr_head_tail", f"""
-SELECT gene_a, gene_b, round(avg_rsr, 6) AS avg_rsr, side FROM (
-  SELECT *, 'top' AS side, row_number() OVER (ORDER BY {f10('avg_rsr')} DESC, gene_a, gene_b) AS i FROM avg_pairs WHERE species = 'Human'
+SELECT species, gene_a, gene_b, round(avg_rsr, 6) AS avg_rsr, side FROM (
+  SELECT *, 'top' AS side, row_number() OVER (PARTITION BY species ORDER BY {f10('avg_rsr')} DESC, gene_a, gene_b) AS i FROM avg_pairs
   UNION ALL
-  SELECT *, 'bottom', row_number() OVER (ORDER BY {f10('avg_rsr')}, gene_a, gene_b) FROM avg_pairs WHERE species = 'Human')
+  SELECT *, 'bottom', row_number() OVER (PARTITION BY species ORDER BY {f10('avg_rsr')}, gene_a, gene_b) FROM avg_pairs)
 WHERE i <= 20""")
 def _(t):
-    human = t.agg_b.join(t.species.filter("species = 'Human'"), "dataset_id", "left_semi")
-    return c.head_and_tail(c.mean_pair_score(human), 20).withColumn("avg_rsr", rnd("avg_rsr", 6))
+    means = c.mean_pair_score(t.agg_b.join(t.species, "dataset_id"), by=("species",))
+    return c.head_and_tail(means, 20, ("species",)).withColumn("avg_rsr", rnd("avg_rsr", 6))
 
 
 @query("c15_avg_coexpr", "SELECT gene_a, gene_b, round(avg_rsr, 6) AS avg_rsr FROM (SELECT gene_a, gene_b, avg(rsr) AS avg_rsr FROM agg_a WHERE gene_a <> gene_b GROUP BY ALL)")

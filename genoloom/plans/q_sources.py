@@ -392,13 +392,18 @@ def _(t):
 cte("batch_rows", "SELECT l_returnflag AS batch, l_orderkey AS cell_id, l_suppkey AS gene, sum(l_quantity) AS value FROM lineitem GROUP BY ALL")
 
 
-@query("n20_union_batches", """
+cte("batch_ra", """
 SELECT cell_id, gene, value FROM batch_rows WHERE batch = 'R' AND gene IN (SELECT gene FROM batch_rows WHERE batch = 'A')
 UNION ALL SELECT cell_id, gene, value FROM batch_rows WHERE batch = 'A' AND gene IN (SELECT gene FROM batch_rows WHERE batch = 'R') AND cell_id NOT IN (SELECT cell_id FROM batch_rows WHERE batch = 'R')""")
+
+
+@query("n20_union_batches", """
+SELECT cell_id, gene, value FROM batch_ra WHERE gene IN (SELECT gene FROM batch_rows WHERE batch = 'N')
+UNION ALL SELECT cell_id, gene, value FROM batch_rows WHERE batch = 'N' AND gene IN (SELECT gene FROM batch_ra) AND cell_id NOT IN (SELECT cell_id FROM batch_ra)""")
 def _(t):
     rows = t.raw("lineitem").groupBy("l_returnflag", F.col("l_orderkey").alias("cell_id"), F.col("l_suppkey").alias("gene")).agg(F.sum("l_quantity").alias("value"))
     one = lambda b: rows.filter(F.col("l_returnflag") == b).drop("l_returnflag")
-    return p.union_batches(one("R"), one("A"))
+    return p.union_batches(p.union_batches(one("R"), one("A")), one("N"))
 
 
 cte("dup_cells", "SELECT o_custkey AS barcode, l_orderkey AS cell_id, p_size AS gene, sum(l_quantity) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL")

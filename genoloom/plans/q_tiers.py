@@ -247,9 +247,9 @@ def bucket(c: str) -> str:
     return f"CAST(CASE WHEN {c} <= {K} THEN 0 WHEN {c} <= {K} + 5 THEN 1 WHEN {c} IS NOT NULL THEN 2 END AS INTEGER) AS {c}"
 
 
-@query("i19_rank_buckets", f"SELECT tf_id, tier, gene_hg, gene_mm, {', '.join(bucket(c) for c in n.RANKS4)} FROM tier_rows WHERE tier NOT IN ('Human', 'Mouse')")
+@query("i19_rank_buckets", f"SELECT tf_id, tier, gene_hg, gene_mm, {', '.join(bucket(c) for c in n.RANKS4)} FROM tier_rows")
 def _(t):
-    rows = t.tiers.filter("tier NOT IN ('Human', 'Mouse')").select("tf_id", "tier", "gene_hg", "gene_mm", *n.RANKS4)
+    rows = t.tiers.select("tf_id", "tier", "gene_hg", "gene_mm", *n.RANKS4)
     return n.rank_buckets(rows, K, 5)
 
 
