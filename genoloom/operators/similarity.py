@@ -174,20 +174,28 @@ def null_similarity(null: DataFrame, k: int) -> DataFrame:
 
 # ---------------------------------------------------------------- one gene queried in other datasets
 
-def query_overlap(full: DataFrame, gene: int, k: int) -> DataFrame:
+def query_overlap(full: DataFrame, gene: int, k: int, query: int | None = None) -> DataFrame:
     """Overlap of the gene's top k in one dataset with the top k of every column of another.
 
-    Columns without a common gene have no row (overlap zero).
+    With ``query`` that dataset alone is asked, and every column of the others has a row; without it
+    all datasets are asked, and columns without a common gene have no row (overlap zero).
     """
     top = top_set(full, ["dataset_id", "partner"], "rsr", "gene", k).select("dataset_id", "partner", "gene")
     q = top.filter(F.col("partner") == gene).select(F.col("dataset_id").alias("query"), "gene")
     s = top.select(F.col("dataset_id").alias("subject"), "partner", "gene")
-    return (
+    if query is not None:
+        q, s = q.filter(F.col("query") == query), s.filter(F.col("subject") != query)
+    found = (
         q.join(s, "gene")
         .filter("query <> subject")
         .groupBy("query", "subject", "partner")
         .agg(F.count(F.lit(1)).alias("overlap"))
     )
+    if query is None:
+        return found
+    columns = full.filter(F.col("dataset_id") != query).select(F.col("dataset_id").alias("subject"), "partner").distinct()
+    dense = columns.join(found.drop("query"), ["subject", "partner"], "left")
+    return dense.select(F.lit(query).alias("query"), "subject", "partner", F.coalesce("overlap", F.lit(0).cast("long")).alias("overlap"))
 
 
 def match_rank(scores: DataFrame, gene: int, value: str, first: int) -> DataFrame:
@@ -208,24 +216,25 @@ def match_rank(scores: DataFrame, gene: int, value: str, first: int) -> DataFram
     return agg.select("query", "subject", (F.col("_gt") + F.col("_eq") + zeros + 1).alias("rank"))
 
 
-def query_correlation(full: DataFrame, gene: int, genes: GeneSpan, gene_block: int = 1024) -> DataFrame:
-    """Spearman of the gene's column in one dataset with every column of every other dataset.
+def query_correlation(full: DataFrame, gene: int, genes: GeneSpan, gene_block: int = 1024, query: int | None = None) -> DataFrame:
+    """Spearman of the gene's column in one dataset (``query``, or each) with every column of every other dataset.
 
     Per subject dataset this is one rectangular product: its columns against the query columns of
     all datasets, which get the ordinals of the last block.
     """
     ranked = full.select("dataset_id", "partner", "gene", avg_rank(["dataset_id", "partner"], "rsr").alias("value"))
     listed = full.select("dataset_id").distinct()
+    asked = F.lit(True) if query is None else F.col("dataset_id") == query
     block = min(gene_block, genes.first + genes.n)
     base = -(-(genes.first + genes.n) // block) * block  # first ordinal of the query block
     ids = listed.select("dataset_id", (F.row_number().over(W.orderBy("dataset_id")) - 1 + base).alias("_q"))
     n_ids = listed.count()
     if n_ids > block:
         raise ValueError(f"{n_ids} query columns do not fit a block of {block}; raise gene_block")
-    query = ranked.filter(F.col("partner") == gene).join(ids, "dataset_id").select("_q", F.col("gene").alias("cell_id"), "value")
+    own = ranked.filter((F.col("partner") == gene) & asked).join(ids, "dataset_id").select("_q", F.col("gene").alias("cell_id"), "value")
     columns = ranked.select(F.col("dataset_id").alias("subject"), F.col("gene").alias("cell_id"), F.col("partner").alias("gene"), "value")
     # every subject dataset sees all query columns: datasets x datasets x genes rows
-    spread = query.withColumn("_s", F.explode(F.sequence(F.lit(base), F.lit(base + n_ids - 1))))
+    spread = own.withColumn("_s", F.explode(F.sequence(F.lit(base), F.lit(base + n_ids - 1))))
     subject = ids.select(F.col("_q").alias("_s"), F.col("dataset_id").alias("subject"))
     queries = spread.join(subject, "_s").select("subject", "cell_id", F.col("_q").alias("gene"), "value")
     rows = full.select(F.col("dataset_id").alias("subject"), "gene").distinct()

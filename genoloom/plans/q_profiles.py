@@ -372,9 +372,9 @@ FROM (SELECT DISTINCT dataset_id FROM top_cols) q JOIN top_cols s ON s.dataset_i
 LEFT JOIN (SELECT dataset_id, gene FROM top_cols WHERE partner = {QG}) q2 ON q2.dataset_id = q.dataset_id AND q2.gene = s.gene GROUP BY ALL""")
 
 
-@query("k17_query_topk", "SELECT query, subject, partner, overlap FROM q_overlap WHERE query = 0 AND overlap > 0")
+@query("k17_query_topk", "SELECT query, subject, partner, overlap FROM q_overlap WHERE query = 0")
 def _(t):
-    return s.query_overlap(t.full_b, QG, K).filter("query = 0")
+    return s.query_overlap(t.full_b, QG, K, query=0)
 
 
 cte("col_rank", "SELECT *, rank() OVER (PARTITION BY dataset_id, partner ORDER BY rsr) + (count(*) OVER (PARTITION BY dataset_id, partner, rsr) - 1) / 2.0::DOUBLE AS rk FROM full_b")
@@ -388,7 +388,7 @@ FROM (SELECT a.dataset_id AS query, b.dataset_id AS subject, b.partner, count(*)
 
 @query("k18_query_cor", "SELECT query, subject, partner, round(scor, 6) AS scor FROM q_cor WHERE query = 0")
 def _(t):
-    return rd(s.query_correlation(t.full_b, QG, t.genes_b).filter("query = 0"), scor=6)
+    return rd(s.query_correlation(t.full_b, QG, t.genes_b, query=0), scor=6)
 
 
 cte("q_auprc", auc_sql(f"(SELECT p.dataset_id AS query, l.dataset_id AS subject, l.partner, s, e, n FROM {pos_sql(f'(SELECT * FROM full_b WHERE partner = {QG})', 'dataset_id', 'rsr')} p JOIN top_cols l ON l.gene = p.gene AND l.dataset_id <> p.dataset_id)", "query, subject, partner"))
