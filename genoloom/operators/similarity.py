@@ -63,7 +63,8 @@ def column_jaccard(df: DataFrame, keys: list[str], col: str, k: int) -> DataFram
 def column_correlations(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     """Spearman of every pair of columns; rows are genes, ranks are shared by all pairs.
 
-    The column ids (datasets) get ordinals for the blocked product and are mapped back.
+    The column ids (datasets) get ordinals for the blocked product and are mapped back. Shared ranks
+    need complete columns: the job fails on a column that has no score for a gene of its keys.
     """
     listed = df.select(col).distinct()
     index = listed.select(col, F.row_number().over(W.orderBy(col)).alias("gene"))
@@ -74,6 +75,11 @@ def column_correlations(df: DataFrame, keys: list[str], col: str) -> DataFrame:
         .select(*keys, "cell_id", "gene", "value")
     )
     rows = df.select(*keys, "gene").distinct()
+    wanted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    held = df.groupBy(*group).agg(F.count("score").alias("_scores")).join(wanted, keys)
+    fault = F.raise_error(F.concat(F.lit("column without a score for some gene: "), F.col(col).cast("string"))).cast("boolean")
+    complete = held.filter(F.when(F.col("_scores") == F.col("_rows"), True).otherwise(fault)).select(*group)
+    ranked = ranked.join(complete.join(index, col).select(*keys, "gene"), [*keys, "gene"], "left_semi")
     r = pair_correlation(ranked, rows, GeneSpan(1, listed.count()), min_cell=0, keys=tuple(keys))
     low = index.select(F.col("gene").alias("gene_b"), F.col(col).alias("col_a"))
     high = index.select(F.col("gene").alias("gene_a"), F.col(col).alias("col_b"))
