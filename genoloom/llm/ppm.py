@@ -98,25 +98,23 @@ class Trie:
 
     def log_probabilities(self, packed: np.ndarray) -> np.ndarray:
         """Natural log of the probability of the last byte of each gram after the bytes before it."""
-        out, done, started = np.zeros(len(packed)), np.zeros(len(packed), bool), np.zeros(len(packed), bool)
-        child = np.zeros(len(packed), np.int64)
+        out, child = np.zeros(len(packed)), np.full(len(packed), -1)  # child: the longer context that was left by an escape
+        todo = np.arange(len(packed))
         for d in range(len(self.levels) - 1, -1, -1):
-            level, longer = self.levels[d], self.levels[d + 1] if d + 1 < len(self.levels) else None
-            at, has = _found(level.contexts, packed >> np.uint64(8) & _mask(d))
-            gram, seen = _found(level.grams, packed & _mask(d + 1))
-            fresh, on = has & ~started, started & ~done
-            hit, miss = fresh & seen, fresh & ~seen
-            out[hit] = level.log_top[gram[hit]]
-            out[miss] = level.escape_top[at[miss]]
-            if longer is not None:
-                hit_on, miss_on = on & seen, on & ~seen
-                out[hit_on] += level.log_count[gram[hit_on]] - longer.log_below[child[hit_on]]
-                out[miss_on] += longer.escape_below[child[miss_on]]
-                done |= hit_on
-            done |= hit
-            started |= fresh
-            child = np.where(has, at, child)
-        out[~done] += self.last
+            level, some, before = self.levels[d], packed[todo], child[todo]
+            gram, seen = _found(level.grams, some & _mask(d + 1))
+            fresh = before < 0
+            out[todo[seen & fresh]] = level.log_top[gram[seen & fresh]]
+            if not fresh.all():
+                longer, on = self.levels[d + 1], seen & ~fresh
+                out[todo[on]] += level.log_count[gram[on]] - longer.log_below[before[on]]
+            todo, some, before, fresh = todo[~seen], some[~seen], before[~seen], fresh[~seen]
+            at, has = _found(level.contexts, some >> np.uint64(8) & _mask(d))
+            out[todo[fresh & has]] = level.escape_top[at[fresh & has]]
+            if not fresh.all():
+                out[todo[~fresh]] += self.levels[d + 1].escape_below[before[~fresh]]
+            child[todo[has]] = at[has]
+        out[todo] += self.last
         return out
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
@@ -138,23 +136,36 @@ def _parts(texts: list[bytes], limit: int) -> Iterator[list[bytes]]:
         yield held
 
 
-def count_words_and_grams(docs: DataFrame, part_bytes: int = 8 << 20, max_words: int = 500_000) -> DataFrame:
+def count_words_and_grams(docs: DataFrame, part_bytes: int = 4 << 20, max_words: int = 500_000, max_grams: int = 3_000_000) -> DataFrame:
     """(word, gram, n): counts of words (gram null) and of grams (word null) over all texts, added up in each task first."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(words, grams, n):
             return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(grams, pa.int64()), pa.array(n, pa.int64())], ["word", "gram", "n"])
 
+        def added(held):
+            codes, distinct = pd.factorize(np.concatenate([k for k, _ in held]))
+            return distinct, np.bincount(codes, np.concatenate([n for _, n in held]), len(distinct)).astype(np.int64)
+
         words: Counter = Counter()
+        grams: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for texts in _parts([plain_bytes(t) for t in batch.column(0).to_pylist()], part_bytes):
                 for t in texts:
                     words.update(t.split())
                 codes, distinct = pd.factorize(packed_grams(texts)[0])
-                yield rows([None] * len(distinct), distinct.astype(np.int64), np.bincount(codes, minlength=len(distinct)))
+                grams.append((distinct, np.bincount(codes, minlength=len(distinct))))
+                if sum(len(k) for k, _ in grams) >= max_grams:
+                    grams = [added(grams)]
+                    if len(grams[0][0]) >= max_grams // 2:
+                        yield rows([None] * len(grams[0][0]), grams[0][0].astype(np.int64), grams[0][1])
+                        grams = []
                 if len(words) >= max_words:
                     yield rows(list(words), [None] * len(words), list(words.values()))
                     words = Counter()
         yield rows(list(words), [None] * len(words), list(words.values()))
+        if grams:
+            distinct, n = added(grams)
+            yield rows([None] * len(distinct), distinct.astype(np.int64), n)
 
     return docs.select("text").mapInArrow(count, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
@@ -201,7 +212,7 @@ def train(docs: DataFrame, keep_grams: float = 2.0**-20, keep_words: float = 2.0
     return Model(trie, frequent, int(n_words + ends), int(kinds + some), int(ends)), words.filter(F.col("n") < floor)
 
 
-def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 8 << 20) -> DataFrame:
+def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 4 << 20) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) per row; scores are log10 probabilities.
 
     The frequent words are counted in the task. The other words of a text are looked up by a join on
@@ -218,6 +229,7 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        frequent = {w: math.log10(f + 1) for w, f in m.frequent.items()}.get
         task, serial = TaskContext.get().partitionId() << 36, 0
         for batch in batches:
             ids, at = batch.column(0), 0
@@ -225,16 +237,19 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id"
                 scores, first = m.trie.code_lengths(texts), serial
                 n, known, base, rest_row, rest_word, rest_n = [], [], [], [], [], []
                 for t in texts:
-                    counts = Counter(t.split())
-                    found = [(c, f) for w, c in counts.items() if (f := m.frequent.get(w))]
-                    n.append(sum(counts.values()) + 1)
-                    known.append(sum(c for c, _ in found) + (m.ends > 0))
-                    base.append(sum(c * math.log10(f + 1) for c, f in found) + math.log10(m.ends + 1))
-                    for w, c in counts.items():
-                        if w not in m.frequent:
-                            rest_row.append(task + serial)
+                    words = t.split()
+                    here, weight, rest = int(m.ends > 0), math.log10(m.ends + 1), len(rest_word)
+                    for w, c in Counter(words).items():
+                        log = frequent(w)
+                        if log is None:
                             rest_word.append(w)
                             rest_n.append(c)
+                        else:
+                            here, weight = here + c, weight + c * log
+                    rest_row += [task + serial] * (len(rest_word) - rest)
+                    n.append(len(words) + 1)
+                    known.append(here)
+                    base.append(weight)
                     serial += 1
                 rows = np.arange(first, serial) + task
                 keys = [b" %d" % r for r in rows]
