@@ -78,11 +78,11 @@ def test_layer_fallback(spark):
 
 
 def test_one_regulator_is_kept_from_one_source(spark):
-    schema = "tf_symbol string, target_symbol string, source string"
+    schema = "tf_symbol string, target_symbol string, databases string"
     a = spark.createDataFrame([("TT", "AA", "x"), ("TT", "TT", "x"), ("UU", "AA", "x")], schema)
     b = spark.createDataFrame([("TT", "BB", "y"), ("UU", "GONE", "y")], schema)
     out = {(r["tf_symbol"], r["target_symbol"]) for r in labels.append_and_exclude(a, b, "TT", "y", ["GONE"]).collect()}
-    assert out == {("TT", "TT"), ("UU", "AA"), ("TT", "BB")}
+    assert out == {("TT", "TT"), ("UU", "AA"), ("TT", "BB"), ("UU", "GONE")}  # the named targets go for that regulator only
 
 
 def test_recovery_step_follows_the_mean(spark):
