@@ -17,46 +17,55 @@ from .components import components
 from .shingles import MULTIPLIER, WordHashes, hashed, mix, shingle_hashes, unit_cells, words_of
 
 
-def dart_signature(cells: np.ndarray, k: int) -> np.ndarray:
-    """k coordinates; two sets agree in a coordinate with the probability of their similarity.
+def dart_signatures(sets: list[np.ndarray], k: int) -> np.ndarray:
+    """k coordinates for each set of cells; two sets agree in a coordinate with the probability of their similarity.
 
     A cell is a unit of an element's weight. Its region, one unit wide and without end in rank, is
     cut into slabs of height 1; hashing (cell, slab, number) throws the darts of a Poisson process of
     rate 1 into each. A dart falls to a random coordinate, and each coordinate keeps the dart of the
     least rank. About k (ln k + 4) darts are needed whatever the size of the set, so only ranks up
     to a height that fits the set's weight are thrown; more slabs follow while a coordinate is empty.
+    Sets must not be empty; several of them share the array operations.
     """
-    height = k * (math.log(k) + 4) / len(cells)
-    while True:
-        slabs = max(1, math.ceil(height))
+    out, todo = np.zeros((len(sets), k), np.uint64), np.arange(len(sets))
+    height = k * (math.log(k) + 4) / np.array([len(c) for c in sets])
+    while len(todo):
+        sizes, slabs = np.array([len(sets[i]) for i in todo]), np.maximum(1, np.ceil(height[todo])).astype(np.int64)
+        own = np.repeat(np.arange(len(todo)), sizes * slabs)
+        slab = np.concatenate([np.repeat(np.arange(s), n) for s, n in zip(slabs, sizes, strict=True)])
+        cells = np.concatenate([np.tile(sets[i], s) for i, s in zip(todo, slabs, strict=True)])
         with np.errstate(over="ignore"):
-            seed = np.concatenate([mix(cells + np.uint64(s + 1) * MULTIPLIER) for s in range(slabs)])
-            rank, end = np.repeat(np.arange(slabs, dtype=float), len(cells)), np.minimum(np.repeat(np.arange(1.0, slabs + 1), len(cells)), height)
-            ranks, ids = [], []
+            seed = mix(cells + (slab + 1).astype(np.uint64) * MULTIPLIER)
+            rank, end = slab.astype(float), np.minimum(slab + 1.0, height[todo][own])
+            ranks, ids, owners = [], [], []
             while len(seed):
                 seed = mix(seed)
                 rank = rank - np.log((seed >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54)
                 hit = rank < end
-                seed, rank, end = seed[hit], rank[hit], end[hit]
+                seed, rank, end, own = seed[hit], rank[hit], end[hit], own[hit]
                 ranks.append(rank)
                 ids.append(seed)
+                owners.append(own)
             dart, at = np.concatenate(ids), np.concatenate(ranks)
-            latest_first = np.argsort(-at, kind="stable")
-            dart = dart[latest_first]
-            where = (mix(dart ^ MULTIPLIER) % np.uint64(k)).astype(np.int64)
-        out, full = np.zeros(k, np.uint64), np.zeros(k, bool)
-        out[where], full[where] = dart, True  # of several darts the last assigned, which has the least rank, stays
-        if full.all():
-            return out
-        height *= 2
-
-
-def band_hashes(signature: np.ndarray, bands: int) -> np.ndarray:
-    rows = signature.reshape(bands, -1)
+            place = np.concatenate(owners) * k + (mix(dart ^ MULTIPLIER) % np.uint64(k)).astype(np.int64)
+        least = np.full(len(todo) * k, np.inf)
+        np.minimum.at(least, place, at)
+        first = at == least[place]
+        kept = np.zeros(len(todo) * k, np.uint64)
+        kept[place[first]] = dart[first]
+        out[todo] = kept.reshape(-1, k)
+        todo = todo[~np.isfinite(least).reshape(-1, k).all(axis=1)]
+        height[todo] *= 2
+    return out
+
+
+def band_hashes(signatures: np.ndarray, bands: int) -> np.ndarray:
+    """A hash per set and band."""
+    rows = signatures.reshape(len(signatures), bands, -1)
     with np.errstate(over="ignore"):
-        out = np.arange(1, bands + 1, dtype=np.uint64)
-        for j in range(rows.shape[1]):
-            out = mix(out ^ rows[:, j])
+        out = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), rows.shape[:2])
+        for j in range(rows.shape[2]):
+            out = mix(out ^ rows[:, :, j])
     return out.view(np.int64)
 
 
@@ -72,11 +81,19 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            keys, out = [], []
-            for text in batch.column(2):
+            keys, cells = [], []
+            out, waiting, held = [np.empty(0, np.int64)] * batch.num_rows, [], 0
+            for i, text in enumerate(batch.column(2)):
                 words = words_of(text.as_py())
                 keys.append(_text_key(words))
-                out.append(band_hashes(dart_signature(unit_cells(shingle_hashes(hashed(words, known), size)), bands * rows), bands) if words else np.empty(0, np.int64))
+                if words:
+                    cells.append(unit_cells(shingle_hashes(hashed(words, known), size)))
+                    waiting.append(i)
+                    held += len(cells[-1])
+                if waiting and (i == batch.num_rows - 1 or len(waiting) == 64 or held > 200_000):
+                    for j, hashes in zip(waiting, band_hashes(dart_signatures(cells, bands * rows), bands), strict=True):
+                        out[j] = hashes
+                    cells, waiting, held = [], [], 0
             lengths = np.cumsum([0, *map(len, out)])
             listed = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(out) if out else np.empty(0, np.int64), pa.int64()))
             k1, k2 = (pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))

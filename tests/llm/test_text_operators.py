@@ -169,7 +169,9 @@ def test_darts_estimate_weighted_similarity():
         n = int(800 * share)
         a, b = whole[:n], np.concatenate([whole[: n // 2], whole[n:]])
         true = (n // 2) / len(np.union1d(a, b))
-        same = (near_dup.dart_signature(a, 4000) == near_dup.dart_signature(b, 4000)).mean()
+        one, two = near_dup.dart_signatures([a, b], 4000)
+        same = (one == two).mean()
+        assert (near_dup.dart_signatures([b], 4000)[0] == two).all()
         assert abs(same - true) < 0.04
     repeated = unit_cells(np.array([7, 7, 7, 9], np.uint64))
     assert len(repeated) == 4 and len(np.intersect1d(repeated, unit_cells(np.array([7, 7], np.uint64)))) == 2
