@@ -83,19 +83,29 @@ def _let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def merged(word: Column, vocabulary: Vocabulary) -> Column:
+def rank_literal(vocabulary: Vocabulary) -> Column:
+    """The rank map as one foldable value: struct of the arrays ``base`` and ``slots``."""
+    base, slots = rank_map(vocabulary.pairs())
+    return F.from_json(F.lit(json.dumps({"base": base, "slots": slots}, separators=(",", ":"))), "base array<int>, slots array<bigint>")
+
+
+def merged_words(words: Column, vocabulary: Vocabulary) -> Column:
+    """Token ids of each of an array of words. Both tables are bound once, so the plan holds one copy of each."""
+    literal = rank_literal(vocabulary)
+    return _let(literal["base"], lambda base: _let(literal["slots"], lambda slots: F.transform(words, lambda w: merged(w, base, slots))))
+
+
+def merged(word: Column, base: Column, slots: Column) -> Column:
     """Token ids of a word given as the ids of its bytes.
 
     The fold holds one number per piece: the rank of the merge with the next piece, then its own id.
     Each step merges the leftmost pair of least rank, as long as there is one, and looks up the two
     pairs it makes; so a long word costs a step per merge, and a look-up never scans.
     """
-    base, slots = rank_map(vocabulary.pairs())
-    literal = F.from_json(F.lit(json.dumps({"base": base, "slots": slots}, separators=(",", ":"))), "base array<int>, slots array<bigint>")
     none = F.array().cast("array<bigint>")
 
     def rank(left: Column, right: Column) -> Column:
-        found = F.get(literal["slots"], F.get(literal["base"], left) + right)
+        found = F.get(slots, F.get(base, left) + right)
         return F.when(F.shiftright(found, ID_BITS) == left, found.bitwiseAND(NONE)).otherwise(NONE)
 
     def packed(rank_: Column, own: Column) -> Column:
@@ -128,14 +138,17 @@ def _chunks(words: DataFrame, single: np.ndarray, chunk_bytes: int) -> DataFrame
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(ids: list, lengths: list, flat: list) -> pa.RecordBatch:
-            coded = pa.concat_arrays(flat).dictionary_encode()
-            distinct = coded.dictionary
+            coded = pa.chunked_array(flat, pa.string()).dictionary_encode()  # one dictionary for all chunks
+            flat.clear()
+            distinct = coded.chunk(coded.num_chunks - 1).dictionary if coded.num_chunks else pa.array([], pa.string())
+            numbers = pa.concat_arrays([c.indices for c in coded.chunks]) if coded.num_chunks else pa.array([], pa.int32())
+            del coded
             _, offsets, data = distinct.buffers()
             offsets = np.frombuffer(offsets, np.int32)[distinct.offset : distinct.offset + len(distinct) + 1] if len(distinct) else np.zeros(1, np.int32)
             raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
             vocab = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(single[raw], pa.int32()))
             one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-            return pa.RecordBatch.from_arrays([one(pa.concat_arrays(ids)), one(pa.array(np.concatenate(lengths), pa.int32())), one(coded.indices), one(vocab)], ["ids", "lengths", "numbers", "words"])
+            return pa.RecordBatch.from_arrays([one(pa.concat_arrays(ids)), one(pa.array(np.concatenate(lengths), pa.int32())), one(numbers), one(vocab)], ["ids", "lengths", "numbers", "words"])
 
         ids, lengths, flat, held = [], [], [], 0
         for batch in batches:
@@ -193,7 +206,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str =
     unicode = "(?U)" + pattern  # \s then means all Unicode white space
     words = docs.select(F.col(f"`{id_col}`").alias("id"), F.regexp_extract_all(text, F.lit(unicode), F.lit(0)).alias("words"))
     chunks = _chunks(words, vocabulary.single_bytes(), chunk_bytes)
-    coded = chunks.withColumn("codes", F.transform("words", lambda w: merged(w, vocabulary)))
+    coded = chunks.withColumn("codes", merged_words(F.col("words"), vocabulary))
     return _per_document(coded).withColumnRenamed("id", id_col)
 
 

@@ -203,9 +203,9 @@ def train(docs: DataFrame, order: int = 4, max_docs: int = 5000, refuse: float =
         return None
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, max_docs / n))) for lang, n in sorted(sizes.items())])
     drawn = rows.withColumn("part", F.col("draw") / share).filter("part < 1")
-    counted = gram_counts(drawn.filter("part >= 0.2"), order).toPandas()
+    counted = gram_counts(drawn.filter("part >= 0.2"), order).toArrow().to_pandas()
     if not len(counted):
-        counted = gram_counts(drawn, order).toPandas()
+        counted = gram_counts(drawn, order).toArrow().to_pandas()
     if not len(counted):
         return None
     grams = np.stack(counted["points"].to_numpy())
@@ -213,7 +213,7 @@ def train(docs: DataFrame, order: int = 4, max_docs: int = 5000, refuse: float =
     own = [(counted["lang"] == lang).to_numpy() for lang in languages]
     model = Model(languages, [kneser_ney(grams[m], counted["n"].to_numpy()[m], alphabet) for m in own], alphabet, order)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    back = _with_entropies(drawn.filter("part < 0.2"), shared, ["lang"]).toPandas()
+    back = _with_entropies(drawn.filter("part < 0.2"), shared, ["lang"]).toArrow().to_pandas()
     back = back[(back["chars"] > 0) & back["lang"].isin(languages)]
     if len(back):
         nats, chars = np.stack(back["nats"].to_numpy()), back["chars"].to_numpy(float)

@@ -199,7 +199,7 @@ def train(docs: DataFrame, keep_grams: float = 2.0**-20, keep_words: float = 2.0
     g = F.col("gram")
     keys = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(True).alias("whole"), suffix(g, d + 1).alias("key")) for d in range(ORDER + 1)], *[F.struct(F.lit(d).alias("d"), F.lit(False).alias("whole"), suffix(F.shiftright(g, 8), d).alias("key")) for d in range(ORDER + 1)])
     levels = grams.select(F.explode(keys).alias("x"), "n").groupBy("x.d", "x.whole", "x.key").agg(F.sum("n").alias("n")).filter(F.col("n") >= keep_grams * n_bytes)
-    kept = levels.toPandas().sort_values(["d", "whole", "key"])
+    kept = levels.toArrow().to_pandas().sort_values(["d", "whole", "key"])
 
     def level(d: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
         some = kept[(kept["d"] == d) & (kept["whole"] == whole)]

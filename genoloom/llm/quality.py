@@ -189,7 +189,7 @@ def _features(docs: DataFrame) -> list[tuple]:
                 shape, slots, meta = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tolist() for s in shape], pa.list_(pa.float64())), pa.array([s.tolist() for s in slots], pa.list_(pa.int32())), pa.array([m.tolist() for m in meta], pa.list_(pa.float64()))], ["good", "toxic", "shape", "slots", "meta"])
 
-    got = docs.select("good", "toxic", *_inputs(docs)).mapInArrow(make, "good int, toxic int, shape array<double>, slots array<int>, meta array<double>").orderBy(F.xxhash64("shape", "slots", "meta", "good", "toxic")).toPandas()
+    got = docs.select("good", "toxic", *_inputs(docs)).mapInArrow(make, "good int, toxic int, shape array<double>, slots array<int>, meta array<double>").orderBy(F.xxhash64("shape", "slots", "meta", "good", "toxic")).toArrow().to_pandas()
     return [(r.good, r.toxic, np.asarray(r.shape), np.asarray(r.slots, np.int64), np.asarray(r.meta)) for r in got.set_axis(["good", "toxic", "shape_", "slots", "meta"], axis=1).rename(columns={"shape_": "shape"}).itertuples(index=False, name="Row")]
 
 
