@@ -164,6 +164,8 @@ def _chunks(words: DataFrame, single: np.ndarray, chunk_bytes: int) -> DataFrame
                     ids, lengths, flat, held = [], [], [], 0
         if ids:
             yield row(ids, lengths, flat)
+        del ids, lengths, flat
+        pa.default_memory_pool().release_unused()  # the worker stays and serves other stages
 
     return words.mapInArrow(gather, f"ids array<{kind.simpleString()}>, lengths array<int>, numbers array<int>, words array<array<int>>")
 
@@ -188,6 +190,7 @@ def _per_document(coded: DataFrame) -> DataFrame:
                     where = np.repeat(begins[some] - upto[:-1], n) + np.arange(upto[-1])
                     tokens = pa.ListArray.from_arrays(pa.array(upto[cut - cut[0]], pa.int32()), pa.array(flat[where], pa.int32()))
                     yield pa.RecordBatch.from_arrays([ids.slice(at, step), tokens], ["id", "tokens"])
+        pa.default_memory_pool().release_unused()
 
     return coded.select("ids", "lengths", "numbers", "codes").mapInArrow(spread, f"id {kind.simpleString()}, tokens array<int>")
 
