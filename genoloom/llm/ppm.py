@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,10 @@ from .common import learned_from, table
 #: Bytes that UTF-8 never uses: before a text, and after it. START is not predicted, so 255 symbols are.
 START, END, SYMBOLS = 0xFE, 0xFF, 255
 ORDER = 5
+#: Orders below this are whole in the driver: their grams have at most three bytes, however large the corpus is.
+LOW = 3
+#: Parts that the grams are dealt to by the last LOW bytes of their context.
+BUCKETS = 1024
 
 
 def plain_bytes(text: str | None) -> bytes:
@@ -72,11 +77,11 @@ class Trie:
     after its suffixes, what is excluded depends on the longer context alone and is summed beforehand.
     """
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], contexts: list[tuple[np.ndarray, np.ndarray]]):
-        """grams[d], contexts[d]: sorted keys and counts, d the length of the context."""
-        self.levels: list[Level] = []
-        before = None
-        for d, ((keys, counts), (ctx_keys, ctx_counts)) in enumerate(zip(grams, contexts, strict=True)):
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], contexts: list[tuple[np.ndarray, np.ndarray]], below: Trie | None = None):
+        """grams[d], contexts[d]: sorted keys and counts, d the length of the context; from LOW on where ``below`` has the others."""
+        self.levels: list[Level] = below.levels[:LOW] if below else []
+        before = self.low = below.low if below else None
+        for d, ((keys, counts), (ctx_keys, ctx_counts)) in enumerate(zip(grams, contexts, strict=True), len(self.levels)):
             context = keys >> np.uint64(8)
             own, inverse = np.unique(context, return_inverse=True)
             total = ctx_counts[_found(ctx_keys, own)[0]].astype(float) if len(own) else np.zeros(0)
@@ -94,8 +99,20 @@ class Trie:
             log_counts = np.log(counts - 0.5)
             self.levels.append(Level(keys, log_counts - np.log(total)[inverse], log_counts, own, np.log((total - kept + kinds / 2) / total), below, escape))
             before = (keys, counts.astype(float), own, total, kinds, kept)
+            if d == LOW - 1:
+                self.low = before
         self.last = -math.log(SYMBOLS - len(self.levels[0].grams))
 
+    @classmethod
+    def above(cls, below: Trie, grams: np.ndarray, counts: np.ndarray) -> Trie:
+        """The low orders of ``below`` under the grams of the highest order that share some contexts of LOW bytes: all of them."""
+        def added(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            distinct, inverse = np.unique(keys, return_inverse=True)
+            return distinct, np.bincount(inverse, counts, len(distinct)).astype(np.int64)
+
+        whole = [added(grams & _mask(d + 1)) for d in range(LOW, ORDER + 1)]
+        return cls(whole, [added(grams >> np.uint64(8) & _mask(d)) for d in range(LOW, ORDER + 1)], below)
+
     def log_probabilities(self, packed: np.ndarray) -> np.ndarray:
         """Natural log of the probability of the last byte of each gram after the bytes before it."""
         out, child = np.zeros(len(packed)), np.full(len(packed), -1)  # child: the longer context that was left by an escape
@@ -172,9 +189,10 @@ def count_words_and_grams(docs: DataFrame, part_bytes: int = 4 << 20, max_words:
 
 @dataclass
 class Model:
-    """What scoring needs: the trie, the frequent words, and the sums of the base line."""
+    """What scoring needs: all counted grams, the trie of the frequent ones, the frequent words, and the sums of the base line."""
 
-    trie: Trie
+    trie: Trie  # orders from LOW on hold frequent grams only
+    grams: DataFrame  # (gram, n)
     frequent: dict[bytes, int]
     tokens: int
     kinds: int
@@ -184,9 +202,11 @@ class Model:
 def train(docs: DataFrame, keep_grams: float = 2.0**-20, keep_words: float = 2.0**-20) -> tuple[Model, DataFrame]:
     """The model of all texts of ``docs``, and the table (word, n) of the words that are not in it.
 
-    Counts cover all texts. Of each order the grams come to the driver that make up at least a share
-    ``keep_grams`` of all bytes, so at most 1 / keep_grams of them however large the corpus is; their
-    contexts have exact totals. The same holds for words; all other words stay in the table.
+    Counts cover all texts, and all of them stay in the written table. The grams of the lowest orders
+    come to the driver, and of each other order those that make up at least a share ``keep_grams`` of
+    all bytes, so at most 1 / keep_grams of them however large the corpus is; their contexts have
+    exact totals. The share only says which grams need no look-up in the table; no score depends on
+    it. The same holds for words.
     """
     counts = written(count_words_and_grams(docs), "ppm-counts")
     words, grams = counts.filter("word IS NOT NULL").select("word", "n"), counts.filter("gram IS NOT NULL").select("gram", "n")
@@ -198,7 +218,7 @@ def train(docs: DataFrame, keep_grams: float = 2.0**-20, keep_words: float = 2.0
 
     g = F.col("gram")
     keys = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(True).alias("whole"), suffix(g, d + 1).alias("key")) for d in range(ORDER + 1)], *[F.struct(F.lit(d).alias("d"), F.lit(False).alias("whole"), suffix(F.shiftright(g, 8), d).alias("key")) for d in range(ORDER + 1)])
-    levels = grams.select(F.explode(keys).alias("x"), "n").groupBy("x.d", "x.whole", "x.key").agg(F.sum("n").alias("n")).filter(F.col("n") >= keep_grams * n_bytes)
+    levels = grams.select(F.explode(keys).alias("x"), "n").groupBy("x.d", "x.whole", "x.key").agg(F.sum("n").alias("n")).filter((F.col("d") < LOW) | (F.col("n") >= keep_grams * n_bytes))
     kept = levels.toArrow().to_pandas().sort_values(["d", "whole", "key"])
 
     def level(d: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -209,36 +229,143 @@ def train(docs: DataFrame, keep_grams: float = 2.0**-20, keep_words: float = 2.0
     floor = keep_words * n_words
     frequent = {bytes(r["word"]): r["n"] for r in words.filter(F.col("n") >= floor).collect()}
     some = int(ends > 0)
-    return Model(trie, frequent, int(n_words + ends), int(kinds + some), int(ends)), words.filter(F.col("n") < floor)
+    return Model(trie, grams, frequent, int(n_words + ends), int(kinds + some), int(ends)), words.filter(F.col("n") < floor)
+
+
+def _frequent_part(trie: Trie, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per text the log probability of its frequent grams; the distinct other grams, how often each occurs, and the texts it occurs in."""
+    packed, sizes = packed_grams(texts)
+    codes, distinct = pd.factorize(packed)
+    top = trie.levels[-1]
+    at, seen = _found(top.grams, distinct)
+    log_p = np.zeros(len(distinct))
+    log_p[seen] = top.log_top[at[seen]]
+    scores = np.add.reduceat(log_p[codes], np.cumsum(sizes) - sizes)
+    rest = np.flatnonzero(~seen[codes])
+    places = rest[np.argsort(codes[rest], kind="stable")]
+    return scores, distinct[~seen], np.bincount(codes[rest], minlength=len(distinct))[~seen], np.repeat(np.arange(len(texts), dtype=np.uint32), sizes)[places]
+
+
+def _bucket(context):
+    """Of the last LOW bytes of a context; for arrays and columns."""
+    return context * 0x9E3779B1 % (1 << 32) % 999_983 % BUCKETS
+
+
+def _planes(values: np.ndarray, kind: str) -> bytes:
+    return values.astype(kind).view(np.uint8).reshape(len(values), np.dtype(kind).itemsize).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def packed_rest(grams: np.ndarray, times: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Buckets, and for each its grams, how often each occurs and the texts it occurs in, as compressed byte planes."""
+    context = grams >> np.uint64(8) & _mask(LOW)
+    bucket = _bucket(context)
+    order = np.argsort(bucket << np.uint64(48) | context << np.uint64(24) | grams >> np.uint64(32) << np.uint64(8) | grams & np.uint64(255))
+    begins = (np.cumsum(times) - times)[order]
+    grams, times, bucket = grams[order], times[order], bucket[order]
+    ends = np.cumsum(times)
+    places = places[np.repeat(begins - (ends - times), times) + np.arange(len(places))]
+    own, first = np.unique(bucket, return_index=True)
+    pack, out = zstandard.ZstdCompressor(level=1).compress, []
+    for a, b in zip(first, np.append(first[1:], len(grams)), strict=False):
+        out.append(pack(np.int64(b - a).tobytes() + _planes(grams[a:b], "<u8") + _planes(times[a:b], "<u4") + _planes(places[ends[a] - times[a] : ends[b - 1]], "<u4")))
+    return own.astype(np.int64), out
+
+
+def unpacked_rest(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    return _from_planes(data[8 : 8 + 8 * n], "<u8"), _from_planes(data[8 + 8 * n : 8 + 12 * n], "<u4"), _from_planes(data[8 + 12 * n :], "<u4")
+
+
+def rest_scores(seen: DataFrame, model: Model, held_places: int = 1 << 20) -> DataFrame:
+    """(row, score) from (bucket, chunk, packed): the log probability of each gram, added up per text as far as they are held.
+
+    Grams are dealt by the last LOW bytes of their context together with all counted grams. So a task
+    has every gram and context of the orders from LOW on that its grams can escape to, and the
+    lower orders are broadcast: the trie is whole for them. Counts come first in each bucket and are
+    held; the grams to score stream past.
+    """
+    none = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * (ORDER + 1 - LOW)
+    shared = seen.sparkSession.sparkContext.broadcast(Trie(none, none, model.trie))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        below, unpack = shared.value, zstandard.ZstdDecompressor().decompress
+        current, counts, trie = None, [], None
+        rows, log_p, size = [], [], 0
+
+        def summed() -> pa.RecordBatch:
+            codes, distinct = pd.factorize(np.concatenate(rows))
+            return pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(np.bincount(codes, np.concatenate(log_p), len(distinct)) / math.log(10))], ["row", "score"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, counted = batch.column(0).to_numpy(), batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(counted.astype(np.int8)) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                some = batch.slice(a, b - a)
+                if bucket[a] != current:
+                    current, counts, trie = bucket[a], [], None
+                if counted[a]:
+                    counts.append((some.column(3).to_numpy().astype(np.uint64), some.column(4).to_numpy()))
+                    continue
+                if trie is None:
+                    trie = Trie.above(below, *(np.concatenate(x) for x in zip(*counts, strict=True))) if counts else below
+                    counts = []
+                chunks, packed, at = some.column(1).to_numpy(), some.column(2).to_pylist(), 0
+                while at < len(packed):
+                    held, n = [], 0
+                    while at < len(packed) and n < held_places // 4:
+                        grams, times, places = unpacked_rest(unpack(packed[at]))
+                        held.append((grams, times, chunks[at] + places))
+                        n, at = n + len(places), at + 1
+                    grams, times, places = (np.concatenate(x) for x in zip(*held, strict=True))
+                    rows.append(places)
+                    log_p.append(np.repeat(trie.log_probabilities(grams), times))
+                    size += len(places)
+                    if size >= held_places:
+                        yield summed()
+                        rows, log_p, size = [], [], 0
+        if size:
+            yield summed()
+
+    bucket = _bucket(F.shiftright("gram", 8).bitwiseAND((1 << 8 * LOW) - 1)).alias("bucket")
+    counts = model.grams.select(bucket, F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("binary").alias("packed"), "gram", "n")
+    both = counts.unionByName(seen.select("bucket", "chunk", "packed", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("long").alias("n")))
+    return both.repartition("bucket").sortWithinPartitions(F.col("bucket"), F.col("chunk").asc_nulls_first()).mapInArrow(look_up, "row long, score double")
 
 
 def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 4 << 20) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) per row; scores are log10 probabilities.
 
-    The frequent words are counted in the task. The other words of a text are looked up by a join on
-    the word, one row per text and distinct word; the row of the text itself travels along under a
-    key of its own and is completed by a sum, so that no text is shuffled and no key is hot.
+    The frequent words and grams are counted in the task. The other words of a text are looked up by a
+    join on the word, one row per text and distinct word; the other grams of a chunk of texts once
+    for all their places in it. The row of the text itself travels along under a key of its own and
+    is completed by a sum, so that no text is shuffled and no key is hot.
 
     Cases: a null or empty text is the end alone; repeated rows and null ids are scored each; a text
     of any length is read whole; other columns are ignored; if nothing was learned the trie is
     uniform and each token has base probability 1.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.trie, model.frequent, model.ends))
     kind = docs.schema[id_col].dataType
-    names = ["row", "doc", "own", "word", "n", "known", "base", "score"]
+    names = ["row", "doc", "own", "word", "n", "known", "base", "score", "bucket", "packed"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        frequent = {w: math.log10(f + 1) for w, f in m.frequent.items()}.get
+        trie, counted, ends = shared.value
+        frequent = {w: math.log10(f + 1) for w, f in counted.items()}.get
         task, serial = TaskContext.get().partitionId() << 36, 0
         for batch in batches:
             ids, at = batch.column(0), 0
             for texts in _parts([plain_bytes(t) for t in batch.column(1).to_pylist()], part_bytes):
-                scores, first = m.trie.code_lengths(texts), serial
+                (scores, grams, times, places), first = _frequent_part(trie, texts), serial
                 n, known, base, rest_row, rest_word, rest_n = [], [], [], [], [], []
                 for t in texts:
                     words = t.split()
-                    here, weight, rest = int(m.ends > 0), math.log10(m.ends + 1), len(rest_word)
+                    here, weight, rest = int(ends > 0), math.log10(ends + 1), len(rest_word)
                     for w, c in Counter(words).items():
                         log = frequent(w)
                         if log is None:
@@ -253,19 +380,27 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id"
                     serial += 1
                 rows = np.arange(first, serial) + task
                 keys = [b" %d" % r for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(rows), ids.slice(at, len(texts)), pa.array(np.ones(len(texts), bool)), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(scores / math.log(10))], names)
+
+                def filled(size: int, **columns: pa.Array) -> pa.RecordBatch:
+                    kinds = [pa.int64(), ids.type, pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary()]  # noqa: B023
+                    return pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(size, k)) for name, k in zip(names, kinds, strict=True)], names)
+
+                yield filled(len(texts), row=pa.array(rows), doc=ids.slice(at, len(texts)), own=pa.array(np.ones(len(texts), bool)), word=pa.array(keys, pa.binary()), n=pa.array(n, pa.int64()), known=pa.array(known, pa.int64()), base=pa.array(base), score=pa.array(scores / math.log(10)))
                 k = len(rest_row)
-                yield pa.RecordBatch.from_arrays([pa.array(rest_row, pa.int64()), pa.nulls(k, ids.type), pa.array(np.zeros(k, bool)), pa.array(rest_word, pa.binary()), pa.array(rest_n, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64())], names)
+                yield filled(k, row=pa.array(rest_row, pa.int64()), own=pa.array(np.zeros(k, bool)), word=pa.array(rest_word, pa.binary()), n=pa.array(rest_n, pa.int64()))
+                buckets, packed = packed_rest(grams, times, places)
+                yield filled(len(packed), row=pa.array(np.full(len(packed), task + first)), bucket=pa.array(buckets), packed=pa.array(packed, pa.binary()))
                 at += len(texts)
 
-    schema = f"row long, doc {kind.simpleString()}, own boolean, word binary, n long, known long, base double, score double"
-    seen = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(scan, schema)
-    both = seen.join(rare.select("word", F.col("n").alias("c")), "word", "left")
-    whole = both.groupBy("row").agg(
+    schema = f"row long, doc {kind.simpleString()}, own boolean, word binary, n long, known long, base double, score double, bucket long, packed binary"
+    seen = written(docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(scan, schema), "ppm-seen")
+    rest = rest_scores(seen.filter("bucket IS NOT NULL").select("bucket", F.col("row").alias("chunk"), "packed"), model)
+    both = seen.filter("bucket IS NULL").drop("bucket", "packed").join(rare.select("word", F.col("n").alias("c")), "word", "left")
+    whole = both.unionByName(rest, allowMissingColumns=True).groupBy("row").agg(
         F.max("doc").alias(id_col), F.max(F.when(F.col("own"), F.col("n"))).alias("n_tokens"),
         (F.sum("known") + F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("n"))), F.lit(0))).alias("n_known"),
         (F.sum("base") + F.coalesce(F.sum(F.col("n") * F.log10(F.col("c") + 1)), F.lit(0.0))).alias("weight"),
-        F.max("score").alias("score"),
+        F.sum("score").alias("score"),
     )
     each = math.log10(model.tokens + model.kinds + 1)
     return whole.select(id_col, "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("weight") - F.col("n_tokens") * each).alias("base_score"), "score")

@@ -223,6 +223,19 @@ def test_ppm_equals_dictionaries_and_adds_up(spark):
     assert ppm.score(docs(spark, []), model, rare).count() == 0
 
 
+def test_ppm_scores_by_all_counted_grams(spark):
+    """By the defaults, on more text than 1 / keep_grams: grams that occur once or never are scored as the whole trie says."""
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefgh é"), 6)) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words, 6000)) for _ in range(30)] + ["seldom Σ", "x" * 40]
+    probe = ["seldom Σ", "seldom words", "never 語", "", None, " ".join(words[:50]), texts[3], "x" * 30 + words[0]]
+    model, rare = ppm.train(docs(spark, list(enumerate(texts))))
+    assert sum(len(t.encode()) for t in texts) > 1 << 20 and len(model.trie.levels[-1].grams) < model.grams.count()
+    out = {r["doc_id"]: r["score"] * math.log(10) for r in ppm.score(docs(spark, list(enumerate(probe))), model, rare, part_bytes=100).collect()}
+    naive = naive_ppm([ppm.plain_bytes(t) for t in texts], ppm.ORDER)
+    assert [out[i] for i in range(len(probe))] == pytest.approx([naive(ppm.plain_bytes(t)) for t in probe])
+
+
 def test_kneser_ney_adds_up():
     rng = np.random.default_rng(0)
     texts = ["".join(rng.choice(list("abc d"), 60)) for _ in range(20)]
