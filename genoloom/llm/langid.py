@@ -189,23 +189,24 @@ def _with_entropies(docs: DataFrame, shared, names: list[str], chunk_chars: int
     return docs.select(*[F.col(f"`{n}`") for n in names], "text").mapInArrow(score, f"{schema}, chars long, nats array<double>")
 
 
-def train(docs: DataFrame, order: int = 4, max_docs: int = 5000, refuse: float = 0.001) -> Model | None:
+def train(docs: DataFrame, order: int = 4, max_docs: int = 5000, refuse: float = 0.001, enough: int = 20) -> Model | None:
     """A model from ``docs`` (lang, text, and a ``draw`` number in [0, 1) that says which rows are drawn first).
 
     Of each language about ``max_docs`` rows are drawn, evenly; a fifth of them is kept back for the
-    calibration: a logistic curve from margins to the probability of being right, and per language
+    calibration, but only where at least ``enough`` rows are outside the lowest fifth of the draw. A
+    rarer language is learned from all its rows. The calibration gives a logistic curve from margins to the probability of being right, and per language
     the cross-entropy that only a share ``refuse`` of its texts exceeds. Gram counts come to the
     driver; their number is bounded by the sample. None if there is nothing to learn from.
     """
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("draw") >= 0.2).alias("rest")).collect()
+    sizes, split = {r["lang"]: r["n"] for r in found}, [r["lang"] for r in found if r["rest"] >= enough]
     if not sizes:
         return None
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, max_docs / n))) for lang, n in sorted(sizes.items())])
     drawn = rows.withColumn("part", F.col("draw") / share).filter("part < 1")
-    counted = gram_counts(drawn.filter("part >= 0.2"), order).toArrow().to_pandas()
-    if not len(counted):
-        counted = gram_counts(drawn, order).toArrow().to_pandas()
+    kept_back = (F.col("part") < 0.2) & F.col("lang").isin(split)
+    counted = gram_counts(drawn.filter(~kept_back), order).toArrow().to_pandas()
     if not len(counted):
         return None
     grams = np.stack(counted["points"].to_numpy())
@@ -213,7 +214,7 @@ def train(docs: DataFrame, order: int = 4, max_docs: int = 5000, refuse: float =
     own = [(counted["lang"] == lang).to_numpy() for lang in languages]
     model = Model(languages, [kneser_ney(grams[m], counted["n"].to_numpy()[m], alphabet) for m in own], alphabet, order)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    back = _with_entropies(drawn.filter("part < 0.2"), shared, ["lang"]).toArrow().to_pandas()
+    back = _with_entropies(drawn.filter(kept_back), shared, ["lang"]).toArrow().to_pandas()
     back = back[(back["chars"] > 0) & back["lang"].isin(languages)]
     if len(back):
         nats, chars = np.stack(back["nats"].to_numpy()), back["chars"].to_numpy(float)

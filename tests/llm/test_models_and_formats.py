@@ -265,6 +265,13 @@ def test_language_cases(spark):
     assert {r["lang_pred"] for r in langid.identify(probe, None).collect()} == {"und"}
 
 
+def test_rare_language_is_learned(spark):
+    rows = [(i, f"lorem ipsum dolor {i}", "aa", i / 60) for i in range(60)] + [(60, "кот пёс дом", "bb", 0.1)]
+    model = langid.train(docs(spark, rows, ", lang string, draw double"))
+    assert model.languages == ["aa", "bb"]
+    assert langid.identify(docs(spark, [(1, "пёс дом")]), model).first()["lang_pred"] == "bb"
+
+
 def test_quality_cases(spark):
     rng = np.random.default_rng(0)
     common = [f"word{i}" for i in range(300)]
