@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, langid, line_dedup, media, near_dup, ppm, quality, warc
+from . import bpe, chat, decontaminate, langid, line_dedup, media, near_dup, periodic, ppm, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_zstd": warc.query,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": langid.query,
     "op9_quality": quality.query,
     "op10_line_dedup": line_dedup.query,
+    "op11_periodic_runs": periodic.query,
 }
 CHECKS: dict[str, str] = {
     "op1_warc_zstd": warc.ORACLE,
