@@ -228,7 +228,7 @@ ORACLE = r"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
-g AS (SELECT lang, k.k, unnest(list_transform(range(1, len(ws) - k.k + 2), i -> array_to_string(ws[i:i + k.k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) k(k) WHERE len(ws) >= k.k),
+g AS (SELECT lang, k.k, unnest(list_transform(range(1, len(ws) - k.k + 2), lambda i: array_to_string(ws[i:i + k.k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) k(k) WHERE len(ws) >= k.k),
 f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
 n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
 c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 30),
@@ -237,7 +237,7 @@ s AS (SELECT x.lang, x.phrase, x.k, a, cut, p1.f AS l, p2.f AS r, (2000000 * a)
       FROM x JOIN f p1 ON p1.lang = x.lang AND p1.phrase = array_to_string(ws[1:cut], ' ') AND p1.k = cut
       JOIN f p2 ON p2.lang = x.lang AND p2.phrase = array_to_string(ws[cut + 1:], ' ') AND p2.k = x.k - cut),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
-i AS (SELECT lang, a AS longer, unnest(list_transform(list_filter(list_transform(range(0, 12), j -> [j // 4 + 1, j % 4 + 2]), e -> e[2] < k AND e[1] + e[2] - 1 <= k), e -> array_to_string(ws[e[1]:e[1] + e[2] - 1], ' '))) AS phrase FROM c WHERE k > 2),
+i AS (SELECT lang, a AS longer, unnest(list_transform(list_filter(list_transform(range(0, 12), lambda j: [j // 4 + 1, j % 4 + 2]), lambda e: e[2] < k AND e[1] + e[2] - 1 <= k), lambda e: array_to_string(ws[e[1]:e[1] + e[2] - 1], ' '))) AS phrase FROM c WHERE k > 2),
 m AS (SELECT lang, phrase, max(longer) AS longer FROM i GROUP BY ALL)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
 FROM b JOIN n USING (lang) LEFT JOIN m USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a
