@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, collocations, decontaminate, langid, line_dedup, media, near_dup, periodic, ppm, quality, warc
+from . import bpe, chat, collocations, decontaminate, langid, line_dedup, media, near_dup, pages, periodic, ppm, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_zstd": warc.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": quality.query,
     "op10_line_dedup": line_dedup.query,
     "op11_periodic_runs": periodic.query,
+    "op12_main_text": pages.query,
     "op13_collocations": collocations.query,
 }
 CHECKS: dict[str, str] = {
