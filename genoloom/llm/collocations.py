@@ -17,7 +17,6 @@ from .shingles import MULTIPLIER, mix
 
 PIECE, WORD = re.compile(r"[.,;:!?\x0A-\x0D]"), re.compile(r"[^\x20\x09]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
-LONGS, INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
 
 
 def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -26,22 +25,30 @@ def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return (mix(left.view(np.uint64)) + right.view(np.uint64) * MULTIPLIER).view(np.int64)
 
 
+def _listed(values, kind=None) -> pa.Array:
+    """A list column of one row."""
+    flat = pa.array(values, kind)
+    return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
+
+
 def occurrences(docs: DataFrame, text_col: str, lang: Column, chunk_words: int) -> DataFrame:
-    """Relation 1 (chunk, lang, words, ids, counts, codes): the occurrences of words, sorted by piece and position.
+    """Relation 1 (chunk, lang, gaps, codes, ids, n, words): the occurrences of words, sorted by piece and position.
 
     A row holds the texts of one language met by one task, about ``chunk_words`` words of them (a
-    longer text alone). ``codes`` are its occurrences in order: 0 ends a piece, i stands for the
-    i-th distinct word. ``ids`` are 64-bit hashes of language and word.
+    longer text alone). An occurrence is the distance ``gaps`` from the one before, a place being left
+    free between pieces, and the number ``codes`` of its word; ``ids`` (64-bit hashes of language and
+    word), ``n`` (occurrences) and ``words`` are listed once per chunk.
     """
 
     def flush(key: str, held: dict[str, int], codes: list[np.ndarray], number: int) -> pa.RecordBatch:
-        flat = np.concatenate(codes).astype(np.int32)
+        flat = np.concatenate(codes)
+        at = np.flatnonzero(flat)
         own = xxhash.xxh64_intdigest(key.encode())
-        ids = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), own) for w in held], np.uint64).view(np.int64)
-        counts = np.bincount(flat, minlength=len(held) + 1)[1:]
+        ids = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), own) for w in held), np.uint64, len(held)).view(np.int64)
+        counts = np.bincount(flat[at] - 1, minlength=len(held))
         return pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int64()), pa.array([key]), pa.array([list(held)], pa.list_(pa.string())), pa.array([ids], LONGS), pa.array([counts], LONGS), pa.array([flat], INTS)],
-            ["chunk", "lang", "words", "ids", "counts", "codes"],
+            [pa.array([number]), pa.array([key]), _listed(np.diff(at, prepend=0).astype(np.int32)), _listed(flat[at] - 1), _listed(ids), _listed(counts), _listed(list(held), pa.string())],
+            ["chunk", "lang", "gaps", "codes", "ids", "n", "words"],
         )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,98 +76,123 @@ def occurrences(docs: DataFrame, text_col: str, lang: Column, chunk_words: int)
                 number += 1
 
     rows = docs.select(lang.alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(read, "chunk long, lang string, words array<string>, ids array<long>, counts array<long>, codes array<int>")
+    return rows.mapInArrow(read, "chunk long, lang string, gaps array<int>, codes array<int>, ids array<long>, n array<long>, words array<string>")
+
+
+def _numbers(column: pa.Array, i: int) -> np.ndarray:
+    return column[i].values.to_numpy()
 
 
-def _kept(relation: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Semi-join of a relation (chunk, gaps, codes, ids) with (chunk, wanted): only occurrences of wanted phrases stay."""
+def _counted(relation: DataFrame, min_count: int) -> DataFrame:
+    """Group count: (chunk, ids, own, f) of the phrases of a chunk that occur ``min_count`` times in all chunks.
 
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A chunk sends each of its phrases once, with its count, to the bucket of the phrase's id, packed in
+    one row per chunk and bucket; the answers go back the same way. ``f`` is the count over all
+    chunks. The lowest chunk with a phrase owns it (``own``), which names every phrase once.
+    """
+    buckets = 4 * int(relation.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                gaps, codes, ids, wanted = (batch.column(j)[i].values.to_numpy() for j in range(1, 5))
-                stays = np.isin(ids, wanted)
-                at, keep = np.cumsum(gaps, dtype=np.int64), stays[codes]
-                number = np.cumsum(stays) - 1
-                at = at[keep]
+                ids, n = _numbers(batch.column(1), i), _numbers(batch.column(2), i)
+                bucket = (ids.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((ids, bucket))
+                number, first = np.unique(bucket[order], return_index=True)
+                cuts = [order[a:b] for a, b in zip(first, np.append(first[1:], len(order))[: len(first)], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1), pa.array([np.diff(at, prepend=0).astype(np.int32)], INTS), pa.array([number[codes[keep]].astype(np.int32)], INTS), pa.array([ids[stays]], LONGS)],
-                    ["chunk", "gaps", "codes", "ids"],
+                    [pa.array(number), pa.repeat(batch.column(0)[i], len(number)), pa.array([ids[c].tobytes() for c in cuts], pa.binary()), pa.array([n[c].tobytes() for c in cuts], pa.binary())], ["bucket", "chunk", "ids", "n"]
                 )
 
-    rows = relation.select("chunk", "gaps", "codes", "ids").join(frequent, "chunk")
-    return rows.mapInArrow(narrow, "chunk long, gaps array<int>, codes array<int>, ids array<long>")
-
-
-def _extend(relation: DataFrame) -> DataFrame:
-    """Merge-join of a relation with itself on adjacent positions: (chunk, gaps, codes, ids, left, right, n) of phrases one word longer."""
+    def count(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("chunk")
+        parts = [np.frombuffer(b, np.int64) for b in rows.column("ids").to_pylist()]
+        values, first, back = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+        total = np.bincount(back, np.concatenate([np.frombuffer(b, np.int64) for b in rows.column("n").to_pylist()])).astype(np.int64)
+        stays, own = (total >= min_count)[back], np.zeros(len(back), bool)
+        own[first] = True
+        out, at = {"chunk": [], "ids": [], "own": [], "f": []}, 0
+        for chunk, part in zip(rows.column("chunk").to_pylist(), parts, strict=True):
+            here = slice(at, at + len(part))
+            keep = stays[here]
+            at += len(part)
+            if keep.any():
+                for name, value in (("chunk", chunk), ("ids", part[keep].tobytes()), ("own", own[here][keep].tobytes()), ("f", total[back[here]][keep].tobytes())):
+                    out[name].append(value)
+        return pa.table({"chunk": pa.array(out["chunk"], pa.int64()), **{c: pa.array(out[c], pa.binary()) for c in ("ids", "own", "f")}})
+
+    pieces = relation.select("chunk", "ids", "n").mapInArrow(deal, "bucket long, chunk long, ids binary, n binary")
+    return pieces.groupBy("bucket").applyInArrow(count, "chunk long, ids binary, own binary, f binary")
+
+
+def _extended(relation: DataFrame, frequent: DataFrame, named: list[str]) -> DataFrame:
+    """Semi-join and merge-join: the relation of phrases one word longer, and the names of the frequent phrases.
+
+    Occurrences of phrases that are not frequent go; those at adjacent positions are joined. A row
+    (chunk, gaps, codes, ids, left, right, n) is the new relation of a chunk, ``name_id``, ``name_f``
+    and ``name_*`` (the columns ``named``) are the frequent phrases that the chunk owns.
+    """
+    answers = frequent.groupBy("chunk").agg(F.collect_list(F.struct("ids", "own", "f")).alias("wanted"))
+    rows = relation.join(answers, "chunk").select("chunk", "wanted", "gaps", "codes", "ids", *named)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                gaps, codes, ids = (batch.column(j)[i].values.to_numpy() for j in range(1, 4))
-                at = np.cumsum(gaps, dtype=np.int64)
+                answer = batch.column(1)[i].as_py()
+                wanted, f = (np.concatenate([np.frombuffer(x[c], np.int64) for x in answer]) for c in ("ids", "f"))
+                own = np.concatenate([np.frombuffer(x["own"], bool) for x in answer])
+                order = np.argsort(wanted)
+                wanted, f, own = wanted[order], f[order], own[order]
+                gaps, codes, ids = (_numbers(batch.column(j), i) for j in (2, 3, 4))
+                place = np.minimum(np.searchsorted(wanted, ids), len(wanted) - 1)
+                stays = wanted[place] == ids
+                names = np.flatnonzero(stays & own[place])
+                keep = stays[codes]
+                at, codes = np.cumsum(gaps, dtype=np.int64)[keep], codes[keep]
                 first = np.flatnonzero(np.diff(at) == 1)
                 pairs, code, n = np.unique(codes[first].astype(np.int64) << 32 | codes[first + 1], return_inverse=True, return_counts=True)
                 left, right = ids[pairs >> 32], ids[pairs & 0xFFFFFFFF]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1), pa.array([np.diff(at[first], prepend=0).astype(np.int32)], INTS), pa.array([code.astype(np.int32)], INTS)]
-                    + [pa.array([x], LONGS) for x in (_joined(left, right), left, right, n)],
-                    ["chunk", "gaps", "codes", "ids", "left", "right", "n"],
+                    [batch.column(0).slice(i, 1), _listed(np.diff(at[first], prepend=0).astype(np.int32)), _listed(code.astype(np.int32))]
+                    + [_listed(x) for x in (_joined(left, right), left, right, n, ids[names], f[place[names]])]
+                    + [_listed(batch.column(5 + j)[i].values.take(pa.array(names))) for j in range(len(named))],
+                    ["chunk", "gaps", "codes", "ids", "left", "right", "n", "name_id", "name_f", *[f"name_{c}" for c in named]],
                 )
 
-    schema = "chunk long, gaps array<int>, codes array<int>, ids array<long>, left array<long>, right array<long>, n array<long>"
-    return relation.select("chunk", "gaps", "codes", "ids").mapInArrow(join, schema)
-
+    kinds = {"words": "string", "left": "long", "right": "long"}
+    schema = "chunk long, gaps array<int>, codes array<int>, ids array<long>, left array<long>, right array<long>, n array<long>, name_id array<long>, name_f array<long>"
+    return rows.mapInArrow(join, ", ".join([schema, *[f"name_{c} array<{kinds[c]}>" for c in named]]))
 
-def _counted(groups: DataFrame, min_count: int) -> DataFrame:
-    """Groups (chunk, id, n, more) whose n over all chunks reaches ``min_count``, with that sum as f. One shuffle counts and filters."""
-    return groups.withColumn("f", F.sum("n").over(Window.partitionBy("id"))).filter(F.col("f") >= min_count).drop("n")
 
-
-def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 4, min_count: int = 30, chunk_words: int = 1 << 21) -> tuple[DataFrame, list[DataFrame]]:
+def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 4, min_count: int = 30, chunk_words: int = 1 << 20) -> tuple[DataFrame, list[DataFrame]]:
     """The number of words per language, and per length the phrases (lang, id, left, right, phrase, last, f) that occur ``min_count`` times.
 
     1. Relation 1 is written: the occurrences of words in order of piece and position, packed per chunk.
-    2. Groups of a relation are counted: a row per chunk and phrase goes to the phrase, chunks with a
-       frequent phrase are told so, and the relation keeps the occurrences of those phrases alone.
-    3. Occurrences at adjacent positions are merged to phrases one word longer, and written again.
+    2. The groups of a relation are counted over all chunks; a phrase travels once per chunk, however
+       often it occurs.
+    3. The relation keeps the occurrences of frequent phrases, those at adjacent positions are merged
+       to phrases one word longer, and these are written as the next relation.
 
-    A phrase travels once per chunk, however often it occurs, and so does its answer. ``left`` and
-    ``right`` are the ids of the phrase without its last and without its first word.
+    ``left`` and ``right`` are the ids of the phrase without its last and without its first word.
     """
     lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und"))
-    words = written(occurrences(docs, text_col, lang, chunk_words), "occurrences-1")
-    totals = words.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
-
-    groups = words.select("chunk", "lang", F.explode(F.arrays_zip("ids", "counts", "words")).alias("g")).select("chunk", "lang", F.col("g.ids").alias("id"), F.col("g.counts").alias("n"), F.col("g.words").alias("phrase"))
-    seen = written(_counted(groups, min_count), "frequent-1")
-    none = F.lit(None).cast("long")
-    levels = [seen.groupBy("id").agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase"), F.first("f").alias("f")).select("lang", "id", none.alias("left"), none.alias("right"), "phrase", F.col("phrase").alias("last"), "f")]
-
-    # relation 1 with the place of each occurrence: pieces end with a code 0, which takes a place and no row
-    first = words.select("chunk", "codes", "ids").mapInArrow(_placed, "chunk long, gaps array<int>, codes array<int>, ids array<long>")
-    relation = first
-    for k in range(2, max_words + 1):
-        wanted = seen.groupBy("chunk").agg(F.collect_list("id").alias("wanted"))
-        relation = written(_extend(_kept(relation, wanted)), f"occurrences-{k}")
-        groups = relation.select("chunk", F.explode(F.arrays_zip("ids", "left", "right", "n")).alias("g")).select("chunk", F.col("g.ids").alias("id"), F.col("g.left").alias("left"), F.col("g.right").alias("right"), F.col("g.n").alias("n"))
-        seen = written(_counted(groups, min_count), f"frequent-{k}")
+    relation = written(occurrences(docs, text_col, lang, chunk_words), "occurrences-1")
+    totals = relation.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
+    chunks, levels, none = relation.select("chunk", "lang"), [], F.lit(None).cast("long")
+    for k in range(1, max_words + 1):
+        named = ["words"] if k == 1 else ["left", "right"]
+        relation = written(_extended(relation, _counted(relation, min_count), named), f"occurrences-{k + 1}")
+        names = ["id", "f", *named]
+        found = relation.select("chunk", F.explode(F.arrays_zip(*[F.col(f"name_{c}").alias(c) for c in names])).alias("p")).select("chunk", *[F.col(f"p.{c}").alias(c) for c in names])
+        if k == 1:
+            levels.append(found.join(chunks, "chunk").select("lang", "id", none.alias("left"), none.alias("right"), F.col("words").alias("phrase"), F.col("words").alias("last"), "f"))
+            continue
         shorter = levels[-1]
-        found = seen.groupBy("id").agg(F.first("left").alias("left"), F.first("right").alias("right"), F.first("f").alias("f"))
         found = found.join(shorter.select(F.col("id").alias("left"), "lang", "phrase"), "left").join(shorter.select(F.col("id").alias("right"), "last"), "right")
         levels.append(written(found.select("lang", "id", "left", "right", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f"), f"phrases-{k}"))
     return totals, levels
 
 
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            codes = batch.column(1)[i].values.to_numpy()
-            at = np.flatnonzero(codes)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([np.diff(at, prepend=0).astype(np.int32)], INTS), pa.array([codes[at] - 1], INTS), batch.column(2).slice(i, 1)], ["chunk", "gaps", "codes", "ids"])
-
-
 def _cuts(levels: list[DataFrame]) -> DataFrame:
     """(id, words, k, l, r): every cut of every phrase of two words and more, with the counts of both parts."""
     # chains[k] holds each phrase of k words with the ids of its first 1 .. k-1 and its last 1 .. k-1 words
@@ -193,7 +225,7 @@ def _covers(levels: list[DataFrame]) -> DataFrame:
 
 
 def collocations(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 4, min_count: int = 30, scale: int = 2_000_000, covered: int = 80, top: int = 2000, chunk_words: int = 1 << 21,
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 4, min_count: int = 30, scale: int = 2_000_000, covered: int = 80, top: int = 2000, chunk_words: int = 1 << 20,
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of two to ``max_words`` (at least 3) words per language.
 
