@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from .exprs import col
 
 Keys = Sequence[str]
+#: Distinct values one task ranks at a time, and sampled values per such range.
+RANGE_ROWS = 1 << 16
+SAMPLES = 64
 
 
 def _ordered(keys: Keys, value: str | Column, descending: bool, *then: Column):
@@ -95,19 +98,51 @@ def top_set(
     return top.filter(F.col("_rn") <= F.greatest(F.col("_k"), F.lit(1))).drop("_rn", "_rk", "_last", "_n", "_k")
 
 
+def range_splits(dist: DataFrame, keys: Keys, value: str, range_rows: int, *carried: str) -> DataFrame:
+    """(keys, _splits): sorted values that cut a group's distinct values into ranges of about ``range_rows``.
+
+    A value is in the sample if its hash is a multiple of ``range_rows / 64``, so about 64 sampled
+    values fall into each range whatever the distribution; every 64th is a split. The sample depends
+    on the values alone: it is the same wherever and however often it is drawn. Groups with fewer
+    than 64 sampled values have no row; they are one range. ``carried`` columns are read, which keeps
+    the plan below the same as in other branches, so that its shuffle runs once.
+    """
+    rate = max(range_rows // SAMPLES, 1)
+    held = F.lit(True)
+    for c in carried:
+        held = held & F.col(c).isNotNull()
+    # one condition over grouped and counted columns, which cannot be moved below the grouping
+    sampled = dist.filter(F.when(held, F.pmod(F.xxhash64(value), F.lit(rate)) == 0))
+    ordered = sampled.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_s"))
+    return ordered.filter(F.size("_s") >= SAMPLES).select(*keys, F.filter("_s", lambda x, i: i % SAMPLES == SAMPLES - 1).alias("_splits"))
+
+
+def range_of(value: str, splits: str = "_splits") -> Column:
+    """Number of splits up to and including the value, by bisection; 0 without splits."""
+    array, size = F.col(splits), F.size(splits)
+    steps = F.reverse(F.sequence(F.lit(0), F.floor(F.log2(size.cast("double"))).cast("int")))
+
+    def halve(at: Column, step: Column) -> Column:
+        to = at + F.call_function("shiftleft", F.lit(1), step)
+        return F.when((to <= size) & (F.get(array, to - 1) <= F.col(value)), to).otherwise(at)
+
+    return F.when(size > 0, F.aggregate(steps, F.lit(0), halve)).otherwise(F.lit(0))
+
+
 def value_positions(
     df: DataFrame,
     keys: Keys,
     value: str,
     descending: bool = True,
-    n_bins: int = 4096,
+    range_rows: int = RANGE_ROWS,
     sums: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Distinct values of each group with ``n_before`` (rows that come earlier) and ``n_equal``.
 
     Equal values collapse to one counted row first (partial aggregation removes hot tie blocks),
-    the distinct values of a group are cut into ``n_bins`` value ranges, each range is counted by
-    itself, and the rows of the better ranges are added. No group is ever in one task.
+    the distinct values of a group are cut into ranges of about ``range_rows`` by sampled split
+    points, each range is counted by itself, and the rows of the better ranges are added. No group
+    is ever in one task, and an extreme value does not crowd the others into one range.
 
     ``sums`` names further quantities to accumulate the same way, as <name>_before, <name>_equal;
     a name ``n`` replaces the row count, which makes the rows weighted.
@@ -116,26 +151,19 @@ def value_positions(
     sums = {"n": F.lit(1).cast("long"), **(sums or {})}
     names = list(sums)
     dist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[F.sum(c).alias(f"{n}_equal") for n, c in sums.items()])
-    # the filter is always true; it keeps the counts in this branch, so that the shuffle of ``dist``
-    # is the same plan in all branches and runs once
-    used = F.lit(False)
-    for n in names:
-        used = used | F.max(f"{n}_equal").isNotNull()
-    span = dist.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), used.alias("_used"))
-    span = span.filter("_used").drop("_used")
-    frac = F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    if descending:
-        frac = F.lit(1.0) - frac
-    binned = dist.join(span, keys).withColumn("_bin", F.floor(frac * n_bins).cast("int")).drop("_lo", "_hi")
+    splits = range_splits(dist, keys, value, range_rows, *[f"{n}_equal" for n in names])
+    binned = dist.join(splits, keys, "left") if keys else dist.join(splits, how="left")
+    number = range_of(value)
+    binned = binned.withColumn("_range", -number if descending else number).drop("_splits")
     order = F.col(value).desc() if descending else F.col(value).asc()
-    inside = W.partitionBy(*keys, "_bin").orderBy(order)
-    bins = binned.groupBy(*keys, "_bin").agg(*[F.sum(f"{n}_equal").alias(n) for n in names])
-    earlier = W.partitionBy(*keys).orderBy("_bin")
-    bins = bins.select(*keys, "_bin", *[(F.sum(n).over(earlier) - F.col(n)).alias(f"_off_{n}") for n in names])
+    inside = W.partitionBy(*keys, "_range").orderBy(order)
+    ranges = binned.groupBy(*keys, "_range").agg(*[F.sum(f"{n}_equal").alias(n) for n in names])
+    earlier = W.partitionBy(*keys).orderBy("_range")
+    ranges = ranges.select(*keys, "_range", *[(F.sum(n).over(earlier) - F.col(n)).alias(f"_off_{n}") for n in names])
     own = {f"_in_{n}": F.sum(f"{n}_equal").over(inside) - F.col(f"{n}_equal") for n in names}
     return (
         binned.withColumns(own)
-        .join(bins, [*keys, "_bin"])
+        .join(ranges, [*keys, "_range"])
         .select(
             *keys, value, *[c for n in names for c in ((F.col(f"_off_{n}") + F.col(f"_in_{n}")).alias(f"{n}_before"), F.col(f"{n}_equal"))]
         )
@@ -143,7 +171,7 @@ def value_positions(
 
 
 def grouped_rank(
-    df: DataFrame, keys: Keys, value: str, out: str, descending: bool = True, n_bins: int = 4096, method: str = "min"
+    df: DataFrame, keys: Keys, value: str, out: str, descending: bool = True, range_rows: int = RANGE_ROWS, method: str = "min"
 ) -> DataFrame:
     """Exact rank in groups too large for one task, by :func:`value_positions`.
 
@@ -156,5 +184,5 @@ def grouped_rank(
     df = df.withColumn(value, F.when(F.col(value) == 0, F.lit(0)).otherwise(F.col(value)).cast(df.schema[value].dataType))
     first = F.col("n_before") + 1
     rank = first.cast("long") if method == "min" else first + (F.col("n_equal") - 1) / F.lit(2.0)
-    ranks = value_positions(df, keys, value, descending, n_bins).select(*keys, value, rank.alias(out))
+    ranks = value_positions(df, keys, value, descending, range_rows).select(*keys, value, rank.alias(out))
     return df.join(ranks, [*keys, value], "left")

@@ -53,12 +53,12 @@ def large_group_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataF
     )
 
 
-def large_group_median(df: DataFrame, keys: Sequence[str], value: str, out: str, weight: str | None = None, n_bins: int = 64) -> DataFrame:
+def large_group_median(df: DataFrame, keys: Sequence[str], value: str, out: str, weight: str | None = None) -> DataFrame:
     """Exact median of groups of any size; ``weight`` is a whole number of rows a row stands for."""
     keys = list(keys)
     rows = df.filter(F.col(value).isNotNull())
     count = F.col(weight) if weight else F.lit(1).cast("long")
-    pos = value_positions(rows, keys, value, False, n_bins, {"n": count})
+    pos = value_positions(rows, keys, value, False, sums={"n": count})
     total = rows.groupBy(*keys).agg(F.sum(count).alias("_n"))
     return pos.join(total, keys).groupBy(*keys).agg(_quantile_of_positions(0.5, value).alias(out))
 

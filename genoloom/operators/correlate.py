@@ -1,33 +1,24 @@
 """Gene-gene correlation per cell type and its rank aggregation per dataset.
 
 The expensive step is X'X over cells. A join of the count table with itself would emit one row per
-pair of genes in every cell; here each count goes to the gene-block tiles it takes part in, a task
-multiplies the two blocks of one tile for one bounded chunk of cells, and the partial tiles of all
-chunks are added while they stream through. Cell types of any size are thus split by chunk, gene
-lists of any size by tile, and the only pairs ever materialised are the result rows.
+pair of genes in every cell; here tasks multiply blocks of genes for bounded chunks of cells
+(``tiles``). Cell types of any size are split by chunk, gene lists of any size by tile, and the only
+pairs ever materialised are the result rows.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from . import tiles
 from ..functions.exprs import fix10, rnd
-from ..functions.ranks import grouped_rank, min_rank
+from ..functions.ranks import grouped_rank
 from ..functions.stats import large_group_median
 from ..schemas import GeneSpan
 from ..sources.stage import written
+from .tiles import CHUNK_CELLS, GENE_BLOCK
 
 MIN_CELL = 20
-GENE_BLOCK = 1024
-CHUNK_CELLS = 4096
-# A (dataset, cell type) has at most G(G+1)/2 pairs; up to this many one window task ranks them.
-WINDOW_PAIRS = 8_000_000
 GROUP = ("dataset_id", "cell_type")
 
 
@@ -58,101 +49,6 @@ def subset_and_filter(expr: DataFrame, cell_type: str, min_cell: int = MIN_CELL)
 
 # ---------------------------------------------------------------- all pairs
 
-def _tile_product(block: int, names: tuple[str, ...]):
-    """One chunk of cells, one pair of gene blocks: block product and per-gene sums."""
-
-    def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        ta, tb = key[len(names) : len(names) + 2]
-        gene = rows["gene"].to_numpy()
-        value = rows["value"].to_numpy()
-        cells, cell = np.unique(rows["cell_id"].to_numpy(), return_inverse=True)
-
-        def dense(tile):
-            mask = gene // block == tile
-            columns, pos = np.unique(gene[mask], return_inverse=True)
-            x = np.zeros((len(cells), len(columns)))
-            x[cell[mask], pos] = value[mask]
-            return columns, x
-
-        ga, xa = dense(ta)
-        gb, xb = (ga, xa) if ta == tb else dense(tb)
-        prod = xa.T @ xb
-        i, j = np.nonzero(prod)
-        if ta == tb:
-            keep = i >= j
-            i, j = i[keep], j[keep]
-        sides = [(ga, xa)] if ta == tb else [(ga, xa), (gb, xb)]
-        both = np.concatenate([g for g, _ in sides])
-        sums = [np.concatenate([f(x) for _, x in sides]) for f in (
-            lambda x: (x > 0).sum(0).astype("float64"), lambda x: x.sum(0), lambda x: (x * x).sum(0))]
-        return pd.DataFrame(
-            {
-                **{c: [v] for c, v in zip(names, key)}, "ta": [ta], "tb": [tb],
-                "pair_a": [(ga[i] - ta * block).astype("int32").tobytes()],
-                "pair_b": [(gb[j] - tb * block).astype("int32").tobytes()],
-                "pair_sum": [prod[i, j].tobytes()],
-                "genes": [both.astype("int64").tobytes()],
-                "nz": [sums[0].tobytes()], "sx": [sums[1].tobytes()], "sxx": [sums[2].tobytes()],
-            }
-        )
-
-    return run
-
-
-def _tile_result(block: int, min_cell: int, raw: bool, names: tuple[str, ...]):
-    """Add the partial tiles of all chunks, then emit the pairs of genes that are both defined."""
-
-    def run(key: tuple[Any, ...], parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ta, tb = key[-2:]
-        same = ta == tb
-        total, n_cells = None, 0
-        moments = np.zeros((3, block if same else 2 * block))
-        for part in parts:
-            for row in part.itertuples(index=False):
-                n_cells = row.n_cells
-                if total is None:
-                    total = np.zeros((block, block))
-                ia, ib = np.frombuffer(row.pair_a, "int32"), np.frombuffer(row.pair_b, "int32")
-                total[ia, ib] += np.frombuffer(row.pair_sum)
-                gene = np.frombuffer(row.genes, "int64")
-                pos = np.where(gene // block == ta, gene - ta * block, gene - tb * block + block)
-                for m, blob in zip(moments, (row.nz, row.sx, row.sxx)):
-                    m[pos] += np.frombuffer(blob)
-        if total is None:
-            return
-        n = float(n_cells)
-        nz, sx, sxx = moments
-        var = n * sxx - sx * sx
-        ok = (nz >= min_cell) & (var > 1e-13 * n * sxx)
-        a = np.flatnonzero(ok[:block])
-        b = a if same else np.flatnonzero(ok[block:])
-        off = 0 if same else block
-        root = np.sqrt(np.where(var > 0, var, 0.0))
-        for lo in range(0, len(a), 256):
-            rows_a = a[lo : lo + 256]
-            i, j = np.meshgrid(rows_a, b, indexing="ij")
-            if same:
-                keep = i >= j
-                i, j = i[keep], j[keep]
-            i, j = i.ravel(), j.ravel()
-            sxy = total[i, j]
-            if raw:
-                r = sxy
-            else:
-                r = (n * sxy - sx[i] * sx[j + off]) / (root[i] * root[j + off])
-                r = np.floor(r * 1e10 + 0.5) / 1e10
-                if same:
-                    r = np.where(i == j, 1.0, r)
-            yield pd.DataFrame(
-                {
-                    **dict(zip(names, key)),
-                    "gene_a": i + ta * block, "gene_b": j + tb * block, "r": r,
-                }
-            )
-
-    return run
-
-
 def pair_correlation(
     expr: DataFrame,
     meta: DataFrame,
@@ -172,51 +68,8 @@ def pair_correlation(
     Undefined pairs (a gene below ``min_cell`` or without variance) have no row. Zeros count: the
     number of cells comes from ``meta``. r is fixed to 10 decimals, so that ranks are repeatable.
     """
-    block = min(gene_block, genes.first + genes.n)
-    n_tiles = (genes.first + genes.n - 1) // block + 1
-    sizes = type_sizes(meta, keys)
-    chunks = sizes.select(*keys, F.ceil(F.col("n_cells") / chunk_cells).cast("int").alias("n_chunks"))
-    own = F.floor(F.col("gene") / block).cast("int")
-    last = F.lit(n_tiles - 1)
-    partners = F.sequence(F.lit(0), last)
-    if against_last_block:
-        partners = F.when(own == last, partners).otherwise(F.array(last))
-    tile = F.explode(
-        F.transform(partners, lambda t: F.struct(F.greatest(t, own).alias("ta"), F.least(t, own).alias("tb")))
-    )
-    rows = (
-        expr.filter(F.col("value") != 0)
-        .join(chunks, list(keys))
-        .select(
-            *keys,
-            tile.alias("t"),
-            F.pmod(F.xxhash64("cell_id"), F.col("n_chunks")).cast("int").alias("chunk"),
-            F.xxhash64("cell_id").alias("cell_id") if not _integral(expr, "cell_id") else F.col("cell_id").cast("long"),
-            F.col("gene").cast("long").alias("gene"),
-            F.col("value").cast("double").alias("value"),
-        )
-        .select(*keys, "t.ta", "t.tb", "chunk", "cell_id", "gene", "value")
-    )
-    group_fields = [expr.schema[c] for c in keys]
-    tile_fields = [T.StructField("ta", T.IntegerType()), T.StructField("tb", T.IntegerType())]
-    blobs = [T.StructField(c, T.BinaryType()) for c in ("pair_a", "pair_b", "pair_sum", "genes", "nz", "sx", "sxx")]
-    partial = rows.groupBy(*keys, "ta", "tb", "chunk").applyInPandas(
-        _tile_product(block, keys), T.StructType([*group_fields, *tile_fields, *blobs])
-    )
-    result = T.StructType(
-        [
-            *group_fields,
-            T.StructField("gene_a", T.IntegerType()),
-            T.StructField("gene_b", T.IntegerType()),
-            T.StructField("r", T.DoubleType()),
-        ]
-    )
-    tiles = partial.join(sizes, list(keys)).groupBy(*keys, "ta", "tb")
-    return tiles.applyInPandas(_tile_result(block, min_cell, raw_products, keys), result)
-
-
-def _integral(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, (T.IntegerType, T.LongType, T.ShortType))
+    made = tiles.product_tiles(expr, meta, genes, keys, min_cell, raw_products, gene_block, chunk_cells, against_last_block)
+    return tiles.unpacked(made, keys, tiles.blocks(genes, gene_block)[0])
 
 
 # ---------------------------------------------------------------- other correlation methods
@@ -229,7 +82,7 @@ def rank_values(expr: DataFrame, meta: DataFrame) -> DataFrame:
     """
     keys = [*GROUP, "gene"]
     nonzero = expr.filter(F.col("value") != 0)
-    ranked = grouped_rank(nonzero, keys, "value", "_rk", descending=False, n_bins=64, method="avg")
+    ranked = grouped_rank(nonzero, keys, "value", "_rk", descending=False, method="avg")
     counts = nonzero.groupBy(*keys).agg(
         F.count_if(F.col("value") < 0).alias("_neg"), F.count(F.lit(1)).alias("_nonzero")
     )
@@ -247,8 +100,11 @@ def spearman_correlation(
     expr: DataFrame, meta: DataFrame, genes: GeneSpan, min_cell: int = MIN_CELL
 ) -> DataFrame:
     """Spearman of every pair: Pearson of :func:`rank_values`, genes below the minimum left out."""
-    kept = expr.join(eligible_genes(expr, min_cell).drop("nz"), [*GROUP, "gene"], "left_semi")
-    return pair_correlation(rank_values(kept, meta), meta, genes, min_cell=0)
+    return pair_correlation(_eligible_ranks(expr, meta, min_cell), meta, genes, min_cell=0)
+
+
+def _eligible_ranks(expr: DataFrame, meta: DataFrame, min_cell: int) -> DataFrame:
+    return rank_values(expr.join(eligible_genes(expr, min_cell).drop("nz"), [*GROUP, "gene"], "left_semi"), meta)
 
 
 def midweights(expr: DataFrame, meta: DataFrame, min_cell: int = MIN_CELL) -> DataFrame:
@@ -326,31 +182,14 @@ METHODS = {"pearson": pair_correlation, "spearman": spearman_correlation, "bicor
 
 # ---------------------------------------------------------------- rank aggregation
 
-def pair_spine(groups: DataFrame, genes: GeneSpan) -> DataFrame:
-    """Every pair ``gene_a >= gene_b`` of every group.
-
-    A row is a number, taken apart by arithmetic into group and pair, so the rows are spread evenly
-    over tasks. The group list (datasets, or datasets by cell type) is looked up by a join; Spark
-    broadcasts it where it is small.
-    """
-    n_groups = groups.count()
-    order = Window.orderBy(*groups.columns)
-    listed = groups.withColumn("_g", F.row_number().over(order).cast("long") - 1)
-    i = F.floor(F.col("id") / max(n_groups, 1)).cast("long")
-    guess = F.floor((F.sqrt(8.0 * i + 1.0) - 1.0) / 2.0).cast("long")
-    low, high = guess * (guess + 1) / 2, (guess + 1) * (guess + 2) / 2
-    a = F.when(low > i, guess - 1).when(high <= i, guess + 1).otherwise(guess)
-    first = (F.col("_a") * (F.col("_a") + 1) / 2).cast("long")
-    pairs = (
-        groups.sparkSession.range(genes.n_pairs * n_groups)
-        .select(F.pmod("id", F.lit(max(n_groups, 1))).alias("_g"), i.alias("_i"), a.alias("_a"))
-        .select(
-            "_g",
-            (F.col("_a") + genes.first).cast("int").alias("gene_a"),
-            (F.col("_i") - first + genes.first).cast("int").alias("gene_b"),
-        )
-    )
-    return pairs.join(listed, "_g").select(*groups.columns, "gene_a", "gene_b")
+def pair_spine(groups: DataFrame, genes: GeneSpan, gene_block: int = GENE_BLOCK) -> DataFrame:
+    """Every pair ``gene_a >= gene_b`` of every group: groups are dealt by blocks of genes, blocks become pairs in their tasks."""
+    last = genes.first + genes.n - 1
+    rows = groups.withColumn("_b", F.explode(F.sequence(F.lit(genes.first // gene_block), F.lit(last // gene_block))))
+    rows = rows.repartition(*groups.columns, "_b")
+    own = F.sequence(F.greatest(F.col("_b") * gene_block, F.lit(genes.first)), F.least((F.col("_b") + 1) * gene_block - 1, F.lit(last)))
+    rows = rows.withColumn("gene_a", F.explode(own)).drop("_b")
+    return rows.withColumn("gene_b", F.explode(F.sequence(F.lit(genes.first), F.col("gene_a"))))
 
 
 def type_status(expr: DataFrame, meta: DataFrame, min_cell: int = MIN_CELL) -> DataFrame:
@@ -363,32 +202,15 @@ def type_status(expr: DataFrame, meta: DataFrame, min_cell: int = MIN_CELL) -> D
     )
 
 
-def joint_pair_ranks(pairs: DataFrame, status: DataFrame, genes: GeneSpan) -> tuple[DataFrame, DataFrame]:
-    """Joint rank (1 = largest r) of every defined pair within its cell type, and ``base``, the
-    rank shared by all undefined pairs, which count as r = 0 without being rows.
-
-    The G diagonal pairs count as r = 1, so the diagonal always has rank 1.
-    """
-    off = pairs.filter(F.col("gene_a") != F.col("gene_b"))
-    if genes.n_pairs <= WINDOW_PAIRS:
-        ranked = off.withColumn("_rk", min_rank(GROUP, "r"))
-    else:
-        ranked = grouped_rank(off, GROUP, "r", "_rk")
-    counts = off.groupBy(*GROUP).agg(
-        F.count(F.lit(1)).alias("_defined"), F.count_if(F.col("r") > 0).alias("_above")
-    )
-    base = (
-        status.filter("used")
-        .join(counts, list(GROUP), "left")
-        .select(
-            *GROUP,
-            (F.coalesce(F.col("_above"), F.lit(0)) + 1 + genes.n).alias("base"),
-            (F.lit(genes.n_pairs - genes.n) - F.coalesce(F.col("_defined"), F.lit(0))).alias("_zeros"),
-        )
-    )
-    r = F.col("r")
-    rank = F.col("_rk") + F.when(r < 1, genes.n).otherwise(0) + F.when(r < 0, F.col("_zeros")).otherwise(0)
-    return ranked.join(base, list(GROUP)).select(*GROUP, "gene_a", "gene_b", "r", rank.cast("long").alias("pair_rank"), "base"), base
+def correlation_tiles(
+    expr: DataFrame, meta: DataFrame, genes: GeneSpan, min_cell: int = MIN_CELL, method: str = "pearson", gene_block: int = GENE_BLOCK
+) -> DataFrame:
+    """The correlations of ``method`` as packed tiles per (dataset, cell type)."""
+    if method == "pearson":
+        return tiles.product_tiles(expr, meta, genes, GROUP, min_cell, gene_block=gene_block)
+    if method == "spearman":
+        return tiles.product_tiles(_eligible_ranks(expr, meta, min_cell), meta, genes, GROUP, 0, gene_block=gene_block)
+    return tiles.packed(METHODS[method](expr, meta, genes, min_cell), GROUP, genes, gene_block)
 
 
 def rank_sum_rank(
@@ -398,71 +220,41 @@ def rank_sum_rank(
     min_cell: int = MIN_CELL,
     pairs: DataFrame | None = None,
     method: str = "pearson",
+    standardize: bool = True,
+    gene_block: int = GENE_BLOCK,
 ) -> DataFrame:
     """Rank-sum-rank aggregate per dataset: all pairs, ``rsr`` in (0, 1] with 1 best, ``n_na``.
 
-    ``method`` is pearson, spearman or bicor; ``pairs`` takes a correlation table made before.
+    ``method`` is pearson, spearman or bicor; ``pairs`` takes a correlation table made before. Without ``standardize`` the
+    ranks are not divided by the number of pairs, so that the best is the number of pairs.
 
-    Only defined pairs travel through the rank; a pair that is never defined in a dataset takes
-    the dataset's constant sum of base ranks.
+    In a cell type the G diagonal pairs count as 1 and undefined pairs as 0, and all are ranked
+    jointly (1 = largest r, ties take the smallest rank). Tiles of correlations become tiles of rank sums per dataset, and
+    these are ranked again; undefined pairs are never entries, they share one base rank per type.
     """
     if pairs is None:
-        # read four times below, so it is written once
-        pairs = written(METHODS[method](expr, meta, genes, min_cell), "pairs")
+        made = correlation_tiles(expr, meta, genes, min_cell, method, gene_block)
+    else:
+        made = tiles.packed(pairs, GROUP, genes, gene_block)
+    # read four times below, so it is written once
+    made = written(made, "tiles")
     status = type_status(expr, meta, min_cell)
-    ranked, base = joint_pair_ranks(pairs, status, genes)
+    counts = made.groupBy(*GROUP).agg(F.sum("n_defined").alias("_defined"), F.sum("n_above").alias("_above"))
+    base = status.filter("used").join(counts, list(GROUP), "left").select(
+        *GROUP,
+        (F.coalesce(F.col("_above"), F.lit(0)) + 1 + genes.n).alias("base"),
+        (F.lit(genes.n_pairs - genes.n) - F.coalesce(F.col("_defined"), F.lit(0))).alias("zeros"),
+    )
     data = (
         status.groupBy("dataset_id")
         .agg(F.count(F.lit(1)).alias("n_types"), F.count_if("used").alias("n_used"))
         .join(base.groupBy("dataset_id").agg(F.sum("base").alias("s0")), "dataset_id", "left")
         .withColumn("s0", F.coalesce(F.col("s0"), F.lit(0)))
     )
-    zero = F.lit(0).cast("long")
-    parts = (
-        ranked.select("dataset_id", "gene_a", "gene_b", (F.col("pair_rank") - F.col("base")).alias("d"), F.lit(1).cast("long").alias("c"))
-        .unionByName(
-            pairs.filter(F.col("gene_a") == F.col("gene_b")).select(
-                "dataset_id", "gene_a", "gene_b", zero.alias("d"), F.lit(1).cast("long").alias("c")
-            )
-        )
-        .unionByName(
-            pair_spine(data.select("dataset_id"), genes).select(
-                "dataset_id", "gene_a", "gene_b", zero.alias("d"), zero.alias("c")
-            )
-        )
-    )
-    summed = (
-        parts.groupBy("dataset_id", "gene_a", "gene_b")
-        .agg(F.sum("d").alias("d"), F.sum("c").alias("c"))
-        .join(data, "dataset_id")
-        .select(
-            "dataset_id",
-            "gene_a",
-            "gene_b",
-            F.when(F.col("gene_a") == F.col("gene_b"), F.col("n_used")).otherwise(F.col("s0") + F.col("d")).alias("s"),
-            (F.col("n_types") - F.col("c")).cast("int").alias("n_na"),
-            (F.col("gene_a") != F.col("gene_b")).alias("_off"),
-            "s0",
-        )
-    )
-    if genes.n_pairs <= WINDOW_PAIRS:
-        final = summed.withColumn("_rk", min_rank(["dataset_id"], "s"))
-    else:
-        final = _rank_with_block(summed, genes)
-    return final.select("dataset_id", "gene_a", "gene_b", (F.col("_rk") / F.lit(float(genes.n_pairs))).alias("rsr"), "n_na")
-
-
-def _rank_with_block(summed: DataFrame, genes: GeneSpan) -> DataFrame:
-    """Distributed rank of ``s`` within a dataset; the block ``s = s0`` may hold most rows, so its
-    one rank per dataset is attached by dataset instead of by value."""
-    block = F.col("s") == F.col("s0")
-    above = summed.groupBy("dataset_id").agg((F.count_if(F.col("s") > F.col("s0")) + 1).alias("_rk"), F.count_if(block).alias("_nb"))
-    inside = summed.filter(block).join(above.drop("_nb"), "dataset_id")
-    others = grouped_rank(summed.filter(~block), ["dataset_id"], "s", "_rk")
-    others = others.join(above.select("dataset_id", "_nb"), "dataset_id")
-    # rows below the block also have the block's rows before them
-    others = others.withColumn("_rk", F.col("_rk") + F.when(F.col("s") < F.col("s0"), F.col("_nb")).otherwise(0)).drop("_nb")
-    return inside.unionByName(others)
+    sums = written(tiles.summed_tiles(made.join(base, list(GROUP)), data.drop("n_types"), genes, gene_block), "rank-sums")
+    ranked = tiles.ranked_pairs(sums, gene_block, genes).join(data.select("dataset_id", "n_types"), "dataset_id")
+    rsr = F.col("rank") / F.lit(float(genes.n_pairs)) if standardize else F.col("rank").cast("double")
+    return ranked.select("dataset_id", "gene_a", "gene_b", rsr.alias("rsr"), (F.col("n_types") - F.col("c")).cast("int").alias("n_na"))
 
 
 def mirrored(agg: DataFrame, *values: str) -> DataFrame:

@@ -1,11 +1,19 @@
 """Which genes and gene pairs are measured in which dataset, and summaries of it."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import count_true
 from ..functions.stats import six_numbers
+from ..schemas import GeneSpan
+from .tiles import GENE_BLOCK, blocks, defined_genes, fields
 
 
 def cell_counts(meta: DataFrame) -> DataFrame:
@@ -27,20 +35,83 @@ def measured(agg: DataFrame, types: DataFrame) -> DataFrame:
     )
 
 
-def comeasured_triangle(agg: DataFrame, types: DataFrame, species: DataFrame) -> DataFrame:
-    """Datasets per (species, unordered pair) in which at least one cell type defines the pair."""
-    hit = (F.col("n_na") < F.col("n_celltypes")).cast("long")
-    return (
-        agg.join(types, "dataset_id")
-        .join(species, "dataset_id")
-        .groupBy("species", "gene_a", "gene_b")
-        .agg(F.sum(hit).alias("n_comeasured"))
-    )
+def type_bitmaps(expr: DataFrame, meta: DataFrame, min_cell: int) -> DataFrame:
+    """(dataset_id, gene, word, bits): in which cell types of a dataset a gene is defined, 64 types a word."""
+    types = cell_counts(meta).select("dataset_id", "cell_type", (F.row_number().over(W.partitionBy("dataset_id").orderBy("cell_type")) - 1).alias("_t"))
+    ok = defined_genes(expr, meta, ("dataset_id", "cell_type"), min_cell).join(types, ["dataset_id", "cell_type"])
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("_t", F.lit(64)))
+    return ok.groupBy("dataset_id", "gene", F.floor(F.col("_t") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def _bitmap_tiles(bitmaps: DataFrame, block: int) -> DataFrame:
+    """(dataset_id, ta, tb, a, b): the bitmaps of two blocks of genes, as lists of (gene, word, bits)."""
+    packed = bitmaps.groupBy("dataset_id", F.floor(F.col("gene") / block).cast("int").alias("b")).agg(F.collect_list(F.struct("gene", "word", "bits")).alias("m"))
+    left = packed.select("dataset_id", F.col("b").alias("ta"), F.col("m").alias("a"))
+    return left.join(packed.select("dataset_id", F.col("b").alias("tb"), F.col("m").alias("b")), "dataset_id").filter("ta >= tb")
+
+
+def _words(entries: list, tile: int, block: int, n_words: int) -> np.ndarray:
+    """words x genes of a block"""
+    out = np.zeros((n_words, block), np.uint64)
+    if len(entries):
+        gene, word, bits = (np.array([e[k] for e in entries], np.int64) for k in ("gene", "word", "bits"))
+        out[word, gene - tile * block] = bits.view(np.uint64)
+    return out
+
+
+def _bitmap_pairs(expr: DataFrame, meta: DataFrame, genes: GeneSpan, min_cell: int, groups: DataFrame, count, name: str, gene_block: int) -> DataFrame:
+    """(group, gene_a, gene_b, name) for all pairs of all groups: ``count(common words)`` summed over the datasets of a group (group, dataset_id).
+
+    A pair is defined in a cell type where both of its genes are, so the AND of two bitmaps says
+    where. Bitmaps of a block of genes meet those of another in one task, dataset after dataset.
+    """
+    block, n_blocks = blocks(genes, gene_block)
+    first = genes.first // block
+    (group,) = [c for c in groups.columns if c != "dataset_id"] or ["dataset_id"]
+    keyed = groups if group != "dataset_id" else groups.select("dataset_id")
+    met = _bitmap_tiles(type_bitmaps(expr, meta, min_cell), block).join(keyed, "dataset_id").select(group, "ta", "tb", "a", "b")
+    spine = keyed.select(group).distinct().withColumn("ta", F.explode(F.sequence(F.lit(first), F.lit(n_blocks - 1))))
+    spine = spine.withColumn("tb", F.explode(F.sequence(F.lit(first), F.col("ta"))))
+
+    def add(key: tuple[Any, ...], parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _, ta, tb = key
+        total = np.zeros((block, block), np.int64)
+        for part in parts:
+            for a, b in zip(part["a"], part["b"]):
+                if a is not None:
+                    n_words = 1 + max(e["word"] for some in (a, b) for e in some)
+                    x, y = _words(a, ta, block, n_words), _words(b, tb, block, n_words)
+                    total += count(x[w][:, None] & y[w][None, :] for w in range(n_words))
+        rows, columns = (np.arange(max(genes.first - t * block, 0), min(genes.first + genes.n - t * block, block)) for t in (ta, tb))
+        for some in np.array_split(rows, max(1, len(rows) // 64)):
+            i, j = (x.ravel() for x in np.meshgrid(some, columns, indexing="ij"))
+            if ta == tb:
+                i, j = i[i >= j], j[i >= j]
+            yield pd.DataFrame({group: key[0], "gene_a": i + ta * block, "gene_b": j + tb * block, name: total[i, j]})
+
+    rows = spine.join(met, [group, "ta", "tb"], "left").groupBy(group, "ta", "tb")
+    return rows.applyInPandas(add, f"{fields(keyed, (group,))}, gene_a int, gene_b int, {name} long")
+
+
+def comeasured_pairs(expr: DataFrame, meta: DataFrame, genes: GeneSpan, species: DataFrame, min_cell: int, gene_block: int = GENE_BLOCK) -> DataFrame:
+    """Datasets per (species, unordered pair) in which at least one cell type defines the pair, without any aggregate."""
+
+    def some(words: Iterator[np.ndarray]) -> np.ndarray:
+        out = next(words) != 0
+        for w in words:
+            out |= w != 0
+        return out
+
+    return _bitmap_pairs(expr, meta, genes, min_cell, species.select("species", "dataset_id"), some, "n_comeasured", gene_block)
+
+
+def defined_types(expr: DataFrame, meta: DataFrame, genes: GeneSpan, min_cell: int, gene_block: int = GENE_BLOCK) -> DataFrame:
+    """(dataset_id, gene_a, gene_b, n_types): number of cell types that define a pair; the others are its NA count."""
+    return _bitmap_pairs(expr, meta, genes, min_cell, meta.select("dataset_id").distinct(), lambda words: sum(np.bitwise_count(w) for w in words).astype(np.int64), "n_types", gene_block)
 
 
-def comeasured(agg: DataFrame, types: DataFrame, species: DataFrame) -> DataFrame:
-    """Both directions of :func:`comeasured_triangle`, mirrored after the aggregate."""
-    tri = comeasured_triangle(agg, types, species)
+def comeasured(tri: DataFrame) -> DataFrame:
+    """Both directions of :func:`comeasured_pairs`."""
     down = tri.select("species", F.col("gene_a").alias("gene"), F.col("gene_b").alias("partner"), "n_comeasured")
     up = tri.filter("gene_a <> gene_b").select(
         "species", F.col("gene_b").alias("gene"), F.col("gene_a").alias("partner"), "n_comeasured"

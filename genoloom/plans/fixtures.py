@@ -165,7 +165,7 @@ class Tables:
     @cached_property
     def comsr_b(self) -> DataFrame:
         """Co-measured datasets per (species, gene pair), both directions."""
-        return self.stage("comsr_b", lambda: measure.comeasured(self.agg_b, self.types_b, self.species))
+        return self.stage("comsr_b", lambda: measure.comeasured(measure.comeasured_pairs(self.expr_b, self.meta_b, self.genes_b, self.species, MIN_CELL_B)))
 
     @cached_property
     def gene_ref(self) -> DataFrame:

@@ -105,6 +105,11 @@ def _(t):
     return c.rank_sum_rank(t.expr_a, t.meta_a, t.genes_a).withColumn("rsr", rnd("rsr", 8))
 
 
+@query("c9_rsr_ranks", f"SELECT dataset_id, gene_a, gene_b, round(rsr * (SELECT count(*) * (count(*) + 1) / 2 FROM genes_a), 0) AS rsr, n_na FROM agg_a")
+def _(t):
+    return c.rank_sum_rank(t.expr_a, t.meta_a, t.genes_a, standardize=False)
+
+
 @query("c9_rsr_many_datasets", "SELECT dataset_id, gene_a, gene_b, round(rsr, 8) AS rsr, n_na FROM agg_b")
 def _(t):
     return t.agg_b.withColumn("rsr", rnd("rsr", 8))
@@ -224,7 +229,13 @@ def _(t):
 
 @query("m3_comeasured", "SELECT species, gene AS gene_a, partner AS gene_b, n_comeasured FROM comsr_b WHERE gene >= partner")
 def _(t):
-    return m.comeasured_triangle(t.agg_b, t.types_b, t.species)
+    return m.comeasured_pairs(t.expr_b, t.meta_b, t.genes_b, t.species, MIN_CELL_B)
+
+
+@query("m3_undefined_types", "SELECT dataset_id, gene_a, gene_b, CAST(n_na AS BIGINT) AS n_na FROM agg_a")
+def _(t):
+    defined = m.defined_types(t.expr_a, t.meta_a, t.genes_a, c.MIN_CELL).join(m.type_counts(t.meta_a), "dataset_id")
+    return defined.select("dataset_id", "gene_a", "gene_b", (F.col("n_celltypes") - F.col("n_types")).alias("n_na"))
 
 
 cte("info_b", """

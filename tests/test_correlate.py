@@ -99,10 +99,9 @@ def brute_rsr(cells, n_genes, min_cell):
     return out
 
 
-@pytest.mark.parametrize("distributed", [False, True])
-def test_rsr_equals_brute_force(spark, monkeypatch, distributed):
-    if distributed:
-        monkeypatch.setattr(c, "WINDOW_PAIRS", 1)
+@pytest.mark.parametrize("block", [1024, 3])
+def test_rsr_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(c.tiles.joint_ranks, "__defaults__", (64,))  # ranges of about 64 values
     cells = random_cells(7, 25, seed=9)
     for k in cells:
         if k[1] == "t2":
@@ -110,12 +109,14 @@ def test_rsr_equals_brute_force(spark, monkeypatch, distributed):
         cells[k][6] = 1  # constant and non-zero: no variance
     cells[(0, "lonely", 999999)] = {g: 3 for g in range(7)}  # a one-cell type is skipped
     expr, meta = tables(spark, cells)
-    got = {(r["dataset_id"], r["gene_a"], r["gene_b"]): (r["rsr"], r["n_na"]) for r in c.rank_sum_rank(expr, meta, GeneSpan(0, 7), 8).collect()}
+    got = {(r["dataset_id"], r["gene_a"], r["gene_b"]): (r["rsr"], r["n_na"]) for r in c.rank_sum_rank(expr, meta, GeneSpan(0, 7), 8, gene_block=block).collect()}
     want = brute_rsr(cells, 7, 8)
     assert got.keys() == want.keys()
     for k in want:
         assert got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-12, k
     assert all(0 < v[0] <= 1 for v in got.values())
+    plain = c.rank_sum_rank(expr, meta, GeneSpan(0, 7), 8, standardize=False, gene_block=block).collect()
+    assert all(r["rsr"] == round(want[r["dataset_id"], r["gene_a"], r["gene_b"]][0] * 28) for r in plain)
 
 
 def test_planted_group_ranks_first(spark):

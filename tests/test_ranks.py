@@ -1,9 +1,12 @@
 import random
 
+import numpy as np
+import pandas as pd
+
 import pytest
 from pyspark.sql import functions as F
 
-from genoloom.functions.ranks import avg_rank, grouped_rank, max_rank, min_rank, random_rank, tie_adjusted_k, top_set
+from genoloom.functions.ranks import avg_rank, grouped_rank, max_rank, min_rank, random_rank, range_of, range_splits, tie_adjusted_k, top_set, value_positions
 
 
 def column(spark, scores):
@@ -75,5 +78,30 @@ def test_grouped_rank_equals_window(spark, descending, method):
     df = spark.createDataFrame(rows, "g int, i int, v double").repartition(6)
     window = min_rank(["g"], F.col("v") + 0.0, descending) if method == "min" else avg_rank(["g"], F.col("v") + 0.0, descending)
     want = {(r["g"], r["i"]): r["w"] for r in df.withColumn("v", F.when(F.col("v") == 0, 0.0).otherwise(F.col("v"))).select("g", "i", window.alias("w")).collect()}
-    got = {(r["g"], r["i"]): r["rk"] for r in grouped_rank(df, ["g"], "v", "rk", descending, n_bins=16, method=method).collect()}
+    got = {(r["g"], r["i"]): r["rk"] for r in grouped_rank(df, ["g"], "v", "rk", descending, range_rows=64, method=method).collect()}
     assert got == want
+
+
+def test_ranges_are_even_whatever_the_distribution(spark):
+    """One extreme value, a group of ties and a small group beside 200,000 log-normal values: no range exceeds four times its share."""
+    rng = np.random.default_rng(5)
+    skewed = np.append(rng.lognormal(3, 2, 200_000), 1e9)
+    rows = pd.concat([pd.DataFrame({"g": "skewed", "v": skewed}), pd.DataFrame({"g": "ties", "v": np.repeat([1.0, 2.0], 5000)}), pd.DataFrame({"g": "small", "v": np.arange(50.0)})])
+    df = spark.createDataFrame(rows).repartition(8)
+    dist = df.groupBy("g", "v").agg(F.count("*").alias("n"))
+    cut = dist.join(range_splits(dist, ["g"], "v", 4096, "n"), ["g"], "left").withColumn("range", range_of("v"))
+    sizes = {}
+    for r in cut.groupBy("g", "range").count().collect():
+        sizes.setdefault(r["g"], {})[r["range"]] = r["count"]
+    assert len(sizes["ties"]) == len(sizes["small"]) == 1
+    own = sizes["skewed"]
+    assert 40 <= len(own) <= 60 and sorted(own) == list(range(len(own))) and max(own.values()) <= 4 * 200_001 / len(own)
+    got = value_positions(df.filter("g = 'skewed'"), ["g"], "v", False, 4096).toPandas().sort_values("v")
+    values, counts = np.unique(skewed, return_counts=True)
+    assert (got["v"].to_numpy() == values).all() and (got["n_before"].to_numpy() == np.cumsum(counts) - counts).all()
+
+
+def test_range_of_counts_splits(spark):
+    df = spark.createDataFrame([(v, s) for v in (-1.0, 0.0, 1.5, 2.0, 9.0) for s in ([], [0.0], [0.0, 2.0], [-1.0, 0.0, 1.0, 2.0, 3.0])] + [(1.0, None)], "v double, _splits array<double>")
+    for r in df.withColumn("n", range_of("v")).collect():
+        assert r["n"] == sum(x <= r["v"] for x in r["_splits"] or [])
