@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from .shingles import MULTIPLIER, mix
 
 PIECE, WORD = re.compile(r"[.,;:!?\x0A-\x0D]"), re.compile(r"[^\x20\x09]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
+NAMES = ["name_id", "name_f", "name_word", "name_left", "name_right"]
 
 
 def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -25,6 +27,16 @@ def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return (mix(left.view(np.uint64)) + right.view(np.uint64) * MULTIPLIER).view(np.int64)
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Small non-negative integers as compressed byte planes; gaps, codes and counts take one to three bytes each."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 def _listed(values, kind=None) -> pa.Array:
     """A list column of one row."""
     flat = pa.array(values, kind)
@@ -37,7 +49,7 @@ def occurrences(docs: DataFrame, text_col: str, lang: Column, chunk_words: int)
     A row holds the texts of one language met by one task, about ``chunk_words`` words of them (a
     longer text alone). An occurrence is the distance ``gaps`` from the one before, a place being left
     free between pieces, and the number ``codes`` of its word; ``ids`` (64-bit hashes of language and
-    word), ``n`` (occurrences) and ``words`` are listed once per chunk.
+    word), ``n`` (occurrences) and ``words`` are listed once per chunk. Lists are packed bytes.
     """
 
     def flush(key: str, held: dict[str, int], codes: list[np.ndarray], number: int) -> pa.RecordBatch:
@@ -47,8 +59,8 @@ def occurrences(docs: DataFrame, text_col: str, lang: Column, chunk_words: int)
         ids = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), own) for w in held), np.uint64, len(held)).view(np.int64)
         counts = np.bincount(flat[at] - 1, minlength=len(held))
         return pa.RecordBatch.from_arrays(
-            [pa.array([number]), pa.array([key]), _listed(np.diff(at, prepend=0).astype(np.int32)), _listed(flat[at] - 1), _listed(ids), _listed(counts), _listed(list(held), pa.string())],
-            ["chunk", "lang", "gaps", "codes", "ids", "n", "words"],
+            [pa.array(x) for x in ([number], [key], [len(at)], [_packed(np.diff(at, prepend=0))], [_packed(flat[at] - 1)], [ids.tobytes()], [_packed(counts)], [zstandard.compress("\n".join(held).encode("utf-8", "surrogatepass"), 1)])],
+            ["chunk", "lang", "n_words", "gaps", "codes", "ids", "n", "words"],
         )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,39 +88,35 @@ def occurrences(docs: DataFrame, text_col: str, lang: Column, chunk_words: int)
                 number += 1
 
     rows = docs.select(lang.alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(read, "chunk long, lang string, gaps array<int>, codes array<int>, ids array<long>, n array<long>, words array<string>")
-
-
-def _numbers(column: pa.Array, i: int) -> np.ndarray:
-    return column[i].values.to_numpy()
+    return rows.mapInArrow(read, "chunk long, lang string, n_words long, gaps binary, codes binary, ids binary, n binary, words binary")
 
 
 def _counted(relation: DataFrame, min_count: int) -> DataFrame:
     """Group count: (chunk, ids, own, f) of the phrases of a chunk that occur ``min_count`` times in all chunks.
 
     A chunk sends each of its phrases once, with its count, to the bucket of the phrase's id, packed in
-    one row per chunk and bucket; the answers go back the same way. ``f`` is the count over all
-    chunks. The lowest chunk with a phrase owns it (``own``), which names every phrase once.
+    one row per chunk and bucket; the answers go back the same way. The lowest chunk with a phrase
+    owns it (``own``), which names every phrase once; ``f`` are the counts of the owned phrases over all chunks.
     """
     buckets = 4 * int(relation.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, n = _numbers(batch.column(1), i), _numbers(batch.column(2), i)
+                ids, n = np.frombuffer(batch.column(1)[i].as_py(), np.int64), _unpacked(batch.column(2)[i].as_py())
                 bucket = (ids.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((ids, bucket))
                 number, first = np.unique(bucket[order], return_index=True)
                 cuts = [order[a:b] for a, b in zip(first, np.append(first[1:], len(order))[: len(first)], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(number), pa.repeat(batch.column(0)[i], len(number)), pa.array([ids[c].tobytes() for c in cuts], pa.binary()), pa.array([n[c].tobytes() for c in cuts], pa.binary())], ["bucket", "chunk", "ids", "n"]
+                    [pa.array(number), pa.repeat(batch.column(0)[i], len(number)), pa.array([ids[c].tobytes() for c in cuts], pa.binary()), pa.array([_packed(n[c]) for c in cuts], pa.binary())], ["bucket", "chunk", "ids", "n"]
                 )
 
     def count(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("chunk")
         parts = [np.frombuffer(b, np.int64) for b in rows.column("ids").to_pylist()]
         values, first, back = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
-        total = np.bincount(back, np.concatenate([np.frombuffer(b, np.int64) for b in rows.column("n").to_pylist()])).astype(np.int64)
+        total = np.bincount(back, np.concatenate([_unpacked(b) for b in rows.column("n").to_pylist()])).astype(np.int64)
         stays, own = (total >= min_count)[back], np.zeros(len(back), bool)
         own[first] = True
         out, at = {"chunk": [], "ids": [], "own": [], "f": []}, 0
@@ -117,7 +125,7 @@ def _counted(relation: DataFrame, min_count: int) -> DataFrame:
             keep = stays[here]
             at += len(part)
             if keep.any():
-                for name, value in (("chunk", chunk), ("ids", part[keep].tobytes()), ("own", own[here][keep].tobytes()), ("f", total[back[here]][keep].tobytes())):
+                for name, value in (("chunk", chunk), ("ids", part[keep].tobytes()), ("own", own[here][keep].tobytes()), ("f", total[back[here]][keep & own[here]].tobytes())):
                     out[name].append(value)
         return pa.table({"chunk": pa.array(out["chunk"], pa.int64()), **{c: pa.array(out[c], pa.binary()) for c in ("ids", "own", "f")}})
 
@@ -125,46 +133,53 @@ def _counted(relation: DataFrame, min_count: int) -> DataFrame:
     return pieces.groupBy("bucket").applyInArrow(count, "chunk long, ids binary, own binary, f binary")
 
 
-def _extended(relation: DataFrame, frequent: DataFrame, named: list[str]) -> DataFrame:
+def _extended(relation: DataFrame, frequent: DataFrame, first: bool) -> DataFrame:
     """Semi-join and merge-join: the relation of phrases one word longer, and the names of the frequent phrases.
 
     Occurrences of phrases that are not frequent go; those at adjacent positions are joined. A row
-    (chunk, gaps, codes, ids, left, right, n) is the new relation of a chunk, ``name_id``, ``name_f``
-    and ``name_*`` (the columns ``named``) are the frequent phrases that the chunk owns.
+    (chunk, gaps, codes, parts, left, right, ids, n) is the new relation of a chunk: a phrase is the
+    places of its two parts in the list ``parts`` of ids. The list ``names`` (id, f, word or left and
+    right) are the frequent phrases of ``relation`` that the chunk owns.
     """
     answers = frequent.groupBy("chunk").agg(F.collect_list(F.struct("ids", "own", "f")).alias("wanted"))
+    named = ["words"] if first else ["parts", "left", "right"]
     rows = relation.join(answers, "chunk").select("chunk", "wanted", "gaps", "codes", "ids", *named)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                answer = batch.column(1)[i].as_py()
-                wanted, f = (np.concatenate([np.frombuffer(x[c], np.int64) for x in answer]) for c in ("ids", "f"))
-                own = np.concatenate([np.frombuffer(x["own"], bool) for x in answer])
+                answer, gaps, codes, ids, *rest = (c[i].as_py() for c in batch.columns[1:])
+                wanted, own = (np.concatenate([np.frombuffer(x[c], kind) for x in answer]) for c, kind in (("ids", np.int64), ("own", bool)))
+                f = np.zeros(len(wanted), np.int64)
+                f[own] = np.concatenate([np.frombuffer(x["f"], np.int64) for x in answer])
                 order = np.argsort(wanted)
                 wanted, f, own = wanted[order], f[order], own[order]
-                gaps, codes, ids = (_numbers(batch.column(j), i) for j in (2, 3, 4))
+                ids = np.frombuffer(ids, np.int64)
                 place = np.minimum(np.searchsorted(wanted, ids), len(wanted) - 1)
                 stays = wanted[place] == ids
                 names = np.flatnonzero(stays & own[place])
+                if first:
+                    words = zstandard.decompress(rest[0]).decode("utf-8", "surrogatepass").split("\n")
+                    called = {"word": [words[x] for x in names], "left": [0] * len(names), "right": [0] * len(names)}
+                else:
+                    parts, left, right = np.frombuffer(rest[0], np.int64), _unpacked(rest[1]), _unpacked(rest[2])
+                    called = {"word": [None] * len(names), "left": parts[left[names]], "right": parts[right[names]]}
+                codes = _unpacked(codes)
                 keep = stays[codes]
-                at, codes = np.cumsum(gaps, dtype=np.int64)[keep], codes[keep]
-                first = np.flatnonzero(np.diff(at) == 1)
-                pairs, code, n = np.unique(codes[first].astype(np.int64) << 32 | codes[first + 1], return_inverse=True, return_counts=True)
-                left, right = ids[pairs >> 32], ids[pairs & 0xFFFFFFFF]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1), _listed(np.diff(at[first], prepend=0).astype(np.int32)), _listed(code.astype(np.int32))]
-                    + [_listed(x) for x in (_joined(left, right), left, right, n, ids[names], f[place[names]])]
-                    + [_listed(batch.column(5 + j)[i].values.take(pa.array(names))) for j in range(len(named))],
-                    ["chunk", "gaps", "codes", "ids", "left", "right", "n", "name_id", "name_f", *[f"name_{c}" for c in named]],
-                )
+                at, codes = np.cumsum(_unpacked(gaps))[keep], (np.cumsum(stays) - 1)[codes[keep]]
+                kept = ids[stays]
+                begin = np.flatnonzero(np.diff(at) == 1)
+                pairs, code, n = np.unique(codes[begin] << 32 | codes[begin + 1], return_inverse=True, return_counts=True)
+                left, right = pairs >> 32, pairs & 0xFFFFFFFF
+                blobs = [_packed(np.diff(at[begin], prepend=0)), _packed(code), kept.tobytes(), _packed(left), _packed(right), _joined(kept[left], kept[right]).tobytes(), _packed(n)]
+                listed = [_listed(ids[names]), _listed(f[place[names]]), _listed(called["word"], pa.string()), _listed(called["left"], pa.int64()), _listed(called["right"], pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *[pa.array([b]) for b in blobs], *listed], ["chunk", "gaps", "codes", "parts", "left", "right", "ids", "n", *NAMES])
 
-    kinds = {"words": "string", "left": "long", "right": "long"}
-    schema = "chunk long, gaps array<int>, codes array<int>, ids array<long>, left array<long>, right array<long>, n array<long>, name_id array<long>, name_f array<long>"
-    return rows.mapInArrow(join, ", ".join([schema, *[f"name_{c} array<{kinds[c]}>" for c in named]]))
+    schema = "chunk long, gaps binary, codes binary, parts binary, left binary, right binary, ids binary, n binary, name_id array<long>, name_f array<long>, name_word array<string>, name_left array<long>, name_right array<long>"
+    return rows.mapInArrow(join, schema)
 
 
-def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 4, min_count: int = 30, chunk_words: int = 1 << 20) -> tuple[DataFrame, list[DataFrame]]:
+def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 4, min_count: int = 30, chunk_words: int = 1 << 19) -> tuple[DataFrame, list[DataFrame]]:
     """The number of words per language, and per length the phrases (lang, id, left, right, phrase, last, f) that occur ``min_count`` times.
 
     1. Relation 1 is written: the occurrences of words in order of piece and position, packed per chunk.
@@ -177,15 +192,13 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     """
     lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und"))
     relation = written(occurrences(docs, text_col, lang, chunk_words), "occurrences-1")
-    totals = relation.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
+    totals = relation.groupBy("lang").agg(F.sum("n_words").alias("n"))
     chunks, levels, none = relation.select("chunk", "lang"), [], F.lit(None).cast("long")
     for k in range(1, max_words + 1):
-        named = ["words"] if k == 1 else ["left", "right"]
-        relation = written(_extended(relation, _counted(relation, min_count), named), f"occurrences-{k + 1}")
-        names = ["id", "f", *named]
-        found = relation.select("chunk", F.explode(F.arrays_zip(*[F.col(f"name_{c}").alias(c) for c in names])).alias("p")).select("chunk", *[F.col(f"p.{c}").alias(c) for c in names])
+        relation = written(_extended(relation, _counted(relation, min_count), k == 1), f"occurrences-{k + 1}")
+        found = relation.select("chunk", F.explode(F.arrays_zip(*[F.col(c) for c in NAMES])).alias("p")).select("chunk", *[F.col(f"p.{c}").alias(c.removeprefix("name_")) for c in NAMES])
         if k == 1:
-            levels.append(found.join(chunks, "chunk").select("lang", "id", none.alias("left"), none.alias("right"), F.col("words").alias("phrase"), F.col("words").alias("last"), "f"))
+            levels.append(found.join(chunks, "chunk").select("lang", "id", none.alias("left"), none.alias("right"), F.col("word").alias("phrase"), F.col("word").alias("last"), "f"))
             continue
         shorter = levels[-1]
         found = found.join(shorter.select(F.col("id").alias("left"), "lang", "phrase"), "left").join(shorter.select(F.col("id").alias("right"), "last"), "right")
@@ -225,7 +238,7 @@ def _covers(levels: list[DataFrame]) -> DataFrame:
 
 
 def collocations(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 4, min_count: int = 30, scale: int = 2_000_000, covered: int = 80, top: int = 2000, chunk_words: int = 1 << 20,
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 4, min_count: int = 30, scale: int = 2_000_000, covered: int = 80, top: int = 2000, chunk_words: int = 1 << 19,
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of two to ``max_words`` (at least 3) words per language.
 
