@@ -30,15 +30,12 @@ def type_sizes(meta: DataFrame, keys: tuple[str, ...] = GROUP) -> DataFrame:
 
 
 def gene_moments(expr: DataFrame) -> DataFrame:
-    v = F.col("value")
-    return expr.groupBy(*GROUP, "gene").agg(
-        F.count_if(v > 0).alias("nz"), F.sum(v).alias("sx"), F.sum(v * v).alias("sxx")
-    )
+    return tiles.gene_moments(expr, GROUP)
 
 
 def eligible_genes(expr: DataFrame, min_cell: int = MIN_CELL) -> DataFrame:
     """Genes with enough positive cells in a cell type; all others are NA there."""
-    return gene_moments(expr).filter(F.col("nz") >= min_cell).select(*GROUP, "gene", "nz")
+    return gene_moments(expr).filter(F.col("nz") >= min_cell).select(*GROUP, F.col("gene").cast(expr.schema["gene"].dataType), "nz")
 
 
 def subset_and_filter(expr: DataFrame, cell_type: str, min_cell: int = MIN_CELL) -> DataFrame:
@@ -58,17 +55,17 @@ def pair_correlation(
     chunk_cells: int = CHUNK_CELLS,
     raw_products: bool = False,
     keys: tuple[str, ...] = GROUP,
-    against_last_block: bool = False,
+    queries_from: int = 0,
 ) -> DataFrame:
     """Pearson of every defined pair ``gene_a >= gene_b`` per group, here (dataset, cell type).
 
-    ``against_last_block`` computes only the tiles whose ``gene_a`` lies in the last block: a few
-    query columns, placed there, against all columns.
+    ``queries_from`` is a block number: ordinals from that block on are query columns, and only their
+    pairs with the other columns are computed.
 
     Undefined pairs (a gene below ``min_cell`` or without variance) have no row. Zeros count: the
     number of cells comes from ``meta``. r is fixed to 10 decimals, so that ranks are repeatable.
     """
-    made = tiles.product_tiles(expr, meta, genes, keys, min_cell, raw_products, gene_block, chunk_cells, against_last_block)
+    made = tiles.product_tiles(expr, meta, genes, keys, min_cell, raw_products, gene_block, chunk_cells, queries_from)
     return tiles.unpacked(made, keys, tiles.blocks(genes, gene_block)[0])
 
 
@@ -192,9 +189,9 @@ def pair_spine(groups: DataFrame, genes: GeneSpan, gene_block: int = GENE_BLOCK)
     return rows.withColumn("gene_b", F.explode(F.sequence(F.lit(genes.first), F.col("gene_a"))))
 
 
-def type_status(expr: DataFrame, meta: DataFrame, min_cell: int = MIN_CELL) -> DataFrame:
+def type_status(moments: DataFrame, meta: DataFrame, min_cell: int = MIN_CELL) -> DataFrame:
     """Every (dataset, cell type) with its size; ``used`` is false where every gene is NA."""
-    used = eligible_genes(expr, min_cell).select(*GROUP).distinct().withColumn("used", F.lit(True))
+    used = moments.filter(F.col("nz") >= min_cell).select(*GROUP).distinct().withColumn("used", F.lit(True))
     return (
         type_sizes(meta)
         .join(used, list(GROUP), "left")
@@ -203,11 +200,12 @@ def type_status(expr: DataFrame, meta: DataFrame, min_cell: int = MIN_CELL) -> D
 
 
 def correlation_tiles(
-    expr: DataFrame, meta: DataFrame, genes: GeneSpan, min_cell: int = MIN_CELL, method: str = "pearson", gene_block: int = GENE_BLOCK
+    expr: DataFrame, meta: DataFrame, genes: GeneSpan, min_cell: int = MIN_CELL, method: str = "pearson", gene_block: int = GENE_BLOCK,
+    moments: DataFrame | None = None,
 ) -> DataFrame:
     """The correlations of ``method`` as packed tiles per (dataset, cell type)."""
     if method == "pearson":
-        return tiles.product_tiles(expr, meta, genes, GROUP, min_cell, gene_block=gene_block)
+        return tiles.product_tiles(expr, meta, genes, GROUP, min_cell, gene_block=gene_block, defined=tiles.defined_genes(expr, meta, GROUP, min_cell, moments))
     if method == "spearman":
         return tiles.product_tiles(_eligible_ranks(expr, meta, min_cell), meta, genes, GROUP, 0, gene_block=gene_block)
     return tiles.packed(METHODS[method](expr, meta, genes, min_cell), GROUP, genes, gene_block)
@@ -232,13 +230,15 @@ def rank_sum_rank(
     jointly (1 = largest r, ties take the smallest rank). Tiles of correlations become tiles of rank sums per dataset, and
     these are ranked again; undefined pairs are never entries, they share one base rank per type.
     """
+    # a row per gene and cell type, read by several branches
+    moments = written(gene_moments(expr), "moments")
     if pairs is None:
-        made = correlation_tiles(expr, meta, genes, min_cell, method, gene_block)
+        made = correlation_tiles(expr, meta, genes, min_cell, method, gene_block, moments)
     else:
         made = tiles.packed(pairs, GROUP, genes, gene_block)
     # read four times below, so it is written once
     made = written(made, "tiles")
-    status = type_status(expr, meta, min_cell)
+    status = type_status(moments, meta, min_cell)
     counts = made.groupBy(*GROUP).agg(F.sum("n_defined").alias("_defined"), F.sum("n_above").alias("_above"))
     base = status.filter("used").join(counts, list(GROUP), "left").select(
         *GROUP,

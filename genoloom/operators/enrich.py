@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import fix10
 from ..functions.ranks import min_rank
-from ..functions.sampling import shuffled_position, with_draws
+from ..functions.sampling import permutation_keys, permuted, with_draws
 
 ST = ["species", "tf"]
 SET = "set_id"
@@ -31,8 +31,8 @@ def enrichment(ranks: DataFrame, sets: DataFrame, rank: str, n_iter: int, seed:
     """Average precision of every set in every ranking against random sets of the same size.
 
     The null depends on the ranking's length and the set size only, so it is drawn once per
-    (length, size): positions of one seeded shuffle per iteration, first ``size`` of them. The
-    corrected p-value is the Benjamini-Hochberg step-up within a ranking.
+    (length, size): the first ``size`` places of one keyed permutation per iteration, evaluated for
+    these places alone. The corrected p-value is the Benjamini-Hochberg step-up within a ranking.
     """
     pos = set_positions(ranks, rank)
     n_genes = pos.groupBy(*ST).agg(F.count(F.lit(1)).alias("n_genes"))
@@ -42,13 +42,12 @@ def enrichment(ranks: DataFrame, sets: DataFrame, rank: str, n_iter: int, seed:
         .join(n_genes, ST)
     )
     sizes = observed.select("n_genes", "n_members").distinct()
-    order = with_draws(
-        sizes.select("n_genes").distinct().withColumn("pos", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_genes")))), n_iter
-    )
-    order = order.withColumn("_at", shuffled_position(["n_genes", "iter"], "pos", seed, "n_genes", "iter"))
-    # a set of m genes takes the first m places: m rows per size and iteration, whatever the length
-    places = sizes.withColumn("_at", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_members").cast("long"))))
-    drawn = order.join(places, ["n_genes", "_at"])
+    # the largest set's places per length and iteration; a smaller set of m genes takes the first m of them
+    most = sizes.groupBy("n_genes").agg(F.max("n_members").alias("_most"))
+    draws = with_draws(most, n_iter).repartition("n_genes", "iter").withColumn("_keys", permutation_keys(seed, "n_genes", "iter"))
+    places = draws.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_most") - 1)))
+    order = places.select("n_genes", "iter", "_at", (permuted(F.col("_at"), F.col("n_genes"), F.col("_keys")) + 1).alias("pos"))
+    drawn = order.join(sizes, "n_genes").filter(F.col("_at") < F.col("n_members"))
     null = _average_precision(drawn.withColumnRenamed("n_members", "size"), ["n_genes", "size", "iter"]).select(
         "n_genes", F.col("size").alias("n_members"), F.col("avg_precision").alias("null_ap")
     )

@@ -1,15 +1,19 @@
 """How many datasets a regulator's consensus needs: subsample, average, compare top sets."""
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Collection, Iterator
+from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import fix10
 from ..functions.ranks import random_rank
-from ..functions.sampling import shuffled_position, with_draws
 from ..functions.stats import six_numbers
 from .rankings import average_profile
 from .similarity import overlap, packed_top
@@ -35,30 +39,64 @@ def sample_overlap(imputed: DataFrame, sample: DataFrame, k: int) -> DataFrame:
     return sets.join(average_top(imputed, k), TF).select(*TF, overlap("genes", "global_top").alias("topk"))
 
 
-def draw_orders(imputed: DataFrame, n_iter: int, seed: int) -> DataFrame:
-    """A seeded order of each regulator's datasets per iteration; at least three datasets needed."""
-    sets = imputed.select(*TF, "dataset_id").distinct()
-    sets = sets.withColumn("n", F.count(F.lit(1)).over(W.partitionBy(*TF))).filter("n >= 3")
-    pos = shuffled_position([*TF, "iter"], "dataset_id", seed, *TF, "iter")
-    return with_draws(sets, n_iter).withColumn("step", pos)
-
+def _top(score: np.ndarray, genes: np.ndarray, k: int) -> np.ndarray:
+    """The genes of the tie-adjusted top k of one profile, by the rule of ``ranks.top_set``; ``genes`` are in rising order."""
+    have = np.flatnonzero(~np.isnan(score))
+    if len(have) > k:
+        # the k largest and all that tie with the last of them
+        least = np.partition(score[have], len(have) - k)[len(have) - k]
+        have = have[score[have] >= least]
+    best = have[np.argsort(-score[have], kind="stable")][:k]
+    if not len(best):
+        return genes[:0]
+    before = int((score[best] > score[best[-1]]).sum())
+    return genes[best[: len(best) if before + 1 >= len(best) else max(before, 1)]]
+
+
+def _running(key: tuple[Any, ...], rows: pd.DataFrame, k: int, n_iter: int, seed: int, steps: Collection[int] | None) -> Iterator[tuple[int, int, int]]:
+    """(step, iter, overlap) of one regulator: its profiles are laid out once, all orders run over them."""
+    genes, column = np.unique(rows["gene"].to_numpy(), return_inverse=True)
+    datasets, line = np.unique(rows["dataset_id"].to_numpy(), return_inverse=True)
+    n = len(datasets)
+    if n < 3:
+        return
+    profile = np.full((n, len(genes)), np.nan)
+    profile[line, column] = rows["score"].to_numpy(float)
+    known = ~np.isnan(profile)
+    profile[~known] = 0.0
+
+    def mean(total: np.ndarray, count: np.ndarray) -> np.ndarray:
+        with np.errstate(invalid="ignore"):
+            return np.floor(total / count * 1e10 + 0.5) / 1e10
+
+    overall = set(_top(mean(profile.sum(0), known.sum(0)), genes, k).tolist())
+    last = n - 1 if steps is None else min(n - 1, max(steps, default=0))
+    for i in range(1, n_iter + 1):
+        keys = [(hashlib.md5("|".join(map(str, (seed, *key, i, d))).encode()).hexdigest(), d) for d in datasets.tolist()]
+        total, count = np.zeros(len(genes)), np.zeros(len(genes), np.int64)
+        for step, at in enumerate(sorted(range(n), key=keys.__getitem__)[:last], 1):
+            total += profile[at]
+            count += known[at]
+            if step >= 2 and (steps is None or step in steps):
+                yield step, i, len(overall.intersection(_top(mean(total, count), genes, k).tolist()))
+
+
+def step_overlaps(imputed: DataFrame, k: int, n_iter: int, seed: int, steps: Collection[int] | None = None) -> DataFrame:
+    """Overlap of every (iteration, step) average with the global average; ``steps`` picks some steps.
+
+    The sample of size ``step`` is the first ``step`` datasets of the iteration's seeded order, so the
+    averages of all steps are one running mean; each step still sees uniform samples. At least three
+    datasets are needed. A regulator's profiles (datasets x genes, bounded by the gene list) meet in
+    one task, which runs through all orders: what is shuffled does not grow with the iterations.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in imputed.schema.fields}
 
-def step_overlaps(imputed: DataFrame, k: int, n_iter: int, seed: int) -> DataFrame:
-    """Overlap of every (iteration, step) average with the global average.
+    def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
+        found = pd.DataFrame(_running(key, rows, k, n_iter, seed, steps), columns=["step", "iter", "topk"], dtype="int64")
+        return found.assign(species=key[0], tf=key[1])[[*TF, "step", "iter", "topk"]]
 
-    The sample of size ``step`` is the first ``step`` datasets of the iteration's order, so the
-    averages of all steps are one running mean and every dataset row is used once per iteration
-    instead of once per iteration and step. Each step still sees uniform samples.
-    """
-    orders = draw_orders(imputed, n_iter, seed)
-    run = W.partitionBy(*TF, "iter", "gene").orderBy("step").rowsBetween(W.unboundedPreceding, W.currentRow)
-    means = (
-        imputed.join(orders, [*TF, "dataset_id"])
-        .withColumn("score", fix10(F.avg("score").over(run)))
-        .filter((F.col("step") >= 2) & (F.col("step") < F.col("n")))
-    )
-    sets = packed_top(means, [*TF, "iter"], "step", k)
-    return sets.join(average_top(imputed, k), TF).select(*TF, "step", "iter", overlap("genes", "global_top").alias("topk"))
+    schema = f"species {kind['species']}, tf {kind['tf']}, step long, iter int, topk long"
+    return imputed.select(*TF, "dataset_id", "gene", "score").groupBy(*TF).applyInPandas(run, schema)
 
 
 def step_summary(steps: DataFrame) -> DataFrame:
@@ -68,7 +106,7 @@ def step_summary(steps: DataFrame) -> DataFrame:
 
 
 def single_step(imputed: DataFrame, step: int, k: int, n_iter: int, seed: int) -> DataFrame:
-    return step_summary(step_overlaps(imputed, k, n_iter, seed).filter(F.col("step") == step))
+    return step_summary(step_overlaps(imputed, k, n_iter, seed, {step}))
 
 
 def saturation(imputed: DataFrame, k: int, n_iter: int, seed: int) -> DataFrame:

@@ -6,35 +6,40 @@ set comparison one expression. Correlations of all column pairs use the blocked
 """
 from __future__ import annotations
 
+from typing import Any
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.exprs import fix10
+from ..functions.exprs import fix10, pearson_agg
 from ..functions.ranks import avg_rank, min_rank, top_set
-from ..functions.sampling import hash_key, with_draws
+from ..functions.sampling import below, hash_key, with_draws
 from ..functions.stats import six_numbers, spearman
 from ..schemas import GeneSpan
 from .correlate import pair_correlation
 from .recovery import auc_from_positions, positions
+from .tiles import fields
 
 
-def packed_top(df: DataFrame, keys: list[str], col: str, k: int, descending: bool = True, value: str = "score") -> DataFrame:
-    """Top (or bottom) k genes of each column as one array of at most k entries."""
-    top = top_set(df, [*keys, col], value, "gene", k, descending)
+def packed_top(df: DataFrame, keys: list[str], col: str, k: int, descending: bool = True, value: str = "score", check_k: bool = True) -> DataFrame:
+    """Top (or bottom) k genes of each column as one array of at most k entries; ``check_k`` shrinks k where it would cut a tie block."""
+    top = top_set(df, [*keys, col], value, "gene", k, descending, check_k)
     return top.groupBy(*keys, col).agg(F.collect_list("gene").alias("genes"))
 
 
-def top_and_bottom(df: DataFrame, keys: list[str], col: str, k: int) -> DataFrame:
+def top_and_bottom(df: DataFrame, keys: list[str], col: str, k: int, check_k: bool = True) -> DataFrame:
     """Per column the arrays t (top k), b (bottom k) and u (either)."""
-    top = packed_top(df, keys, col, k).withColumnRenamed("genes", "t")
-    bottom = packed_top(df, keys, col, k, False).withColumnRenamed("genes", "b")
+    top = packed_top(df, keys, col, k, check_k=check_k).withColumnRenamed("genes", "t")
+    bottom = packed_top(df, keys, col, k, False, check_k=check_k).withColumnRenamed("genes", "b")
     return top.join(bottom, [*keys, col]).withColumn("u", F.array_union("t", "b"))
 
 
-def binarize(df: DataFrame, keys: list[str], col: str, k: int) -> DataFrame:
+def binarize(df: DataFrame, keys: list[str], col: str, k: int, check_k: bool = True) -> DataFrame:
     """Genes in the top or the bottom k of their column."""
-    return top_and_bottom(df, keys, col, k).select(*keys, col, F.explode("u").alias("gene"))
+    return top_and_bottom(df, keys, col, k, check_k).select(*keys, col, F.explode("u").alias("gene"))
 
 
 def column_pairs(packed: DataFrame, keys: list[str], col: str) -> DataFrame:
@@ -48,66 +53,90 @@ def overlap(a: str = "genes_a", b: str = "genes_b") -> Column:
     return F.size(F.array_intersect(a, b)).cast("long")
 
 
-def column_overlaps(df: DataFrame, keys: list[str], col: str, k: int, descending: bool = True) -> DataFrame:
-    pairs = column_pairs(packed_top(df, keys, col, k, descending), keys, col)
+def column_overlaps(df: DataFrame, keys: list[str], col: str, k: int, descending: bool = True, check_k: bool = True) -> DataFrame:
+    pairs = column_pairs(packed_top(df, keys, col, k, descending, check_k=check_k), keys, col)
     return pairs.select(*keys, "col_a", "col_b", overlap().alias("overlap"))
 
 
-def column_jaccard(df: DataFrame, keys: list[str], col: str, k: int) -> DataFrame:
-    packed = top_and_bottom(df, keys, col, k).select(*keys, col, F.col("u").alias("genes"))
+def column_jaccard(df: DataFrame, keys: list[str], col: str, k: int, check_k: bool = True) -> DataFrame:
+    packed = top_and_bottom(df, keys, col, k, check_k).select(*keys, col, F.col("u").alias("genes"))
     i = overlap()
     j = F.try_divide(i.cast("double"), F.size("genes_a") + F.size("genes_b") - i)
     return column_pairs(packed, keys, col).select(*keys, "col_a", "col_b", j.alias("jaccard"))
 
 
-def column_correlations(df: DataFrame, keys: list[str], col: str) -> DataFrame:
-    """Spearman of every pair of columns; rows are genes, ranks are shared by all pairs.
-
-    The column ids (datasets) get ordinals for the blocked product and are mapped back. Shared ranks
-    need complete columns: the job fails on a column that has no score for a gene of its keys.
+def _average_ranks(x: np.ndarray) -> np.ndarray:
+    _, back, n = np.unique(x, return_inverse=True, return_counts=True)
+    return (np.cumsum(n) - (n - 1) / 2.0)[back]
+
+
+def _correlated(rows: pd.DataFrame, col: str, method: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Smaller column, larger column and r of all pairs of columns of one matrix that vary."""
+    names, line = np.unique(rows[col].to_numpy(), return_inverse=True)
+    genes, place = np.unique(rows["gene"].to_numpy(), return_inverse=True)
+    x = np.full((len(names), len(genes)), np.nan)
+    x[line, place] = rows["score"].to_numpy(float)
+    if np.isnan(x).any():
+        raise ValueError(f"column without a score for some gene: {names[np.isnan(x).any(1)][0]}")
+    if method == "spearman":
+        x = np.stack([_average_ranks(v) for v in x])
+    n, total = float(len(genes)), x.sum(1)
+    spread = n * (x * x).sum(1) - total * total
+    i, j = np.triu_indices(len(names), 1)
+    keep = (spread[i] > 0) & (spread[j] > 0)
+    i, j = i[keep], j[keep]
+    r = (n * (x @ x.T)[i, j] - total[i] * total[j]) / (np.sqrt(spread[i]) * np.sqrt(spread[j]))
+    return names[i], names[j], np.floor(r * 1e10 + 0.5) / 1e10
+
+
+def column_correlations(df: DataFrame, keys: list[str], col: str, method: str = "spearman") -> DataFrame:
+    """Spearman or Pearson of every pair of columns of each matrix; ranks are shared by all pairs.
+
+    A matrix has a column per dataset and a row per gene, which bounds it whatever the number of
+    cells; each is one product in its task. Shared ranks need complete columns: the job fails on a
+    column that has no score for a gene of its keys. Columns without variance have no pairs.
     """
-    listed = df.select(col).distinct()
-    index = listed.select(col, F.row_number().over(W.orderBy(col)).alias("gene"))
-    group = [*keys, col]
-    ranked = (
-        df.select(*keys, F.col("gene").alias("cell_id"), F.col(col), avg_rank(group, "score").alias("value"))
-        .join(index, col)
-        .select(*keys, "cell_id", "gene", "value")
-    )
-    rows = df.select(*keys, "gene").distinct()
-    wanted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    held = df.groupBy(*group).agg(F.count("score").alias("_scores")).join(wanted, keys)
-    fault = F.raise_error(F.concat(F.lit("column without a score for some gene: "), F.col(col).cast("string"))).cast("boolean")
-    complete = held.filter(F.when(F.col("_scores") == F.col("_rows"), True).otherwise(fault)).select(*group)
-    ranked = ranked.join(complete.join(index, col).select(*keys, "gene"), [*keys, "gene"], "left_semi")
-    r = pair_correlation(ranked, rows, GeneSpan(1, listed.count()), min_cell=0, keys=tuple(keys))
-    low = index.select(F.col("gene").alias("gene_b"), F.col(col).alias("col_a"))
-    high = index.select(F.col("gene").alias("gene_a"), F.col(col).alias("col_b"))
-    pairs = r.filter("gene_a <> gene_b").join(low, "gene_b").join(high, "gene_a")
-    return pairs.select(*keys, "col_a", "col_b", F.col("r").alias("scor"))
-
-
-def column_aucs(df: DataFrame, keys: list[str], col: str, k: int) -> DataFrame:
-    """AUROC and AUPRC of column i as score and the top k of column j as labels."""
+    if method not in ("spearman", "pearson"):
+        raise ValueError(f"unknown method {method!r}")
+
+    def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
+        low, high, r = _correlated(rows, col, method)
+        return pd.DataFrame({**dict.fromkeys(keys), "col_a": low, "col_b": high, "scor": r}).assign(**dict(zip(keys, key)))
+
+    kind = df.schema[col].dataType.simpleString()
+    schema = f"{fields(df, tuple(keys))}, col_a {kind}, col_b {kind}, scor double"
+    return df.select(*keys, col, "gene", "score").groupBy(*keys).applyInPandas(run, schema)
+
+
+def column_aucs(df: DataFrame, keys: list[str], col: str, k: int, descending: bool = True, check_k: bool = True) -> DataFrame:
+    """AUROC and AUPRC of column i as score and the top (or bottom) k of column j as labels; 1 on the diagonal, n_targets the size of the label set."""
     group = [*keys, col]
     pos = positions(df, group, "score").withColumnRenamed(col, "col_i")
-    labels = top_set(df, group, "score", "gene", k).select(*keys, F.col(col).alias("col_j"), "gene")
-    hits = pos.join(labels, [*keys, "gene"]).filter("col_i <> col_j")
-    return auc_from_positions(hits, [*keys, "col_i", "col_j"])
+    top = top_set(df, group, "score", "gene", k, descending, check_k)
+    labels = top.select(*keys, F.col(col).alias("col_j"), "gene")
+    aucs = auc_from_positions(pos.join(labels, [*keys, "gene"]), [*keys, "col_i", "col_j"])
+    own = F.col("col_i") == F.col("col_j")
+    return aucs.withColumns({c: F.when(own, F.lit(1.0)).otherwise(F.col(c)) for c in ("auroc", "auprc")})
 
 
 # ---------------------------------------------------------------- matching columns of two matrices
 
-def matched_correlation(m1: DataFrame, m2: DataFrame, col: str) -> DataFrame:
-    """Spearman of the columns that both matrices have, over rows present in both."""
+def matched_correlation(m1: DataFrame, m2: DataFrame, col: str, method: str = "spearman") -> DataFrame:
+    """Spearman or Pearson of the columns that both matrices have, over rows present in both."""
     a = m1.select(col, "gene", F.col("score").alias("x"))
     b = m2.select(col, "gene", F.col("score").alias("y"))
-    return spearman(a.join(b, [col, "gene"]), [col], "x", "y").withColumnRenamed("spearman", "scor")
-
-
-def matched_overlap(m1: DataFrame, m2: DataFrame, col: str, k: int, descending: bool = True) -> DataFrame:
-    a = packed_top(m1, [], col, k, descending).withColumnRenamed("genes", "genes_a")
-    b = packed_top(m2, [], col, k, descending).withColumnRenamed("genes", "genes_b")
+    both = a.join(b, [col, "gene"])
+    if method == "spearman":
+        return spearman(both, [col], "x", "y").withColumnRenamed("spearman", "scor")
+    if method != "pearson":
+        raise ValueError(f"unknown method {method!r}")
+    both = both.filter("x IS NOT NULL AND y IS NOT NULL")
+    return both.groupBy(col).agg(pearson_agg("x", "y").alias("scor"), F.count(F.lit(1)).alias("n"))
+
+
+def matched_overlap(m1: DataFrame, m2: DataFrame, col: str, k: int, descending: bool = True, check_k: bool = True) -> DataFrame:
+    a = packed_top(m1, [], col, k, descending, check_k=check_k).withColumnRenamed("genes", "genes_a")
+    b = packed_top(m2, [], col, k, descending, check_k=check_k).withColumnRenamed("genes", "genes_b")
     return a.join(b, col).select(col, overlap().alias("overlap"))
 
 
@@ -126,15 +155,15 @@ def _renamed(m: DataFrame, col: str, pairs: DataFrame, side: str) -> DataFrame:
     return m.withColumnRenamed(col, side).join(pairs.select("pair", side), side).drop(side)
 
 
-def shuffled_correlation(m1: DataFrame, m2: DataFrame, col: str, seed: int) -> DataFrame:
+def shuffled_correlation(m1: DataFrame, m2: DataFrame, col: str, seed: int, method: str = "spearman") -> DataFrame:
     pairs = shuffled_columns(m1, m2, col, seed)
-    scor = matched_correlation(_renamed(m1, col, pairs, "col_1"), _renamed(m2, col, pairs, "col_2"), "pair")
+    scor = matched_correlation(_renamed(m1, col, pairs, "col_1"), _renamed(m2, col, pairs, "col_2"), "pair", method)
     return pairs.join(scor, "pair")
 
 
-def shuffled_overlap(m1: DataFrame, m2: DataFrame, col: str, k: int, seed: int) -> DataFrame:
+def shuffled_overlap(m1: DataFrame, m2: DataFrame, col: str, k: int, seed: int, descending: bool = True, check_k: bool = True) -> DataFrame:
     pairs = shuffled_columns(m1, m2, col, seed)
-    hit = matched_overlap(_renamed(m1, col, pairs, "col_1"), _renamed(m2, col, pairs, "col_2"), "pair", k)
+    hit = matched_overlap(_renamed(m1, col, pairs, "col_1"), _renamed(m2, col, pairs, "col_2"), "pair", k, descending, check_k)
     return pairs.join(hit, "pair")
 
 
@@ -162,13 +191,11 @@ def regulator_similarity(profile: DataFrame, k: int) -> DataFrame:
 def null_profiles(full: DataFrame, msr: DataFrame, candidates: DataFrame, species: DataFrame, n_draws: int, seed: int) -> DataFrame:
     """Per draw and species, the profile of one random measured gene of every dataset."""
     pool = msr.filter("measured").join(candidates.select("gene"), "gene", "left_semi").join(species, "dataset_id")
-    key = hash_key(seed, "iter", "dataset_id", "gene")
-    # the smallest hash per (draw, dataset): an aggregate with map-side combine, no window
-    drawn = (
-        with_draws(pool, n_draws)
-        .groupBy("species", "iter", "dataset_id")
-        .agg(F.min_by("gene", F.struct(key, "gene")).alias("partner"))
-    )
+    numbered = pool.select("dataset_id", F.col("gene").alias("partner"), F.row_number().over(W.partitionBy("dataset_id").orderBy("gene")).cast("long").alias("_at"))
+    # a row per draw and dataset: a random place among the dataset's genes
+    sizes = pool.groupBy("species", "dataset_id").agg(F.count(F.lit(1)).alias("_n"))
+    places = with_draws(sizes, n_draws).select("species", "iter", "dataset_id", (below(F.col("_n"), seed, "iter", "dataset_id") + 1).alias("_at"))
+    drawn = places.join(numbered, ["dataset_id", "_at"])
     return full.join(drawn, ["dataset_id", "partner"]).select(
         "species", "iter", "dataset_id", "partner", "gene", F.col("rsr").alias("score")
     )
@@ -225,33 +252,26 @@ def match_rank(scores: DataFrame, gene: int, value: str, first: int) -> DataFram
 def query_correlation(full: DataFrame, gene: int, genes: GeneSpan, gene_block: int = 1024, query: int | None = None) -> DataFrame:
     """Spearman of the gene's column in one dataset (``query``, or each) with every column of every other dataset.
 
-    Per subject dataset this is one rectangular product: its columns against the query columns of
-    all datasets, which get the ordinals of the last block.
+    Per subject dataset this is one rectangular product: its columns against the query columns of the
+    asked datasets, which get ordinals of their own, in as many blocks as they fill.
     """
     ranked = full.select("dataset_id", "partner", "gene", avg_rank(["dataset_id", "partner"], "rsr").alias("value"))
-    listed = full.select("dataset_id").distinct()
     asked = F.lit(True) if query is None else F.col("dataset_id") == query
     block = min(gene_block, genes.first + genes.n)
-    base = -(-(genes.first + genes.n) // block) * block  # first ordinal of the query block
-    ids = listed.select("dataset_id", (F.row_number().over(W.orderBy("dataset_id")) - 1 + base).alias("_q"))
-    n_ids = listed.count()
-    if n_ids > block:
-        raise ValueError(f"{n_ids} query columns do not fit a block of {block}; raise gene_block")
-    own = ranked.filter((F.col("partner") == gene) & asked).join(ids, "dataset_id").select("_q", F.col("gene").alias("cell_id"), "value")
+    first = -(-(genes.first + genes.n) // block)  # the first block of queries
+    ids = full.filter((F.col("partner") == gene) & asked).select("dataset_id").distinct()
+    ids = ids.select("dataset_id", (F.row_number().over(W.orderBy("dataset_id")) - 1 + first * block).alias("_q"))
+    own = ranked.filter((F.col("partner") == gene) & asked).join(ids, "dataset_id").select("_q", F.col("dataset_id").alias("_own"), F.col("gene").alias("cell_id"), "value")
     columns = ranked.select(F.col("dataset_id").alias("subject"), F.col("gene").alias("cell_id"), F.col("partner").alias("gene"), "value")
-    # every subject dataset sees all query columns: datasets x datasets x genes rows
-    spread = own.withColumn("_s", F.explode(F.sequence(F.lit(base), F.lit(base + n_ids - 1))))
-    subject = ids.select(F.col("_q").alias("_s"), F.col("dataset_id").alias("subject"))
-    queries = spread.join(subject, "_s").select("subject", "cell_id", F.col("_q").alias("gene"), "value")
+    # a subject sees the query columns over its own genes
     rows = full.select(F.col("dataset_id").alias("subject"), "gene").distinct()
+    queries = own.join(rows.withColumnRenamed("gene", "cell_id"), "cell_id").filter("_own <> subject").select("subject", "cell_id", F.col("_q").alias("gene"), "value")
+    n_ids = max(ids.count(), 1)
     r = pair_correlation(
-        columns.unionByName(queries), rows, GeneSpan(genes.first, base + block - genes.first), min_cell=0, gene_block=block,
-        keys=("subject",), against_last_block=True,
+        columns.unionByName(queries), rows, GeneSpan(genes.first, first * block + n_ids - genes.first), min_cell=0, gene_block=block, keys=("subject",), queries_from=first,
     )
     names = ids.select(F.col("_q").alias("gene_a"), F.col("dataset_id").alias("query"))
-    return r.filter(F.col("gene_b") < base).join(names, "gene_a").filter("query <> subject").select(
-        "query", "subject", F.col("gene_b").alias("partner"), F.col("r").alias("scor")
-    )
+    return r.join(names, "gene_a").select("query", "subject", F.col("gene_b").alias("partner"), F.col("r").alias("scor"))
 
 
 def query_auprc(full: DataFrame, gene: int, k: int) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from ..functions.ranks import RANGE_ROWS, SAMPLES
 from ..schemas import GeneSpan
 
-GENE_BLOCK = 1024
+GENE_BLOCK = 512
 CHUNK_CELLS = 4096
 
 Keys = tuple[str, ...]
@@ -48,7 +48,7 @@ def _batch(schema: list[str], *columns: list) -> pa.RecordBatch:
 
 # ---------------------------------------------------------------- products
 
-def _chunk_products(block: int, n_blocks: int, names: Keys, last_only: bool):
+def _chunk_products(block: int, n_blocks: int, names: Keys, queries_from: int):
     """All tiles of one chunk of cells: the chunk's counts come once, one product at a time leaves."""
 
     def run(key: tuple[Any, ...], parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,11 +68,11 @@ def _chunk_products(block: int, n_blocks: int, names: Keys, last_only: bool):
 
         full = [b for b in range(n_blocks) if edges[b] < edges[b + 1]]
         for ta in full:
-            if last_only and ta != n_blocks - 1:
+            if ta < queries_from:
                 continue
             ga, xa = dense(ta)
             for tb in full:
-                if tb > ta:
+                if tb > ta or queries_from and tb >= queries_from:
                     break
                 gb, xb = (ga, xa) if ta == tb else dense(tb)
                 product = xa.T @ xb
@@ -92,10 +92,14 @@ def _added(parts: Iterator[pd.DataFrame], block: int) -> np.ndarray:
     return total
 
 
-def defined_genes(expr: DataFrame, meta: DataFrame, keys: Keys, min_cell: int) -> DataFrame:
-    """(keys, gene, n_cells, sx, var): genes with enough positive cells and a variance above rounding; pairs of them are defined."""
+def gene_moments(expr: DataFrame, keys: Keys) -> DataFrame:
     v = F.col("value").cast("double")
-    moments = expr.groupBy(*keys, F.col("gene").cast("long").alias("gene")).agg(F.count_if(v > 0).alias("nz"), F.sum(v).alias("sx"), F.sum(v * v).alias("sxx"))
+    return expr.groupBy(*keys, F.col("gene").cast("long").alias("gene")).agg(F.count_if(v > 0).alias("nz"), F.sum(v).alias("sx"), F.sum(v * v).alias("sxx"))
+
+
+def defined_genes(expr: DataFrame, meta: DataFrame, keys: Keys, min_cell: int, moments: DataFrame | None = None) -> DataFrame:
+    """(keys, gene, n_cells, sx, var): genes with enough positive cells and a variance above rounding; pairs of them are defined."""
+    moments = gene_moments(expr, keys) if moments is None else moments
     moments = moments.join(meta.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cells")), list(keys))
     variance = F.col("n_cells") * F.col("sxx") - F.col("sx") * F.col("sx")
     ok = (F.col("nz") >= min_cell) & (variance > F.lit(1e-13) * F.col("n_cells") * F.col("sxx"))
@@ -103,7 +107,7 @@ def defined_genes(expr: DataFrame, meta: DataFrame, keys: Keys, min_cell: int) -
 
 
 def product_tiles(
-    expr: DataFrame, meta: DataFrame, genes: GeneSpan, keys: Keys, min_cell: int, raw: bool = False, gene_block: int = GENE_BLOCK, chunk_cells: int = CHUNK_CELLS, last_only: bool = False,
+    expr: DataFrame, meta: DataFrame, genes: GeneSpan, keys: Keys, min_cell: int, raw: bool = False, gene_block: int = GENE_BLOCK, chunk_cells: int = CHUNK_CELLS, queries_from: int = 0, defined: DataFrame | None = None,
 ) -> DataFrame:
     """Tiles (keys, ``TILE``) of the Pearson correlations, or the sums of products, of the defined genes of each group.
 
@@ -113,7 +117,8 @@ def product_tiles(
        meet in a lane, then the lanes meet. No task reads all chunks of a large group.
     3. Every tile of two blocks with defined genes has a row, also if no cell has counts in both.
 
-    ``last_only`` keeps the tiles whose ``gene_a`` lies in the last block.
+    ``queries_from`` makes it a rectangle: ordinals from that block on are queries, and only the tiles
+    of a block of queries (``ta``) with a block of the others (``tb``) are made. ``defined`` takes ``defined_genes`` made before.
     """
     block, n_blocks = blocks(genes, gene_block)
     sizes = meta.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cells"))
@@ -126,7 +131,7 @@ def product_tiles(
     chunk = F.pmod(F.xxhash64("cell_id"), F.col("n_chunks")).cast("int")
     dealt = kept.join(plan, list(keys)).withColumn("chunk", chunk).withColumn("lane", F.pmod("chunk", "n_lanes")).drop("n_chunks", "n_lanes")
     key_fields = fields(kept, keys)
-    partial = dealt.groupBy(*keys, "chunk", "lane").applyInPandas(_chunk_products(block, n_blocks, keys, last_only), f"{key_fields}, ta int, tb int, lane int, idx binary, val binary")
+    partial = dealt.groupBy(*keys, "chunk", "lane").applyInPandas(_chunk_products(block, n_blocks, keys, queries_from), f"{key_fields}, ta int, tb int, lane int, idx binary, val binary")
 
     def lane_sum(key: tuple[Any, ...], parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = _added(parts, block)
@@ -135,11 +140,11 @@ def product_tiles(
 
     lanes = partial.groupBy(*keys, "ta", "tb", "lane").applyInPandas(lane_sum, f"{key_fields}, ta int, tb int, idx binary, val binary")
 
-    defined = defined_genes(kept, meta, keys, min_cell)
+    defined = defined_genes(kept, meta, keys, min_cell) if defined is None else defined
     packed = defined.groupBy(*keys, "n_cells", F.floor(F.col("gene") / block).cast("int").alias("b")).agg(F.array_sort(F.collect_list(F.struct("gene", "sx", "var"))).alias("m"))
     left = packed.select(*keys, "n_cells", F.col("b").alias("ta"), F.col("m").alias("ma"))
     right = packed.select(*keys, F.col("b").alias("tb"), F.col("m").alias("mb"))
-    spine = left.join(right, list(keys)).filter("ta >= tb" + (f" AND ta = {n_blocks - 1}" if last_only else ""))
+    spine = left.join(right, list(keys)).filter(f"tb < {queries_from} AND ta >= {queries_from}" if queries_from else "ta >= tb")
     for side, own in (("a", "ma"), ("b", "mb")):
         spine = spine.withColumns({f"g{side}": F.transform(own, lambda x: x["gene"]), f"s{side}": F.transform(own, lambda x: x["sx"]), f"v{side}": F.transform(own, lambda x: x["var"])})
     spine = spine.drop("ma", "mb")

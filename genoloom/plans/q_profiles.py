@@ -258,9 +258,9 @@ def pos_sql(source: str, keys: str, value: str) -> str:
   FROM {source} WHERE {value} IS NOT NULL)"""
 
 
-@query("k9_colwise_auc", "SELECT species, tf, col_i, col_j, n_targets, round(auroc, 6) AS auroc, round(auprc, 6) AS auprc FROM (" + auc_sql(
+@query("k9_colwise_auc", "SELECT species, tf, col_i, col_j, n_targets, CASE WHEN col_i = col_j THEN 1 ELSE round(auroc, 6) END AS auroc, CASE WHEN col_i = col_j THEN 1 ELSE round(auprc, 6) END AS auprc FROM (" + auc_sql(
     f"(SELECT p.species, p.tf, p.dataset_id AS col_i, l.dataset_id AS col_j, s, e, n FROM {pos_sql('no_self', 'species, tf, dataset_id', 'score')} p "
-    "JOIN top_p l ON l.species = p.species AND l.tf = p.tf AND l.gene = p.gene AND l.dataset_id <> p.dataset_id)", "species, tf, col_i, col_j") + ")")
+    "JOIN top_p l ON l.species = p.species AND l.tf = p.tf AND l.gene = p.gene)", "species, tf, col_i, col_j") + ")")
 def _(t):
     return rd(s.column_aucs(t.profile.filter("gene <> tf"), ["species", "tf"], "dataset_id", K), auroc=6, auprc=6)
 
@@ -327,12 +327,10 @@ def _(t):
     return rd(t.sim_tf, scor=6, jaccard=6)
 
 
+cte("null_pool", "SELECT species, m.dataset_id, m.gene, row_number() OVER (PARTITION BY m.dataset_id ORDER BY m.gene) - 1 AS place, count(*) OVER (PARTITION BY m.dataset_id) AS n FROM msr_b m JOIN species s ON s.dataset_id = m.dataset_id WHERE measured AND m.gene IN (SELECT tf FROM tfs)")
 cte("null_draws", f"""
-SELECT species, iter, dataset_id, partner FROM (
-  SELECT species, iter, m.dataset_id, m.gene AS partner, row_number() OVER (PARTITION BY iter, m.dataset_id
-    ORDER BY md5(concat_ws('|', '{SEED}', iter, m.dataset_id, m.gene)), m.gene) AS i
-  FROM msr_b m JOIN species s ON s.dataset_id = m.dataset_id, (SELECT unnest(range(1, {DRAWS} + 1)) AS iter)
-  WHERE measured AND m.gene IN (SELECT tf FROM tfs)) WHERE i = 1""")
+SELECT species, iter, dataset_id, gene AS partner FROM null_pool, (SELECT unnest(range(1, {DRAWS} + 1)) AS iter)
+WHERE place = ('0x' || substr(md5(concat_ws('|', '{SEED}', iter, dataset_id)), 1, 15))::BIGINT % n""")
 cte("null_prof", "SELECT d.species, CAST(d.iter AS INTEGER) AS iter, d.dataset_id, f.gene, f.rsr AS score FROM null_draws d JOIN full_b f ON f.dataset_id = d.dataset_id AND f.partner = d.partner")
 cte("null_top", f"SELECT species, iter, dataset_id, gene FROM {top_sql('null_prof', 'species, iter, dataset_id', 'score', K)}")
 cte("null_bottom", f"SELECT species, iter, dataset_id, gene FROM {top_sql('null_prof', 'species, iter, dataset_id', 'score', K, False)}")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as st
 from ..functions.exprs import rnd, share, title
-from ..functions.sampling import shuffled_position, with_draws
+from ..functions.sampling import permuted_sql, shuffled_position, with_draws
 from ..operators import checks as ck
 from ..operators import enrich as g
 from .catalog import query
@@ -28,10 +28,9 @@ def ap_sql(source: str, keys: str) -> str:
 
 
 cte("set_ap", f"SELECT a.*, n_genes FROM ({ap_sql('(SELECT p.species, p.tf, s.set_id, p.pos FROM set_pos p JOIN set_rows s ON s.gene = p.gene)', 'species, tf, set_id')}) a JOIN (SELECT species, tf, count(*) AS n_genes FROM set_pos GROUP BY ALL) n ON n.species = a.species AND n.tf = a.tf WHERE n_members >= 2")
-cte("set_null", ap_sql(f"""(SELECT z.n_genes, z.n_members AS size, o.iter, o.pos FROM (SELECT DISTINCT n_genes, n_members FROM set_ap) z JOIN
- (SELECT n_genes, iter, pos, row_number() OVER (PARTITION BY n_genes, iter ORDER BY md5(concat_ws('|', '{SEED}', n_genes, iter, pos)), pos) AS i
-  FROM (SELECT n_genes, unnest(range(1, n_genes + 1)) AS pos FROM (SELECT DISTINCT n_genes FROM set_ap)), (SELECT unnest(range(1, {N_SETS_ITER} + 1)) AS iter)) o
- ON o.n_genes = z.n_genes AND o.i <= z.n_members)""", "n_genes, size, iter"))
+cte("set_places", permuted_sql(f"SELECT n_genes, iter, unnest(range(0, most)) AS place FROM (SELECT n_genes, max(n_members) AS most FROM set_ap GROUP BY n_genes), (SELECT unnest(range(1, {N_SETS_ITER} + 1)) AS iter)", "place", "n_genes", SEED, "n_genes, iter", 50))
+cte("set_null", ap_sql("""(SELECT z.n_genes, z.n_members AS size, o.iter, o.x + 1 AS pos FROM (SELECT DISTINCT n_genes, n_members FROM set_ap) z JOIN
+ set_places o ON o.n_genes = z.n_genes AND o.place < z.n_members)""", "n_genes, size, iter"))
 cte("set_p", f"SELECT a.species, a.tf, a.set_id, a.n_members, a.avg_precision, (count(*) FILTER (u.avg_precision >= a.avg_precision) + 1) / ({N_SETS_ITER} + 1)::DOUBLE AS p_value FROM set_ap a JOIN set_null u ON u.n_genes = a.n_genes AND u.size = a.n_members GROUP BY ALL")
 cte("enriched", """
 SELECT species, tf, set_id, n_members, avg_precision, p_value, least(1.0::DOUBLE, min(q) OVER (PARTITION BY species, tf ORDER BY p_value DESC, set_id DESC ROWS UNBOUNDED PRECEDING)) AS p_corrected

@@ -1,8 +1,10 @@
 """Readers of the text layouts count matrices and reference tables come in."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,35 +35,56 @@ def read_after_banner(spark: SparkSession, path: str, schema: T.StructType) -> D
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def read_dense(spark: SparkSession, path: str, key: str = "gene", cells_as_rows: bool = False) -> DataFrame:
-    """Dense matrix text to non-zero triples; the first column is the gene (or the cell)."""
-    wide = spark.read.csv(path, sep="\t", header=True)
-    first, others = wide.columns[0], wide.columns[1:]
-    values = [F.col(f"`{c}`").cast("double").alias(c) for c in others]
-    row, column = ("cell_id", key) if cells_as_rows else (key, "cell_id")
-    long = wide.select(F.col(f"`{first}`").alias(row), *values).unpivot([row], [F.col(f"`{c}`") for c in others], column, "value")
-    return long.filter(F.col("value") != 0).select(key, "cell_id", "value")
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the 0-based place of each line in its split; the lines of a split come one after the other."""
+    split, seen = None, 0
+    for batch in batches:
+        files, blocks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        place = []
+        for at in zip(files, blocks):
+            if at != split:
+                split, seen = at, 0
+            place.append(seen)
+            seen += 1
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place, pa.int64())], ["_f", "_b", "line", "_i"])
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their 1-based number across the files of a path, in file name order.
+    """(file, line, line_no, file_line_no): lines with their 1-based numbers across the files of a path, in file name order, and in their file.
 
-    Lines of one file split are contiguous, so the number is the count of lines in earlier splits
-    plus the position inside the split. Only the split counts are brought in order by one window.
+    The pass that reads a line counts its place within its split (file, block start). The lines in
+    earlier splits are prefix sums over the counts per split, which depend on the splits alone and not
+    on how a scan deals them to tasks.
     """
-    lines = spark.read.text(path).select(
-        F.col("value").alias("line"),
-        F.col("_metadata.file_path").alias("_f"),
-        F.col("_metadata.file_block_start").alias("_b"),
-        F.monotonically_increasing_id().alias("_i"),
-    )
-    splits = lines.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
-    splits = splits.withColumn("_off", F.sum("_n").over(W.orderBy("_f", "_b")) - F.col("_n"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.col("value").alias("line"))
+    lines = lines.mapInArrow(_placed, "_f string, _b long, line string, _i long")
+    splits = lines.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = lambda w: F.sum("_n").over(w) - F.col("_n")
+    splits = splits.select("_f", "_b", before(W.orderBy("_f", "_b")).alias("_all"), before(W.partitionBy("_f").orderBy("_b")).alias("_own"))
     return lines.join(splits, ["_f", "_b"]).select(
-        (F.col("_off") + F.col("_i") - F.col("_first") + 1).alias("line_no"), "line"
+        F.col("_f").alias("file"), "line", (F.col("_all") + F.col("_i") + 1).alias("line_no"), (F.col("_own") + F.col("_i") + 1).alias("file_line_no")
     )
 
 
+def read_dense(spark: SparkSession, path: str, key: str = "gene", cells_as_rows: bool = False, sep: str = "\t") -> DataFrame:
+    """Dense matrix text to non-zero triples; the first column is the gene (or the cell).
+
+    A line is split once, its non-zero fields are exploded with their positions and meet the header of
+    their own file by position. A matrix may have any number of columns, and the files of a path
+    different ones. Fields that are no number count as missing.
+    """
+    lines = numbered_lines(spark, path)
+    plain = lambda c: F.btrim(c, F.lit('"'))
+    fields = F.split("line", re.escape(sep), -1)
+    header = lines.filter("file_line_no = 1").select("file", F.posexplode(F.slice(fields, 2, F.size(fields))).alias("at", "_name"))
+    rows = lines.filter("file_line_no > 1").select("file", fields.alias("f"))
+    found = F.transform(F.slice("f", 2, F.size("f")), lambda x, i: F.struct(i.alias("at"), plain(x).try_cast("double").alias("value")))
+    cells = rows.select("file", plain(F.col("f")[0]).alias("_row"), F.explode(F.filter(found, lambda x: x["value"] != 0)).alias("c"))
+    named = cells.select("file", "_row", "c.at", "c.value").join(header.withColumn("_name", plain(F.col("_name"))), ["file", "at"])
+    row, column = ("cell_id", key) if cells_as_rows else (key, "cell_id")
+    return named.select(F.col("_row").alias(row), F.col("_name").alias(column), "value").select(key, "cell_id", "value")
+
+
 def read_matrix_market(spark: SparkSession, path: str, features: str, barcodes: str, transposed: bool = False) -> DataFrame:
     """Triplet matrix with a feature list and a barcode list joined by position."""
     lines = numbered_lines(spark, path).filter(~F.col("line").startswith("%"))

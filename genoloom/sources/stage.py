@@ -2,43 +2,52 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
+_marked: set[str] = set()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``.
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
 
-    Only a local session without that setting (tests, bench) gets a folder of its own; on a
-    cluster a machine-local folder would not be seen by the other executors.
-    """
+def shared_dir(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``; where it names none, one in the warehouse, which all executors reach too."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        _local_dirs[app] = tempfile.mkdtemp(prefix="genoloom-")
-    return _local_dirs[app]
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
 
 
 def stage_path(spark: SparkSession, *parts: str) -> str:
-    """A path of this application; the parts name the content."""
+    """A path of this application; the parts name the content. The application's folder is removed when its session ends."""
+    own = f"{shared_dir(spark)}/genoloom/{spark.sparkContext.applicationId}"
+    if own not in _marked:
+        path, fs = _path(spark, own)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _marked.add(own)
     tag = hashlib.md5("|".join(parts).encode()).hexdigest()[:12]
-    return f"{shared_dir(spark)}/genoloom/{spark.sparkContext.applicationId}/{parts[-1]}-{tag}"
+    return f"{own}/{parts[-1]}-{tag}"
+
+
+def content_key(spark: SparkSession, inputs: Sequence[str] = (), **parameters) -> str:
+    """Names what a stage table is made of: its parameters, and path, size and time of every input file."""
+    found = [f"{k}={parameters[k]!r}" for k in sorted(parameters)]
+    for name in inputs:
+        path, fs = _path(spark, name)
+        for status in sorted(fs.listStatus(path), key=lambda s: s.getPath().toString()):
+            length = fs.getContentSummary(status.getPath()).getLength() if status.isDirectory() else status.getLen()
+            found.append(f"{status.getPath().toString()} {length} {status.getModificationTime()}")
+    return hashlib.md5("\n".join(found).encode()).hexdigest()
 
 
 def exists(spark: SparkSession, path: str) -> bool:
     """True if the folder holds a finished write."""
-    jvm = spark._jvm
-    done = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+    done, fs = _path(spark, path + "/_SUCCESS")
+    return fs.exists(done)
 
 
 def materialize(
