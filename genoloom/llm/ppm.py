@@ -280,62 +280,58 @@ def unpacked_rest(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _from_planes(data[8 : 8 + 8 * n], "<u8"), _from_planes(data[8 + 8 * n : 8 + 12 * n], "<u4"), _from_planes(data[8 + 12 * n :], "<u4")
 
 
-def rest_scores(seen: DataFrame, model: Model, held_places: int = 1 << 20) -> DataFrame:
-    """(row, score) from (bucket, chunk, packed): the log probability of each gram, added up per text as far as they are held.
+def rest_scores(seen: DataFrame, model: Model) -> DataFrame:
+    """(row, score) from (bucket, chunk, packed): the sums per text of the log probabilities of its rarer grams.
 
     Grams are dealt by the last LOW bytes of their context together with all counted grams. So a task
     has every gram and context of the orders from LOW on that its grams can escape to, and the
-    lower orders are broadcast: the trie is whole for them. Counts come first in each bucket and are
-    held; the grams to score stream past.
+    lower orders are broadcast: the trie is whole for them. A task's counts come first and are held;
+    the grams to score stream past chunk by chunk, and one row per task and chunk of texts leaves
+    with the sums of all its texts. These are added up per chunk.
     """
     none = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * (ORDER + 1 - LOW)
     shared = seen.sparkSession.sparkContext.broadcast(Trie(none, none, model.trie))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        below, unpack = shared.value, zstandard.ZstdDecompressor().decompress
-        current, counts, trie = None, [], None
-        rows, log_p, size = [], [], 0
+        below, unpack, pack = shared.value, zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+        counts, trie, current, sums = [], None, None, np.zeros(0)
 
-        def summed() -> pa.RecordBatch:
-            codes, distinct = pd.factorize(np.concatenate(rows))
-            return pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(np.bincount(codes, np.concatenate(log_p), len(distinct)) / math.log(10))], ["row", "score"])
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([current]), pa.array([pack(_planes(sums, "<f8"))])], ["chunk", "sums"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            bucket, counted = batch.column(0).to_numpy(), batch.column(1).is_null().to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(counted.astype(np.int8)) != 0)) + 1
-            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                some = batch.slice(a, b - a)
-                if bucket[a] != current:
-                    current, counts, trie = bucket[a], [], None
-                if counted[a]:
-                    counts.append((some.column(3).to_numpy().astype(np.uint64), some.column(4).to_numpy()))
-                    continue
+            counted = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            if counted.any():  # they are first
+                some = batch.filter(pa.array(counted))
+                counts.append((some.column(2).to_numpy().astype(np.uint64), some.column(3).to_numpy()))
+                batch = batch.filter(pa.array(~counted))
+            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if trie is None:
-                    trie = Trie.above(below, *(np.concatenate(x) for x in zip(*counts, strict=True))) if counts else below
-                    counts = []
-                chunks, packed, at = some.column(1).to_numpy(), some.column(2).to_pylist(), 0
-                while at < len(packed):
-                    held, n = [], 0
-                    while at < len(packed) and n < held_places // 4:
-                        grams, times, places = unpacked_rest(unpack(packed[at]))
-                        held.append((grams, times, chunks[at] + places))
-                        n, at = n + len(places), at + 1
-                    grams, times, places = (np.concatenate(x) for x in zip(*held, strict=True))
-                    rows.append(places)
-                    log_p.append(np.repeat(trie.log_probabilities(grams), times))
-                    size += len(places)
-                    if size >= held_places:
-                        yield summed()
-                        rows, log_p, size = [], [], 0
-        if size:
-            yield summed()
+                    trie, counts = Trie.above(below, *(np.concatenate(x) for x in zip(*counts, strict=True))) if counts else below, []
+                if chunk != current:
+                    if current is not None:
+                        yield row()
+                    current, sums = chunk, np.zeros(0)
+                grams, times, places = unpacked_rest(unpack(packed))
+                own = np.bincount(places, np.repeat(trie.log_probabilities(grams), times), len(sums))
+                own[: len(sums)] += sums
+                sums = own
+        if current is not None:
+            yield row()
+
+    def add(rows: pa.Table) -> pa.Table:
+        first = rows.column("chunk")[0].as_py()
+        parts = [_from_planes(zstandard.decompress(b), "<f8") for b in rows.column("sums").to_pylist()]
+        total = np.zeros(max(map(len, parts)))
+        for part in parts:
+            total[: len(part)] += part
+        return pa.table({"row": pa.array(first + np.arange(len(total))), "score": pa.array(total / math.log(10))})
 
     bucket = _bucket(F.shiftright("gram", 8).bitwiseAND((1 << 8 * LOW) - 1)).alias("bucket")
     counts = model.grams.select(bucket, F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("binary").alias("packed"), "gram", "n")
     both = counts.unionByName(seen.select("bucket", "chunk", "packed", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("long").alias("n")))
-    return both.repartition("bucket").sortWithinPartitions(F.col("bucket"), F.col("chunk").asc_nulls_first()).mapInArrow(look_up, "row long, score double")
+    dealt = both.repartition("bucket").sortWithinPartitions(F.col("chunk").asc_nulls_first(), "bucket").select("chunk", "packed", "gram", "n")
+    return dealt.mapInArrow(look_up, "chunk long, sums binary").groupBy("chunk").applyInArrow(add, "row long, score double")
 
 
 def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 4 << 20) -> DataFrame:
