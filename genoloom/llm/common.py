@@ -1,6 +1,11 @@
 """What several operators of this package share."""
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,3 +32,12 @@ def ascii_lower(text: Column) -> Column:
     upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return F.when(F.char_length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, upper, low))
 
+
+def give_back() -> None:
+    """Returns the memory that this process no longer uses; drivers and workers live on after a step that took much."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+        if trim:
+            trim(0)

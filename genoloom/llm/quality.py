@@ -7,10 +7,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from ..sources.stage import written
+from .common import give_back, table
 from .decontaminate import PlainWords
 from .langid import draw
 
@@ -120,32 +122,32 @@ class MetadataView:
 
 
 class CoTrained:
-    """Both views after the rounds, and the curve that combines their calibrated logits."""
-
-    def fit(self, rows: list[tuple], y: np.ndarray, pool: list[tuple], rounds: int, per_round: int, confident: float) -> CoTrained:
-        back = np.arange(len(rows)) % 5 == 4  # a fifth is kept back for calibration
-        if len(set(y[~back])) < 2 or len(set(y[back])) < 2:
-            back[:] = False
-        taught = [([r for r, b in zip(rows, back, strict=True) if not b], y[~back]) for _ in range(2)]
-        left, kinds = [np.arange(len(pool)), np.arange(len(pool))], (TextView, MetadataView)
-        for turn in range(rounds + 1):
-            self.views = [kind().fit(some, labels, np.r_[np.ones((~back).sum()), np.full(len(some) - (~back).sum(), 0.5)]) for kind, (some, labels) in zip(kinds, taught, strict=True)]
-            if turn == rounds or not pool:
-                break
-            for k, view in enumerate(self.views):  # each teaches the other
-                other, open_ = 1 - k, left[1 - k]
-                if not len(open_):
-                    continue
-                p = 1 / (1 + np.exp(-view.logit([pool[i] for i in open_])))
-                share = y.mean()  # new labels keep the shares of the classes
-                chosen = []
-                for label, sure, n in ((1.0, p, per_round * share), (0.0, 1 - p, per_round * (1 - share))):
-                    best = np.argsort(-sure, kind="stable")[: max(1, round(n))]
-                    chosen += [(open_[i], label) for i in best if sure[i] >= confident]
-                taught[other] = (taught[other][0] + [pool[i] for i, _ in chosen], np.r_[taught[other][1], [label for _, label in chosen]])
-                left[other] = np.setdiff1d(open_, [i for i, _ in chosen])
-        held = [r for r, b in zip(rows, back, strict=True) if b] if back.any() else rows
-        self.combined = Logistic().fit(self._logits(held), y[back] if back.any() else y, ridge=0.1)
+    """Both views, what each has been taught, and the curve that combines their calibrated logits."""
+
+    def __init__(self, rows: list[tuple], y: np.ndarray):
+        self.rows, self.y, self.back = rows, y, np.arange(len(rows)) % 5 == 4  # a fifth is kept back for calibration
+        if len(set(y[~self.back])) < 2 or len(set(y[self.back])) < 2:
+            self.back[:] = False
+        self.taught: list[dict[int, tuple[tuple, float]]] = [{}, {}]  # by key
+        self.fit_views()
+
+    def fit_views(self) -> None:
+        """Fits each view to the labelled rows and, at half weight, to those the other view has taught it."""
+        own, labels = [r for r, b in zip(self.rows, self.back, strict=True) if not b], self.y[~self.back]
+        self.views = []
+        for kind, more in zip((TextView, MetadataView), self.taught, strict=True):
+            weight = np.r_[np.ones(len(own)), np.full(len(more), 0.5)]
+            self.views.append(kind().fit(own + [r for r, _ in more.values()], np.r_[labels, [label for _, label in more.values()]], weight))
+
+    def wanted(self, per_round: int) -> dict[float, int]:
+        """New labels keep the shares of the classes."""
+        share = self.y.mean()
+        return {1.0: max(1, round(per_round * share)), 0.0: max(1, round(per_round * (1 - share)))}
+
+    def finish(self) -> CoTrained:
+        held = [r for r, b in zip(self.rows, self.back, strict=True) if b] if self.back.any() else self.rows
+        self.combined = Logistic().fit(self._logits(held), self.y[self.back] if self.back.any() else self.y, ridge=0.1)
+        del self.rows, self.taught
         return self
 
     def _logits(self, rows: list[tuple]) -> np.ndarray:
@@ -155,16 +157,6 @@ class CoTrained:
         return 1 / (1 + np.exp(-self.combined.logit(self._logits(rows))))
 
 
-@dataclass
-class Model:
-    good: CoTrained | float
-    toxic: CoTrained | float
-
-    def scores(self, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        each = [m.probability(rows) if isinstance(m, CoTrained) else np.full(len(rows), m) for m in (self.good, self.toxic)]
-        return each[0], each[1]
-
-
 def _rows(batch: pa.RecordBatch, known: PlainWords) -> Iterator[tuple]:
     """(shape, word slots, metadata) of rows of text, source, lang, n_chars."""
     from .decontaminate import plain_hashes
@@ -179,45 +171,125 @@ def _inputs(docs: DataFrame) -> list:
     return [F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long")]
 
 
-def _features(docs: DataFrame) -> list[tuple]:
-    """Features of a bounded sample, on the driver: rows (.., shape, slots, metadata) with good and toxic if they are there."""
+def _features(docs: DataFrame, *carried: str) -> DataFrame:
+    """(key, features, carried) per row; equal features have equal keys. A row takes a few hundred bytes."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = PlainWords()
         for batch in batches:
-            found = list(_rows(batch.select(["text", "source", "lang", "n_chars"]), known))
-            if found:
-                shape, slots, meta = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tolist() for s in shape], pa.list_(pa.float64())), pa.array([s.tolist() for s in slots], pa.list_(pa.int32())), pa.array([m.tolist() for m in meta], pa.list_(pa.float64()))], ["good", "toxic", "shape", "slots", "meta"])
+            packed = [_packed(*r) for r in _rows(batch.select(range(batch.num_columns - 4, batch.num_columns)), known)]
+            keys = np.array([xxhash.xxh64_intdigest(p) for p in packed], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(packed, pa.binary()), *batch.columns[: len(carried)]], ["key", "features", *carried])
+
+    given = docs.select(*carried, *[c.alias(f"_q_{i}") for i, c in enumerate(_inputs(docs))])
+    return given.mapInArrow(make, ", ".join(["key long, features binary", *[f"{c} {kinds[c]}" for c in carried]]))
+
+
+def _packed(shape: np.ndarray, slots: np.ndarray, meta: np.ndarray) -> bytes:
+    gaps = np.diff(slots, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.compress(shape.tobytes() + meta.tobytes() + np.ascontiguousarray(gaps).tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw, n_shape, n_meta = zstandard.decompress(packed), len(CLASSES) + 5, SOURCE_SLOTS + LANG_SLOTS + 2
+    numbers, planes = np.frombuffer(raw, float, n_shape + n_meta), np.frombuffer(raw, np.uint8, offset=8 * (n_shape + n_meta))
+    slots = np.cumsum(np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel(), dtype=np.int64)
+    return numbers[:n_shape], slots, numbers[n_shape:]
+
+
+def _surest(pool: DataFrame, heads: dict[int, CoTrained], per_round: int, confident: float) -> tuple[list[tuple], dict[int, tuple]] | None:
+    """(head, view, label, -, key) of the pool rows that each view is surest of, for the other to learn from, and features by key.
+
+    Every task scores its rows and keeps its own best; the best of all tasks follow by one window of
+    a few rows per task. Rows with equal features count once, and what a view has been taught is left out.
+    """
+    known = {(h, v): set(c.taught[1 - v]) for h, c in heads.items() for v in (0, 1)}
+    wanted = {h: c.wanted(per_round) for h, c in heads.items()}
+    shared = pool.sparkSession.sparkContext.broadcast(({h: c.views for h, c in heads.items()}, known, wanted))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        views, known, wanted = shared.value
+        best: dict[tuple, dict[int, float]] = {(h, v, label): {} for h in views for v in (0, 1) for label in (1.0, 0.0)}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                keys, rows = some.column(0).to_numpy(), [_unpacked(p) for p in some.column(1).to_pylist()]
+                chance = {(h, v): 1 / (1 + np.exp(-view.logit(rows))) for h, both in views.items() for v, view in enumerate(both)}
+                for (h, v, label), found in best.items():
+                    sure, n = chance[h, v] if label else 1 - chance[h, v], wanted[h][label]
+                    for i in np.flatnonzero(sure >= confident):
+                        if int(keys[i]) not in known[h, v]:
+                            found[int(keys[i])] = float(sure[i])
+                    if len(found) > 4 * n:
+                        best[h, v, label] = dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:n])
+        rows = [(h, v, label, k, s) for (h, v, label), found in best.items() for k, s in sorted(found.items(), key=lambda x: (-x[1], x[0]))[: wanted[h][label]]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.float64()))], ["head", "view", "label", "key", "sure"])
+
+    judged = pool.mapInArrow(judge, "head int, view int, label double, key long, sure double").distinct()
+    place = F.row_number().over(Window.partitionBy("head", "view", "label").orderBy(F.col("sure").desc(), "key"))
+    limits = F.lit(0)
+    for h, counts in wanted.items():
+        for label, n in counts.items():
+            limits = F.when((F.col("head") == h) & (F.col("label") == label), n).otherwise(limits)
+    chosen = judged.withColumn("place", place).filter(F.col("place") <= limits).select("head", "view", "label", "key", "sure").collect()
+    shared.destroy()
+    if not chosen:
+        return None
+    keys = pool.sparkSession.createDataFrame([(k,) for k in sorted({r["key"] for r in chosen})], "key long")
+    rows = pool.join(F.broadcast(keys), "key").groupBy("key").agg(F.first("features").alias("features")).collect()  # at most 8 * per_round
+    features = {r["key"]: _unpacked(bytes(r["features"])) for r in rows}
+    return sorted(((r["head"], r["view"], r["label"], -r["sure"], r["key"]) for r in chosen)), features
 
-    got = docs.select("good", "toxic", *_inputs(docs)).mapInArrow(make, "good int, toxic int, shape array<double>, slots array<int>, meta array<double>").orderBy(F.xxhash64("shape", "slots", "meta", "good", "toxic")).toArrow().to_pandas()
-    return [(r.good, r.toxic, np.asarray(r.shape), np.asarray(r.slots, np.int64), np.asarray(r.meta)) for r in got.set_axis(["good", "toxic", "shape_", "slots", "meta"], axis=1).rename(columns={"shape_": "shape"}).itertuples(index=False, name="Row")]
 
+@dataclass
+class Model:
+    good: CoTrained | float
+    toxic: CoTrained | float
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, max_pool: int = 4000, rounds: int = 4, per_round: int = 300, confident: float = 0.95) -> Model | None:
-    """Two co-trained classifiers (good quality, toxic) from a bounded sample; None without labels.
+    def scores(self, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        each = [m.probability(rows) if isinstance(m, CoTrained) else np.full(len(rows), m) for m in (self.good, self.toxic)]
+        return each[0], each[1]
 
-    About ``max_labelled`` labelled documents and ``max_pool`` others are drawn evenly by a hash of
-    their id; only their features come to the driver (at most 2^18 word slots a document). In each of
-    ``rounds`` rounds each view labels the ``per_round`` documents of the pool it is surest of for the
-    other, at half weight. Repeated labels: good if most say so, toxic if any does; null labels are ignored.
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, rounds: int = 4, per_round: int = 300, confident: float = 0.95) -> Model | None:
+    """Two co-trained classifiers (good quality, toxic); None without labels.
+
+    About ``max_labelled`` labelled documents are drawn evenly by a hash of their id; only their
+    features come to the driver. The features of all other documents are written to the shared
+    folder. In each of ``rounds`` rounds each view scores all of them and labels the ``per_round`` it is
+    surest of for the other, at half weight; only these come to the driver. Repeated labels: good if
+    most say so, toxic if any does; null labels are ignored. Documents with equal features teach once.
     """
     marks = labels.filter("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("good"), F.max("toxic").cast("int").alias("toxic"))
-    n_labels, n_docs = marks.count(), docs.count()
-    if not n_labels or not n_docs:
+    n_labels = marks.count()
+    if not n_labels or docs.isEmpty():
         return None
     drawn = marks.filter(draw(F.col("doc_id")) < max_labelled / n_labels)
-    rows = _features(docs.select("doc_id", *_inputs(docs)).join(F.broadcast(drawn), "doc_id"))  # about max_labelled rows of three numbers
-    few = docs.filter(draw(F.lit("pool"), F.col("doc_id")) < max_pool / n_docs).select("doc_id", *_inputs(docs)).join(marks.select("doc_id"), "doc_id", "left_anti")
-    pool = [r[2:] for r in _features(few.withColumns({"good": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int")}))]
-
-    def head(k: int) -> CoTrained | float:
-        some = [r for r in rows if r[k] is not None and r[k] == r[k]]
-        y = np.array([float(r[k]) for r in some])
-        if len(set(y)) < 2:
-            return float(y[0]) if len(y) else float(k == 0)
-        return CoTrained().fit([r[2:] for r in some], y, pool, rounds, per_round, confident)
-
-    return Model(head(0), head(1))
+    own = docs.select("doc_id", "text", "source", "lang", "n_chars")
+    sample = _features(own.join(F.broadcast(drawn), "doc_id"), "good", "toxic").collect()  # about max_labelled rows
+    sample.sort(key=lambda r: (r["key"], str(r["good"]), str(r["toxic"])))
+    rows = [(r["good"], r["toxic"], _unpacked(bytes(r["features"]))) for r in sample]
+    out: dict[int, CoTrained | float] = {}
+    for h in (0, 1):
+        some = [r for r in rows if r[h] is not None]
+        y = np.array([float(r[h]) for r in some])
+        out[h] = CoTrained([r[2] for r in some], y) if len(set(y)) == 2 else float(y[0]) if len(y) else float(h == 0)
+    heads = {h: c for h, c in out.items() if isinstance(c, CoTrained)}
+    if heads and rounds:
+        pool = written(_features(own.join(marks.select("doc_id"), "doc_id", "left_anti")), "quality-features")
+        for _ in range(rounds):
+            found = _surest(pool, heads, per_round, confident)
+            if not found:
+                break
+            for h, v, label, _, key in found[0]:
+                heads[h].taught[1 - v].setdefault(key, (found[1][key], label))
+            for c in heads.values():
+                c.fit_views()
+    for c in heads.values():
+        c.finish()
+    give_back()
+    return Model(out[0], out[1])
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
