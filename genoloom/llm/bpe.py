@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, table
 
 ID_BITS = 17
 NONE = (1 << ID_BITS) - 1  # no merge
@@ -49,13 +49,15 @@ class Vocabulary:
         return out
 
 
-def rank_map(pairs: dict[int, dict[int, int]]) -> tuple[list[int], list[int]]:
+def rank_map(pairs: dict[int, dict[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """The pair ranks as one sparse table: row a starts at base[a]; slot base[a] + b holds (a, rank) or belongs to another row.
 
     A map column is searched from its start on every look-up; here a look-up is two array accesses.
+    Rows are placed from the longest on; those of a single entry fill the slots that are left, in order.
     """
-    used, free, base, cells = np.zeros(1 << 20, bool), 0, [-1 << 20] * (max(pairs) + 1), {}
-    for left, row in sorted(pairs.items(), key=lambda x: (-len(x[1]), x[0])):
+    used, free, base = np.zeros(1 << 20, bool), 0, np.full(max(pairs) + 1, -1 << 20, np.int64)
+    slots = np.full(1 << 20, -1, np.int64)
+    for left, row in sorted(((a, r) for a, r in pairs.items() if len(r) > 1), key=lambda x: (-len(x[1]), x[0])):
         rights = np.fromiter(row, np.int64, len(row))
         low = int(rights.min())
         while used[free]:
@@ -63,19 +65,21 @@ def rank_map(pairs: dict[int, dict[int, int]]) -> tuple[list[int], list[int]]:
         begin, width, at = free, 256, None
         while at is None:
             if begin + width + int(rights.max()) - low >= len(used):
-                used = np.concatenate([used, np.zeros(len(used), bool)])
+                used, slots = np.concatenate([used, np.zeros(len(used), bool)]), np.concatenate([slots, np.full(len(slots), -1, np.int64)])
             starts = np.flatnonzero(~used[begin : begin + width]) + begin - low
             fits = ~used[starts[:, None] + rights[None, :]].any(axis=1)
             at = int(starts[np.argmax(fits)]) if fits.any() else None
             begin, width = begin + width, min(width * 2, 8192)
         base[left] = at
         used[at + rights] = True
-        for right, rank in row.items():
-            cells[at + right] = left << ID_BITS | rank
-    slots = [-1] * (max(cells) + 1)
-    for at, value in cells.items():
-        slots[at] = value
-    return base, slots
+        slots[at + rights] = left << ID_BITS | np.fromiter(row.values(), np.int64, len(row))
+    single = np.array([(a, *next(iter(r.items()))) for a, r in pairs.items() if len(r) == 1], np.int64).reshape(-1, 3)
+    if (more := len(single) - np.count_nonzero(~used)) > 0:
+        used, slots = np.concatenate([used, np.zeros(more, bool)]), np.concatenate([slots, np.full(more, -1, np.int64)])
+    place = np.flatnonzero(~used)[: len(single)]
+    base[single[:, 0]] = place - single[:, 1]
+    slots[place] = single[:, 0] << ID_BITS | single[:, 2]
+    return base, slots[: np.flatnonzero(slots >= 0)[-1] + 1] if (slots >= 0).any() else slots[:1]
 
 
 def _let(value: Column, then) -> Column:
@@ -85,8 +89,13 @@ def _let(value: Column, then) -> Column:
 
 def rank_literal(vocabulary: Vocabulary) -> Column:
     """The rank map as one foldable value: struct of the arrays ``base`` and ``slots``."""
+    if max(vocabulary.ranks.values()) >= NONE:
+        raise ValueError(f"ids from {NONE} on do not fit the rank map")
     base, slots = rank_map(vocabulary.pairs())
-    return F.from_json(F.lit(json.dumps({"base": base, "slots": slots}, separators=(",", ":"))), "base array<int>, slots array<bigint>")
+    text = json.dumps({"base": base.tolist(), "slots": slots.tolist()}, separators=(",", ":"))
+    del base, slots
+    give_back()
+    return F.from_json(F.lit(text), "base array<int>, slots array<bigint>")
 
 
 def merged_words(words: Column, vocabulary: Vocabulary) -> Column:
@@ -132,9 +141,12 @@ def merged(word: Column, base: Column, slots: Column) -> Column:
     return F.when(n < 2, word).otherwise(folded)
 
 
-def _chunks(words: DataFrame, single: np.ndarray, chunk_bytes: int) -> DataFrame:
-    """Rows of whole documents with their distinct words: ids, token counts, word numbers, words as ids of bytes."""
-    kind = words.schema["id"].dataType
+def _chunks(words: DataFrame, vocabulary: Vocabulary, chunk_bytes: int) -> DataFrame:
+    """Rows of whole documents with their distinct words: ids, token counts, word numbers, words as ids to merge.
+
+    A word that is a token is its id; the others are the ids of their bytes.
+    """
+    kind, single, ranks = words.schema["id"].dataType, vocabulary.single_bytes(), vocabulary.ranks
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(ids: list, lengths: list, flat: list) -> pa.RecordBatch:
@@ -146,7 +158,13 @@ def _chunks(words: DataFrame, single: np.ndarray, chunk_bytes: int) -> DataFrame
             _, offsets, data = distinct.buffers()
             offsets = np.frombuffer(offsets, np.int32)[distinct.offset : distinct.offset + len(distinct) + 1] if len(distinct) else np.zeros(1, np.int32)
             raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
-            vocab = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(single[raw], pa.int32()))
+            begins, ids_of = offsets.astype(np.int64) - offsets[0], single[raw]
+            whole = np.array([ranks.get(w.encode(), -1) for w in distinct.to_pylist()], np.int64)
+            sizes = np.where(whole < 0, np.diff(begins), 1)
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            flat_ids = ids_of[np.repeat(begins[:-1] - starts[:-1], sizes) + np.arange(starts[-1])] if len(raw) else np.empty(0, np.int32)
+            flat_ids[starts[:-1][whole >= 0]] = whole[whole >= 0]
+            vocab = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat_ids, pa.int32()))
             one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
             return pa.RecordBatch.from_arrays([one(pa.concat_arrays(ids)), one(pa.array(np.concatenate(lengths), pa.int32())), one(numbers), one(vocab)], ["ids", "lengths", "numbers", "words"])
 
@@ -199,7 +217,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str =
     """(id, tokens) per row of ``docs``; the words of a text are the matches of ``pattern``.
 
     Documents are taken in chunks of about ``chunk_bytes`` of words (an array offset included). A
-    word is merged once per chunk; nothing is shuffled, so no source, text or word can be hot and a
+    word is looked up whole, and merged if it is no token, once per chunk; nothing is shuffled, so no source, text or word can be hot and a
     lost task repeats its own chunks only.
 
     Cases: a null or empty text has no tokens; a text of any length is one array; ids of any type,
@@ -208,7 +226,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str =
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     unicode = "(?U)" + pattern  # \s then means all Unicode white space
     words = docs.select(F.col(f"`{id_col}`").alias("id"), F.regexp_extract_all(text, F.lit(unicode), F.lit(0)).alias("words"))
-    chunks = _chunks(words, vocabulary.single_bytes(), chunk_bytes)
+    chunks = _chunks(words, vocabulary, chunk_bytes)
     coded = chunks.withColumn("codes", merged_words(F.col("words"), vocabulary))
     return _per_document(coded).withColumnRenamed("id", id_col)
 
