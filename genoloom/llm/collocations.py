@@ -91,7 +91,13 @@ def occurrences(docs: DataFrame, text_col: str, lang: Column, chunk_words: int)
     return rows.mapInArrow(read, "chunk long, lang string, n_words long, gaps binary, codes binary, ids binary, n binary, words binary")
 
 
-def _counted(relation: DataFrame, min_count: int) -> DataFrame:
+def _ids(first: bool, *lists: bytes) -> np.ndarray:
+    """The ids of a chunk's phrases: listed for words, joined from those of the parts for longer phrases."""
+    known = np.frombuffer(lists[0], np.int64)
+    return known if first else _joined(known[_unpacked(lists[1])], known[_unpacked(lists[2])])
+
+
+def _counted(relation: DataFrame, min_count: int, first: bool) -> DataFrame:
     """Group count: (chunk, ids, own, f) of the phrases of a chunk that occur ``min_count`` times in all chunks.
 
     A chunk sends each of its phrases once, with its count, to the bucket of the phrase's id, packed in
@@ -103,11 +109,12 @@ def _counted(relation: DataFrame, min_count: int) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, n = np.frombuffer(batch.column(1)[i].as_py(), np.int64), _unpacked(batch.column(2)[i].as_py())
+                n, *lists = (c[i].as_py() for c in batch.columns[1:])
+                n, ids = _unpacked(n), _ids(first, *lists)
                 bucket = (ids.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((ids, bucket))
-                number, first = np.unique(bucket[order], return_index=True)
-                cuts = [order[a:b] for a, b in zip(first, np.append(first[1:], len(order))[: len(first)], strict=True)]
+                number, begins = np.unique(bucket[order], return_index=True)
+                cuts = [order[a:b] for a, b in zip(begins, np.append(begins[1:], len(order))[: len(begins)], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(number), pa.repeat(batch.column(0)[i], len(number)), pa.array([ids[c].tobytes() for c in cuts], pa.binary()), pa.array([_packed(n[c]) for c in cuts], pa.binary())], ["bucket", "chunk", "ids", "n"]
                 )
@@ -115,10 +122,10 @@ def _counted(relation: DataFrame, min_count: int) -> DataFrame:
     def count(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("chunk")
         parts = [np.frombuffer(b, np.int64) for b in rows.column("ids").to_pylist()]
-        values, first, back = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+        values, lowest, back = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
         total = np.bincount(back, np.concatenate([_unpacked(b) for b in rows.column("n").to_pylist()])).astype(np.int64)
         stays, own = (total >= min_count)[back], np.zeros(len(back), bool)
-        own[first] = True
+        own[lowest] = True
         out, at = {"chunk": [], "ids": [], "own": [], "f": []}, 0
         for chunk, part in zip(rows.column("chunk").to_pylist(), parts, strict=True):
             here = slice(at, at + len(part))
@@ -129,7 +136,8 @@ def _counted(relation: DataFrame, min_count: int) -> DataFrame:
                     out[name].append(value)
         return pa.table({"chunk": pa.array(out["chunk"], pa.int64()), **{c: pa.array(out[c], pa.binary()) for c in ("ids", "own", "f")}})
 
-    pieces = relation.select("chunk", "ids", "n").mapInArrow(deal, "bucket long, chunk long, ids binary, n binary")
+    lists = ["ids"] if first else ["parts", "left", "right"]
+    pieces = relation.select("chunk", "n", *lists).mapInArrow(deal, "bucket long, chunk long, ids binary, n binary")
     return pieces.groupBy("bucket").applyInArrow(count, "chunk long, ids binary, own binary, f binary")
 
 
@@ -137,32 +145,32 @@ def _extended(relation: DataFrame, frequent: DataFrame, first: bool) -> DataFram
     """Semi-join and merge-join: the relation of phrases one word longer, and the names of the frequent phrases.
 
     Occurrences of phrases that are not frequent go; those at adjacent positions are joined. A row
-    (chunk, gaps, codes, parts, left, right, ids, n) is the new relation of a chunk: a phrase is the
+    (chunk, gaps, codes, parts, left, right, n) is the new relation of a chunk: a phrase is the
     places of its two parts in the list ``parts`` of ids. The list ``names`` (id, f, word or left and
     right) are the frequent phrases of ``relation`` that the chunk owns.
     """
     answers = frequent.groupBy("chunk").agg(F.collect_list(F.struct("ids", "own", "f")).alias("wanted"))
-    named = ["words"] if first else ["parts", "left", "right"]
-    rows = relation.join(answers, "chunk").select("chunk", "wanted", "gaps", "codes", "ids", *named)
+    lists = ["ids", "words"] if first else ["parts", "left", "right"]
+    rows = relation.select("chunk", "gaps", "codes", *lists).join(answers, "chunk").select("chunk", "wanted", "gaps", "codes", *lists)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                answer, gaps, codes, ids, *rest = (c[i].as_py() for c in batch.columns[1:])
+                answer, gaps, codes, *lists = (c[i].as_py() for c in batch.columns[1:])
                 wanted, own = (np.concatenate([np.frombuffer(x[c], kind) for x in answer]) for c, kind in (("ids", np.int64), ("own", bool)))
                 f = np.zeros(len(wanted), np.int64)
                 f[own] = np.concatenate([np.frombuffer(x["f"], np.int64) for x in answer])
                 order = np.argsort(wanted)
                 wanted, f, own = wanted[order], f[order], own[order]
-                ids = np.frombuffer(ids, np.int64)
+                ids = _ids(first, *lists)
                 place = np.minimum(np.searchsorted(wanted, ids), len(wanted) - 1)
                 stays = wanted[place] == ids
                 names = np.flatnonzero(stays & own[place])
                 if first:
-                    words = zstandard.decompress(rest[0]).decode("utf-8", "surrogatepass").split("\n")
+                    words = zstandard.decompress(lists[1]).decode("utf-8", "surrogatepass").split("\n")
                     called = {"word": [words[x] for x in names], "left": [0] * len(names), "right": [0] * len(names)}
                 else:
-                    parts, left, right = np.frombuffer(rest[0], np.int64), _unpacked(rest[1]), _unpacked(rest[2])
+                    parts, left, right = np.frombuffer(lists[0], np.int64), _unpacked(lists[1]), _unpacked(lists[2])
                     called = {"word": [None] * len(names), "left": parts[left[names]], "right": parts[right[names]]}
                 codes = _unpacked(codes)
                 keep = stays[codes]
@@ -171,11 +179,11 @@ def _extended(relation: DataFrame, frequent: DataFrame, first: bool) -> DataFram
                 begin = np.flatnonzero(np.diff(at) == 1)
                 pairs, code, n = np.unique(codes[begin] << 32 | codes[begin + 1], return_inverse=True, return_counts=True)
                 left, right = pairs >> 32, pairs & 0xFFFFFFFF
-                blobs = [_packed(np.diff(at[begin], prepend=0)), _packed(code), kept.tobytes(), _packed(left), _packed(right), _joined(kept[left], kept[right]).tobytes(), _packed(n)]
+                blobs = [_packed(np.diff(at[begin], prepend=0)), _packed(code), kept.tobytes(), _packed(left), _packed(right), _packed(n)]
                 listed = [_listed(ids[names]), _listed(f[place[names]]), _listed(called["word"], pa.string()), _listed(called["left"], pa.int64()), _listed(called["right"], pa.int64())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *[pa.array([b]) for b in blobs], *listed], ["chunk", "gaps", "codes", "parts", "left", "right", "ids", "n", *NAMES])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *[pa.array([b]) for b in blobs], *listed], ["chunk", "gaps", "codes", "parts", "left", "right", "n", *NAMES])
 
-    schema = "chunk long, gaps binary, codes binary, parts binary, left binary, right binary, ids binary, n binary, name_id array<long>, name_f array<long>, name_word array<string>, name_left array<long>, name_right array<long>"
+    schema = "chunk long, gaps binary, codes binary, parts binary, left binary, right binary, n binary, name_id array<long>, name_f array<long>, name_word array<string>, name_left array<long>, name_right array<long>"
     return rows.mapInArrow(join, schema)
 
 
@@ -195,7 +203,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     totals = relation.groupBy("lang").agg(F.sum("n_words").alias("n"))
     chunks, levels, none = relation.select("chunk", "lang"), [], F.lit(None).cast("long")
     for k in range(1, max_words + 1):
-        relation = written(_extended(relation, _counted(relation, min_count), k == 1), f"occurrences-{k + 1}")
+        relation = written(_extended(relation, _counted(relation, min_count, k == 1), k == 1), f"occurrences-{k + 1}")
         found = relation.select("chunk", F.explode(F.arrays_zip(*[F.col(c) for c in NAMES])).alias("p")).select("chunk", *[F.col(f"p.{c}").alias(c.removeprefix("name_")) for c in NAMES])
         if k == 1:
             levels.append(found.join(chunks, "chunk").select("lang", "id", none.alias("left"), none.alias("right"), F.col("word").alias("phrase"), F.col("word").alias("last"), "f"))
