@@ -51,48 +51,62 @@ def random_rank(keys: Keys, value: str | Column, seed: int, item: str | Column,
     )
 
 
-def tie_adjusted_k(df: DataFrame, keys: Keys, value: str, k: int, descending: bool = True) -> DataFrame:
+def _long_enough(held: Column, k: int, keys: Keys, short: str) -> Column:
+    """True; for a group of fewer than k values the job fails, unless ``short`` is "own"."""
+    if short == "own":
+        return F.lit(True)
+    if short != "error":
+        raise ValueError(f"short is 'error' or 'own', not {short!r}")
+    name = F.concat_ws(", ", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in keys])
+    fault = F.raise_error(F.concat(F.lit(f"fewer than {k} values in the group "), name)).cast("boolean")
+    return F.when(held >= k, True).otherwise(fault)
+
+
+def tie_adjusted_k(df: DataFrame, keys: Keys, value: str, k: int, descending: bool = True, short: str = "error") -> DataFrame:
     """Per group, the largest k' <= k that does not stop inside a tie block that began before k.
 
-    A group with fewer than k values uses its own length. NULL values are dropped first.
+    NULL values are dropped first. A group with fewer than k values is an error; with ``short="own"``
+    its own length takes the place of k.
     """
     w = _ordered(keys, value, descending)
-    return (
+    found = (
         df.filter(F.col(value).isNotNull())
         .select(*keys, value)
         .withColumn("_rn", F.row_number().over(w))
         .withColumn("_rk", F.rank().over(w))
         .filter(F.col("_rn") <= k)
         .groupBy(*keys)
-        .agg(F.max("_rk").alias("_rk"), F.count(F.lit(1)).alias("_n"), F.max_by(value, "_rn").alias("_at"))
-        .select(
-            *keys,
-            F.when(F.col("_rk") < F.col("_n"), F.col("_rk") - 1).otherwise(F.col("_n")).cast("long").alias("k_eff"),
-        )
+        .agg(F.max("_rk").alias("_rk"), F.count(F.lit(1)).alias("_n"))
+    )
+    return found.filter(_long_enough(F.col("_n"), k, keys, short)).select(
+        *keys, F.when(F.col("_rk") < F.col("_n"), F.col("_rk") - 1).otherwise(F.col("_n")).cast("long").alias("k_eff")
     )
 
 
 def top_set(
-    df: DataFrame, keys: Keys, value: str, gene: str, k: int, descending: bool = True, check_k: bool = True
+    df: DataFrame, keys: Keys, value: str, gene: str, k: int, descending: bool = True, check_k: bool = True, short: str = "error"
 ) -> DataFrame:
     """Rows of the top (or bottom) k of each group, ties at the end removed, never fewer than one.
 
-    ``row_number <= k`` comes first, so Spark keeps k rows per group before it shuffles.
+    ``row_number <= k`` comes first, so Spark keeps k rows per group before it shuffles. A group with
+    fewer than k values is an error; with ``short="own"`` its own length takes the place of k.
     """
     w = _ordered(keys, value, descending, F.col(gene).asc())
     rank_w = _ordered(keys, value, descending)
+    all_rows = W.partitionBy(*keys)
     top = (
         df.filter(F.col(value).isNotNull())
         .withColumn("_rn", F.row_number().over(w))
         .filter(F.col("_rn") <= k)
     )
-    if not check_k:
+    if not check_k and short == "own":
         return top.drop("_rn")
-    all_rows = W.partitionBy(*keys)
+    top = top.withColumn("_n", F.count(F.lit(1)).over(all_rows)).filter(_long_enough(F.col("_n"), k, keys, short))
+    if not check_k:
+        return top.drop("_rn", "_n")
     top = (
         top.withColumn("_rk", F.rank().over(rank_w))
         .withColumn("_last", F.max("_rk").over(all_rows))
-        .withColumn("_n", F.count(F.lit(1)).over(all_rows))
         .withColumn("_k", F.when(F.col("_last") < F.col("_n"), F.col("_last") - 1).otherwise(F.col("_n")))
     )
     return top.filter(F.col("_rn") <= F.greatest(F.col("_k"), F.lit(1))).drop("_rn", "_rk", "_last", "_n", "_k")

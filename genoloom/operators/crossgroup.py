@@ -1,8 +1,9 @@
 """Two groups of the same profiles (two species) compared through an ortholog key.
 
 ``ranks`` is the joined table of :func:`rankings.join_ortholog_ranks`: tf_id, id and the scores of
-both sides with suffixes _hg and _mm. Overlap tables are sparse: an absent pair of regulators has
-overlap zero, and the summaries below count those pairs without making them rows.
+both sides with suffixes _hg and _mm. ``overlap_table`` is sparse: an absent pair of regulators has
+overlap zero, and the summaries below count those pairs without making them rows; ``overlap_matrix``
+has them all.
 """
 from __future__ import annotations
 
@@ -37,6 +38,16 @@ def overlap_table(ranks: DataFrame, k: int, reverse: bool = False) -> DataFrame:
     return hg.join(mm, "id").groupBy("tf_hg", "tf_mm").agg(F.count(F.lit(1)).alias("overlap"))
 
 
+def overlap_matrix(ranks: DataFrame, k: int, reverse: bool = False, blocks: int = 32) -> DataFrame:
+    """The whole matrix of overlaps, zeros included: every regulator of one side in every block of the other."""
+    tfs = ranks.select("tf_id").distinct()
+    rows = tfs.select(F.col("tf_id").alias("tf_hg"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    columns = tfs.select(F.col("tf_id").alias("tf_mm"), F.pmod(F.xxhash64("tf_id"), F.lit(blocks)).cast("int").alias("_b"))
+    found = overlap_table(ranks, k, reverse)
+    dense = rows.join(columns, "_b").join(found, ["tf_hg", "tf_mm"], "left")
+    return dense.select("tf_hg", "tf_mm", F.coalesce("overlap", F.lit(0).cast("long")).alias("overlap"))
+
+
 def overlap_quantiles(overlaps: DataFrame, tfs: DataFrame) -> DataFrame:
     """Overlap with the own ortholog and its ecdf among the others, by row and by column."""
     n_other = F.lit(tfs.count() - 1).cast("double")  # the length of the regulator list

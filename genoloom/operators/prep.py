@@ -148,6 +148,48 @@ def apply_rules(df: DataFrame, column: str, rules: list[tuple[str, str, bool]],
     return df.withColumn(column, F.trim(out) if trim else out)
 
 
+RULES = "dataset_id, ord, action, pattern, replacement, every"
+
+
+def _packed_rules(rules: DataFrame) -> DataFrame:
+    """(dataset_id, _rules): the rules of a dataset in order, those for the first match only with their groups two higher."""
+
+    def raised(text: str, token: str, mark: str) -> Column:
+        parts = F.regexp_extract_all(F.col(text), F.lit(token), F.lit(0))
+        digit = lambda x: F.substring(x, 2, 1)
+        is_group = lambda x: (F.length(x) == 2) & x.startswith(mark) & digit(x).rlike("[0-9]" if mark == "$" else "[1-9]")
+        return F.array_join(F.transform(parts, lambda x: F.when(is_group(x), F.concat(F.lit(mark), (digit(x).try_cast("int") + 2).cast("string"))).otherwise(x)), "")
+
+    # the text before the first match and the match are groups of their own; those of the rule follow
+    first = F.concat(F.lit("^((?s:.*?))("), raised("pattern", r"\\.|[^\\]+", "\\"), F.lit(")"))
+    after = F.concat(F.lit("$1"), raised("replacement", r"\\.|\$[0-9]|[^\\$]+|.", "$"))
+    every = F.coalesce("every", F.lit(False))
+    rule = F.struct(
+        "ord", "action", F.when(every | (F.col("action") == "drop"), F.col("pattern")).otherwise(first).alias("pattern"),
+        F.when(every, F.col("replacement")).otherwise(after).alias("replacement"),
+    )
+    return rules.groupBy("dataset_id").agg(F.array_sort(F.collect_list(rule)).alias("_rules"))
+
+
+def apply_rule_table(df: DataFrame, column: str, rules: DataFrame, trim: bool = True) -> DataFrame:
+    """Each dataset's own ordered rules (``RULES``) over its labels, all datasets in one pass.
+
+    ``replace`` rules put ``replacement`` (groups $1, $2) for the first match, or for ``every`` one;
+    ``drop`` rules remove the rows whose label so far matches; NULL labels go with any ``drop`` rule.
+    A dataset without rules keeps its labels. Both ends are trimmed at last.
+    """
+    both = df.join(_packed_rules(rules), "dataset_id", "left")
+
+    def step(text: Column, rule: Column) -> Column:
+        dropped = F.when(F.rlike(text, rule["pattern"]), F.lit(None).cast("string")).otherwise(text)
+        return F.when(rule["action"] == "drop", dropped).otherwise(F.regexp_replace(text, rule["pattern"], rule["replacement"]))
+
+    drops = F.exists("_rules", lambda r: r["action"] == "drop")
+    out = F.when(F.col("_rules").isNull(), F.col(column)).otherwise(F.aggregate("_rules", F.col(column), step))
+    kept = both.withColumn(column, F.trim(out) if trim else out).filter(F.col(column).isNotNull() | ~F.coalesce(drops, F.lit(False)))
+    return kept.select(*df.columns)
+
+
 def recode(df: DataFrame, column: str, names: dict[str, str]) -> DataFrame:
     out = F.col(column)
     for old, new in names.items():

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import fix10, rnd
 from ..functions.ranks import max_rank, min_rank, value_positions
-from ..functions.sampling import shuffled_position, with_draws
+from ..functions.sampling import permutation_keys, permuted, with_draws
 from ..functions.stats import six_numbers
 
 
@@ -158,24 +158,21 @@ def observed_auc(scores: DataFrame, labels: DataFrame) -> DataFrame:
 def null_auc(scores: DataFrame, labels: DataFrame, universe: DataFrame, n_draws: int, seed: int) -> DataFrame:
     """AUCs of ``n_draws`` label sets of each regulator's own size, sampled from the universe.
 
-    One seeded shuffle of the universe per draw serves all regulators: a set of n labels is the
-    first n positions, with the regulator itself skipped.
+    One keyed permutation of the universe per draw serves all regulators: a set of n labels are the
+    genes at its first n places, with the regulator itself skipped. Only these places are evaluated,
+    so the work is draws x labels and nothing is sorted.
     """
     pos, hits = labelled_positions(scores, labels)
     sizes = hits.groupBy(*ST).agg(F.count(F.lit(1)).alias("n_target"))
-    order = with_draws(universe, n_draws).withColumn(
-        "at", shuffled_position(["species", "iter"], "gene", seed, "species", "iter")
-    )
-    at_tf = order.select("species", "iter", F.col("gene").alias("tf"), F.col("at").alias("tf_at"))
-    spans = (
-        sizes.withColumn("iter", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
-        .join(at_tf, ["species", "iter", "tf"], "left")
-        .select(*ST, "iter", (F.col("n_target") + F.when(F.col("tf_at") <= F.col("n_target"), 1).otherwise(0)).alias("upto"))
-    )
-    # the join key holds the position itself, so the work is draws x labels
-    wanted = spans.select(*ST, "iter", F.explode(F.sequence(F.lit(1).cast("long"), F.col("upto").cast("long"))).alias("at"))
-    drawn = wanted.join(order, ["species", "iter", "at"]).filter("gene <> tf")
-    return auc_from_positions(drawn.join(pos, [*ST, "gene"]), [*ST, "iter"])
+    numbered = universe.select("species", "gene", (F.row_number().over(W.partitionBy("species").orderBy("gene")) - 1).cast("long").alias("x"))
+    draws = with_draws(universe.groupBy("species").agg(F.count(F.lit(1)).alias("n")), n_draws).withColumn("keys", permutation_keys(seed, "species", "iter"))
+    # one place more than labels, for the sets that would hold the regulator
+    last = F.least(F.col("n_target"), F.col("n") - 1)
+    places = sizes.join(draws, "species").repartition(*ST, "iter").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    drawn = places.withColumn("x", permuted(F.col("at"), F.col("n"), F.col("keys"))).select(*ST, "iter", "n_target", "at", "x").join(numbered, ["species", "x"])
+    own = F.max((F.col("gene") == F.col("tf")) & (F.col("at") < F.col("n_target"))).over(W.partitionBy(*ST, "iter"))
+    drawn = drawn.withColumn("_own", own).filter((F.col("gene") != F.col("tf")) & ((F.col("at") < F.col("n_target")) | F.col("_own")))
+    return auc_from_positions(drawn.select(*ST, "iter", "gene").join(pos, [*ST, "gene"]), [*ST, "iter"])
 
 
 def compare_to_null(observed: DataFrame, null: DataFrame) -> DataFrame:

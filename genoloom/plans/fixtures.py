@@ -16,7 +16,7 @@ from ..functions.exprs import rnd
 from ..operators import correlate, crossgroup, enrich, integrate, measure, rankings, recovery, saturation, similarity
 from ..session import prepare
 from ..schemas import GeneSpan, gene_span
-from ..sources.stage import materialize, stage_path
+from ..sources.stage import content_key, materialize, stage_path
 from .oracle import cte
 
 MIN_CELL_B = 15
@@ -40,11 +40,18 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def content(self) -> str:
+        """Names the input files and the parameters that stage tables are made with."""
+        return content_key(
+            self.spark, [self.sf_dir], min_cell=MIN_CELL_B, seed=SEED, draws=(DRAWS, N_ITER, N_DRAWS, N_SETS_ITER), k=(K, TIER_K), min_targets=MIN_TARGETS
+        )
+
     def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        return materialize(self.spark, stage_path(self.spark, self.sf_dir, name), build)
+        return materialize(self.spark, self.path(name), build)
 
     def path(self, name: str) -> str:
-        return stage_path(self.spark, self.sf_dir, name)
+        return stage_path(self.spark, self.content, name)
 
     # ---- joined base
     @cached_property

@@ -180,14 +180,14 @@ def dense_ov(src: str) -> str:
     return f"(SELECT a.tf_id AS tf_hg, b.tf_id AS tf_mm, coalesce(overlap, 0) AS overlap FROM ortho_tfs a CROSS JOIN ortho_tfs b LEFT JOIN {src} o ON o.tf_hg = a.tf_id AND o.tf_mm = b.tf_id)"
 
 
-@query("x2_overlap_table", "SELECT tf_hg, tf_mm, overlap FROM ov_top")
+@query("x2_overlap_table", f"SELECT tf_hg, tf_mm, overlap FROM {dense_ov('ov_top')}")
 def _(t):
-    return x.overlap_table(t.rank_ortho_s, K)
+    return x.overlap_matrix(t.rank_ortho_s, K)
 
 
-@query("x2_overlap_table_bottom", "SELECT tf_hg, tf_mm, overlap FROM ov_bottom")
+@query("x2_overlap_table_bottom", f"SELECT tf_hg, tf_mm, overlap FROM {dense_ov('ov_bottom')}")
 def _(t):
-    return x.overlap_table(t.rank_ortho_s, K, reverse=True)
+    return x.overlap_matrix(t.rank_ortho_s, K, reverse=True)
 
 
 def quant_cte(src: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.exprs import fix10, rnd
+from ..functions.sampling import permuted_sql
 from ..functions.stats import rank_sum_test, six_numbers
 from ..operators import labels as lb
 from ..operators import rankings as r
@@ -208,9 +209,10 @@ FROM obs_{tag} o LEFT JOIN (SELECT n.species, n.tf, avg(CASE WHEN n.auprc <= o.a
   FROM null_{tag} n JOIN obs_{tag} o ON o.species = n.species AND o.tf = n.tf GROUP BY ALL) q ON q.species = o.species AND q.tf = o.tf""")
 
 
-cte("shuffled_universe", f"""
-SELECT species, CAST(iter AS INTEGER) AS iter, gene, row_number() OVER (PARTITION BY species, iter ORDER BY md5(concat_ws('|', '{SEED}', species, iter, gene)), gene) AS pos_at
-FROM target_universe, (SELECT unnest(range(1, {N_DRAWS} + 1)) AS iter)""")
+cte("shuffled_universe", "SELECT o.species, CAST(o.iter AS INTEGER) AS iter, u.gene, o.place + 1 AS pos_at FROM (" + permuted_sql(
+    f"SELECT species, iter, n, unnest(range(0, n)) AS place FROM (SELECT species, count(*) AS n FROM target_universe GROUP BY ALL), (SELECT unnest(range(1, {N_DRAWS} + 1)) AS iter)",
+    "place", "n", SEED, "species, iter", 50) + """) o
+JOIN (SELECT species, gene, row_number() OVER (PARTITION BY species ORDER BY gene) - 1 AS i FROM target_universe) u ON u.species = o.species AND u.i = o.x""")
 score_ctes("coexpr", "SELECT species, tf, gene, avg_aggr_coexpr AS score FROM rank_tf")
 score_ctes("reverse", "SELECT species, tf, gene, -avg_aggr_coexpr AS score FROM rank_tf")
 score_ctes("bind", "SELECT species, tf, gene, bind_score AS score FROM rank_all")

@@ -340,6 +340,24 @@ def _(t):
     return p.apply_rules(rows, "brand", rules, trim=True)
 
 
+cte("part_sets", "SELECT p_partkey, CASE WHEN p_size <= 20 THEN 'a' WHEN p_size <= 40 THEN 'b' ELSE 'c' END AS dataset_id, p_brand AS brand FROM part")
+
+
+@query("n12_rules_per_dataset", r"""
+SELECT p_partkey, dataset_id, trim(CASE dataset_id WHEN 'a' THEN regexp_replace(regexp_replace(brand, '#([0-9])([0-9]*)$', '-\2\1 '), 'n', 'N', 'g')
+ WHEN 'b' THEN regexp_replace(regexp_replace(brand, '([a-z])', '[\1]'), '#', '_') ELSE brand END) AS brand
+FROM part_sets WHERE NOT (dataset_id = 'b' AND regexp_matches(brand, '[25]$'))""")
+def _(t):
+    size = F.col("p_size")
+    rows = t.raw("part").select("p_partkey", F.when(size <= 20, "a").when(size <= 40, "b").otherwise("c").alias("dataset_id"), F.col("p_brand").alias("brand"))
+    rules = [
+        ("b", 3, "drop", "[25]$", None, None), ("b", 1, "replace", "([a-z])", "[$1]", False), ("b", 2, "replace", "#", "_", False),
+        ("a", 1, "replace", "#([0-9])([0-9]*)$", "-$2$1 ", False), ("a", 2, "replace", "n", "N", True),
+    ]
+    table = t.spark.createDataFrame(rules, "dataset_id string, ord int, action string, pattern string, replacement string, every boolean")
+    return p.apply_rule_table(rows, "brand", table)
+
+
 @query("n13_recode", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'Neuron' WHEN '2-HIGH' THEN 'Astrocyte' ELSE o_orderpriority END AS cell_type FROM orders")
 def _(t):
     rows = t.raw("orders").select("o_orderkey", F.col("o_orderpriority").alias("cell_type"))
