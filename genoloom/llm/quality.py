@@ -226,13 +226,15 @@ def _surest(pool: DataFrame, heads: dict[int, CoTrained], per_round: int, confid
         rows = [(h, v, label, k, s) for (h, v, label), found in best.items() for k, s in sorted(found.items(), key=lambda x: (-x[1], x[0]))[: wanted[h][label]]]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.float64()))], ["head", "view", "label", "key", "sure"])
 
-    judged = pool.mapInArrow(judge, "head int, view int, label double, key long, sure double").distinct()
+    judged = pool.mapInArrow(judge, "head int, view int, label double, key long, sure double")
+    judged = judged.groupBy("head", "view", "label", "key").agg(F.max("sure").alias("sure"))
     place = F.row_number().over(Window.partitionBy("head", "view", "label").orderBy(F.col("sure").desc(), "key"))
     limits = F.lit(0)
     for h, counts in wanted.items():
         for label, n in counts.items():
             limits = F.when((F.col("head") == h) & (F.col("label") == label), n).otherwise(limits)
-    chosen = judged.withColumn("place", place).filter(F.col("place") <= limits).select("head", "view", "label", "key", "sure").collect()
+    most = max(n for counts in wanted.values() for n in counts.values())
+    chosen = judged.withColumn("place", place).filter(F.col("place") <= most).filter(F.col("place") <= limits).select("head", "view", "label", "key", "sure").collect()
     shared.destroy()
     if not chosen:
         return None
@@ -277,7 +279,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, rounds:
         out[h] = CoTrained([r[2] for r in some], y) if len(set(y)) == 2 else float(y[0]) if len(y) else float(h == 0)
     heads = {h: c for h, c in out.items() if isinstance(c, CoTrained)}
     if heads and rounds:
-        pool = written(_features(own.join(marks.select("doc_id"), "doc_id", "left_anti")), "quality-features")
+        # features travel to the labels and not texts; by a merge at every size, so that it grows with the documents
+        others = _features(own, "doc_id").join(marks.select("doc_id").hint("merge"), "doc_id", "left_anti")
+        pool = written(others.select("key", "features"), "quality-features")
         for _ in range(rounds):
             found = _surest(pool, heads, per_round, confident)
             if not found:

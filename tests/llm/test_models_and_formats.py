@@ -251,6 +251,46 @@ def test_kneser_ney_adds_up():
         assert total == pytest.approx(1)
 
 
+def naive_kneser_ney(texts, order, alphabet):
+    """Interpolated Kneser-Ney by dictionaries: probability of a character after the characters before it."""
+    top = Counter()
+    for t in texts:
+        padded = chr(langid.START) * (order - 1) + t
+        top.update(padded[i - order + 1 : i + 1] for i in range(order - 1, len(padded)))
+    levels = {order: top}
+    for n in range(order - 1, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    levels[1].pop(chr(langid.START), None)
+
+    def probability(context, c):
+        if context is None:
+            return 1 / (alphabet + 1)
+        grams = levels[len(context) + 1]
+        shorter = probability(context[1:] if context else None, c)
+        once, twice = (sum(n == k for n in grams.values()) for k in (1, 2))
+        discount = once / (once + 2 * twice) if once and twice else 0.5
+        after = [n for g, n in grams.items() if g[:-1] == context]
+        if not after:
+            return shorter
+        return (max(grams.get(context + c, 0) - discount, 0) + discount * len(after) * shorter) / sum(after)
+
+    return probability
+
+
+def test_kneser_ney_equals_dictionaries():
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcé d"), int(rng.integers(1, 40)))) for _ in range(25)]
+    points, real, _ = langid.padded_points(texts, 4)
+    grams, n = np.unique(points[real[:, None] + np.arange(-3, 1)], axis=0, return_counts=True)
+    alphabet = len(set("".join(texts)))
+    model = langid.Model(["x"], [langid.kneser_ney(grams, n, alphabet)], alphabet, 4)
+    naive = naive_kneser_ney(texts, 4, alphabet)
+    for probe in ("abcé", "d a b c", "zab", "bzz a", "a", "ééé d"):
+        padded = chr(langid.START) * 3 + probe
+        want = -sum(math.log(naive(padded[i - 3 : i], padded[i])) for i in range(3, len(padded))) / len(probe)
+        assert model.entropies([probe])[0, 0] == pytest.approx(want)
+
+
 def test_language_cases(spark):
     rng = np.random.default_rng(0)
     words = {"aa": ["lorem", "ipsum", "dolor"], "bb": ["кот", "пёс", "дом"]}
@@ -296,6 +336,28 @@ def test_quality_cases(spark):
     assert quality.score(table.limit(0), quality.train(table, marks)).count() == 0
 
 
+def test_co_training_takes_the_surest_of_all_documents(spark):
+    """The chosen rows of a round are those that scoring every row of the pool by hand gives, however the pool is dealt."""
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(rng.choice(words[: 40 if i % 2 else 80], 30)) + ("!" if i % 2 else "") for i in range(400)]
+    table = spark.createDataFrame([(i, t, f"s{i % 2}", "en", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string, n_chars long")
+    own = quality._features(table, "doc_id").collect()
+    rows = {r["doc_id"]: (r["key"], quality._unpacked(bytes(r["features"]))) for r in own}
+    model = quality.CoTrained([rows[i][1] for i in range(60)], np.array([float(i % 2) for i in range(60)]))
+    pool = quality._features(table.filter("doc_id >= 60").union(table.filter("doc_id BETWEEN 60 AND 70")))
+    want = set()
+    for view in (0, 1):
+        p = {rows[i][0]: 1 / (1 + math.exp(-model.views[view].logit([rows[i][1]])[0])) for i in range(60, 400)}
+        for label, n in model.wanted(20).items():
+            sure = sorted(((p[k] if label else 1 - p[k]), k) for k in p if (p[k] if label else 1 - p[k]) >= 0.9)
+            want |= {(0, view, label, k) for _, k in sorted(sure, key=lambda x: (-x[0], x[1]))[:n]}
+    for parts in (1, 7):
+        chosen, features = quality._surest(pool.repartition(parts), {0: model}, 20, 0.9)
+        assert {(h, v, label, key) for h, v, label, _, key in chosen} == want and len(want) > 40
+        assert set(features) == {k for *_, k in want}
+
+
 # --- pipeline ---
 
 def test_pipeline_stages(spark):
