@@ -104,7 +104,7 @@ def _counted(relation: DataFrame, min_count: int, first: bool) -> DataFrame:
     one row per chunk and bucket; the answers go back the same way. The lowest chunk with a phrase
     owns it (``own``), which names every phrase once; ``f`` are the counts of the owned phrases over all chunks.
     """
-    buckets = 4 * int(relation.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(relation.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
