@@ -11,11 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stage import written
 from .common import table, unused
 from .shingles import mix, shingle_hashes
 
-BITS, BLOCKS = 128, 16
-BIT_COUNTS = np.array([v.bit_count() for v in range(256)], np.uint8)
+#: Fingerprints are four words of 64 bits, which are the blocks of the index.
+BITS, BLOCKS = 256, 4
 MATCH = "array<struct<item_id:bigint,first_word:bigint,n_words:bigint,distance:int,similarity:double>>"
 MATCH_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int32()), ("similarity", pa.float64())]))
 
@@ -44,17 +45,33 @@ def plain_hashes(text: str | None, known: PlainWords) -> np.ndarray:
 
 
 def signs(shingles: np.ndarray) -> np.ndarray:
-    """+1 or -1 per bit of a 128-bit hash of each shingle."""
-    both = np.stack([mix(shingles), mix(shingles ^ np.uint64(0x5DEECE66D))], axis=1)
-    return np.unpackbits(both.view(np.uint8).reshape(len(shingles), BITS // 8), axis=1).astype(np.int8) * np.int8(2) - np.int8(1)
+    """+1 or -1 per bit of a 256-bit hash of each shingle."""
+    words = np.stack([mix(shingles ^ np.uint64(k * 0x5DEECE66D)) for k in range(BLOCKS)], axis=1)
+    return np.unpackbits(words.view(np.uint8).reshape(len(shingles), BITS // 8), axis=1).astype(np.int8) * np.int8(2) - np.int8(1)
 
 
 def fingerprints(shingles: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """SimHash (16 bytes) of the windows of ``width`` shingles that begin at ``starts``; every occurrence has weight 1."""
+    """SimHash (four 64-bit words) of the windows of ``width`` shingles that begin at ``starts``; every occurrence has weight 1."""
     low, high = int(starts.min()), int(starts.max()) + width
     total = np.zeros((high - low + 1, BITS), np.int32)
     np.cumsum(signs(shingles[low:high]), axis=0, dtype=np.int32, out=total[1:])
-    return np.packbits(total[starts - low + width] - total[starts - low] > 0, axis=1)
+    return np.packbits(total[starts - low + width] - total[starts - low] > 0, axis=1).view(np.uint64)
+
+
+def near(prints: np.ndarray, items: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(print, item, distance) of all pairs within ``radius`` bits.
+
+    If two fingerprints differ in at most ``radius`` bits, one of their four blocks differs in at most
+    ``radius // 4``; a random pair does so in one of 150 cases. Only pairs found by a block get
+    their full distance.
+    """
+    found = np.zeros((len(prints), len(items)), bool)
+    for block in range(BLOCKS):
+        found |= np.bitwise_count(prints[:, None, block] ^ items[None, :, block]) <= radius // BLOCKS
+    window, item = np.nonzero(found)
+    distance = np.bitwise_count(prints[window] ^ items[item]).sum(1, dtype=np.int64)
+    close = distance <= radius
+    return window[close], item[close], distance[close]
 
 
 @dataclass
@@ -67,11 +84,25 @@ class SizeClass:
     shingles: list[np.ndarray]
     counts: list[Counter]
     prints: np.ndarray
-    near: np.ndarray  # [block, value, item]: the item's block is within radius // BLOCKS bits of value
-    known: np.ndarray  # sorted shingles of all items of the class
+    known: np.ndarray  # sorted: the rarest shingles of each item, one of which a similar window must hold
+
+
+def rarest(shingles: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Of n shingles of an item, the n - t + 1 that the fewest items have, t being the number a similar window shares with it.
+
+    A window without any of them shares t - 1 at most. Phrases that many items have are so looked up
+    for hardly any item.
+    """
+    values, n_items = np.unique(np.concatenate([np.unique(s) for s in shingles]), return_counts=True)
+    out = []
+    for own in shingles:
+        often = n_items[np.searchsorted(values, own)]
+        least = max(1, int(np.ceil(threshold * len(own) - 1e-9)))
+        out.append(own[np.lexsort((own, often))][: len(own) - least + 1])
+    return np.unique(np.concatenate(out))
 
 
-def size_classes(items: list[tuple[int | None, str | None]], radius: int, size: int) -> list[SizeClass]:
+def size_classes(items: list[tuple[int | None, str | None]], threshold: float, size: int) -> list[SizeClass]:
     known, by_words = PlainWords(), {}
     for item_id, text in items:
         words = plain_hashes(text, known)
@@ -81,8 +112,7 @@ def size_classes(items: list[tuple[int | None, str | None]], radius: int, size:
     for n, found in sorted(by_words.items()):
         shingles = [shingle_hashes(words, size) for _, words in found]
         prints = np.concatenate([fingerprints(s, np.array([0]), len(s)) for s in shingles])
-        near = BIT_COUNTS[np.arange(256)[None, :, None] ^ prints.T[:, None, :]] <= radius // BLOCKS
-        out.append(SizeClass(n, min(size, n), [i for i, _ in found], shingles, [Counter(s.tolist()) for s in shingles], prints, near, np.unique(np.concatenate(shingles))))
+        out.append(SizeClass(n, min(size, n), [i for i, _ in found], shingles, [Counter(s.tolist()) for s in shingles], prints, rarest(shingles, threshold)))
     return out
 
 
@@ -108,12 +138,11 @@ def held(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def matches(words: np.ndarray, index: Index, radius: int, threshold: float, step: int = 2048) -> list[dict]:
-    """The best window of a text for each item that it holds.
+    """The best window of a text for each item that it holds; of equal ones the first.
 
-    Every window that shares a shingle with an item of its size gets a fingerprint; a window without
-    one has similarity 0. If two fingerprints differ in at most ``radius`` bits, one of the 16 blocks
-    differs in at most ``radius // 16``: the index by block finds all those pairs, the full distance
-    and then the exact similarity decide.
+    Every window that holds one of the rarest shingles of an item of its size gets a fingerprint; no
+    other can be similar. The index by blocks finds all pairs within ``radius`` bits, then the exact
+    similarity decides.
     """
     best, todo = {}, []
     for size, known in index.known.items():
@@ -130,18 +159,11 @@ def matches(words: np.ndarray, index: Index, radius: int, threshold: float, step
         starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
         for i in range(0, len(starts), step):
             some = starts[i : i + step]
-            prints = fingerprints(own, some, width)
-            candidate = np.zeros((len(some), len(c.ids)), bool)
-            for block in range(BLOCKS):
-                candidate |= c.near[block, prints[:, block]]
-            for w, item in zip(*np.nonzero(candidate), strict=True):
-                distance = int(BIT_COUNTS[prints[w] ^ c.prints[item]].sum())
-                if distance > radius:
-                    continue
+            for w, item, distance in zip(*(x.tolist() for x in near(fingerprints(own, some, width), c.prints, radius)), strict=True):
                 start = int(some[w])
                 shared = sum((Counter(own[start : start + width].tolist()) & c.counts[item]).values())
                 similarity = shared / max(width, len(c.shingles[item]))
-                key = (c.words, int(item))
+                key = (c.words, item)
                 if similarity >= threshold and (key not in best or similarity > best[key]["similarity"]):
                     best[key] = {"item_id": c.ids[item], "first_word": start, "n_words": min(c.words, len(words)), "distance": distance, "similarity": similarity}
     return sorted(best.values(), key=lambda m: (m["item_id"] is None, m["item_id"] or 0, m["first_word"]))
@@ -149,15 +171,16 @@ def matches(words: np.ndarray, index: Index, radius: int, threshold: float, step
 
 def find_benchmark(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    threshold: float = 0.8, radius: int = 48, size: int = 5, block_items: int = 20_000, matches_as: str = "matches",
+    threshold: float = 0.8, radius: int = 83, size: int = 5, block_items: int = 20_000, matches_as: str = "matches",
 ) -> DataFrame:
     """``docs`` with an array of the benchmark items each text holds.
 
     Words are lower-cased, without punctuation at their ends. A window has as many words as the item;
     similarity is the weight of common shingles (``size`` words, weighted by occurrences) over the
-    larger total weight. ``radius`` of 128 bits: at similarity 0.8 the expected distance is 26 with a
-    deviation of 4.6. The benchmark is taken in blocks of about ``block_items`` items, each block
-    broadcast to one pass over the documents; no document is shuffled, whatever its length or source.
+    larger total weight. ``radius`` of 256 bits: at similarity 0.8 the expected distance is 53 with a
+    deviation of 6.4. The benchmark is taken in blocks of about ``block_items`` items, each block
+    broadcast to one pass over the documents; between passes the documents are written, and the block is
+    freed. No document is shuffled, whatever its length or source.
 
     Cases: null and empty texts hold nothing; null and empty items are ignored, an item of fewer
     than ``size`` words is one shingle; a text shorter than an item is one window. Repeated items are
@@ -170,7 +193,7 @@ def find_benchmark(
     schema, column = docs.schema, docs.columns.index(text_col)
     for block in range(blocks):
         rows = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(Index.of(size_classes(rows, radius, size)))
+        shared = docs.sparkSession.sparkContext.broadcast(Index.of(size_classes(rows, threshold, size)))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known = PlainWords()
@@ -179,6 +202,9 @@ def find_benchmark(
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, MATCH_ARROW)], names=batch.schema.names)
 
         docs = docs.mapInArrow(scan, schema)
+        if block < blocks - 1:
+            docs = written(docs, "decontaminate")
+            shared.unpersist()
     return docs
 
 

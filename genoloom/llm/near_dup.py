@@ -104,27 +104,22 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
 
 
 def _cells(rows: DataFrame, size: int) -> DataFrame:
-    """(k1, k2, cells) of the column ``text``."""
+    """(node, cells) of the columns ``node`` and ``text``."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
             step = 64  # cells of 64 texts at a time
             for at in range(0, batch.num_rows, step):
-                keys, out = [], []
-                for text in batch.column(0)[at : at + step]:
-                    words = words_of(text.as_py())
-                    keys.append(_text_key(words))
-                    out.append(unit_cells(shingle_hashes(hashed(words, known), size)).view(np.int64))
+                out = [unit_cells(shingle_hashes(hashed(words_of(text.as_py()), known), size)).view(np.int64) for text in batch.column(1)[at : at + step]]
                 lengths = np.cumsum([0, *map(len, out)])
-                k1, k2 = (pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([k1, k2, pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(out), pa.int64()))], ["k1", "k2", "cells"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, step), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(out), pa.int64()))], ["node", "cells"])
 
-    return rows.select("text").mapInArrow(cut, "k1 long, k2 long, cells array<long>")
+    return rows.select("node", "text").mapInArrow(cut, "node long, cells array<long>")
 
 
 def _similar(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
     """Those of the pairs (u, v) whose cells overlap enough."""
-    side = lambda n: cells.select(F.struct("k1", "k2").alias(n), F.col("cells").alias(f"cells_{n}"))
+    side = lambda n: cells.select(F.col("node").alias(n), F.col("cells").alias(f"cells_{n}"))
     both = pairs.join(side("v"), "v").join(side("u"), "u")
     common = F.size(F.array_intersect("cells_u", "cells_v"))
     return both.filter(common >= threshold * (F.size("cells_u") + F.size("cells_v") - common)).select("u", "v")
@@ -168,16 +163,16 @@ def _links_within(members: DataFrame, cells: DataFrame, threshold: float, block:
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
-    placed = members.withColumn("blocks", blocks).withColumn("own", own.cast("int")).join(cells.select(F.struct("k1", "k2").alias("node"), "cells"), "node")
-    placed = placed.select("band", "value", F.concat(F.hex("root.k1"), F.lit(":"), F.hex("root.k2")).alias("root"), F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), "cells", F.explode(pairs).alias("pair"))
+    placed = members.withColumn("blocks", blocks).withColumn("own", own.cast("int")).join(cells, "node")
+    placed = placed.select("band", "value", "root", "node", "cells", F.explode(pairs).alias("pair"))
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        k1, k2 = part["k1"].to_numpy(), part["k2"].to_numpy()
+        node = part["node"].to_numpy()
         found = np.array(_spanning(part, threshold), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a1": k1[found[:, 0]], "a2": k2[found[:, 0]], "b1": k1[found[:, 1]], "b2": k2[found[:, 1]]})
+        return pd.DataFrame({"u": node[found[:, 0]], "v": node[found[:, 1]]})
 
-    links = placed.withColumns({"i": F.col("pair.i"), "j": F.col("pair.j")}).drop("pair").groupBy("band", "value", "i", "j").applyInPandas(compare, "a1 long, a2 long, b1 long, b2 long")
-    return links.select(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")).alias("u"), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")).alias("v")).distinct()
+    links = placed.withColumns({"i": F.col("pair.i"), "j": F.col("pair.j")}).drop("pair").groupBy("band", "value", "i", "j").applyInPandas(compare, "u long, v long")
+    return links.distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 30, rows: int = 6, size: int = 5) -> DataFrame:
@@ -202,22 +197,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are ignored. An empty table gives an empty table.
     """
     signed = written(signatures(docs, id_col, text_col, bands, rows, size), "signatures")
-    node = F.struct("k1", "k2")
     who = F.struct(F.col("doc").isNull().alias("unknown"), "doc", "mark")
-    texts = written(signed.groupBy("k1", "k2").agg(F.min(who).alias("who"), F.first("bands").alias("bands")), "texts")
+    distinct = signed.groupBy("k1", "k2").agg(F.min(who).alias("who"), F.first("bands").alias("bands"))
+    # a number per text, fixed by the written table: short keys from here on
+    texts = written(distinct.withColumn("node", F.monotonically_increasing_id()), "texts")
 
-    buckets = texts.select(node.alias("node"), F.posexplode("bands").alias("band", "value"))
+    buckets = texts.select("node", F.posexplode("bands").alias("band", "value"))
     leaders = buckets.groupBy("band", "value").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = written(buckets.join(leaders, ["band", "value"]), "members")
     pairs = written(members.filter("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
 
     # the rows to cut again: one document of each text that has a partner
     partners = members.select("node").distinct()
-    wanted = texts.withColumn("node", node).join(partners, "node", "left_semi").select("who.doc", "who.mark")
+    wanted = texts.join(partners, "node", "left_semi").select("node", F.col("who.doc").alias("_doc"), F.col("who.mark").alias("_mark"))
     text, doc = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     again = docs.select(doc.alias("doc"), F.xxhash64(text).alias("mark"), text.cast("string").alias("text"))
-    hit = again.join(wanted.withColumnsRenamed({"doc": "_doc", "mark": "_mark"}), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left_semi")
-    cells = written(_cells(hit, size).dropDuplicates(["k1", "k2"]), "cells")
+    hit = again.join(wanted, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark")))
+    cells = written(_cells(hit.select("node", "text"), size).dropDuplicates(["node"]), "cells")
 
     links = written(_similar(pairs, cells, threshold), "similar")
     parts = components(links)
@@ -227,7 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         parts = components(links.union(more))
 
-    classed = texts.withColumn("node", node).join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classed = texts.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classed.groupBy("root").agg(F.min("who").alias("first"))
     named = classed.select("root", "k1", "k2").join(least, "root").select("k1", "k2", "first")
     out = signed.select("doc", "mark", "k1", "k2").join(named, ["k1", "k2"])

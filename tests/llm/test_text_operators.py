@@ -101,13 +101,46 @@ def test_decontamination_equals_brute_force(spark, block_items):
 def test_hamming_blocks_miss_nothing_within_the_radius():
     rng = np.random.default_rng(1)
     items = [(0, " ".join(f"a{i}" for i in rng.integers(0, 99, 30)))]
-    (c,) = decontaminate.size_classes(items, 48, 5)
-    bits = np.unpackbits(c.prints[0])
-    for distance in range(0, 49):
+    (c,) = decontaminate.size_classes(items, 0.8, 5)
+    bits = np.unpackbits(c.prints[0].view(np.uint8))
+    for distance in range(0, 90):
         for _ in range(20):
             other = bits.copy()
-            other[rng.choice(128, distance, replace=False)] ^= 1
-            assert any(c.near[b, v, 0] for b, v in enumerate(np.packbits(other)))
+            other[rng.choice(256, distance, replace=False)] ^= 1
+            found = decontaminate.near(np.packbits(other).view(np.uint64)[None], c.prints, 83)
+            assert [x.tolist() for x in found] == ([[0], [0], [distance]] if distance <= 83 else [[], [], []])
+
+
+def test_hamming_index_is_selective_and_complete():
+    """Less than 1 % of random pairs pass a block; of windows with similarity 0.8 at least 99 % are within the radius."""
+    rng = np.random.default_rng(2)
+    a, b = (rng.integers(0, 2**64, (2000, 4), np.uint64) for _ in range(2))
+    passed = np.zeros((2000, 2000), bool)
+    for k in range(4):
+        passed |= np.bitwise_count(a[:, None, k] ^ b[None, :, k]) <= 83 // 4
+    assert passed.mean() < 0.01 and len(decontaminate.near(a, b, 83)[0]) < 100
+    for n in (10, 25, 60):
+        one, missed = rng.integers(0, 2**64, (1000, n), np.uint64), 0
+        two = one.copy()
+        two[:, : n // 5] = rng.integers(0, 2**64, (1000, n // 5), np.uint64)
+        for x, y in zip(one, two, strict=True):
+            missed += not len(decontaminate.near(*(decontaminate.fingerprints(s, np.array([0]), n) for s in (x, y)), 83)[0])
+        assert missed <= 10, (n, missed)
+
+
+def test_stock_phrases_are_looked_up_for_hardly_any_item():
+    rng = np.random.default_rng(3)
+    phrase = "which of the following is".split()
+    items = [(i, " ".join([*phrase, *(f"x{i}y{j}" for j in range(20))])) for i in range(500)]
+    (c,) = decontaminate.size_classes(items, 0.8, 5)
+    known = decontaminate.PlainWords()
+    own = decontaminate.shingle_hashes(decontaminate.plain_hashes(" ".join([*(f"z{k}" for k in range(300)), *phrase, *(f"z{k}" for k in rng.integers(0, 300, 300))]), known), 5)
+    assert len(decontaminate.held(c.known, own)) == 0
+    index = decontaminate.Index.of([c])
+    text = " ".join([*(f"z{k}" for k in range(40)), items[7][1], *phrase])
+    assert [m["item_id"] for m in decontaminate.matches(decontaminate.plain_hashes(text, known), index, 83, 0.8)] == [7]
+    twice = decontaminate.matches(decontaminate.plain_hashes(f"{items[7][1]} and {items[7][1]}", known), index, 83, 0.8)
+    assert [(m["item_id"], m["first_word"], m["similarity"]) for m in twice] == [(7, 0, 1.0)]
 
 
 def brute_classes(rows, threshold=0.8):
@@ -188,10 +221,10 @@ def test_blocks_find_all_links(spark):
     whole = near_dup._spanning(part, 0.8)
     similar = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
     assert all(similar(cells[i], cells[j]) for i, j in whole)
-    rows = [(0, 0, (i, i), (i, i), 60) for i in range(60)]
-    members = spark.createDataFrame(rows, "band int, value long, node struct<k1:long,k2:long>, root struct<k1:long,k2:long>, n long")
-    table = spark.createDataFrame([(i, i, [int(c) for c in x]) for i, x in enumerate(cells)], "k1 long, k2 long, cells array<long>")
-    links = [(r["u"]["k1"], r["v"]["k1"]) for r in near_dup._links_within(members, table, 0.8, block=7).collect()]
+    rows = [(0, 0, i, i, 60) for i in range(60)]
+    members = spark.createDataFrame(rows, "band int, value long, node long, root long, n long")
+    table = spark.createDataFrame([(i, [int(c) for c in x]) for i, x in enumerate(cells)], "node long, cells array<long>")
+    links = [(r["u"], r["v"]) for r in near_dup._links_within(members, table, 0.8, block=7).collect()]
 
     def groups(pairs):
         up = list(range(60))
