@@ -20,11 +20,6 @@ def rnd(c: str | Column, digits: int) -> Column:
     return F.floor(col(c) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
 
 
-def clean(c: str | Column) -> Column:
-    """NaN never enters a table: it becomes NULL."""
-    return F.when(~F.isnan(col(c)), col(c))
-
-
 def share(cond: Column) -> Column:
     """Share of rows that meet a condition; rows where it is NULL are left out."""
     return F.avg(cond.cast("double"))

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.exprs import count_true
 from ..functions.stats import six_numbers
 from ..schemas import GeneSpan
 from .tiles import GENE_BLOCK, blocks, defined_genes, fields
@@ -180,7 +179,3 @@ def profiles(full: DataFrame, tfs: DataFrame, msr: DataFrame, species: DataFrame
 
 def dataset_tally(info: DataFrame, by: list[str]) -> DataFrame:
     return info.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-
-
-def measured_share(msr: DataFrame) -> DataFrame:
-    return msr.groupBy("dataset_id").agg(count_true(F.col("measured")).alias("n"), F.count(F.lit(1)).alias("n_all"))

@@ -80,6 +80,17 @@ def quality_cells(
     )
 
 
+def quality_report(meta: DataFrame, kept: DataFrame, fail: bool = False) -> DataFrame:
+    """(dataset_id, n_cells, n_kept, passes): a dataset of which no cell is left does not pass; with ``fail`` the job stops there."""
+    left = kept.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_kept"))
+    out = meta.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_cells")).join(left, "dataset_id", "left")
+    out = out.withColumn("n_kept", F.coalesce("n_kept", F.lit(0).cast("long"))).withColumn("passes", F.col("n_kept") > 0)
+    if fail:
+        fault = F.raise_error(F.concat(F.lit("no cell is left in dataset "), F.col("dataset_id").cast("string"))).cast("boolean")
+        out = out.filter(F.when(F.col("passes"), True).otherwise(fault))
+    return out
+
+
 def ids_to_symbols(expr: DataFrame, gene_ref: DataFrame) -> DataFrame:
     """Map gene ids to symbols; ids without a symbol drop out."""
     ref = gene_ref.filter(F.col("symbol") != "").select(F.col("gene_id").alias("gene"), "symbol")

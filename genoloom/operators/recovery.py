@@ -297,9 +297,9 @@ def null_summary(null: DataFrame, observed: DataFrame) -> DataFrame:
     return null.join(observed.select(*ST), ST, "left_semi").groupBy(*ST).agg(*six_numbers("auroc"))
 
 
-def generic_check(wide: DataFrame, tag: str) -> DataFrame:
-    """Regulators below their null median that still exceed 0.5: the largest per species."""
-    rows = wide.filter((F.col(f"auroc_quantile_{tag}") < 0.5) & (F.col(f"auroc_{tag}") > 0.5))
+def generic_check(wide: DataFrame, tag: str, below: float = 0.5, above: float = 0.5) -> DataFrame:
+    """Regulators whose quantile in the null is ``below`` although the area is ``above``: the largest per species."""
+    rows = wide.filter((F.col(f"auroc_quantile_{tag}") < below) & (F.col(f"auroc_{tag}") > above))
     ranked = rows.withColumn("_r", min_rank(["species"], f"auroc_{tag}"))
     return ranked.filter("_r = 1").select("species", "tf", F.col(f"auroc_{tag}").alias("auroc"))
 

@@ -296,6 +296,12 @@ def rank_of_match(scores: DataFrame, gene: int, value: str) -> DataFrame:
     )
 
 
+def with_diagonal(ranks: DataFrame) -> DataFrame:
+    """All ordered pairs of datasets: a dataset finds its own column first."""
+    own = ranks.select("query").distinct().select("query", F.col("query").alias("subject"), F.lit(1).cast("long").alias("rank"))
+    return ranks.select("query", "subject", "rank").unionByName(own)
+
+
 # ---------------------------------------------------------------- summaries
 
 STATS = ("scor", "topk", "bottomk", "jaccard")

@@ -397,14 +397,14 @@ def _(t):
     return s.rank_of_match(s.query_auprc(t.full_b, QG, K), QG, "auprc")
 
 
-@query("k20_query_topk_all", "SELECT query, subject, rank FROM (SELECT query, subject, partner, row_number() OVER (PARTITION BY query, subject ORDER BY overlap DESC, partner) AS rank FROM q_overlap) WHERE partner = 10")
+@query("k20_query_topk_all", "SELECT query, subject, rank FROM (SELECT query, subject, partner, row_number() OVER (PARTITION BY query, subject ORDER BY overlap DESC, partner) AS rank FROM q_overlap) WHERE partner = 10 UNION ALL SELECT DISTINCT query, query, 1 FROM q_overlap")
 def _(t):
-    return s.match_rank(s.query_overlap(t.full_b, QG, K), QG, "overlap", t.genes_b.first)
+    return s.with_diagonal(s.match_rank(s.query_overlap(t.full_b, QG, K), QG, "overlap", t.genes_b.first))
 
 
-@query("k21_query_cor_all", "SELECT query, subject, rank FROM (SELECT query, subject, partner, row_number() OVER (PARTITION BY query, subject ORDER BY scor DESC NULLS LAST, partner) AS rank FROM q_cor) WHERE partner = 10")
+@query("k21_query_cor_all", "SELECT query, subject, rank FROM (SELECT query, subject, partner, row_number() OVER (PARTITION BY query, subject ORDER BY scor DESC NULLS LAST, partner) AS rank FROM q_cor) WHERE partner = 10 UNION ALL SELECT DISTINCT query, query, 1 FROM q_cor")
 def _(t):
-    return s.rank_of_match(s.query_correlation(t.full_b, QG, t.genes_b), QG, "scor")
+    return s.with_diagonal(s.rank_of_match(s.query_correlation(t.full_b, QG, t.genes_b), QG, "scor"))
 
 
 # ---------------------------------------------------------------- Y

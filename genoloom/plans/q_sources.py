@@ -269,6 +269,15 @@ def _(t):
     return cells.select("cell_id", "assay")
 
 
+@query("n4_quality_report", """
+SELECT dataset_id, count(*) AS n_cells, count(*) FILTER (dataset_id <> 3 AND umi_counts >= 50 AND gene_counts >= 2 AND rna_novelty > 0.3 AND (mt_ratio IS NULL OR mt_ratio < 0.2)) AS n_kept,
+ count(*) FILTER (dataset_id <> 3 AND umi_counts >= 50 AND gene_counts >= 2 AND rna_novelty > 0.3 AND (mt_ratio IS NULL OR mt_ratio < 0.2)) > 0 AS passes FROM count_info GROUP BY ALL""")
+def _(t):
+    # dataset 3 has no cell with enough counts
+    cells = info(t).withColumns({"assay": F.lit("10x"), "umi_counts": F.when(F.col("dataset_id") != 3, F.col("umi_counts"))})
+    return p.quality_report(cells, p.quality_cells(cells, 50, 2, 0.3, 0.2, 0.2))
+
+
 @query("n5_ids_to_symbols", "SELECT cell_id, s_name AS gene, value FROM expr_a JOIN supplier ON gene = s_suppkey WHERE s_suppkey % 13 <> 0")
 def _(t):
     key = F.col("s_suppkey")

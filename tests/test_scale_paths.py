@@ -171,3 +171,25 @@ def test_two_datasets_with_their_own_rules_in_one_pass(spark):
     ], f"dataset_id string, ord int, action string, pattern string, replacement string, every boolean")
     got = sorted((r["dataset_id"], r["t"] or "") for r in prep.apply_rule_table(df, "t", rules).collect())
     assert got == [("x", "T 12"), ("y", ".l".replace(".", "$")), ("y", "T-c[lll] $$"), ("z", ""), ("z", "as is")]
+
+
+def test_a_dataset_without_cells_is_reported_or_stops_the_job(spark):
+    meta = spark.createDataFrame([(1, 1, 900, 400), (1, 2, 10, 5), (2, 3, 10, 5)], "dataset_id int, cell_id int, umi_counts long, gene_counts long")
+    meta = meta.withColumns({"rna_novelty": F.lit(0.9), "assay": F.lit("10x"), "mt_ratio": F.lit(None).cast("double")})
+    good = prep.quality_cells(meta)
+    got = {tuple(r) for r in prep.quality_report(meta, good).collect()}
+    assert got == {(1, 2, 1, True), (2, 1, 0, False)}
+    with pytest.raises(Exception, match="no cell is left in dataset 2"):
+        prep.quality_report(meta, good, fail=True).collect()
+    assert prep.quality_report(meta.filter("dataset_id = 1"), good, fail=True).count() == 1
+
+
+def test_whole_overlap_matrix_and_diagonals(spark):
+    from genoloom.operators import crossgroup
+
+    rows = [(t, g, float(g if t == 1 else -g), float(-g)) for t in (1, 2) for g in range(6)]
+    ranks = spark.createDataFrame(rows, "tf_id int, id int, avg_aggr_coexpr_hg double, avg_aggr_coexpr_mm double")
+    got = {(r["tf_hg"], r["tf_mm"]): r["overlap"] for r in crossgroup.overlap_matrix(ranks, 2).collect()}
+    assert got == {(1, 1): 0, (1, 2): 0, (2, 1): 2, (2, 2): 2}
+    found = similarity.with_diagonal(spark.createDataFrame([(1, 2, 5), (2, 1, 3)], "query int, subject int, rank long")).collect()
+    assert {tuple(r) for r in found} == {(1, 2, 5), (2, 1, 3), (1, 1, 1), (2, 2, 1)}
