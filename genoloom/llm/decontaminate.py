@@ -24,7 +24,7 @@ MATCH_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int
 class PlainWords(dict):
     """raw word -> 64-bit hash of the word without punctuation at its ends; 0 if nothing is left."""
 
-    BOUND = 1_000_000
+    BOUND = 300_000
 
     def __missing__(self, raw: str) -> int:
         if len(self) >= self.BOUND:

@@ -178,9 +178,12 @@ def _features(docs: DataFrame, *carried: str) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = PlainWords()
         for batch in batches:
-            packed = [_packed(*r) for r in _rows(batch.select(range(batch.num_columns - 4, batch.num_columns)), known)]
+            given = batch.select(range(batch.num_columns - 4, batch.num_columns))
+            packed = [_packed(*r) for at in range(0, batch.num_rows, 500) for r in _rows(given.slice(at, 500), known)]
             keys = np.array([xxhash.xxh64_intdigest(p) for p in packed], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(packed, pa.binary()), *batch.columns[: len(carried)]], ["key", "features", *carried])
+        known.clear()
+        give_back()  # the worker stays and serves other stages
 
     given = docs.select(*carried, *[c.alias(f"_q_{i}") for i, c in enumerate(_inputs(docs))])
     return given.mapInArrow(make, ", ".join(["key long, features binary", *[f"{c} {kinds[c]}" for c in carried]]))
@@ -320,6 +323,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 good, toxic = shared.value.scores(list(_rows(pa.RecordBatch.from_arrays(some.columns[width:], ["a", "b", "c", "d"]), known)))
                 keep = (good >= 0.5) & (toxic < 0.5)
                 yield pa.RecordBatch.from_arrays([*some.columns[:width], pa.array(good), pa.array(toxic), pa.array(good * (1 - toxic)), pa.array(keep)], [*names, "good_score", "toxic_score", "score", "keep"])
+        known.clear()
+        give_back()
 
     schema = docs.withColumns({"good_score": F.lit(0.0), "toxic_score": F.lit(0.0), "score": F.lit(0.0), "keep": F.lit(True)}).schema
     return given.mapInArrow(judge, schema)
