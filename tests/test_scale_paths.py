@@ -193,3 +193,12 @@ def test_whole_overlap_matrix_and_diagonals(spark):
     assert got == {(1, 1): 0, (1, 2): 0, (2, 1): 2, (2, 2): 2}
     found = similarity.with_diagonal(spark.createDataFrame([(1, 2, 5), (2, 1, 3)], "query int, subject int, rank long")).collect()
     assert {tuple(r) for r in found} == {(1, 2, 5), (2, 1, 3), (1, 1, 1), (2, 2, 1)}
+
+
+def test_a_tile_without_pairs_takes_part_in_the_ranking(spark):
+    """One defined gene gives a tile with a diagonal and no pair."""
+    expr = spark.createDataFrame([(1, "t", c, 2, float(c % 3 + 1)) for c in range(30)], "dataset_id int, cell_type string, cell_id long, gene int, value double")
+    meta = expr.select("dataset_id", "cell_id", "cell_type").distinct()
+    got = {(r["gene_a"], r["gene_b"]): (r["rsr"], r["n_na"]) for r in correlate.rank_sum_rank(expr, meta, GeneSpan(1, 3), min_cell=5).collect()}
+    pairs = [(a, b) for a in (1, 2, 3) for b in range(1, a + 1)]
+    assert got == {(a, b): (4 / 6 if a == b else 1 / 6, 0 if a == b == 2 else 1) for a, b in pairs}
