@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import rnd
 from ..operators import correlate, crossgroup, enrich, integrate, measure, rankings, recovery, saturation, similarity
-from ..session import prepare
+from ..session import fit_shuffles, prepare
 from ..schemas import GeneSpan, gene_span
-from ..sources.stage import content_key, materialize, stage_path
+from ..sources.stage import content_key, input_bytes, materialize, stage_path
 from .oracle import cte
 
 MIN_CELL_B = 15
@@ -35,7 +35,7 @@ class Tables:
     """Given tables and derived inputs of one data folder; heavy ones are stage tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = prepare(spark), sf_dir
+        self.spark, self.sf_dir = fit_shuffles(prepare(spark), input_bytes(spark, sf_dir)), sf_dir
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -276,9 +276,12 @@ class Tables:
     def ortho_tfs(self) -> DataFrame:
         return self.rank_ortho_s.select("tf_id").distinct()
 
+    def overlaps(self, reverse: bool) -> DataFrame:
+        """Top (or bottom) overlaps of all regulators; the quantiles read them three times."""
+        return self.stage("overlaps_bottom" if reverse else "overlaps_top", lambda: crossgroup.overlap_table(self.rank_ortho_s, K, reverse))
+
     def quantiles(self, reverse: bool) -> DataFrame:
-        overlaps = crossgroup.overlap_table(self.rank_ortho_s, K, reverse)
-        return crossgroup.overlap_quantiles(overlaps, self.ortho_tfs)
+        return crossgroup.overlap_quantiles(self.overlaps(reverse), self.ortho_tfs)
 
     @cached_property
     def quant_top(self) -> DataFrame:

@@ -44,6 +44,12 @@ def content_key(spark: SparkSession, inputs: Sequence[str] = (), **parameters) -
     return hashlib.md5("\n".join(found).encode()).hexdigest()
 
 
+def input_bytes(spark: SparkSession, name: str) -> int:
+    """Size of a file or folder of input."""
+    path, fs = _path(spark, name)
+    return fs.getContentSummary(path).getLength()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """True if the folder holds a finished write."""
     done, fs = _path(spark, path + "/_SUCCESS")

@@ -202,3 +202,24 @@ def test_a_tile_without_pairs_takes_part_in_the_ranking(spark):
     got = {(r["gene_a"], r["gene_b"]): (r["rsr"], r["n_na"]) for r in correlate.rank_sum_rank(expr, meta, GeneSpan(1, 3), min_cell=5).collect()}
     pairs = [(a, b) for a in (1, 2, 3) for b in range(1, a + 1)]
     assert got == {(a, b): (4 / 6 if a == b else 1 / 6, 0 if a == b == 2 else 1) for a, b in pairs}
+
+
+def test_shuffles_follow_the_size_of_the_input(spark):
+    """More input, more partitions, merged to 16 MB: a task reads no more from larger tables."""
+    from genoloom.session import TASK_BYTES, fit_shuffles
+
+    size, first = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    old = {c: spark.conf.get(c, None) for c in (size, first)}
+    try:
+        spark.conf.set(size, "64MB")
+        spark.conf.unset(first)
+        fit_shuffles(spark, 1 << 20)
+        assert spark.conf.get(first, None) is None and int(spark.conf.get(size)) == TASK_BYTES
+        fit_shuffles(spark, 6 << 30)
+        assert int(spark.conf.get(first)) == 3072
+        fit_shuffles(spark, 1 << 30)
+        spark.conf.set(size, "4MB")
+        assert int(fit_shuffles(spark, 1 << 30).conf.get(first)) == 3072 and spark.conf.get(size) == "4MB"
+    finally:
+        for c, v in old.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
