@@ -20,6 +20,8 @@ from .tiles import CHUNK_CELLS, GENE_BLOCK
 
 MIN_CELL = 20
 GROUP = ("dataset_id", "cell_type")
+#: Tasks per block of genes that make the rows of all pairs.
+SPINE_TASKS = 8
 
 
 # ---------------------------------------------------------------- per gene and cell type
@@ -183,7 +185,8 @@ def pair_spine(groups: DataFrame, genes: GeneSpan, gene_block: int = GENE_BLOCK)
     """Every pair ``gene_a >= gene_b`` of every group: groups are dealt by blocks of genes, blocks become pairs in their tasks."""
     last = genes.first + genes.n - 1
     rows = groups.withColumn("_b", F.explode(F.sequence(F.lit(genes.first // gene_block), F.lit(last // gene_block))))
-    rows = rows.repartition(*groups.columns, "_b")
+    # a number of its own: adaptive execution sees a few rows a block and would put all blocks into one task
+    rows = rows.repartition(SPINE_TASKS * (last // gene_block - genes.first // gene_block + 1), *groups.columns, "_b")
     own = F.sequence(F.greatest(F.col("_b") * gene_block, F.lit(genes.first)), F.least((F.col("_b") + 1) * gene_block - 1, F.lit(last)))
     rows = rows.withColumn("gene_a", F.explode(own)).drop("_b")
     return rows.withColumn("gene_b", F.explode(F.sequence(F.lit(genes.first), F.col("gene_a"))))

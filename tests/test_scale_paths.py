@@ -253,3 +253,10 @@ def test_tiles_and_ranks_take_few_bytes_a_pair(spark):
     ranked = tiles.joint_ranks(made, ("dataset_id", "cell_type")).agg(F.sum(F.length("ranks"))).first()[0]
     made.unpersist()
     assert n > 70_000 and size < 5 * n and ranked < 2 * n
+
+
+def test_blocks_of_the_pair_spine_are_dealt_to_many_tasks(spark):
+    groups = spark.createDataFrame([(d,) for d in range(5)], "dataset_id int")
+    made = correlate.pair_spine(groups, GeneSpan(3, 600), gene_block=64).withColumn("task", F.spark_partition_id())
+    n, tasks, distinct = made.agg(F.count("*"), F.count_distinct("task"), F.count_distinct("dataset_id", "gene_a", "gene_b")).first()
+    assert n == distinct == 5 * 600 * 601 // 2 and tasks > 16
