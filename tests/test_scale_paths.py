@@ -260,3 +260,11 @@ def test_blocks_of_the_pair_spine_are_dealt_to_many_tasks(spark):
     made = correlate.pair_spine(groups, GeneSpan(3, 600), gene_block=64).withColumn("task", F.spark_partition_id())
     n, tasks, distinct = made.agg(F.count("*"), F.count_distinct("task"), F.count_distinct("dataset_id", "gene_a", "gene_b")).first()
     assert n == distinct == 5 * 600 * 601 // 2 and tasks > 16
+
+
+def test_counts_without_a_gene_change_no_pair(spark):
+    cells = random_cells(5, 60, types=("t",), datasets=(0,))
+    expr, meta = tables(spark, cells)
+    nameless = expr.limit(9).withColumn("gene", F.lit(None).cast("int"))
+    got, want = (as_dict(correlate.pair_correlation(e, meta, GeneSpan(0, 5), 20, gene_block=3)) for e in (expr.unionByName(nameless), expr))
+    assert got == want and len(got) == 15
