@@ -14,27 +14,22 @@ from pyspark.sql import functions as F
 
 from ..sources.stage import written
 from .common import table
-from .shingles import MULTIPLIER, mix
+from .shingles import mix
 
 PIECE, WORD = re.compile(r"[.,;:!?\x0A-\x0D]"), re.compile(r"[^\x20\x09]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 NAMES = ["name_id", "name_f", "name_word", "name_left", "name_right"]
 
 
-def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The id of a phrase from those of its parts without the last and without the first word."""
-    with np.errstate(over="ignore"):
-        return (mix(left.view(np.uint64)) + right.view(np.uint64) * MULTIPLIER).view(np.int64)
+def _packed(numbers: np.ndarray, kind: str = "<u4") -> bytes:
+    """Non-negative integers as compressed byte planes; gaps, codes and counts take one to three bytes each."""
+    width = np.dtype(kind).itemsize
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype(kind).view(np.uint8).reshape(-1, width).T).tobytes())
 
 
-def _packed(numbers: np.ndarray) -> bytes:
-    """Small non-negative integers as compressed byte planes; gaps, codes and counts take one to three bytes each."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
-
-
-def _unpacked(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+def _unpacked(packed: bytes, kind: str = "<u4") -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64)
 
 
 def _listed(values, kind=None) -> pa.Array:
@@ -91,65 +86,79 @@ def occurrences(docs: DataFrame, text_col: str, lang: Column, chunk_words: int)
     return rows.mapInArrow(read, "chunk long, lang string, n_words long, gaps binary, codes binary, ids binary, n binary, words binary")
 
 
-def _ids(first: bool, *lists: bytes) -> np.ndarray:
-    """The ids of a chunk's phrases: listed for words, joined from those of the parts for longer phrases."""
-    known = np.frombuffer(lists[0], np.int64)
-    return known if first else _joined(known[_unpacked(lists[1])], known[_unpacked(lists[2])])
-
-
-def _counted(relation: DataFrame, min_count: int, first: bool) -> DataFrame:
-    """Group count: (chunk, ids, own, f) of the phrases of a chunk that occur ``min_count`` times in all chunks.
+def _dealt(first: bool, buckets: int, *lists: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The phrases of a chunk as they travel: their order by bucket and key, and the keys and buckets in that order.
 
-    A chunk sends each of its phrases once, with its count, to the bucket of the phrase's id, packed in
-    one row per chunk and bucket; the answers go back the same way. The lowest chunk with a phrase
+    The key of a word is its hash; that of a longer phrase are the numbers of the parts without the last and without the first word.
+    """
+    if first:
+        key = np.frombuffer(lists[0], np.uint64)
+    else:
+        numbers = _unpacked(lists[0]).astype(np.uint64)
+        key = numbers[_unpacked(lists[1])] << np.uint64(32) | numbers[_unpacked(lists[2])]
+    bucket = ((key if first else mix(key)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    order = np.lexsort((key, bucket))
+    return order, key[order], bucket[order].astype(np.int64)
+
+
+def _counted(relation: DataFrame, min_count: int, first: bool, buckets: int) -> DataFrame:
+    """Group count: (chunk, bucket, at, number, own, f) of the phrases of a chunk that occur ``min_count`` times in all chunks.
+
+    A chunk sends each of its phrases once, with its count, to the bucket of the phrase's key, packed in
+    one row per chunk and bucket. Back go the places ``at`` of the frequent ones in that row and their numbers: a bucket
+    numbers its frequent phrases in the order of their keys, so a phrase is exactly its number and bucket. The lowest chunk with a phrase
     owns it (``own``), which names every phrase once; ``f`` are the counts of the owned phrases over all chunks.
     """
-    buckets = int(relation.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 n, *lists = (c[i].as_py() for c in batch.columns[1:])
-                n, ids = _unpacked(n), _ids(first, *lists)
-                bucket = (ids.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((ids, bucket))
-                number, begins = np.unique(bucket[order], return_index=True)
-                cuts = [order[a:b] for a, b in zip(begins, np.append(begins[1:], len(order))[: len(begins)], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(number), pa.repeat(batch.column(0)[i], len(number)), pa.array([ids[c].tobytes() for c in cuts], pa.binary()), pa.array([_packed(n[c]) for c in cuts], pa.binary())], ["bucket", "chunk", "ids", "n"]
-                )
+                order, key, bucket = _dealt(first, buckets, *lists)
+                n, high, low = _unpacked(n)[order], (key >> np.uint64(32)).astype(np.int64), key & np.uint64(0xFFFFFFFF)
+                number, begins = np.unique(bucket, return_index=True)
+                cuts = [slice(a, b) for a, b in zip(begins, np.append(begins[1:], len(order))[: len(begins)], strict=True)]
+                packed = [[_packed(np.diff(high[c], prepend=0)) for c in cuts], [_packed(low[c]) for c in cuts], [_packed(n[c]) for c in cuts]]
+                yield pa.RecordBatch.from_arrays([pa.array(number), pa.repeat(batch.column(0)[i], len(number)), *[pa.array(x, pa.binary()) for x in packed]], ["bucket", "chunk", "high", "low", "n"])
 
     def count(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("chunk")
-        parts = [np.frombuffer(b, np.int64) for b in rows.column("ids").to_pylist()]
+        bucket, parts = rows.column("bucket")[0].as_py(), []
+        for high, low in zip(rows.column("high").to_pylist(), rows.column("low").to_pylist(), strict=True):
+            parts.append(np.cumsum(_unpacked(high)).astype(np.uint64) << np.uint64(32) | _unpacked(low).astype(np.uint64))
         values, lowest, back = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
-        total = np.bincount(back, np.concatenate([_unpacked(b) for b in rows.column("n").to_pylist()])).astype(np.int64)
-        stays, own = (total >= min_count)[back], np.zeros(len(back), bool)
+        total = np.bincount(back, np.concatenate([_unpacked(b) for b in rows.column("n").to_pylist()]), len(values)).astype(np.int64)
+        stays, own, number = (total >= min_count)[back], np.zeros(len(back), bool), np.cumsum(total >= min_count) - 1
         own[lowest] = True
-        out, at = {"chunk": [], "ids": [], "own": [], "f": []}, 0
+        if len(number) and (int(number[-1]) + 1) * buckets >= 1 << 32:
+            raise ValueError("over four billion frequent phrases of one length do not fit their numbers")
+        out, at = {"chunk": [], "at": [], "number": [], "own": [], "f": []}, 0
         for chunk, part in zip(rows.column("chunk").to_pylist(), parts, strict=True):
             here = slice(at, at + len(part))
-            keep = stays[here]
+            keep = np.flatnonzero(stays[here])
             at += len(part)
-            if keep.any():
-                for name, value in (("chunk", chunk), ("ids", part[keep].tobytes()), ("own", own[here][keep].tobytes()), ("f", total[back[here]][keep & own[here]].tobytes())):
+            if len(keep):
+                code, mine = back[here][keep], own[here][keep]
+                found = _packed(np.diff(keep, prepend=0)), _packed(np.diff(number[code], prepend=0)), np.packbits(mine).tobytes(), _packed(total[code[mine]], "<u8")
+                for name, value in zip(out, (chunk, *found), strict=True):
                     out[name].append(value)
-        return pa.table({"chunk": pa.array(out["chunk"], pa.int64()), **{c: pa.array(out[c], pa.binary()) for c in ("ids", "own", "f")}})
+        return pa.table({"chunk": pa.array(out["chunk"], pa.int64()), "bucket": pa.array([bucket] * len(out["chunk"]), pa.int64()), **{c: pa.array(out[c], pa.binary()) for c in ("at", "number", "own", "f")}})
 
     lists = ["ids"] if first else ["parts", "left", "right"]
-    pieces = relation.select("chunk", "n", *lists).mapInArrow(deal, "bucket long, chunk long, ids binary, n binary")
-    return pieces.groupBy("bucket").applyInArrow(count, "chunk long, ids binary, own binary, f binary")
+    pieces = relation.select("chunk", "n", *lists).mapInArrow(deal, "bucket long, chunk long, high binary, low binary, n binary")
+    return pieces.groupBy("bucket").applyInArrow(count, "chunk long, bucket long, at binary, number binary, own binary, f binary")
 
 
-def _extended(relation: DataFrame, frequent: DataFrame, first: bool) -> DataFrame:
-    """Semi-join and merge-join: the relation of phrases one word longer, and the names of the frequent phrases.
+def _extended(relation: DataFrame, frequent: DataFrame, k: int, buckets: int, max_words: int) -> DataFrame:
+    """Semi-join and merge-join: the relation of phrases one word longer, and the names of the frequent phrases of ``k`` words.
 
     Occurrences of phrases that are not frequent go; those at adjacent positions are joined. A row
     (chunk, gaps, codes, parts, left, right, n) is the new relation of a chunk: a phrase is the
-    places of its two parts in the list ``parts`` of ids. The list ``names`` (id, f, word or left and
-    right) are the frequent phrases of ``relation`` that the chunk owns.
+    places of its two parts in the list ``parts`` of numbers. The list ``names`` (id, f, word or left and
+    right) are the frequent phrases of ``relation`` that the chunk owns; an id is made of the number and the length.
     """
-    answers = frequent.groupBy("chunk").agg(F.collect_list(F.struct("ids", "own", "f")).alias("wanted"))
+    first = k == 1
+    answers = frequent.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "at", "number", "own", "f")).alias("wanted"))
     lists = ["ids", "words"] if first else ["parts", "left", "right"]
     rows = relation.select("chunk", "gaps", "codes", *lists).join(answers, "chunk").select("chunk", "wanted", "gaps", "codes", *lists)
 
@@ -157,30 +166,28 @@ def _extended(relation: DataFrame, frequent: DataFrame, first: bool) -> DataFram
         for batch in batches:
             for i in range(batch.num_rows):
                 answer, gaps, codes, *lists = (c[i].as_py() for c in batch.columns[1:])
-                wanted, own = (np.concatenate([np.frombuffer(x[c], kind) for x in answer]) for c, kind in (("ids", np.int64), ("own", bool)))
-                f = np.zeros(len(wanted), np.int64)
-                f[own] = np.concatenate([np.frombuffer(x["f"], np.int64) for x in answer])
-                order = np.argsort(wanted)
-                wanted, f, own = wanted[order], f[order], own[order]
-                ids = _ids(first, *lists)
-                place = np.minimum(np.searchsorted(wanted, ids), len(wanted) - 1)
-                stays = wanted[place] == ids
-                names = np.flatnonzero(stays & own[place])
+                order, _, bucket = _dealt(first, buckets, *lists)
+                stays, own, number, f = np.zeros(len(order), bool), np.zeros(len(order), bool), np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+                for x in answer:
+                    place = order[np.searchsorted(bucket, x["bucket"]) + np.cumsum(_unpacked(x["at"]))]
+                    mine = place[np.unpackbits(np.frombuffer(x["own"], np.uint8), count=len(place)).astype(bool)]
+                    stays[place], own[mine], f[mine] = True, True, _unpacked(x["f"], "<u8")
+                    number[place] = np.cumsum(_unpacked(x["number"])) * buckets + x["bucket"]
+                names = np.flatnonzero(own)
                 if first:
                     words = zstandard.decompress(lists[1]).decode("utf-8", "surrogatepass").split("\n")
                     called = {"word": [words[x] for x in names], "left": [0] * len(names), "right": [0] * len(names)}
                 else:
-                    parts, left, right = np.frombuffer(lists[0], np.int64), _unpacked(lists[1]), _unpacked(lists[2])
-                    called = {"word": [None] * len(names), "left": parts[left[names]], "right": parts[right[names]]}
+                    parts = _unpacked(lists[0]) * max_words + (k - 2)
+                    called = {"word": [None] * len(names), "left": parts[_unpacked(lists[1])[names]], "right": parts[_unpacked(lists[2])[names]]}
                 codes = _unpacked(codes)
                 keep = stays[codes]
                 at, codes = np.cumsum(_unpacked(gaps))[keep], (np.cumsum(stays) - 1)[codes[keep]]
-                kept = ids[stays]
                 begin = np.flatnonzero(np.diff(at) == 1)
                 pairs, code, n = np.unique(codes[begin] << 32 | codes[begin + 1], return_inverse=True, return_counts=True)
                 left, right = pairs >> 32, pairs & 0xFFFFFFFF
-                blobs = [_packed(np.diff(at[begin], prepend=0)), _packed(code), kept.tobytes(), _packed(left), _packed(right), _packed(n)]
-                listed = [_listed(ids[names]), _listed(f[place[names]]), _listed(called["word"], pa.string()), _listed(called["left"], pa.int64()), _listed(called["right"], pa.int64())]
+                blobs = [_packed(x) for x in (np.diff(at[begin], prepend=0), code, number[stays], left, right, n)]
+                listed = [_listed(number[names] * max_words + (k - 1)), _listed(f[names]), _listed(called["word"], pa.string()), _listed(called["left"], pa.int64()), _listed(called["right"], pa.int64())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *[pa.array([b]) for b in blobs], *listed], ["chunk", "gaps", "codes", "parts", "left", "right", "n", *NAMES])
 
     schema = "chunk long, gaps binary, codes binary, parts binary, left binary, right binary, n binary, name_id array<long>, name_f array<long>, name_word array<string>, name_left array<long>, name_right array<long>"
@@ -202,8 +209,9 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     relation = written(occurrences(docs, text_col, lang, chunk_words), "occurrences-1")
     totals = relation.groupBy("lang").agg(F.sum("n_words").alias("n"))
     chunks, levels, none = relation.select("chunk", "lang"), [], F.lit(None).cast("long")
+    buckets = int(relation.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for k in range(1, max_words + 1):
-        relation = written(_extended(relation, _counted(relation, min_count, k == 1), k == 1), f"occurrences-{k + 1}")
+        relation = written(_extended(relation, _counted(relation, min_count, k == 1, buckets), k, buckets, max_words), f"occurrences-{k + 1}")
         found = relation.select("chunk", F.explode(F.arrays_zip(*[F.col(c) for c in NAMES])).alias("p")).select("chunk", *[F.col(f"p.{c}").alias(c.removeprefix("name_")) for c in NAMES])
         if k == 1:
             levels.append(found.join(chunks, "chunk").select("lang", "id", none.alias("left"), none.alias("right"), F.col("word").alias("phrase"), F.col("word").alias("last"), "f"))
@@ -256,8 +264,8 @@ def collocations(
     lowest score floor(scale * a / (l + r)) counts, at ties the earliest. A candidate inside a longer
     one with 100 * f(longer) >= ``covered`` * a goes. Ranks are by score, a (both falling) and phrase.
 
-    Phrases are told apart by 64-bit hashes of language and words: among a billion phrases of a corpus two
-    meet with a chance of 3 %.
+    Words are told apart by 64-bit hashes of language and word: among a billion different words of a corpus two
+    meet with a chance of 3 %. Longer phrases are told apart exactly, by the numbers of their parts.
 
     Cases: null and empty texts have no words; a null language is ``und``, also for the words of texts that
     say so; repeated rows count each; ids do not matter; very long texts are a chunk of their own; other columns are

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from genoloom.llm import collocations as col
 
@@ -49,3 +50,17 @@ def test_empty_table_and_wide_products(spark):
     assert col.collocations(docs).collect() == []
     got = col.collocations(docs, min_count=1, scale=10**17).collect()
     assert [(r["phrase"], r["score"]) for r in got] == [("one two three", 5 * 10**16)]
+
+
+def test_phrases_travel_by_numbers(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([("en", " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(40)) for _ in range(20_000)))], "lang string, text string")
+    buckets, lang = 4, F.lit("en")
+    words = col.occurrences(docs, "text", lang, 1 << 19).localCheckpoint()
+    pairs = col._extended(words, col._counted(words, 1, True, buckets), 1, buckets, 4).localCheckpoint()
+    answers = col._counted(pairs, 1, False, buckets)
+    row = pairs.first()
+    n_pairs = len(col._unpacked(bytes(row["n"])))
+    sent = [sum(map(len, col._dealt(False, buckets, *(bytes(row[c]) for c in ("parts", "left", "right")))[:1]))]
+    assert sent == [n_pairs] and sum(len(col._unpacked(bytes(r["at"]))) for r in answers.collect()) == n_pairs > 15_000
+    assert len(row["parts"]) + len(row["left"]) + len(row["right"]) < 6 * n_pairs  # ids of 8 bytes a phrase before
