@@ -1,7 +1,8 @@
-"""Byte-level BPE: merges folded by higher-order functions over the distinct words, decoding by pieces."""
+"""Byte-level BPE: merges in rounds over all distinct words of a chunk of documents, decoding by pieces."""
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -82,138 +83,106 @@ def rank_map(pairs: dict[int, dict[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     return base, slots[: np.flatnonzero(slots >= 0)[-1] + 1] if (slots >= 0).any() else slots[:1]
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+class Merges:
+    """The rank map, padded on both sides: any pair of ids is looked up by two array accesses."""
 
+    def __init__(self, vocabulary: Vocabulary):
+        size = max(vocabulary.ranks.values()) + 1
+        if size > NONE:
+            raise ValueError(f"ids from {NONE} on do not fit the rank map")
+        base, slots = rank_map(vocabulary.pairs())
+        self.base, self.slots = np.zeros(size, np.int64), np.full(len(slots) + 2 * size, -1, np.int64)
+        has = np.flatnonzero(base > -size)
+        self.base[has], self.slots[size : size + len(slots)] = base[has] + size, slots
 
-def rank_literal(vocabulary: Vocabulary) -> Column:
-    """The rank map as one foldable value: struct of the arrays ``base`` and ``slots``."""
-    if max(vocabulary.ranks.values()) >= NONE:
-        raise ValueError(f"ids from {NONE} on do not fit the rank map")
-    base, slots = rank_map(vocabulary.pairs())
-    text = json.dumps({"base": base.tolist(), "slots": slots.tolist()}, separators=(",", ":"))
-    del base, slots
-    give_back()
-    return F.from_json(F.lit(text), "base array<int>, slots array<bigint>")
-
-
-def merged_words(words: Column, vocabulary: Vocabulary) -> Column:
-    """Token ids of each of an array of words. Both tables are bound once, so the plan holds one copy of each."""
-    literal = rank_literal(vocabulary)
-    return _let(literal["base"], lambda base: _let(literal["slots"], lambda slots: F.transform(words, lambda w: merged(w, base, slots))))
-
-
-def merged(word: Column, base: Column, slots: Column) -> Column:
-    """Token ids of a word given as the ids of its bytes.
-
-    The fold holds one number per piece: the rank of the merge with the next piece, then its own id.
-    Each step merges the leftmost pair of least rank, as long as there is one, and looks up the two
-    pairs it makes; so a long word costs a step per merge, and a look-up never scans.
-    """
-    none = F.array().cast("array<bigint>")
-
-    def rank(left: Column, right: Column) -> Column:
-        found = F.get(slots, F.get(base, left) + right)
-        return F.when(F.shiftright(found, ID_BITS) == left, found.bitwiseAND(NONE)).otherwise(NONE)
-
-    def packed(rank_: Column, own: Column) -> Column:
-        return F.shiftleft(rank_.cast("long"), ID_BITS) + own
-
-    def id_of(piece: Column) -> Column:
-        return piece.bitwiseAND(NONE).cast("int")
-
-    def merge(pieces: Column, _: Column) -> Column:
-        def replace(new: Column, at: Column) -> Column:  # at: 1-based place of the left of both
-            before = F.when(at > 1, F.array(_let(id_of(F.get(pieces, at - 2)), lambda i: packed(rank(i, new), i)))).otherwise(none)
-            here = F.when(at + 1 < F.size(pieces), packed(rank(new, id_of(F.get(pieces, at + 1))), new)).otherwise(packed(F.lit(NONE), new))
-            return F.concat(F.slice(pieces, F.lit(1), F.greatest(at - 2, F.lit(0))), before, F.array(here), F.slice(pieces, at + 2, F.size(pieces)))
-
-        def step(least: Column) -> Column:
-            new = F.shiftright(least, ID_BITS)
-            return F.when(new == NONE, pieces).otherwise(_let(F.array_position(pieces, least).cast("int"), lambda at: replace(new.cast("int"), at)))
-
-        return _let(F.array_min(pieces), step)
-
-    n = F.size(word)
-    start = F.concat(F.zip_with(F.slice(word, F.lit(1), n - 1), F.slice(word, F.lit(2), n - 1), lambda a, b: packed(rank(a, b), a)), F.array(packed(F.lit(NONE), F.get(word, n - 1))))
-    folded = F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), start, merge, lambda pieces: F.transform(pieces, id_of))
-    return F.when(n < 2, word).otherwise(folded)
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        found = self.slots[self.base[left] + right]
+        return np.where(found >> ID_BITS == left, found & NONE, NONE).astype(np.int32)
 
 
-def _chunks(words: DataFrame, vocabulary: Vocabulary, chunk_bytes: int) -> DataFrame:
-    """Rows of whole documents with their distinct words: ids, token counts, word numbers, words as ids to merge.
+def merged(ids: np.ndarray, merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of words of equally many bytes, given as one row of ids each, one after the other; and their numbers.
 
-    A word that is a token is its id; the others are the ids of their bytes.
+    Each round merges in every word the leftmost pair of least rank and looks up the two pairs it
+    makes. So the words of a round have equally many pieces; a word without a merge leaves.
     """
-    kind, single, ranks = words.schema["id"].dataType, vocabulary.single_bytes(), vocabulary.ranks
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(ids: list, lengths: list, flat: list) -> pa.RecordBatch:
-            coded = pa.chunked_array(flat, pa.string()).dictionary_encode()  # one dictionary for all chunks
-            flat.clear()
-            distinct = coded.chunk(coded.num_chunks - 1).dictionary if coded.num_chunks else pa.array([], pa.string())
-            numbers = pa.concat_arrays([c.indices for c in coded.chunks]) if coded.num_chunks else pa.array([], pa.int32())
-            del coded
-            _, offsets, data = distinct.buffers()
-            offsets = np.frombuffer(offsets, np.int32)[distinct.offset : distinct.offset + len(distinct) + 1] if len(distinct) else np.zeros(1, np.int32)
-            raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
-            begins, ids_of = offsets.astype(np.int64) - offsets[0], single[raw]
-            whole = np.array([ranks.get(w.encode(), -1) for w in distinct.to_pylist()], np.int64)
-            sizes = np.where(whole < 0, np.diff(begins), 1)
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            flat_ids = ids_of[np.repeat(begins[:-1] - starts[:-1], sizes) + np.arange(starts[-1])] if len(raw) else np.empty(0, np.int32)
-            flat_ids[starts[:-1][whole >= 0]] = whole[whole >= 0]
-            vocab = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat_ids, pa.int32()))
-            one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-            return pa.RecordBatch.from_arrays([one(pa.concat_arrays(ids)), one(pa.array(np.concatenate(lengths), pa.int32())), one(numbers), one(vocab)], ["ids", "lengths", "numbers", "words"])
-
-        ids, lengths, flat, held = [], [], [], 0
-        for batch in batches:
-            step = 256
-            for at in range(0, batch.num_rows, step):
-                ids.append(batch.column(0).slice(at, step))
-                listed = batch.column(1).slice(at, step)
-                lengths.append(np.diff(listed.offsets.to_numpy()))
-                flat.append(listed.flatten())
-                held += flat[-1].nbytes
-                if held >= chunk_bytes:
-                    yield row(ids, lengths, flat)
-                    ids, lengths, flat, held = [], [], [], 0
-        if ids:
-            yield row(ids, lengths, flat)
-        del ids, lengths, flat
-        pa.default_memory_pool().release_unused()  # the worker stays and serves other stages
-
-    return words.mapInArrow(gather, f"ids array<{kind.simpleString()}>, lengths array<int>, numbers array<int>, words array<array<int>>")
-
-
-def _per_document(coded: DataFrame) -> DataFrame:
-    """(id, tokens) from the rows of documents and the codes of their words."""
-    kind = coded.schema["ids"].dataType.elementType
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, lengths, numbers, codes = (batch.column(c).slice(i, 1).flatten() for c in range(4))
-                begins, flat = codes.offsets.to_numpy().astype(np.int64), codes.values.to_numpy(zero_copy_only=False)
-                sizes = np.diff(begins)
-                numbers, ends = numbers.to_numpy(), np.concatenate([[0], np.cumsum(lengths.to_numpy(), dtype=np.int64)])
-                step = 512
-                for at in range(0, len(ids), step):
-                    cut = ends[at : at + step + 1]
-                    some = numbers[cut[0] : cut[-1]]
-                    n = sizes[some]
-                    upto = np.concatenate([[0], np.cumsum(n)])
-                    where = np.repeat(begins[some] - upto[:-1], n) + np.arange(upto[-1])
-                    tokens = pa.ListArray.from_arrays(pa.array(upto[cut - cut[0]], pa.int32()), pa.array(flat[where], pa.int32()))
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, step), tokens], ["id", "tokens"])
-        pa.default_memory_pool().release_unused()
-
-    return coded.select("ids", "lengths", "numbers", "codes").mapInArrow(spread, f"id {kind.simpleString()}, tokens array<int>")
-
-
-def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 64 << 20) -> DataFrame:
+    out, sizes, rows = np.zeros(ids.shape, np.int32), np.zeros(len(ids), np.int64), np.arange(len(ids))
+    rank = merges.ranks(ids[:, :-1], ids[:, 1:])
+    while len(rows):
+        width = ids.shape[1]
+        least = rank.min(axis=1, initial=NONE)
+        done = least == NONE
+        out[rows[done], :width], sizes[rows[done]] = ids[done], width
+        rows, ids, rank, least = rows[~done], ids[~done], rank[~done], least[~done]
+        if not len(rows):
+            break
+        at, each = rank.argmin(axis=1), np.arange(len(rows))
+        after = np.arange(width - 1) > at[:, None]
+        ids = np.where(after, ids[:, 1:], ids[:, :-1])
+        ids[each, at] = least
+        rank = np.where(after[:, : width - 2], rank[:, 1:], rank[:, :-1])
+        some = np.flatnonzero(at > 0)
+        rank[some, at[some] - 1] = merges.ranks(ids[some, at[some] - 1], least[some])
+        some = np.flatnonzero(at < width - 2)
+        rank[some, at[some]] = merges.ranks(least[some], ids[some, at[some] + 1])
+    return out[np.arange(out.shape[1]) < sizes[:, None]], sizes
+
+
+def merged_long(ids: list[int], merges: Merges) -> list[int]:
+    """Token ids of one word: its pairs in a heap by rank and place, so n letters cost n log n."""
+    ahead, back, alive = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1)), [True] * len(ids)
+    rank = merges.ranks(np.array(ids[:-1], np.int64), np.array(ids[1:], np.int64)).tolist() + [NONE]
+    heap = [(r, i) for i, r in enumerate(rank) if r != NONE]
+    heapq.heapify(heap)
+    while heap:
+        new, at = heapq.heappop(heap)
+        if not alive[at] or rank[at] != new:
+            continue  # one of its pieces has been merged since
+        gone = ahead[at]
+        ids[at], alive[gone], ahead[at] = new, False, ahead[gone]
+        if ahead[at] < len(ids):
+            back[ahead[at]] = at
+        for i in (back[at], at):
+            if i >= 0:
+                rank[i] = int(merges.ranks(np.array([ids[i]]), np.array([ids[ahead[i]]]))[0]) if ahead[i] < len(ids) else NONE
+                if rank[i] != NONE:
+                    heapq.heappush(heap, (rank[i], i))
+    return [i for i, a in zip(ids, alive, strict=True) if a]
+
+
+def word_tokens(words: pa.Array, vocabulary: Vocabulary, single: np.ndarray, merges: Merges, rows: int = 1 << 15, short: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begins, sizes, tokens) of the words: a word that is a token is its id, others are merged from the ids of their bytes."""
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    raw, get = np.frombuffer(data, np.uint8), vocabulary.ranks.get
+    whole = np.concatenate([np.array([get(w, -1) for w in words.slice(at, rows).cast(pa.binary()).to_pylist()], np.int32) for at in range(0, len(words), rows)])
+    begins, sizes, flat, n = np.zeros(len(words), np.int64), np.ones(len(words), np.int64), [], 0
+
+    def put(some: np.ndarray, tokens: np.ndarray, own: np.ndarray) -> None:
+        nonlocal n
+        begins[some], sizes[some] = n + np.cumsum(own) - own, own
+        flat.append(tokens)
+        n += len(tokens)
+
+    known = np.flatnonzero(whole >= 0)
+    put(known, whole[known], np.ones(len(known), np.int64))
+    lengths, rest = np.diff(offsets), np.flatnonzero(whole < 0)
+    rest = rest[np.argsort(lengths[rest], kind="stable")]
+    own, first = np.unique(lengths[rest], return_index=True)
+    for length, a, b in zip(own.tolist(), first, np.append(first[1:], len(rest)), strict=False):
+        for at in range(a, b, rows if length <= short else 1):
+            some = rest[at : min(b, at + rows)] if length <= short else rest[at : at + 1]
+            if length <= short:
+                put(some, *merged(single[raw[offsets[some][:, None] + np.arange(length)]], merges))
+            else:
+                tokens = np.array(merged_long(single[raw[offsets[some[0]] : offsets[some[0]] + length]].tolist(), merges), np.int32)
+                put(some, tokens, np.array([len(tokens)]))
+    return begins, sizes, np.concatenate(flat)
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 32 << 20) -> DataFrame:
     """(id, tokens) per row of ``docs``; the words of a text are the matches of ``pattern``.
 
     Documents are taken in chunks of about ``chunk_bytes`` of words (an array offset included). A
@@ -226,9 +195,39 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str =
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     unicode = "(?U)" + pattern  # \s then means all Unicode white space
     words = docs.select(F.col(f"`{id_col}`").alias("id"), F.regexp_extract_all(text, F.lit(unicode), F.lit(0)).alias("words"))
-    chunks = _chunks(words, vocabulary, chunk_bytes)
-    coded = chunks.withColumn("codes", merged_words(F.col("words"), vocabulary))
-    return _per_document(coded).withColumnRenamed("id", id_col)
+    kind, shared = words.schema["id"].dataType, docs.sparkSession.sparkContext.broadcast((vocabulary, vocabulary.single_bytes(), Merges(vocabulary)))
+    give_back()
+
+    def tokens_of(ids: list, listed: list) -> Iterator[pa.RecordBatch]:
+        coded = pa.chunked_array([x.flatten() for x in listed], pa.string()).dictionary_encode()  # one dictionary for all
+        distinct = coded.chunk(coded.num_chunks - 1).dictionary if coded.num_chunks else pa.array([], pa.string())
+        begins, sizes, flat = word_tokens(distinct, *shared.value)
+        numbers, at = np.concatenate([np.zeros(0, np.int32), *[c.indices.to_numpy() for c in coded.chunks]]), 0
+        del coded
+        for own, words in zip(ids, listed, strict=True):
+            cut = np.concatenate([[0], np.cumsum(np.diff(words.offsets.to_numpy()), dtype=np.int64)])
+            some = numbers[at : at + cut[-1]]
+            at += int(cut[-1])
+            upto = np.concatenate([[0], np.cumsum(sizes[some])])
+            where = np.repeat(begins[some] - upto[:-1], sizes[some]) + np.arange(upto[-1])
+            yield pa.RecordBatch.from_arrays([own, pa.ListArray.from_arrays(pa.array(upto[cut], pa.int32()), pa.array(flat[where], pa.int32()))], ["id", "tokens"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, listed, held = [], [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                ids.append(batch.column(0).slice(at, 256))
+                listed.append(batch.column(1).slice(at, 256))
+                held += listed[-1].flatten().nbytes
+                if held >= chunk_bytes:
+                    yield from tokens_of(ids, listed)
+                    ids, listed, held = [], [], 0
+        if ids:
+            yield from tokens_of(ids, listed)
+        del ids, listed
+        give_back()  # the worker stays and serves other stages
+
+    return words.mapInArrow(run, f"id {kind.simpleString()}, tokens array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(tokens: Column, vocabulary: Vocabulary) -> Column:

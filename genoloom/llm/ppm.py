@@ -34,14 +34,12 @@ def plain_bytes(text: str | None) -> bytes:
 def packed_grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """For each byte of each text and its END: the byte and its ``order`` predecessors in one number; and sizes per text."""
     pad = bytes([START]) * order
-    raw = np.frombuffer(b"".join(pad + t + bytes([END]) for t in texts), np.uint8)
+    data = b"".join([*(pad + t + bytes([END]) for t in texts), bytes(8)])
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    packed = np.zeros(max(len(raw) - order, 0), np.uint64)
-    for k in range(order + 1):
-        packed = packed << np.uint64(8) | raw[k : len(raw) - order + k]
+    eight = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))  # the eight bytes from each place on
     begins = np.cumsum(sizes + order) - sizes - order
     real = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    return packed[real], sizes
+    return eight[real].astype(np.uint64) >> np.uint64(8 * (7 - order)), sizes
 
 
 def _mask(n_bytes: int) -> np.uint64:
@@ -232,17 +230,29 @@ def train(docs: DataFrame, keep_grams: float = 2.0**-20, keep_words: float = 2.0
     return Model(trie, grams, frequent, int(n_words + ends), int(kinds + some), int(ends)), words.filter(F.col("n") < floor)
 
 
-def _frequent_part(trie: Trie, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _slot(grams: np.ndarray) -> np.ndarray:
+    """24 mixed bits of each gram."""
+    return grams * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+
+
+def _slots(grams: np.ndarray) -> np.ndarray:
+    """True at the slots of the grams: most others are told apart by one access."""
+    out = np.zeros(1 << 24, bool)
+    out[_slot(grams)] = True
+    return out
+
+
+def _frequent_part(trie: Trie, slots: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per text the log probability of its frequent grams; the distinct other grams, how often each occurs, and the texts it occurs in."""
     packed, sizes = packed_grams(texts)
     codes, distinct = pd.factorize(packed)
-    top = trie.levels[-1]
-    at, seen = _found(top.grams, distinct)
-    log_p = np.zeros(len(distinct))
-    log_p[seen] = top.log_top[at[seen]]
+    top, some = trie.levels[-1], np.flatnonzero(slots[_slot(distinct)])
+    at, have = _found(top.grams, distinct[some])
+    log_p, seen = np.zeros(len(distinct)), np.zeros(len(distinct), bool)
+    log_p[some[have]], seen[some[have]] = top.log_top[at[have]], True
     scores = np.add.reduceat(log_p[codes], np.cumsum(sizes) - sizes)
     rest = np.flatnonzero(~seen[codes])
-    places = rest[np.argsort(codes[rest], kind="stable")]
+    places = np.sort(codes[rest] << 32 | rest) & 0xFFFFFFFF  # by gram, then by place; a part has less than 4 GB
     return scores, distinct[~seen], np.bincount(codes[rest], minlength=len(distinct))[~seen], np.repeat(np.arange(len(texts), dtype=np.uint32), sizes)[places]
 
 
@@ -352,12 +362,12 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, counted, ends = shared.value
-        frequent = {w: math.log10(f + 1) for w, f in counted.items()}.get
+        frequent, slots = {w: math.log10(f + 1) for w, f in counted.items()}.get, _slots(trie.levels[-1].grams)
         task, serial = TaskContext.get().partitionId() << 36, 0
         for batch in batches:
             ids, at = batch.column(0), 0
             for texts in _parts([plain_bytes(t) for t in batch.column(1).to_pylist()], part_bytes):
-                (scores, grams, times, places), first = _frequent_part(trie, texts), serial
+                (scores, grams, times, places), first = _frequent_part(trie, slots, texts), serial
                 n, known, base, rest_row, rest_word, rest_n = [], [], [], [], [], []
                 for t in texts:
                     words = t.split()

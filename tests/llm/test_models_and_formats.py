@@ -2,10 +2,13 @@
 import base64
 import math
 import struct
+import time
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import zstandard
@@ -162,6 +165,19 @@ def test_bpe_of_odd_texts(spark, vocabulary):
     assert bpe.encode(docs(spark, []), vocabulary, public_tokenizers.PATTERN).count() == 0
 
 
+def test_merges_in_rounds_and_by_heap(vocabulary):
+    own = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=vocabulary.ranks, special_tokens={})
+    rng, single, merges = np.random.default_rng(2), vocabulary.single_bytes(), bpe.Merges(vocabulary)
+    words = sorted({"".join(rng.choice(list("aetns é日x1"), n)) for n in rng.integers(1, 90, 400)})
+    for short in (0, 64, 1000):  # all by heap, mixed, all in rounds
+        begins, sizes, flat = bpe.word_tokens(pa.array(["cut", *words])[1:], vocabulary, single, merges, rows=7, short=short)
+        assert [flat[b : b + n].tolist() for b, n in zip(begins, sizes, strict=True)] == [own.encode_ordinary(w) for w in words]
+    long = "".join(rng.choice(list("abcde"), 40_000))  # took the square of its length
+    start = time.monotonic()
+    assert bpe.word_tokens(pa.array([long]), vocabulary, single, merges)[2].tolist() == own.encode_ordinary(long)
+    assert time.monotonic() - start < 20
+
+
 def test_rank_map_holds_all_pairs(vocabulary):
     pairs = vocabulary.pairs()
     base, slots = bpe.rank_map(pairs)
@@ -223,6 +239,26 @@ def test_ppm_equals_dictionaries_and_adds_up(spark):
     assert ppm.score(docs(spark, []), model, rare).count() == 0
 
 
+def test_frequent_part_equals_plain_look_ups():
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.choice(np.frombuffer(b"aabc \xc3\xa9", np.uint8), n)) for n in (0, 1, 700, 3000, 5)]
+    padded = [bytes([ppm.START]) * 5 + t + bytes([ppm.END]) for t in texts]
+    plain = [[int.from_bytes(t[i - 5 : i + 1]) for i in range(5, len(t))] for t in padded]
+    packed, sizes = ppm.packed_grams(texts)
+    assert packed.tolist() == sum(plain, []) and sizes.tolist() == list(map(len, plain))
+    kept = np.unique(packed)[::3]
+    trie = SimpleNamespace(levels=[SimpleNamespace(grams=kept, log_top=-np.arange(1.0, len(kept) + 1))])
+    scores, grams, times, places = ppm._frequent_part(trie, ppm._slots(kept), texts)
+    value = dict(zip(kept.tolist(), trie.levels[0].log_top, strict=True))
+    assert np.allclose(scores, [sum(value.get(g, 0) for g in own) for own in plain])
+    where = {}
+    for i, own in enumerate(plain):
+        for g in own:
+            where.setdefault(g, []).append(i)
+    rest = [g for g in where if g not in value]
+    assert grams.tolist() == rest and times.tolist() == [len(where[g]) for g in rest] and places.tolist() == sum((where[g] for g in rest), [])
+
+
 def test_ppm_scores_by_all_counted_grams(spark):
     """By the defaults, on more text than 1 / keep_grams: grams that occur once or never are scored as the whole trie says."""
     rng = np.random.default_rng(7)
