@@ -94,3 +94,29 @@ def test_query_equals_a_plain_parser(spark):
     rows = pages.query(spark, sf_dir).collect()
     assert {r["page_id"]: r["text"] for r in rows} == want
     assert all(r["n_chars"] == len(r["text"]) for r in rows) and sum(r["n_repeated"] for r in rows) > 0
+
+
+@pytest.mark.parametrize("volume, least", [(2, 2), (2, 3), (5, 2), (5, 4)])
+def test_passages_that_only_pages_of_different_volumes_share_are_found(spark, volume, least):
+    rng, rows = random.Random(volume * 10 + least), []
+    passages = [" ".join(f"p{k}x{j}" for j in range(5 + k % 3)) for k in range(12)]
+    for i in range(60):
+        own = [f"<p>{' '.join(f'w{i}x{j}y{n}' for j in range(6))}</p>" for n in range(2)]
+        shared = [f"<p>{passages[k]}</p>" for k in range(12) if rng.random() < 0.05]
+        rows.append((i, f"http://{'large' if i < 50 else f'small{i % 3}'}.example/{i}", "".join([own[0], *shared, own[1]])))
+    rows += [(100 + i, *rows[k][1:]) for i, k in enumerate([0, 0, 1, 55])] + [(None, *rows[2][1:]), (3, "http://large.example/", None)]
+    got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7), volume=volume, min_pages=least).collect()
+    # by hand: the five-word passages of each host and the distinct pages that hold them
+    words = {r: [w for b in re.findall("<p>(.*?)</p>", r[2] or "") for w in b.split()] for r in set(rows)}
+    host = lambda r: r[1].split("/")[2]
+    holders = {}
+    for r, own in words.items():
+        for j in range(len(own) - 4):
+            holders.setdefault((host(r), *own[j : j + 5]), set()).add(r[2])
+    want = []
+    for r in rows:
+        own = words[r]
+        mask = {j + d for j in range(len(own) - 4) if len(holders[host(r), *own[j : j + 5]]) >= least for d in range(5)}
+        want.append((r[0] if r[0] is not None else -1, len(own), len(mask)))
+    assert sorted((r["page_id"] if r["page_id"] is not None else -1, r["n_words"], r["n_repeated"]) for r in got) == sorted(want)
+    assert any(n for _, _, n in want)
