@@ -268,3 +268,28 @@ def test_counts_without_a_gene_change_no_pair(spark):
     nameless = expr.limit(9).withColumn("gene", F.lit(None).cast("int"))
     got, want = (as_dict(correlate.pair_correlation(e, meta, GeneSpan(0, 5), 20, gene_block=3)) for e in (expr.unionByName(nameless), expr))
     assert got == want and len(got) == 15
+
+
+def test_cells_of_few_genes_list_their_pairs(spark):
+    """A chunk of 900 cells with three of 300 genes each, blocks of 32: the pairs of the cells are sent at once, not 55 products of blocks."""
+    rng = np.random.default_rng(4)
+    rows = pd.DataFrame([(c, float(g), float(rng.integers(1, 5))) for c in range(900) for g in [*rng.choice(300, 3, False), *([7] if c % 9 == 0 else [])]], columns=["cell_id", "gene", "value"])
+    nameless = pd.DataFrame({"cell_id": [1], "gene": [np.nan], "value": [3.0]})
+    made = list(tiles._chunk_products(32, 10, ("k",), 0, 4096)(("x", 0, 0), iter([rows, nameless])))
+    x = np.zeros((900, 300))
+    np.add.at(x, (rows["cell_id"], rows["gene"].astype(int)), rows["value"])
+    got = np.zeros((300, 300))
+    for t in made[0].itertuples():
+        idx = tiles.spread(t.idx)
+        got[t.ta * 32 + idx // 32, t.tb * 32 + idx % 32] = tiles.spread(t.val)
+    assert len(made) == 1 and len(made[0]) > 50 and (got == np.tril(x.T @ x, -1)).all()
+
+
+def test_sparse_cells_give_the_same_correlations_in_many_tasks(spark):
+    rng = random.Random(9)
+    cells = {(0, "t", c): {g: rng.choice([0, 1, 3]) if g in own else 0 for g in range(120)} for c in range(700) for own in [set(rng.sample(range(120), 4))]}
+    expr, meta = tables(spark, cells)
+    made = correlate.pair_correlation(expr, meta, GeneSpan(0, 120), 3, gene_block=16, chunk_cells=50)
+    got, want = as_dict(made), brute_pearson(cells, 120, 3)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 8
