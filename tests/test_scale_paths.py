@@ -293,3 +293,13 @@ def test_sparse_cells_give_the_same_correlations_in_many_tasks(spark):
     got, want = as_dict(made), brute_pearson(cells, 120, 3)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 8
+
+
+def test_pairs_of_bitmaps_are_made_in_many_tasks(spark):
+    cells = random_cells(40, 60, types=("s", "t"), datasets=(0, 1))
+    expr, meta = tables(spark, cells)
+    made = measure.defined_types(expr, meta, GeneSpan(0, 40), 2, 8)
+    n, tasks = made.withColumn("task", F.spark_partition_id()).agg(F.count("*"), F.count_distinct("task")).first()
+    assert n == 2 * 40 * 41 // 2 and tasks > 8
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Arrow" not in plan
