@@ -136,6 +136,30 @@ def test_palettes_runs_and_broken_files():
     assert webp.decode_streams([]) == []
 
 
+def test_a_run_is_filled_at_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    images = [np.r_[rng.integers(0, 1 << 32, 40, np.uint32), np.full(760 - k, 9 + k, np.uint32), rng.integers(0, 1 << 32, k, np.uint32)].reshape(8, 100) for k in (0, 0, 30)]
+    plain, rounds = webp.cache_slot, []
+    streams = [webp.containers(f)[0] for f in webp.encode_images(np.concatenate([i.ravel() for i in images[:2]]), np.array([8, 8]), 100)]
+    monkeypatch.setattr(webp, "cache_slot", lambda *args: rounds.append(1) or plain(*args))
+    assert all((a == b).all() for a, b in zip(webp.decode_streams(streams), images, strict=False)) and len(rounds) < 100
+    (mixed,) = webp.encode_images(images[2].ravel(), np.array([8]), 100)
+    assert all((a == b).all() for a, b in zip(webp.decode_streams([*streams, webp.containers(mixed)[0]]), images, strict=True))
+
+
+def test_copies_from_the_row_above(monkeypatch):
+    """The only distance that the writer knows, the pixel to the left, is turned into the one above."""
+    plain = webp._code_fields
+    monkeypatch.setattr(webp, "_code_fields", lambda x: plain(np.roll(x, -1, axis=1) if x.shape[1] == webp.DISTANCES else x))
+    rng = np.random.default_rng(3)
+    images = [rng.integers(0, 1 << 32, (6, 50), np.uint32) for _ in range(3)]
+    images[0][3:], images[1][5, 7:] = images[0][3, 0], images[1][5, 7]
+    files = webp.encode_images(np.concatenate([i.ravel() for i in images]), np.array([6, 6, 6]), 50)
+    images[0][3:, 1:], images[0][4:, 0], images[1][5, 8:] = images[0][2, 1:], images[0][3, 0], images[1][4, 8:]
+    for image, back in zip(images, webp.decode_streams([webp.containers(f)[0] for f in files]), strict=True):
+        assert (image == back).all()
+
+
 def test_media_columns(spark):
     rows = [(1, "abc"), (2, None), (3, ""), (None, "x" * 200_000), (1, "abc"), (5, "é" * 288)]
     table = docs(spark, [(*r, 7) for r in rows], ", media int").select("*", F.encode("text", "UTF-8").alias("data"))
