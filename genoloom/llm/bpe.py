@@ -3,12 +3,12 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,11 +42,11 @@ class Vocabulary:
                     out.setdefault(left, {})[right] = rank
         return out
 
-    def pieces(self) -> list[str | None]:
-        """Hex text of the bytes of each id."""
-        out: list[str | None] = [None] * (max(self.ranks.values()) + 1)
+    def pieces(self) -> list[bytes]:
+        """The bytes of each id; none for an id that is no token's, and for one more at the end."""
+        out = [b""] * (max(self.ranks.values()) + 2)
         for token, rank in self.ranks.items():
-            out[rank] = token.hex()
+            out[rank] = token
         return out
 
 
@@ -56,28 +56,22 @@ def rank_map(pairs: dict[int, dict[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     A map column is searched from its start on every look-up; here a look-up is two array accesses.
     Rows are placed from the longest on; those of a single entry fill the slots that are left, in order.
     """
-    used, free, base = np.zeros(1 << 20, bool), 0, np.full(max(pairs) + 1, -1 << 20, np.int64)
-    slots = np.full(1 << 20, -1, np.int64)
+    base, table, used = np.full(max(pairs) + 1, -1 << 20, np.int64), {}, 0
     for left, row in sorted(((a, r) for a, r in pairs.items() if len(r) > 1), key=lambda x: (-len(x[1]), x[0])):
-        rights = np.fromiter(row, np.int64, len(row))
-        low = int(rights.min())
-        while used[free]:
-            free += 1
-        begin, width, at = free, 256, None
-        while at is None:
-            if begin + width + int(rights.max()) - low >= len(used):
-                used, slots = np.concatenate([used, np.zeros(len(used), bool)]), np.concatenate([slots, np.full(len(slots), -1, np.int64)])
-            starts = np.flatnonzero(~used[begin : begin + width]) + begin - low
-            fits = ~used[starts[:, None] + rights[None, :]].any(axis=1)
-            at = int(starts[np.argmax(fits)]) if fits.any() else None
-            begin, width = begin + width, min(width * 2, 8192)
-        base[left] = at
-        used[at + rights] = True
-        slots[at + rights] = left << ID_BITS | np.fromiter(row.values(), np.int64, len(row))
+        low, taken, own = min(row), 0, 0
+        for right in row:
+            taken |= used >> (right - low)
+            own |= 1 << (right - low)
+        place = (~taken & taken + 1).bit_length() - 1  # the first place for ``low`` at which the slots of all are free, as bits
+        used |= own << place
+        base[left] = place - low
+        table.update((place - low + right, left << ID_BITS | rank) for right, rank in row.items())
+    rows = np.frombuffer(used.to_bytes(used.bit_length() // 8 + 1, "little"), np.uint8)
     single = np.array([(a, *next(iter(r.items()))) for a, r in pairs.items() if len(r) == 1], np.int64).reshape(-1, 3)
-    if (more := len(single) - np.count_nonzero(~used)) > 0:
-        used, slots = np.concatenate([used, np.zeros(more, bool)]), np.concatenate([slots, np.full(more, -1, np.int64)])
-    place = np.flatnonzero(~used)[: len(single)]
+    taken = np.r_[np.unpackbits(rows, bitorder="little"), np.zeros(len(single), np.uint8)]
+    slots = np.full(len(taken), -1, np.int64)
+    slots[np.fromiter(table, np.int64, len(table))] = np.fromiter(table.values(), np.int64, len(table))
+    place = np.flatnonzero(taken == 0)[: len(single)]
     base[single[:, 0]] = place - single[:, 1]
     slots[place] = single[:, 0] << ID_BITS | single[:, 2]
     return base, slots[: np.flatnonzero(slots >= 0)[-1] + 1] if (slots >= 0).any() else slots[:1]
@@ -230,16 +224,46 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str =
     return words.mapInArrow(run, f"id {kind.simpleString()}, tokens array<int>").withColumnRenamed("id", id_col)
 
 
+def _each_joined(tokens: pa.Array, text_of, separator: bytes, rows: int = 256) -> pa.Array:
+    """Of each array of ids the texts of all, joined; null for null. Some rows at a time, as the texts of single ids take many times their bytes."""
+    out = [pa.array([], pa.large_binary())]
+    for at in range(0, len(tokens), rows):
+        some = tokens.slice(at, rows)
+        sizes = pc.fill_null(pc.list_value_length(some), 0).to_numpy()
+        listed = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), text_of(some.flatten()))
+        joined = pc.binary_join(listed, pa.scalar(separator, pa.large_binary()))
+        out.append(pc.if_else(some.is_valid(), joined, pa.scalar(None, pa.large_binary())) if some.null_count else joined)
+    whole = pa.concat_arrays(out).cast(pa.binary())
+    del out
+    give_back()  # the worker lives on beside the one that merges
+    return whole
+
+
 def decode(tokens: Column, vocabulary: Vocabulary) -> Column:
-    """The bytes of an array of ids: the pieces of all ids, one after the other. An id without piece adds nothing."""
-    pieces = F.from_json(F.lit(json.dumps({"p": vocabulary.pieces()}, separators=(",", ":"))), "p array<string>")["p"]
-    return F.unhex(F.array_join(F.transform(tokens, lambda i: F.get(pieces, i)), ""))
+    """The bytes of an array of ids: the pieces of all ids, one after the other. An id without piece, or null, adds nothing."""
+    shared = pa.array(vocabulary.pieces(), pa.large_binary())
+
+    def of(ids: pa.Array) -> pa.Array:
+        ids = pc.fill_null(ids, -1).to_numpy()
+        return shared.take(pa.array(np.where((ids >= 0) & (ids < len(shared)), ids, len(shared) - 1)))
+
+    return F.arrow_udf(lambda tokens: _each_joined(tokens, of, b""), "binary")(tokens)
+
+
+def listed_ids(tokens: Column) -> Column:
+    """The decimal ids of an array, joined by one space, in ASCII; nulls are left out."""
+
+    def run(tokens: pa.Array) -> pa.Array:
+        if tokens.flatten().null_count:
+            tokens = pa.array([x and [i for i in x if i is not None] for x in tokens.to_pylist()], tokens.type)
+        return _each_joined(tokens, lambda ids: ids.cast(pa.large_string()).cast(pa.large_binary()), b" ")
+
+    return F.arrow_udf(run, "binary")(tokens)
 
 
 def token_report(docs: DataFrame, vocabulary: Vocabulary, pattern: str) -> DataFrame:
     out = encode(docs, vocabulary, pattern)
-    listed = F.array_join(F.transform("tokens", lambda i: i.cast("string")), " ")
-    return out.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2(decode(F.col("tokens"), vocabulary), 256).alias("decoded_sha256"))
+    return out.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(listed_ids(F.col("tokens")), 256).alias("ids_sha256"), F.sha2(decode(F.col("tokens"), vocabulary), 256).alias("decoded_sha256"))
 
 
 def query(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
