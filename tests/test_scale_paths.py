@@ -303,3 +303,24 @@ def test_pairs_of_bitmaps_are_made_in_many_tasks(spark):
     assert n == 2 * 40 * 41 // 2 and tasks > 8
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_pairs_of_genes_are_dealt_evenly(spark):
+    """All pairs that a row makes are in memory at once: a gene used to meet all before it, and its whole block was one task's."""
+    groups, genes = spark.range(1).withColumnRenamed("id", "dataset_id"), GeneSpan(1, 2000)
+    rows = correlate.pair_spine(groups, genes, 512)
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == genes.n_pairs and max(sizes) < 0.15 * genes.n_pairs
+    assert rows.filter("gene_b > gene_a OR gene_b < 1 OR gene_a > 2000").count() == 0 and rows.distinct().count() == genes.n_pairs
+
+
+def test_defined_types_shuffles_no_pairs(spark, capsys):
+    rows = [(d, t, c, g, float(1 + (c * g) % 5)) for d in (1, 2) for t in ("a", "b") for c in range(6) for g in range(1, 71) if t == "a" or g % 3]
+    expr = spark.createDataFrame(rows, "dataset_id int, cell_type string, cell_id int, gene int, value double")
+    meta = expr.select("dataset_id", "cell_id", "cell_type").distinct()
+    out = measure.defined_types(expr, meta, GeneSpan(1, 70), 2, gene_block=40)
+    out.explain()
+    assert not [line for line in capsys.readouterr().out.splitlines() if "Exchange" in line and ("gene_a" in line or "x0" in line)]
+    defined = {(d, t, g) for d, t, g in tiles.defined_genes(expr, meta, ("dataset_id", "cell_type"), 2).select("dataset_id", "cell_type", "gene").collect()}
+    want = {(d, a, b): sum((d, t, a) in defined and (d, t, b) in defined for t in "ab") for d in (1, 2) for a in range(1, 71) for b in range(1, a + 1)}
+    assert {(r.dataset_id, r.gene_a, r.gene_b): r.n_types for r in out.collect()} == want
