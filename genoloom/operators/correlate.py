@@ -16,7 +16,7 @@ from ..functions.ranks import grouped_rank
 from ..functions.stats import large_group_median
 from ..schemas import GeneSpan
 from ..sources.stage import written
-from .tiles import CHUNK_CELLS, GENE_BLOCK
+from .tiles import CHUNK_CELLS, GENE_BLOCK, TILE_ROWS
 
 MIN_CELL = 20
 GROUP = ("dataset_id", "cell_type")
@@ -181,14 +181,19 @@ METHODS = {"pearson": pair_correlation, "spearman": spearman_correlation, "bicor
 # ---------------------------------------------------------------- rank aggregation
 
 def pair_spine(groups: DataFrame, genes: GeneSpan, gene_block: int = GENE_BLOCK) -> DataFrame:
-    """Every pair ``gene_a >= gene_b`` of every group: groups are dealt by blocks of genes, blocks become pairs in their tasks."""
+    """Every pair ``gene_a >= gene_b`` of every group: some genes of a block and another block are dealt to tasks and become pairs there.
+
+    A task holds all pairs that a row of its input makes before it hands them on, so such a row has ``TILE_ROWS`` genes of one side.
+    """
     last = genes.first + genes.n - 1
-    rows = groups.withColumn("_b", F.explode(F.sequence(F.lit(genes.first // gene_block), F.lit(last // gene_block))))
-    # a number of its own: adaptive execution sees a few rows a block and would put all blocks into one task
-    rows = rows.repartition(SPINE_TASKS * (last // gene_block - genes.first // gene_block + 1), *groups.columns, "_b")
-    own = F.sequence(F.greatest(F.col("_b") * gene_block, F.lit(genes.first)), F.least((F.col("_b") + 1) * gene_block - 1, F.lit(last)))
-    rows = rows.withColumn("gene_a", F.explode(own)).drop("_b")
-    return rows.withColumn("gene_b", F.explode(F.sequence(F.lit(genes.first), F.col("gene_a"))))
+    lo, hi = genes.first // gene_block, last // gene_block
+    begin, end = lambda t: F.greatest(F.col(t) * gene_block, F.lit(genes.first)), lambda t: F.least((F.col(t) + 1) * gene_block - 1, F.lit(last))
+    rows = groups.withColumn("_a", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).withColumn("_i", F.explode(F.sequence(begin("_a"), end("_a"), F.lit(TILE_ROWS))))
+    rows = rows.withColumn("_b", F.explode(F.sequence(F.lit(lo), F.col("_a"))))
+    # a number of its own: adaptive execution sees a few bytes a row and would put all into one task
+    rows = rows.repartition(SPINE_TASKS * (hi - lo + 1), *groups.columns, "_i", "_b")
+    rows = rows.withColumn("gene_a", F.explode(F.sequence("_i", F.least(F.col("_i") + (TILE_ROWS - 1), end("_a")))))
+    return rows.withColumn("gene_b", F.explode(F.sequence(begin("_b"), F.least(end("_b"), F.col("gene_a"))))).drop("_a", "_b", "_i")
 
 
 def type_status(moments: DataFrame, meta: DataFrame, min_cell: int = MIN_CELL) -> DataFrame:
