@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -224,16 +225,16 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str =
     return words.mapInArrow(run, f"id {kind.simpleString()}, tokens array<int>").withColumnRenamed("id", id_col)
 
 
-def _each_joined(tokens: pa.Array, text_of, separator: bytes, rows: int = 256) -> pa.Array:
-    """Of each array of ids the texts of all, joined; null for null. Some rows at a time, as the texts of single ids take many times their bytes."""
-    out = [pa.array([], pa.large_binary())]
-    for at in range(0, len(tokens), rows):
+def _each_joined(tokens: pa.Array, text_of, separator: bytes, finish=lambda joined: joined.cast(pa.binary()), rows: int = 256) -> pa.Array:
+    """``finish`` of the joined texts of each array of ids; null for null. Some rows at a time, as the texts of single ids take many times their bytes."""
+    out = []
+    for at in range(0, max(len(tokens), 1), rows):
         some = tokens.slice(at, rows)
         sizes = pc.fill_null(pc.list_value_length(some), 0).to_numpy()
         listed = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), text_of(some.flatten()))
         joined = pc.binary_join(listed, pa.scalar(separator, pa.large_binary()))
-        out.append(pc.if_else(some.is_valid(), joined, pa.scalar(None, pa.large_binary())) if some.null_count else joined)
-    whole = pa.concat_arrays(out).cast(pa.binary())
+        out.append(finish(pc.if_else(some.is_valid(), joined, pa.scalar(None, pa.large_binary())) if some.null_count else joined))
+    whole = pa.concat_arrays(out)
     del out
     give_back()  # the worker lives on beside the one that merges
     return whole
@@ -250,20 +251,23 @@ def decode(tokens: Column, vocabulary: Vocabulary) -> Column:
     return F.arrow_udf(lambda tokens: _each_joined(tokens, of, b""), "binary")(tokens)
 
 
-def listed_ids(tokens: Column) -> Column:
-    """The decimal ids of an array, joined by one space, in ASCII; nulls are left out."""
+def ids_digest(tokens: Column) -> Column:
+    """SHA-256 in hex of the decimal ids of an array, joined by one space; nulls are left out."""
+
+    def digests(joined: pa.Array) -> pa.Array:
+        return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() if x.is_valid else None for x in joined], pa.string())
 
     def run(tokens: pa.Array) -> pa.Array:
         if tokens.flatten().null_count:
             tokens = pa.array([x and [i for i in x if i is not None] for x in tokens.to_pylist()], tokens.type)
-        return _each_joined(tokens, lambda ids: ids.cast(pa.large_string()).cast(pa.large_binary()), b" ")
+        return _each_joined(tokens, lambda ids: ids.cast(pa.large_string()).cast(pa.large_binary()), b" ", digests)
 
-    return F.arrow_udf(run, "binary")(tokens)
+    return F.arrow_udf(run, "string")(tokens)
 
 
 def token_report(docs: DataFrame, vocabulary: Vocabulary, pattern: str) -> DataFrame:
     out = encode(docs, vocabulary, pattern)
-    return out.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(listed_ids(F.col("tokens")), 256).alias("ids_sha256"), F.sha2(decode(F.col("tokens"), vocabulary), 256).alias("decoded_sha256"))
+    return out.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), ids_digest(F.col("tokens")).alias("ids_sha256"), F.sha2(decode(F.col("tokens"), vocabulary), 256).alias("decoded_sha256"))
 
 
 def query(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
